@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import tokens
+from . import packing, tokens
 
-_MODULES = (tokens,)
+_MODULES = (tokens, packing)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
