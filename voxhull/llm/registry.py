@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, tokens
+from . import packing, quality_rules, simhash, tokens
 
-_MODULES = (quality_rules, tokens, packing)
+_MODULES = (quality_rules, tokens, simhash, packing)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}

@@ -14,7 +14,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +28,31 @@ NO_ID = -(2**63)  # stands for a null document id
 HEADER = struct.Struct("<4sHHqqq")
 
 
+class _Codes(dict):
+    """Pieces numbered as they are first met."""
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        return n
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE file of the tokenizers library, add_special_tokens=False.
 
-    remember: pieces held in memory; beyond it the memory is emptied, which changes speed alone.
+    remember: pieces held in memory; beyond it the memory is emptied. at_once: characters of texts cut up together, unless
+    one text has more. Both change memory and speed alone.
     """
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 1_000_000, at_once: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.remember = remember
+        self.remember, self.at_once = remember, at_once
         self.size = self.tok.get_vocab_size()
         self._reset()
 
     def _reset(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes = _Codes()
         self.flat = np.empty(1 << 20, np.uint32)
         self.at = np.zeros(1 << 18, np.int64)  # start of each code's ids, and the end of the last
         self.loose = np.zeros(1 << 18, bool)  # pieces with white space at an end: no cut is safe there
@@ -53,7 +62,7 @@ class Encoder:
         return [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Give each unknown piece (with its leading blank, if it has one) a code."""
+        """Hold the ids of pieces (with their leading blank, if they have one) that got the next codes."""
         ids = self._ids(pieces)
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         total, k = int(lens.sum()), len(ids)
@@ -73,11 +82,20 @@ class Encoder:
             # conservative: whatever Python or Unicode may call a blank at either end of the piece
             if not body or not (body[0].isprintable() and body[-1].isprintable()) or body[0].isspace() or body[-1].isspace():
                 self.loose[self.n + j] = True
-        self.codes.update(zip(pieces, range(self.n, self.n + k)))
         self.n += k
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its ids as uint32."""
+        out: list[np.ndarray] = []
+        lo, n = 0, 0
+        for i, t in enumerate(texts):  # some texts at a time: their pieces take many times their size
+            n += len(t)
+            if n > self.at_once or i == len(texts) - 1:
+                out += self._encode(texts[lo : i + 1])
+                lo, n = i + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > self.remember:
             self._reset()
         pieces, counts = [], np.zeros(len(texts), np.int64)
@@ -87,11 +105,9 @@ class Encoder:
                 n = len(pieces)
                 pieces += w
                 counts[i] = len(pieces) - n
-        codes = self.codes
-        unknown = [p for p in dict.fromkeys(pieces) if p not in codes]
-        if unknown:
-            self._learn(unknown)
-        got = np.fromiter(map(codes.__getitem__, pieces), np.int64, len(pieces))
+        got = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+        if len(self.codes) > self.n:
+            self._learn(list(islice(self.codes, self.n, None)))
         lens = self.at[got + 1] - self.at[got]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
