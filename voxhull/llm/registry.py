@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality_rules, simhash, tokens
+from . import decontamination, packing, quality_classifier, quality_rules, simhash, tokens
 
-_MODULES = (quality_rules, tokens, simhash, packing, decontamination)
+_MODULES = (quality_rules, tokens, simhash, packing, quality_classifier, decontamination)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
