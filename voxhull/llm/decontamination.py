@@ -110,6 +110,38 @@ def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+def test_blocks(tests: DataFrame, window: int, k: int, block_bytes: int):
+    """How many blocks of about block_bytes the test texts take, and a function that reads the index of one."""
+    size = tests.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    n_blocks = max(1, -(-int(size) // block_bytes))
+    parts = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+
+    def index_of(block: int) -> Index:
+        rows = tests.where(parts == block).select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).collect()
+        return Index([r.item_id for r in rows], [r.text.encode() for r in rows], window, k)
+
+    return n_blocks, index_of
+
+
+def uncontaminated(docs: DataFrame, tests: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16_000_000) -> DataFrame:
+    """The rows of docs, all columns as they are, that no window of tests occurs in."""
+    n_blocks, index_of = test_blocks(tests, window, k, block_bytes)
+    for block in range(n_blocks):  # one, unless the test set is very large
+        held = docs.sparkSession.sparkContext.broadcast(index_of(block))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index, table = held.value, alnum_table()
+            for batch in batches:
+                texts = text_bytes(values(batch, "text"))
+                for lo, hi in batches_of(texts):
+                    w = Words(texts[lo:hi], table)
+                    sums = np.concatenate(([0], np.cumsum(index.hits(w)[0])))
+                    yield batch.slice(lo, hi - lo).filter(pa.array(sums[w.first[1:]] == sums[w.first[:-1]]))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16_000_000) -> DataFrame:
     """For each row of docs(doc_id, text) its words, those inside any window of tests(item_id, text), and the items.
 
@@ -117,17 +149,13 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, k: int =
     is hit by nothing. A test row without item_id marks words, but isn't counted or listed; rows of one item_id count
     once. Without test rows nothing is hit. block_bytes: how much test text one scan of docs is held against.
     """
-    size = tests.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    n_blocks = max(1, -(-int(size) // block_bytes))
-    parts = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    n_blocks, index_of = test_blocks(tests, window, k, block_bytes)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if n_blocks > 1:
         docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "documents")
 
     def scan(block: int) -> DataFrame:
-        rows = tests.where(parts == block).select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).collect()
-        index = Index([r.item_id for r in rows], [r.text.encode() for r in rows], window, k)
-        held = docs.sparkSession.sparkContext.broadcast(index)  # at most about block_bytes of text and its index
+        held = docs.sparkSession.sparkContext.broadcast(index_of(block))  # at most about block_bytes of text and its index
 
         def each(batch: pa.RecordBatch):
             index, table = held.value, alnum_table()

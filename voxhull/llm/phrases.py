@@ -68,12 +68,12 @@ def _candidates(w: Words, window: int, found: np.ndarray) -> np.ndarray:
     return np.flatnonzero(holds & (w.doc[:m] == w.doc[window - 1 :]))
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
     """doc_id, the columns keep, text without repeated words, n_words, n_removed; a row for each row of docs(doc_id, text).
 
     Words: [^\\x20\\x09-\\x0D]+; the words kept are joined by one blank. Null texts have no words and become empty.
     Documents stand in the order of doc_id, null first; rows of one doc_id in the order in which they are read.
-    Texts shorter than a window lose nothing.
+    Texts shorter than a window lose nothing. untouched: a text that loses no word stays as it is, blanks and lines too.
     """
     names = [f"keep_{i}" for i in range(len(keep))]
     chunks = chunked(docs, [F.col(c).alias(n) for c, n in zip(keep, names)])
@@ -116,8 +116,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
             gone = np.cumsum(cover[:-1]) > 0
         n_words = np.diff(w.first)
         removed = [int(gone[a:b].sum()) for a, b in zip(w.first[:-1], w.first[1:])]
-        texts = [w.kept(d, ~gone[w.first[d] : w.first[d + 1]]).decode("utf-8", "replace") for d in range(len(n_words))]
-        return pa.Table.from_arrays([table["doc_id"], *(table[n] for n in names), pa.array(texts, pa.string()), pa.array(n_words), pa.array(removed, pa.int64())], schema=arrow_schema(out_ddl))
+        texts = [w.kept(d, ~gone[w.first[d] : w.first[d + 1]]).decode("utf-8", "replace") if n or not untouched else None for d, n in enumerate(removed)]
+        if untouched:
+            texts = pa.compute.if_else(pa.array([n > 0 for n in removed], pa.bool_()), pa.array(texts, pa.string()), table["text"].combine_chunks().fill_null(""))
+        return pa.Table.from_arrays([table["doc_id"], *(table[n] for n in names), texts if untouched else pa.array(texts, pa.string()), pa.array(n_words), pa.array(removed, pa.int64())], schema=arrow_schema(out_ddl))
 
     import pyarrow.compute  # noqa: F401
 

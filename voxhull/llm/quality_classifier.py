@@ -146,6 +146,21 @@ def score(docs: DataFrame, model: Voter, block: int = 256) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Voter, least: float = 0.3, block: int = 256) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores ``least`` or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, block):
+                part = batch.slice(lo, block)
+                rows = np.stack([counts(t) for t in text_bytes(values(part, "text"))])
+                yield part.filter(pa.array(model.score(rows) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

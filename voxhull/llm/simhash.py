@@ -202,6 +202,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     return held.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of docs, all columns as they are, that stand for their group: those with its smallest doc_id, once each.
+
+    Rows without a doc_id can't be told apart and all stay.
+    """
+    first = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
