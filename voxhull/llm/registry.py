@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, phrases, quality_classifier, quality_rules, simhash, tokens, url_filters
+from . import decontamination, packing, phrases, quality_classifier, quality_rules, simhash, token_counts, tokens, url_filters
 
-_MODULES = (url_filters, quality_rules, tokens, simhash, phrases, packing, quality_classifier, decontamination)
+_MODULES = (url_filters, quality_rules, token_counts, tokens, simhash, phrases, packing, quality_classifier, decontamination)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}

@@ -11,6 +11,7 @@ vocabulary. Any document's ids are found by one shift of the offset, and numpy u
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,12 +44,16 @@ class Encoder:
     one text has more. Both change memory and speed alone.
     """
 
-    def __init__(self, path: str, remember: int = 1_000_000, at_once: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 2_000_000, at_once: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.remember, self.at_once = remember, at_once
         self.size = self.tok.get_vocab_size()
+        self.widths = np.zeros(self.size, np.int64)  # in the byte-level alphabet a token has a character for each byte
+        for token, i in self.tok.get_vocab().items():
+            self.widths[i] = len(token)
         self._reset()
 
     def _reset(self) -> None:
@@ -62,26 +67,43 @@ class Encoder:
         return [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Hold the ids of pieces (with their leading blank, if they have one) that got the next codes."""
-        ids = self._ids(pieces)
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, k = int(lens.sum()), len(ids)
-        end = int(self.at[self.n])
+        """Hold the ids of pieces (with their leading blank, if they have one) that got the next codes.
+
+        Pieces that open with a blank are encoded in one call, as one text that can be cut between any two of them;
+        as every token stands for a fixed number of bytes, the pieces' lengths say which ids are whose.
+        """
+        k = len(pieces)
+        loose = np.zeros(k, bool)
+        for j, p in enumerate(pieces):
+            if p[-1:].isalnum() and p[1:2].isalnum() and p[0] == " ":
+                continue
+            body = p[1:] if p[:1] == " " else p
+            # conservative: whatever Python or Unicode may call a blank at either end of the piece
+            loose[j] = not body or not (body[0].isprintable() and body[-1].isprintable()) or body[0].isspace() or body[-1].isspace()
+        chain_of = np.array([p[:1] == " " for p in pieces]) & ~loose
+        lens = np.zeros(k, np.int64)
+        joined = [pieces[j] for j in np.flatnonzero(chain_of)]
+        run = np.array(self._ids(["".join(joined)])[0], np.uint32) if joined else np.empty(0, np.uint32)
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in joined), np.int64, len(joined)))
+        stops = np.searchsorted(np.cumsum(self.widths[run]), ends) + 1
+        lens[chain_of] = np.diff(stops, prepend=0)
+        alone = np.flatnonzero(~chain_of)
+        single = self._ids([pieces[j] for j in alone]) if len(alone) else []
+        lens[alone] = np.fromiter(map(len, single), np.int64, len(single))
+        total, end = int(lens.sum()), int(self.at[self.n])
+        new = np.empty(total, np.uint32)
+        owner = np.repeat(chain_of, lens)
+        new[owner] = run
+        new[~owner] = np.fromiter(chain.from_iterable(single), np.uint32, total - len(run))
         if end + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(total, len(self.flat)), np.uint32)])
         if self.n + k + 1 > len(self.at):
             grow = max(k + 1, len(self.at))
             self.at = np.concatenate([self.at, np.zeros(grow, np.int64)])
             self.loose = np.concatenate([self.loose, np.zeros(grow, bool)])
-        self.flat[end : end + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.flat[end : end + total] = new
         self.at[self.n + 1 : self.n + k + 1] = end + np.cumsum(lens)
-        for j, p in enumerate(pieces):
-            if p[-1:].isalnum() and p[1:2].isalnum() and (p[0] == " " or p[0].isalnum()):
-                continue
-            body = p[1:] if p[:1] == " " else p
-            # conservative: whatever Python or Unicode may call a blank at either end of the piece
-            if not body or not (body[0].isprintable() and body[-1].isprintable()) or body[0].isspace() or body[-1].isspace():
-                self.loose[self.n + j] = True
+        self.loose[self.n : self.n + k] = loose
         self.n += k
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
