@@ -116,7 +116,7 @@ def n_buckets(df: DataFrame) -> int:
 
 
 def answered(asked: DataFrame, kind: str) -> DataFrame:
-    """(bucket, chunk, bits) for each row of asked. kind: shared or later."""
+    """(bucket, chunk, bits) for each row of asked. kind: shared, later, or flagged: has any holder the rank 1?"""
 
     def run(table: pa.Table) -> pa.Table:
         rows = [np.frombuffer(k.as_py(), "<u8") for c in table["keys"].chunks for k in c]
@@ -130,7 +130,12 @@ def answered(asked: DataFrame, kind: str) -> DataFrame:
             order = np.argsort(keys, kind="stable")
         same = np.diff(keys[order]) == 0
         bits = np.zeros(len(keys), bool)
-        bits[order[1:]] = same  # not the first of its key
+        if kind == "flagged":
+            group = np.concatenate(([0], np.cumsum(~same)))
+            flags = np.concatenate([spread(k.as_py()) for c in table["ranks"].chunks for k in c])[order]
+            bits[order] = np.bincount(group, flags)[group] > 0
+        else:
+            bits[order[1:]] = same  # not the first of its key
         if kind == "shared":
             bits[order[:-1]] |= same
         ends = np.cumsum(lens)

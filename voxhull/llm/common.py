@@ -99,6 +99,24 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of each a[start:end]; starts ascending. step: spans at a time, which keeps arrays in cache."""
+    out = np.empty(len(starts), np.uint64)
+    inv = _inverse(_BASE)
+    lo = 0
+    while lo < len(starts):
+        hi = min(len(starts), lo + step, max(lo + 1, int(np.searchsorted(starts, starts[lo] + (1 << 20)))))
+        s0, s1 = int(starts[lo]), int(ends[lo:hi].max())
+        piece = a[s0:s1]
+        sums = np.empty(len(piece) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTE[piece] * _powers(_BASE, len(piece)), out=sums[1:])
+        s, e = starts[lo:hi] - s0, ends[lo:hi] - s0
+        out[lo:hi] = mixed((sums[e] - sums[s]) * _powers(inv, len(piece) + 1)[s] + (e - s).astype(np.uint64))
+        lo = hi
+    return out
+
+
 class Words:
     """The words of a batch of texts, all in one buffer.
 
@@ -123,23 +141,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        if not self.n:
-            return np.empty(0, np.uint64)
-        out = np.empty(self.n, np.uint64)
-        step = 1 << 16  # words at a time, which keeps the powers short and the arrays in cache
-        inv = _inverse(_BASE)
-        for lo in range(0, self.n, step):
-            hi = min(self.n, lo + step)
-            s0, s1 = int(self.starts[lo]), int(self.ends[hi - 1])
-            piece = self.bytes[s0:s1]
-            up = _powers(_BASE, len(piece))
-            sums = np.empty(len(piece) + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(_BYTE[piece] * up, out=sums[1:])
-            s, e = self.starts[lo:hi] - s0, self.ends[lo:hi] - s0
-            down = _powers(inv, len(piece))
-            out[lo:hi] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-        return out
+        return span_hashes(self.bytes, self.starts, self.ends)
 
     def word(self, i: int) -> bytes:
         return self.buf[self.starts[i] : self.ends[i]]
