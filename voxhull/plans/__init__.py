@@ -1 +1 @@
-
+"""Composite pipelines, and the catalogue of named queries."""

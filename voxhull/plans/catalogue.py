@@ -1,4 +1,890 @@
-"""The named queries over the driver's tables, and for each one SQL that gives the same rows."""
+"""The named queries over the driver's tables, and for each one SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold no meshes: the point cloud is the first three dimensions of ``embeddings``, meshes are analytic.
+Results are rounded, as functions and sums may differ in the last place between engines.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import harmonics, poly, sdf
+from ..functions.vectors import named, plane_basis, sphere_coordinates, vec
+from ..operators import blend, fit, gaussian, graphs, greedy, mesh, network, rays, sampling, segment, skeleton, spatial
+from ..sources import grids, meshes
+from ..streaming import fields
+from . import pipelines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+DIGITS = 6
+
+
+class _Point:
+    """x0, x1, x2 as Columns, made when used: a Column needs a session, a module doesn't."""
+
+    def __getitem__(self, i: int) -> Column:
+        return vec("x0", "x1", "x2")[i]
+
+    def __iter__(self):
+        return iter(vec("x0", "x1", "x2"))
+
+    def __len__(self) -> int:
+        return 3
+
+
+X = _Point()
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function as a query under its name, with its SQL where there is one."""
+
+    def keep(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+def r(c: Column | str, digits: int = DIGITS) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+
+
+def R(sql: str, digits: int = DIGITS) -> str:
+    return f"round({sql}, {digits}) + 0.0"
+
+
+def pts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding")
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), *[e[i].cast("double").alias(f"x{i}") for i in range(3)], F.col("label").cast("long").alias("label"))
+
+
+PTS = "SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1, CAST(embedding[3] AS DOUBLE) AS x2, CAST(label AS BIGINT) AS label FROM embeddings"
+WITH = f"WITH pts AS ({PTS})"
+
+
+# ------------------------------------------------------------------------------------------ fields
+
+SPHERE = {"type": "sphere", "center": (0.02, -0.01, 0.03), "radius": 0.15}
+CAPSULE = {"type": "capsule", "center": (0.01, 0.02, 0.0), "radius": 0.05, "axis": (0.6, 0.8, 0.0), "half_height": 0.12}
+CYLINDER = {"type": "cylinder", "center": (0.0, 0.01, 0.02), "radius": 0.08, "axis": (0.0, 0.6, 0.8), "half_height": 0.1}
+BOX = {"type": "box", "center": (0.01, 0.0, -0.02), "radius": 0.1, "axes": ((0.6, 0.8, 0.0), (-0.8, 0.6, 0.0), (0.0, 0.0, 1.0)), "half_extents": (0.1, 0.06, 0.04)}
+TORUS = {"type": "torus", "center": (0.0, 0.0, 0.01), "radius": 0.04, "axis": (0.0, 0.6, 0.8), "major_radius": 0.14}
+CONE = {"type": "cone", "center": (0.0, 0.0, 0.0), "radius": 0.08, "axis": (0.0, 0.0, 1.0), "half_height": 0.12, "r_top": 0.03, "r_bottom": 0.1}
+PRISM = {"type": "extruded_polygon", "center": (0.0, 0.0, 0.0), "u_axis": (1.0, 0.0, 0.0), "v_axis": (0.0, 1.0, 0.0), "normal": (0.0, 0.0, 1.0), "thickness": 0.1, "hull": ((-0.12, -0.1), (0.13, -0.08), (0.02, 0.02), (0.1, 0.14), (-0.11, 0.09))}
+SCENE = [{"type": "sphere", "center": (0.0, 0.0, 0.0), "radius": 0.15}, {"type": "sphere", "center": (0.1, 0.0, 0.0), "radius": 0.10}, CAPSULE]
+
+
+def _sub(c):
+    return [f"(x{i} - {v!r})" for i, v in enumerate(c)]
+
+
+def _dot(a, b):
+    return "(" + " + ".join(f"{x} * {y!r}" if isinstance(y, float) else f"{x} * {y}" for x, y in zip(a, b)) + ")"
+
+
+def _norm(a):
+    return f"sqrt({' + '.join(f'{x} * {x}' for x in a)})"
+
+
+def _sql_axial(q):
+    d = _sub(q["center"])
+    h = _dot(d, q["axis"])
+    return d, h, f"sqrt(greatest({_dot(d, d)} - {h} * {h}, 0.0))"
+
+
+def _sql_capped(a, b):
+    return f"(sqrt(greatest({a}, 0.0) * greatest({a}, 0.0) + greatest({b}, 0.0) * greatest({b}, 0.0)) + least(greatest({a}, {b}), 0.0))"
+
+
+def _sql_along(q, t):
+    return [f"({x} - {t} * {a!r})" for x, a in zip(_sub(q["center"]), q["axis"])]
+
+
+def sql_field(q) -> str:
+    kind = q["type"]
+    if kind == "sphere":
+        return f"({_norm(_sub(q['center']))} - {q['radius']!r})"
+    if kind == "box":
+        d = _sub(q["center"])
+        e = [f"(abs({_dot(d, a)}) - {h!r})" for a, h in zip(q["axes"], q["half_extents"])]
+        return f"({_norm([f'greatest({x}, 0.0)' for x in e])} + least(greatest({', '.join(e)}), 0.0))"
+    if kind == "extruded_polygon":
+        d = _sub(q["center"])
+        u, v, n = (_dot(d, q[k]) for k in ("u_axis", "v_axis", "normal"))
+        hull = list(zip(q["hull"], [*q["hull"][1:], q["hull"][0]]))
+        far, odd = [], []
+        for (ax, ay), (bx, by) in hull:
+            ex, ey = bx - ax, by - ay
+            t = f"least(greatest((({u} - {ax!r}) * {ex!r} + ({v} - {ay!r}) * {ey!r}) / {ex * ex + ey * ey!r}, 0.0), 1.0)"
+            far.append(f"(pow({u} - {ax!r} - {t} * {ex!r}, 2) + pow({v} - {ay!r} - {t} * {ey!r}, 2))")
+            odd.append(f"CASE WHEN (({ay!r} > {v}) <> ({by!r} > {v})) AND {u} < ({v} - {ay!r}) * {ex!r} / {ey!r} + {ax!r} THEN 1 ELSE 0 END")
+        flat = f"(sqrt(least({', '.join(far)})) * CASE WHEN ({' + '.join(odd)}) % 2 = 1 THEN -1 ELSE 1 END)"
+        return _sql_capped(flat, f"(abs({n}) - {q['thickness'] / 2!r})")
+    d, h, rho = _sql_axial(q)
+    if kind == "capsule":
+        t = f"least(greatest({h}, {-q['half_height']!r}), {q['half_height']!r})"
+        return f"({_norm(_sql_along(q, t))} - {q['radius']!r})"
+    if kind == "cylinder":
+        return _sql_capped(f"({rho} - {q['radius']!r})", f"(abs({h}) - {q['half_height']!r})")
+    if kind == "torus":
+        return f"(sqrt(({rho} - {q['major_radius']!r}) * ({rho} - {q['major_radius']!r}) + {h} * {h}) - {q['radius']!r})"
+    hh = q["half_height"]
+    t = f"least(greatest(({h} + {hh!r}) / {2 * hh!r}, 0.0), 1.0)"
+    return f"({_norm(_sql_along(q, f'({t} * {2 * hh!r} - {hh!r})'))} - ({q['r_bottom']!r} + ({q['r_top'] - q['r_bottom']!r}) * {t}))"
+
+
+def _field_query(q: dict) -> None:
+    @query(f"{WITH} SELECT id, {R(sql_field(q))} AS d FROM pts", f"sdf_{q['type']}")
+    def one(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pts(spark, sf_dir).select("id", r(sdf.primitive(X, q)).alias("d"))
+
+
+for _q in (SPHERE, CAPSULE, CYLINDER, BOX, TORUS, CONE, PRISM):
+    _field_query(_q)
+
+
+def _fold(i: int) -> str:
+    if i == 0:
+        return f"SELECT id, {', '.join(f'{sql_field(q)} AS d{k}' for k, q in enumerate(SCENE))}, d0 AS u FROM pts"
+    h = f"least(greatest(0.5 + 0.5 * (d{i} - u) * 32.0, 0.0), 1.0)"
+    return f"SELECT * EXCLUDE (u), d{i} * (1 - {h}) + u * {h} - {h} * (1 - {h}) / 32.0 AS u FROM ({_fold(i - 1)})"
+
+
+UNION = _fold(len(SCENE) - 1)
+
+
+@query(f"{WITH} SELECT id, {R('u')} AS d FROM ({UNION})")
+def sdf_smooth_union(spark, sf_dir):
+    return pts(spark, sf_dir).select("id", r(sdf.smooth_union(X, SCENE)).alias("d"))
+
+
+def scene_table(spark: SparkSession) -> DataFrame:
+    """The scene as a table of primitives."""
+    rows = [(i, (q["type"], list(q["center"]), q["radius"], list(q.get("axis", (0.0, 0.0, 1.0))), q.get("half_height"), None, None, None, None, None)) for i, q in enumerate(SCENE)]
+    return spark.createDataFrame(rows, "ord int, prim struct<type:string,center:array<double>,radius:double,axis:array<double>,half_height:double,axes:array<array<double>>,half_extents:array<double>,major_radius:double,r_top:double,r_bottom:double>")
+
+
+@query(f"{WITH} SELECT id, {R('u')} AS d FROM ({UNION})")
+def sdf_union_over_table(spark, sf_dir):
+    return sdf.union_over_table(pts(spark, sf_dir), scene_table(spark), "id").select("id", r("distance").alias("d"))
+
+
+@query(f"{WITH} SELECT {R('avg(CASE WHEN abs(u) <= 0.02 THEN 1.0 ELSE 0.0 END)')} AS coverage, count(*) AS n, {R('min(u)')} AS least, {R('max(u)')} AS most FROM ({UNION})")
+def sdf_coverage(spark, sf_dir):
+    d = pts(spark, sf_dir).select(sdf.smooth_union(X, SCENE).alias("d"))
+    return d.agg(r(F.avg(sdf.covered(F.col("d")).cast("double"))).alias("coverage"), F.count("*").alias("n"), r(F.min("d")).alias("least"), r(F.max("d")).alias("most"))
+
+
+@query(f"{WITH} SELECT id, {R('u')} AS d FROM ({UNION}) WHERE abs(u) < 0.05")
+def level_set_probe(spark, sf_dir):
+    """F8."""
+    return pts(spark, sf_dir).select("id", sdf.smooth_union(X, SCENE).alias("d")).where(F.abs("d") < 0.05).select("id", r("d").alias("d"))
+
+
+# ------------------------------------------------------------------------------------- points and polynomials
+
+@query(f"""{WITH}, m AS (SELECT avg(x0) AS c0, avg(x1) AS c1, avg(x2) AS c2 FROM pts),
+s AS (SELECT max(greatest(abs(x0 - c0), abs(x1 - c1), abs(x2 - c2))) AS s FROM pts, m)
+SELECT id, {', '.join(f"{R(f'(x{i} - c{i}) / s')} AS x{i}" for i in range(3))}, {R('s')} AS scale FROM pts, m, s""")
+def normalize_points(spark, sf_dir):
+    return sampling.normalize_points(pts(spark, sf_dir)).select("id", *[r(f"x{i}").alias(f"x{i}") for i in range(3)], r("scale").alias("scale"))
+
+
+@query(f"""{WITH} SELECT {', '.join(f"{R(f'{f}(x{i})')} AS {n}{i}" for n, f in (('lo', 'min'), ('hi', 'max')) for i in range(3))},
+{R('0.005 * sqrt(pow(max(x0) - min(x0), 2) + pow(max(x1) - min(x1), 2) + pow(max(x2) - min(x2), 2))')} AS epsilon FROM pts""")
+def bbox_epsilon(spark, sf_dir):
+    b = mesh.bounds(pts(spark, sf_dir))
+    return b.select(*[r(f"{n}{i}").alias(f"{n}{i}") for n in ("lo", "hi") for i in range(3)], r("epsilon").alias("epsilon"))
+
+
+def _mono(e) -> str:
+    return " * ".join([f"x{i}" for i, n in enumerate(e) for _ in range(n)]) or "1.0"
+
+
+@query(f"{WITH} SELECT id, {', '.join(f'{R(_mono(e))} AS f{i}' for i, e in enumerate(poly.exponents(2)))} FROM pts")
+def poly_features_d2(spark, sf_dir):
+    return pts(spark, sf_dir).select("id", *[r(f).alias(f"f{i}") for i, f in enumerate(poly.features(X, 2))])
+
+
+@query(f"{WITH} SELECT id, {R(' + '.join(_mono(e) for e in poly.exponents(4)))} AS total FROM pts")
+def poly_features_d4(spark, sf_dir):
+    d = pts(spark, sf_dir).select("id", *poly.features(X, 4))
+    return d.select("id", r(sum((F.col(f"f{i}") for i in range(1, 35)), F.col("f0"))).alias("total"))
+
+
+TERMS: poly.Terms = {(2, 0, 0): 1.5, (0, 2, 0): -0.7, (0, 0, 2): 1.0, (1, 1, 0): 0.25, (0, 1, 2): -2.0, (1, 0, 0): 0.3, (0, 0, 0): -0.04}
+TERMS_B: poly.Terms = {(2, 0, 0): 1.0, (0, 2, 0): 1.0, (0, 0, 2): 1.0, (0, 0, 0): -0.05}
+
+
+def sql_poly(t) -> str:
+    return "(" + " + ".join(f"({c!r}) * {_mono(e)}" for e, c in t.items()) + ")" if t else "0.0"
+
+
+@query(f"{WITH} SELECT id, {R(sql_poly(TERMS))} AS f FROM pts")
+def eval_poly(spark, sf_dir):
+    return pts(spark, sf_dir).select("id", r(poly.evaluate(X, TERMS)).alias("f"))
+
+
+_G = [sql_poly(poly.derivative(TERMS, i)) for i in range(3)]
+
+
+@query(f"""{WITH}, g AS (SELECT id, {', '.join(f'{g} AS g{i}' for i, g in enumerate(_G))} FROM pts), l AS (SELECT *, sqrt(g0 * g0 + g1 * g1 + g2 * g2) + 1e-8 AS n FROM g)
+SELECT id, {', '.join(f"{R(f'g{i}')} AS g{i}, {R(f'g{i} / n')} AS n{i}" for i in range(3))} FROM l""")
+def gradient_normal(spark, sf_dir):
+    e = pipelines.Equation(TERMS)
+    d = e.normal(e.gradient(pts(spark, sf_dir)))
+    return d.select("id", *[r(f"{k}{i}").alias(f"{k}{i}") for i in range(3) for k in "gn"])
+
+
+@query(f"{WITH} SELECT id, {R('greatest(sqrt(x0 * x0 + x1 * x1 + x2 * x2), 1e-10)')} AS r, {R('acos(x2 / greatest(sqrt(x0 * x0 + x1 * x1 + x2 * x2), 1e-10))')} AS theta, {R('atan2(x1, x0)')} AS phi FROM pts")
+def spherical_coords(spark, sf_dir):
+    return pts(spark, sf_dir).select("id", *[r(c).alias(n) for c, n in zip(sphere_coordinates(X), ("r", "theta", "phi"))])
+
+
+#: Closed forms of the first nine harmonics, times powers of r, in Cartesian coordinates.
+_N = "sqrt({} / pi())"
+_SH = [
+    (0, 0, f"0.5 * {_N.format('1.0')}"),
+    (1, -1, f"-0.5 * {_N.format('1.5')} * y"), (1, 0, f"0.5 * {_N.format('3.0')} * z"), (1, 1, f"-0.5 * {_N.format('1.5')} * x"),
+    (2, -2, f"-0.25 * {_N.format('7.5')} * 2 * x * y"), (2, -1, f"-0.5 * {_N.format('7.5')} * y * z"), (2, 0, f"0.25 * {_N.format('5.0')} * (3 * z * z - 1)"),
+    (2, 1, f"-0.5 * {_N.format('7.5')} * x * z"), (2, 2, f"0.25 * {_N.format('7.5')} * (x * x - y * y)"),
+]
+
+
+@query(f"""{WITH}, u AS (SELECT id, greatest(sqrt(x0 * x0 + x1 * x1 + x2 * x2), 1e-10) AS rr, x0, x1, x2 FROM pts), v AS (SELECT id, rr, x0 / rr AS x, x1 / rr AS y, x2 / rr AS z FROM u)
+SELECT id, {', '.join(f'{R(e)} AS y{k}, {R(f"rr * ({e})")} AS ry{k}' for k, (_, _, e) in enumerate(_SH))} FROM v""")
+def sh_features_l2(spark, sf_dir):
+    cols = []
+    for k, (deg, order, _) in enumerate(_SH):
+        cols += [r(harmonics.feature(X, 0, deg, order)).alias(f"y{k}"), r(harmonics.feature(X, 1, deg, order)).alias(f"ry{k}")]
+    return pts(spark, sf_dir).select("id", *cols)
+
+
+HYBRID = {"x0^2": 1.0, "x1 x2": -0.5, "r^1*Y_1^0": 0.7, "r^0*Y_2^2": 0.2, "r^1*Y_1^1": 5e-5}
+
+
+@query(f"""{WITH}, u AS (SELECT *, greatest(sqrt(x0 * x0 + x1 * x1 + x2 * x2), 1e-10) AS rr FROM pts), v AS (SELECT *, x0 / rr AS x, x1 / rr AS y, x2 / rr AS z FROM u)
+SELECT id, {R(f"x0 * x0 - 0.5 * x1 * x2 + 0.7 * rr * ({_SH[2][2]}) + 0.2 * ({_SH[8][2]})")} AS f FROM v""")
+def hybrid_eval(spark, sf_dir):
+    return pts(spark, sf_dir).select("id", r(harmonics.hybrid_evaluate(X, HYBRID)).alias("f"))
+
+
+@query(f"""{WITH}, n AS (SELECT *, sqrt(x0 * x0 + x1 * x1 + x2 * x2) AS l FROM pts), k AS (SELECT * FROM (VALUES ('on', 0.0), ('outside', 0.01), ('inside', -0.01)) AS k(kind, y))
+SELECT id, kind, {', '.join(f"{R(f'x{i} + y * x{i} / l')} AS x{i}" for i in range(3))}, CAST(y AS DOUBLE) AS y FROM n, k""")
+def offset_training(spark, sf_dir):
+    from ..functions.vectors import unit
+
+    p = pts(spark, sf_dir)
+    d = sampling.offset_layers(p.select("id", "x0", "x1", "x2", *named(unit(X, 0.0), ("n0", "n1", "n2"))), 0.01, "id")
+    return d.select("id", "kind", *[r(f"x{i}").alias(f"x{i}") for i in range(3)], "y")
+
+
+@query(f"{WITH}, n AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR)), id) AS k FROM pts) SELECT id, label FROM n WHERE k <= 10")
+def strat_subsample(spark, sf_dir):
+    p = pts(spark, sf_dir)
+    return sampling.stratified(p, 30, "label", "id", draw=F.md5(F.col("id").cast("string").cast("binary"))).select("id", "label")
+
+
+@query(f"""WITH w AS (SELECT l_partkey, sum(l_extendedprice) AS a FROM lineitem GROUP BY l_partkey), c AS (SELECT l_partkey, a, sum(a) OVER (ORDER BY l_partkey) AS hi FROM w)
+SELECT l_partkey, {R('hi - a', 2)} AS lo, {R('hi', 2)} AS hi FROM c""")
+def weighted_sample_cum(spark, sf_dir):
+    w = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_partkey").agg(F.sum("l_extendedprice").alias("a"))
+    return sampling.cumulative(w, "a", "l_partkey", 8).select("l_partkey", r("lo", 2).alias("lo"), r("hi", 2).alias("hi"))
+
+
+@query()
+def weighted_sample(spark, sf_dir):
+    w = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_partkey").agg(F.sum("l_extendedprice").alias("a"))
+    return sampling.weighted_draws(spark, w, "a", "l_partkey", 1000)
+
+
+_B = "b AS (SELECT " + ", ".join(f"{f}(x{i}) AS {n}{i}" for n, f in (("lo", "min"), ("hi", "max")) for i in range(3)) + " FROM pts)"
+
+
+@query(f"""{WITH}, {_B}, g AS (SELECT range AS id, [range // 25, range // 5 % 5, range % 5] AS k FROM range(125))
+SELECT id AS pt_id, {', '.join(f"{R(f'lo{i} - 0.1 * (hi{i} - lo{i}) + 1.2 * (hi{i} - lo{i}) * k[{i + 1}] / 4.0')} AS x{i}" for i in range(3))} FROM g, b""")
+def grid_points(spark, sf_dir):
+    g = grids.grid(spark, mesh.bounds(pts(spark, sf_dir)), 5)
+    return g.select("pt_id", *[r(f"x{i}").alias(f"x{i}") for i in range(3)])
+
+
+# ------------------------------------------------------------------------------------------------------ meshes
+
+AROUND, ACROSS = 24, 12
+_A, _BB = f"((vid // {ACROSS}) * (2 * pi() / {AROUND}))", f"((vid % {ACROSS}) * (2 * pi() / {ACROSS}))"
+TORUS_V = f"v AS (SELECT vid, (1.0 + 0.3 * cos({_BB})) * cos({_A}) AS x0, (1.0 + 0.3 * cos({_BB})) * sin({_A}) AS x1, 0.3 * sin({_BB}) AS x2 FROM (SELECT range AS vid FROM range({AROUND * ACROSS})))"
+
+
+def _at(di: int, dj: int) -> str:
+    return f"((id // {ACROSS} + {di}) % {AROUND}) * {ACROSS} + (id % {ACROSS} + {dj}) % {ACROSS}"
+
+
+TORUS_F = f"f AS (SELECT id * 2 AS fid, {_at(0, 0)} AS v0, {_at(1, 0)} AS v1, {_at(1, 1)} AS v2 FROM q UNION ALL SELECT id * 2 + 1, {_at(0, 0)}, {_at(1, 1)}, {_at(0, 1)} FROM q)"
+MESH = f"WITH q AS (SELECT range AS id FROM range({AROUND * ACROSS})), {TORUS_V}, {TORUS_F}"
+_C = ", ".join(f"{p}.x{i} AS {p}{i}" for p in "abc" for i in range(3))
+_U, _W = [f"(b{i} - a{i})" for i in range(3)], [f"(c{i} - a{i})" for i in range(3)]
+_CROSS = [f"({_U[(i + 1) % 3]} * {_W[(i + 2) % 3]} - {_U[(i + 2) % 3]} * {_W[(i + 1) % 3]})" for i in range(3)]
+GEOMETRY = f"""{MESH}, k AS (SELECT fid, v0, v1, v2, {_C} FROM f JOIN v a ON a.vid = v0 JOIN v b ON b.vid = v1 JOIN v c ON c.vid = v2),
+h AS (SELECT *, {', '.join(f'{c} AS m{i}' for i, c in enumerate(_CROSS))} FROM k), geo AS (SELECT *, sqrt(m0 * m0 + m1 * m1 + m2 * m2) / 2 AS area, m0 / sqrt(m0 * m0 + m1 * m1 + m2 * m2) AS n0,
+m1 / sqrt(m0 * m0 + m1 * m1 + m2 * m2) AS n1, m2 / sqrt(m0 * m0 + m1 * m1 + m2 * m2) AS n2, (a0 + b0 + c0) / 3 AS g0, (a1 + b1 + c1) / 3 AS g1, (a2 + b2 + c2) / 3 AS g2 FROM h)"""
+EDGES = "e AS (SELECT src, dst, sqrt(pow(p.x0 - q.x0, 2) + pow(p.x1 - q.x1, 2) + pow(p.x2 - q.x2, 2)) AS w, n FROM (SELECT least(s, t) AS src, greatest(s, t) AS dst, count(*) AS n FROM (SELECT v0 AS s, v1 AS t FROM f UNION ALL SELECT v1, v2 FROM f UNION ALL SELECT v2, v0 FROM f) GROUP BY ALL) JOIN v p ON p.vid = src JOIN v q ON q.vid = dst)"
+ADJ = "sd AS (SELECT fid, least(s, t) AS a, greatest(s, t) AS b FROM (SELECT fid, v0 AS s, v1 AS t FROM f UNION ALL SELECT fid, v1, v2 FROM f UNION ALL SELECT fid, v2, v0 FROM f)), adj AS (SELECT l.fid AS f0, r.fid AS f1, l.a, l.b FROM sd l JOIN sd r ON l.a = r.a AND l.b = r.b AND l.fid < r.fid)"
+BEND = "bend AS (SELECT f0, f1, adj.a, adj.b, 1 - (p.n0 * q.n0 + p.n1 * q.n1 + p.n2 * q.n2) AS bend FROM adj JOIN geo p ON p.fid = f0 JOIN geo q ON q.fid = f1)"
+
+
+def _torus(spark):
+    return meshes.torus(spark, around=AROUND, across=ACROSS)
+
+
+@query(f"{MESH} SELECT vid, {R('x0')} AS x0, {R('x1')} AS x1, {R('x2')} AS x2 FROM v")
+def mesh_vertices(spark, sf_dir):
+    return _torus(spark)[0].select("vid", *[r(f"x{i}").alias(f"x{i}") for i in range(3)])
+
+
+@query(f"{MESH} SELECT CAST(fid AS BIGINT) AS fid, CAST(v0 AS BIGINT) AS v0, CAST(v1 AS BIGINT) AS v1, CAST(v2 AS BIGINT) AS v2 FROM f")
+def mesh_faces(spark, sf_dir):
+    return _torus(spark)[1].select(*[F.col(c).cast("long").alias(c) for c in ("fid", "v0", "v1", "v2")])
+
+
+@query(f"{MESH}, {EDGES} SELECT src, dst, {R('w')} AS w, n AS n_faces FROM e")
+def mesh_edges(spark, sf_dir):
+    return mesh.edges(*_torus(spark)).select("src", "dst", r("w").alias("w"), "n_faces")
+
+
+@query(f"{MESH}, {EDGES} SELECT src, dst, {R('w')} AS w FROM (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e)")
+def mesh_graph(spark, sf_dir):
+    return mesh.graph(mesh.edges(*_torus(spark))).select("src", "dst", r("w").alias("w"))
+
+
+@query(f"{GEOMETRY} SELECT fid, {R('area')} AS area, {R('n0')} AS n0, {R('n1')} AS n1, {R('n2')} AS n2 FROM geo")
+def face_area_normal(spark, sf_dir):
+    return mesh.face_geometry(*_torus(spark)).select("fid", *[r(c).alias(c) for c in ("area", "n0", "n1", "n2")])
+
+
+@query(f"{MESH}, {ADJ} SELECT f0, f1, a AS v0, b AS v1 FROM adj")
+def face_adjacency(spark, sf_dir):
+    return mesh.face_adjacency(_torus(spark)[1]).select("f0", "f1", "v0", "v1")
+
+
+@query(f"{MESH}, {EDGES} SELECT count(*) AS n_edges, bool_and(n = 2) AS watertight, true AS winding_consistent, (SELECT count(*) FROM v) - count(*) + (SELECT count(*) FROM f) AS euler FROM e")
+def mesh_watertight(spark, sf_dir):
+    v, f = _torus(spark)
+    n, m = v.count(), f.count()
+    return mesh.watertight(f).select("n_edges", "watertight", "winding_consistent", (F.lit(n) - F.col("n_edges") + F.lit(m)).alias("euler"))
+
+
+@query(f"{GEOMETRY}, s AS (SELECT vid, sum(n0 * area) AS w0, sum(n1 * area) AS w1, sum(n2 * area) AS w2 FROM (SELECT *, unnest([v0, v1, v2]) AS vid FROM geo) GROUP BY vid) SELECT vid, {', '.join(R(f'w{i} / sqrt(w0 * w0 + w1 * w1 + w2 * w2)') + f' AS n{i}' for i in range(3))} FROM s")
+def vertex_normals(spark, sf_dir):
+    return mesh.vertex_normals(mesh.face_geometry(*_torus(spark))).select("vid", *[r(f"n{i}").alias(f"n{i}") for i in range(3)])
+
+
+@query(f"""{MESH}, m AS (SELECT {', '.join(f"min(x{i}) AS lo{i}, max(x{i}) AS hi{i}" for i in range(3))} FROM v) SELECT vid, {', '.join(R(f'(x{i} - (lo{i} + hi{i}) / 2) / (greatest(hi0, hi1, hi2) - least(lo0, lo1, lo2))') + f' AS x{i}' for i in range(3))} FROM v, m""")
+def mesh_normalize(spark, sf_dir):
+    return mesh.normalize_mesh(_torus(spark)[0]).select("vid", *[r(f"x{i}").alias(f"x{i}") for i in range(3)])
+
+
+@query(f"""{GEOMETRY}, c AS (SELECT {', '.join(f"sum(g{i} * area) / sum(area) AS c{i}" for i in range(3))} FROM geo), m AS (SELECT sqrt(pow(max(x0) - min(x0), 2) + pow(max(x1) - min(x1), 2) + pow(max(x2) - min(x2), 2)) AS d FROM v)
+SELECT vid, {', '.join(R(f'(x{i} - c{i}) / d') + f' AS x{i}' for i in range(3))} FROM v, c, m""")
+def mesh_normalize_centroid(spark, sf_dir):
+    return mesh.normalize_by_centroid(*_torus(spark)).select("vid", *[r(f"x{i}").alias(f"x{i}") for i in range(3)])
+
+
+@query(f"{GEOMETRY}, {ADJ}, {BEND}, c AS (SELECT vid, avg(bend) AS c FROM (SELECT bend, unnest([a, b]) AS vid FROM bend) GROUP BY vid) SELECT v.vid, {R('1 + 5 * coalesce(c / (SELECT max(c) FROM c), 0.0)')} AS w FROM v LEFT JOIN c ON v.vid = c.vid")
+def vertex_curvature_weight(spark, sf_dir):
+    v, f = _torus(spark)
+    return segment.curvature_weights(mesh.face_geometry(v, f), mesh.face_adjacency(f), v).select("vid", r("w").alias("w"))
+
+
+@query(f"""{GEOMETRY}, {ADJ}, {BEND}, t AS (SELECT sum(bend) AS total, median(bend) AS med, count(*) AS n FROM bend), a AS (SELECT sum(area) AS area FROM geo),
+s AS (SELECT *, greatest(CAST(ceil(total / (area / 20.0 * 4 * 1e-3 * n / area)) AS BIGINT), 2) AS k FROM t, a) SELECT {R('total')} AS total, {R('med')} AS median, n AS n_edges, {R('area')} AS area, CAST(k + k % 2 AS INTEGER) AS n_seeds FROM s""")
+def n_seeds_fast(spark, sf_dir):
+    v, f = _torus(spark)
+    s = segment.seed_estimate(mesh.face_geometry(v, f), mesh.face_adjacency(f))
+    return s.select(r("total").alias("total"), r("median").alias("median"), "n_edges", r("area").alias("area"), F.col("n_seeds").cast("int").alias("n_seeds"))
+
+
+@query()
+def n_seeds_accurate(spark, sf_dir):
+    v, f = _torus(spark)
+    return segment.seed_estimate_accurate(mesh.face_geometry(v, f), v)
+
+
+@query(f"{GEOMETRY} SELECT {R('sqrt(sum(area) / 16 / pi()) * 1.25')} AS radius, CAST(least(greatest(floor(sum(area) * 5000), 30), 600) AS INTEGER) AS n_samples FROM geo")
+def patch_radius(spark, sf_dir):
+    area = F.sum("area")
+    return mesh.face_geometry(*_torus(spark)).agg(r(segment.patch_radius(area, F.lit(16))).alias("radius"), mesh.sample_count(area).alias("n_samples"))
+
+
+@query(f"""{GEOMETRY}, s AS (SELECT fid // 24 AS region, sum(area) AS area, count(*) AS n_faces, {', '.join(f'sum(n{i} * area) AS s{i}' for i in range(3))} FROM geo GROUP BY ALL)
+SELECT CAST(region AS BIGINT) AS region, {R('area')} AS area, n_faces, {', '.join(R(f's{i} / sqrt(s0 * s0 + s1 * s1 + s2 * s2)') + f' AS n{i}' for i in range(3))} FROM s WHERE area >= 0.01 * (SELECT sum(area) FROM geo)""")
+def region_summary(spark, sf_dir):
+    v, f = _torus(spark)
+    s = mesh.region_summary(mesh.face_geometry(v, f), f.select("fid", F.expr("fid div 24").alias("region"))).where("share >= 0.01")
+    return s.select("region", r("area").alias("area"), "n_faces", *[r(f"n{i}").alias(f"n{i}") for i in range(3)])
+
+
+@query("SELECT range AS fid, range // 2 AS region FROM range(12)")
+def region_grow(spark, sf_dir):
+    v, f = meshes.box(spark, (1.0, 0.6, 0.4))
+    return segment.grow_regions(mesh.face_geometry(v, f), mesh.face_adjacency(f)).select("fid", "region")
+
+
+@query("SELECT range AS fid, range // 2 * 2 AS region FROM range(12)")
+def region_grow_relaxed(spark, sf_dir):
+    v, f = meshes.box(spark, (1.0, 0.6, 0.4))
+    return segment.flat_components(mesh.face_geometry(v, f), mesh.face_adjacency(f)).select("fid", "region")
+
+
+@query(f"{MESH}, p AS (SELECT vid, CAST(vid // 96 AS BIGINT) AS pid FROM v) SELECT DISTINCT pid, CAST(fid AS BIGINT) AS fid FROM (SELECT fid, unnest([v0, v1, v2]) AS vid FROM f) JOIN p USING (vid)")
+def patch_faces(spark, sf_dir):
+    v, f = _torus(spark)
+    return mesh.patch_faces(f, v.select("vid", F.expr("vid div 96").alias("pid"))).select("pid", F.col("fid").cast("long").alias("fid"))
+
+
+# ---------------------------------------------------------------------------------------- spatial and graph joins
+
+_D = "sqrt(pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2))"
+
+
+@query(f"{WITH}, n AS (SELECT a.id, b.id AS nid, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS k FROM pts a JOIN pts b ON a.id <> b.id) SELECT id, nid, {R('d')} AS d, CAST(k AS INTEGER) AS rank FROM n WHERE k <= 5")
+def knn_k5(spark, sf_dir):
+    p = pts(spark, sf_dir)
+    return spatial.knn(p, p.select(F.col("id").alias("nid"), "x0", "x1", "x2"), 5, same=True).select("id", "nid", r("d").alias("d"), "rank")
+
+
+@query(f"{WITH}, n AS (SELECT a.id, b.id AS nid, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS k FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1) SELECT id, nid, {R('d')} AS d FROM n WHERE k = 1")
+def nn_surface(spark, sf_dir):
+    p = pts(spark, sf_dir)
+    return spatial.nearest(p.where("id % 2 = 0"), p.where("id % 2 = 1").select(F.col("id").alias("nid"), "x0", "x1", "x2")).select("id", "nid", r("d").alias("d"))
+
+
+@query(f"{WITH} SELECT a.id, b.id AS nid, {R(_D)} AS d FROM pts a JOIN pts b ON a.id < b.id AND {_D} <= 0.05")
+def radius_join(spark, sf_dir):
+    p = pts(spark, sf_dir)
+    return spatial.radius_join(p, p.select(F.col("id").alias("nid"), "x0", "x1", "x2"), 0.05).where("id < nid").select("id", "nid", r("d").alias("d"))
+
+
+_RAD = "(0.01 + 0.03 * (id % 7) / 7.0)"
+_S = f"s AS (SELECT *, {_RAD} AS r FROM pts)"
+_SO = f"{WITH}, {_S}, o AS (SELECT a.id AS i, b.id AS j, {_D} AS d FROM s a JOIN s b ON a.id < b.id AND {_D} < 1.1 * (a.r + b.r))"
+
+
+def _spheres(spark, sf_dir):
+    return pts(spark, sf_dir).withColumn("r", F.lit(0.03) * (F.col("id") % 7) / 7.0 + 0.01)
+
+
+@query(f"{_SO} SELECT i, j, {R('d')} AS d FROM o")
+def sphere_overlap(spark, sf_dir):
+    return spatial.sphere_overlaps(_spheres(spark, sf_dir)).select("i", "j", r("d").alias("d"))
+
+
+@query(f"{_SO}, t AS (SELECT node, count(*) AS g FROM (SELECT unnest([i, j]) AS node FROM o) GROUP BY node) SELECT count(*) AS n_nodes, {R('avg(g)')} AS mean_degree, max(g) AS max_degree FROM t")
+def overlap_degrees(spark, sf_dir):
+    d = graphs.degree_statistics(spatial.sphere_overlaps(_spheres(spark, sf_dir)))
+    return d.select("n_nodes", r("mean_degree").alias("mean_degree"), "max_degree")
+
+
+@query(f"{WITH}, {_S}, n AS (SELECT a.id, a.r AS r, b.r AS rn, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS k FROM s a JOIN s b ON a.id <> b.id) SELECT id FROM n WHERE k <= 5 GROUP BY id HAVING bool_and(r > rn)")
+def local_maxima(spark, sf_dir):
+    return spatial.local_maxima(_spheres(spark, sf_dir), "r", 5)
+
+
+@query(f"{WITH}, n AS (SELECT a.id, b.x2 AS z, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS k FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1) SELECT id FROM n WHERE k = 1 AND NOT abs(z) <= 0.05")
+def slab_exclusion(spark, sf_dir):
+    p = pts(spark, sf_dir)
+    surface = p.where("id % 2 = 1").select(F.col("id").alias("nid"), "x0", "x1", "x2")
+    return spatial.without_slabs(p.where("id % 2 = 0"), surface, F.col("x2"), 0.05).select("id")
+
+
+_SEED = "d AS (SELECT CAST(s.id AS INTEGER) AS seed_rank, a.id AS vid, sqrt(pow(a.x0 - s.x0, 2) + pow(a.x1 - s.x1, 2) + pow(a.x2 - s.x2, 2)) AS d FROM pts a, pts s WHERE s.id < 8)"
+
+
+def _dist(spark, sf_dir):
+    """Distances to eight points, a stated set."""
+    from ..functions.vectors import norm, sub
+
+    p = pts(spark, sf_dir)
+    s = p.where("id < 8").select(F.col("id").cast("int").alias("seed_rank"), *[F.col(f"x{i}").alias(f"s{i}") for i in range(3)])
+    return p.join(F.broadcast(s), F.lit(True)).select("seed_rank", F.col("id").alias("vid"), norm(sub(X, vec("s0", "s1", "s2"))).alias("d"))
+
+
+@query(f"{WITH}, {_SEED}, k AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY d, seed_rank) AS k FROM d) SELECT seed_rank AS pid, vid, {R('d')} AS d FROM k WHERE k = 1")
+def voronoi_assign(spark, sf_dir):
+    return graphs.voronoi(_dist(spark, sf_dir)).select("pid", "vid", r("d").alias("d"))
+
+
+@query(f"{WITH}, {_SEED} SELECT seed_rank AS pid, vid FROM d WHERE d <= 0.2")
+def radius_patches(spark, sf_dir):
+    return graphs.radius_patches(_dist(spark, sf_dir), 0.2)
+
+
+@query(f"{WITH}, {_SEED}, p AS (SELECT seed_rank AS pid, vid FROM d WHERE d <= 0.2) SELECT a.pid AS i, b.pid AS j, count(*) AS n, min(a.vid) AS first, sum(a.vid)::BIGINT AS total FROM p a JOIN p b ON a.vid = b.vid AND a.pid < b.pid GROUP BY ALL")
+def patch_overlap(spark, sf_dir):
+    o = graphs.patch_overlaps(graphs.radius_patches(_dist(spark, sf_dir), 0.2))
+    return o.select("i", "j", "n", F.col("overlap")[0].alias("first"), F.aggregate("overlap", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"{WITH}, {_SEED}, p AS (SELECT seed_rank AS pid, count(*) AS n FROM d WHERE d <= 0.2 GROUP BY ALL) SELECT min(n) AS least, max(n) AS most, {R('avg(n)')} AS mean FROM p")
+def patch_sizes(spark, sf_dir):
+    return graphs.patch_sizes(graphs.radius_patches(_dist(spark, sf_dir), 0.2)).select("least", "most", r("mean").alias("mean"))
+
+
+@query(f"{WITH}, {_SEED}, w AS (SELECT vid, seed_rank, min(d) OVER (PARTITION BY vid ORDER BY seed_rank) AS near FROM d) SELECT vid, seed_rank, {R('near')} AS near FROM w")
+def running_distance(spark, sf_dir):
+    """W4."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("vid").orderBy("seed_rank")
+    return _dist(spark, sf_dir).select("vid", "seed_rank", r(F.min("d").over(w)).alias("near"))
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT range AS id FROM range({AROUND * ACROSS})), {TORUS_V}, {TORUS_F}, {EDGES}, g AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e),
+p(vid, d) USING KEY (vid) AS (SELECT CAST(0 AS BIGINT), CAST(0.0 AS DOUBLE) UNION SELECT dst, min(p.d + w) FROM p JOIN g ON p.vid = src LEFT JOIN recurring.p AS o ON o.vid = dst WHERE o.d IS NULL OR p.d + w < o.d GROUP BY dst)
+SELECT CAST(vid AS BIGINT) AS vid, {R('d')} AS d FROM p""")
+def sssp(spark, sf_dir):
+    g = mesh.graph(mesh.edges(*_torus(spark)))
+    return graphs.shortest_paths(g, spark.createDataFrame([(0,)], "source long")).select("vid", r("d").alias("d"))
+
+
+@query(f"""WITH RECURSIVE pts AS ({PTS}), l AS (SELECT a.id AS s, b.id AS t FROM pts a JOIN pts b ON a.id <> b.id AND {_D} <= 0.04), reach(s, t) AS (SELECT id, id FROM pts UNION SELECT reach.s, l.t FROM reach JOIN l ON reach.t = l.s)
+SELECT s AS node, min(t) AS component FROM reach GROUP BY s""")
+def connected_components(spark, sf_dir):
+    p = pts(spark, sf_dir)
+    near = spatial.radius_join(p, p.select(F.col("id").alias("nid"), "x0", "x1", "x2"), 0.04).where("id < nid")
+    return graphs.components(p.select(F.col("id").alias("node")), near.select(F.col("id").alias("a"), F.col("nid").alias("b")))
+
+
+@query()
+def fps(spark, sf_dir):
+    g = mesh.graph(mesh.edges(*meshes.torus(spark, around=16, across=8)))
+    seeds, _ = graphs.farthest_points(g, 0, 4)
+    return spark.createDataFrame(list(enumerate(seeds)), "seed_rank int, vid long")
+
+
+# --------------------------------------------------------------------------------------------- fits and shapes
+
+_COV = "c AS (SELECT label, count(*) AS n, " + ", ".join(f"covar_pop(x{i}, x{j}) AS c{i}{j}" for i in range(3) for j in range(i, 3)) + " FROM pts GROUP BY label)"
+_EIG = """q AS (SELECT *, (c00 + c11 + c22) / 3 AS q FROM c), p AS (SELECT *, sqrt((pow(c00 - q, 2) + pow(c11 - q, 2) + pow(c22 - q, 2) + 2 * (c01 * c01 + c02 * c02 + c12 * c12)) / 6) AS p FROM q),
+b AS (SELECT *, (c00 - q) / p AS b0, (c11 - q) / p AS b1, (c22 - q) / p AS b2, c01 / p AS b3, c02 / p AS b4, c12 / p AS b5 FROM p),
+t AS (SELECT *, acos(least(greatest((b0 * (b1 * b2 - b5 * b5) - b3 * (b3 * b2 - b5 * b4) + b4 * (b3 * b5 - b1 * b4)) / 2, -1.0), 1.0)) / 3 AS phi FROM b),
+l AS (SELECT *, q + 2 * p * cos(phi) AS l1, greatest(q + 2 * p * cos(phi + 2 * pi() / 3), 0.0) AS l3 FROM t), m AS (SELECT *, 3 * q - l1 - (q + 2 * p * cos(phi + 2 * pi() / 3)) AS l2 FROM l)"""
+
+
+@query(f"{WITH}, {_COV}, {_EIG} SELECT label, n, {R('n * l1 / (n * (l1 + l2 + l3) + 1e-10)')} AS line_r2, {R('sqrt(n * l3) / (sqrt(n * l1) + 1e-10)')} AS flatness FROM m")
+def line_plane_fit(spark, sf_dir):
+    return fit.line_and_plane(pts(spark, sf_dir), "label").select("label", "n", r("line_r2").alias("line_r2"), r("flatness").alias("flatness"))
+
+
+@query(f"{WITH}, {_COV} SELECT label, n, {', '.join(R(f'c{i}{j}', 9) + f' AS c{i}{j}' for i in range(3) for j in range(i, 3))} FROM c")
+def covariances(spark, sf_dir):
+    return fit.covariances(pts(spark, sf_dir), "label").select("label", "n", *[r(f"c{i}{j}", 9).alias(f"c{i}{j}") for i in range(3) for j in range(i, 3)])
+
+
+_CIRC = """z AS (SELECT label, x0 AS u, x1 AS v, x0 * x0 + x1 * x1 AS z FROM pts), s AS (SELECT label, CAST(count(*) AS DOUBLE) AS n, sum(u) AS su, sum(v) AS sv, sum(u * u) AS suu, sum(v * v) AS svv, sum(u * v) AS suv, sum(z) AS sz, sum(u * z) AS suz, sum(v * z) AS svz FROM z GROUP BY label),
+d AS (SELECT *, 4 * suu * (4 * svv * n - 4 * sv * sv) - 4 * suv * (4 * suv * n - 4 * su * sv) + 2 * su * (8 * suv * sv - 8 * svv * su) AS d FROM s),
+k AS (SELECT *, (2 * suz * (4 * svv * n - 4 * sv * sv) - 4 * suv * (2 * svz * n - 2 * sv * sz) + 2 * su * (4 * svz * sv - 4 * svv * sz)) / d AS cu,
+ (4 * suu * (2 * svz * n - 2 * sv * sz) - 2 * suz * (4 * suv * n - 4 * su * sv) + 2 * su * (4 * suv * sz - 4 * svz * su)) / d AS cv,
+ (4 * suu * (4 * svv * sz - 4 * svz * sv) - 4 * suv * (4 * suv * sz - 4 * svz * su) + 2 * suz * (8 * suv * sv - 8 * svv * su)) / d AS c FROM d), o AS (SELECT *, sqrt(c + cu * cu + cv * cv) AS rad FROM k)"""
+
+
+@query(f"{WITH}, {_CIRC}, e AS (SELECT z.label, sum(pow(sqrt(pow(u - cu, 2) + pow(v - cv, 2)) - rad, 2)) AS res, var_pop(sqrt(z)) AS vr FROM z JOIN o ON z.label = o.label GROUP BY z.label) SELECT o.label, {R('cu')} AS cu, {R('cv')} AS cv, {R('rad')} AS radius, {R('1 - res / (vr * n + 1e-10)', 4)} AS r2 FROM o JOIN e ON o.label = e.label")
+def circle_fit(spark, sf_dir):
+    c = fit.circles(pts(spark, sf_dir), "label", F.col("x0"), F.col("x1"))
+    return c.select("label", r("cu").alias("cu"), r("cv").alias("cv"), r("radius").alias("radius"), r("r2", 4).alias("r2"))
+
+
+@query(f"{WITH}, {_S} SELECT label, {R('regr_slope(r, x0)')} AS slope, {R('stddev_pop(r) / (avg(r) + 1e-10)')} AS cv, {R('arg_min(r, (x0, id))')} AS r_first, {R('arg_max(r, (x0, id))')} AS r_last FROM s GROUP BY label")
+def radius_trend(spark, sf_dir):
+    t = fit.radius_trends(_spheres(spark, sf_dir), "label", "x0", "r")
+    return t.select("label", *[r(c).alias(c) for c in ("slope", "cv", "r_first", "r_last")])
+
+
+@query(f"{WITH}, g AS (SELECT label, atan2(x1, x0) AS a FROM pts), l AS (SELECT label, a, a - lag(a) OVER (PARTITION BY label ORDER BY a) AS gap FROM g), m AS (SELECT label, greatest(max(gap), min(a) + 2 * pi() - max(a)) AS g FROM l GROUP BY label) SELECT label, {R('g')} AS max_gap, g < pi() / 2 AS full_ring FROM m")
+def max_gap(spark, sf_dir):
+    g = skeleton.max_gaps(pts(spark, sf_dir).select("label", F.atan2("x1", "x0").alias("angle")), "label")
+    return g.select("label", r("max_gap").alias("max_gap"), "full_ring")
+
+
+@query(f"{WITH} SELECT label, {', '.join(R(f'(max(x{i}) - min(x{i})) / 2') + f' AS h{i}' for i in range(3))} FROM pts GROUP BY label")
+def axis_box(spark, sf_dir):
+    from ..functions.vectors import lit
+
+    b = fit.axis_box(pts(spark, sf_dir), "label", [lit((1, 0, 0)), lit((0, 1, 0)), lit((0, 0, 1))])
+    return b.select("label", *[r(f"h{i}").alias(f"h{i}") for i in range(3)])
+
+
+_F1 = ["1.0", "x0", "x1", "x2"]
+_Y = "(x0 * x1 + 0.5 * x2)"
+
+
+@query(f"{WITH} " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {R(f'sum({_F1[i]} * {_F1[j]})')} AS g FROM pts" for i in range(4) for j in range(i, 4)) + " UNION ALL " + " UNION ALL ".join(f"SELECT {i} AS i, -1 AS j, {R(f'sum({_F1[i]} * {_Y})')} AS g FROM pts" for i in range(4)))
+def gram_matrix(spark, sf_dir):
+    g, b, _, _ = fit.gram(pts(spark, sf_dir), poly.features(X, 1), F.col("x0") * F.col("x1") + F.col("x2") * 0.5)
+    rows = [(i, j, float(g[i, j])) for i in range(4) for j in range(i, 4)] + [(i, -1, float(b[i])) for i in range(4)]
+    return spark.createDataFrame(rows, "i int, j int, g double").select("i", "j", r("g").alias("g"))
+
+
+def _det(m):
+    return f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+
+
+_M3 = [[f"g{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+
+
+@query(f"{WITH}, s AS (SELECT {', '.join(f'sum(x{i} * x{j}) AS g{i}{j}' for i in range(3) for j in range(i, 3))}, {', '.join(f'sum(x{i} * {_Y}) AS b{i}' for i in range(3))} FROM pts) SELECT {', '.join(R(_det([[f'b{a}' if b == i else _M3[a][b] for b in range(3)] for a in range(3)]) + ' / ' + _det(_M3)) + f' AS a{i}' for i in range(3))} FROM s")
+def lstsq_d1(spark, sf_dir):
+    g, b, _, _ = fit.gram(pts(spark, sf_dir), list(X), F.col("x0") * F.col("x1") + F.col("x2") * 0.5)
+    a = fit.least_squares(g, b)
+    return spark.createDataFrame([tuple(map(float, a))], "a0 double, a1 double, a2 double").select(*[r(f"a{i}").alias(f"a{i}") for i in range(3)])
+
+
+def _labelled(spark, sf_dir):
+    return pts(spark, sf_dir).select(F.col("id").alias("pt_id"), "x0", "x1", "x2", poly.evaluate(X, TERMS).alias("y"))
+
+
+@query()
+def lasso(spark, sf_dir):
+    return _coefficients(spark, fit.fit_polynomial(_labelled(spark, sf_dir), 2)["terms"])
+
+
+@query("SELECT p0, p1, p2, " + R("c", 4) + " AS c FROM (VALUES " + ", ".join(f"({e[0]}, {e[1]}, {e[2]}, CAST({c!r} AS DOUBLE))" for e, c in TERMS.items()) + ") AS t(p0, p1, p2, c)")
+def omp(spark, sf_dir):
+    """Matching pursuit finds the seven terms that made y."""
+    g, b, _, _ = fit.gram(_labelled(spark, sf_dir), poly.features(X, 3), F.col("y"))
+    return _coefficients(spark, poly.from_coefficients(fit.orthogonal_matching(g, b, 12, 1e-7), 3, 1e-5), 4)
+
+
+def _coefficients(spark, terms, digits: int = 6) -> DataFrame:
+    rows = [(*e, float(c)) for e, c in sorted(terms.items())]
+    return spark.createDataFrame(rows, "p0 int, p1 int, p2 int, c double").select("p0", "p1", "p2", r("c", digits).alias("c"))
+
+
+@query(f"{WITH} SELECT {R(f'sqrt(avg(pow({sql_poly(TERMS)} - {sql_poly(TERMS_B)}, 2)))')} AS rmse, count(*) AS n FROM pts")
+def rmse(spark, sf_dir):
+    return fit.rmse(pts(spark, sf_dir), poly.evaluate(X, TERMS), poly.evaluate(X, TERMS_B)).select(r("rmse").alias("rmse"), "n")
+
+
+def _values(t) -> str:
+    return "(VALUES " + ", ".join(f"({e[0]}, {e[1]}, {e[2]}, CAST({c!r} AS DOUBLE))" for e, c in t.items()) + ")"
+
+
+@query(f"SELECT a.p0 + b.p0 AS p0, a.p1 + b.p1 AS p1, a.p2 + b.p2 AS p2, {R('sum(a.c * b.c)')} AS c FROM {_values(TERMS)} AS a(p0, p1, p2, c), {_values(TERMS_B)} AS b(p0, p1, p2, c) GROUP BY ALL")
+def term_multiply(spark, sf_dir):
+    return _coefficients(spark, poly.times(TERMS, TERMS_B))
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS axis, {', '.join(f'p{k}' + (' - 1' if k == i else '') + f' AS p{k}' for k in range(3))}, {R(f'c * p{i}')} AS c FROM {_values(TERMS)} AS t(p0, p1, p2, c) WHERE p{i} > 0" for i in range(3)))
+def term_derivative(spark, sf_dir):
+    rows = [(i, *e, float(c)) for i in range(3) for e, c in poly.derivative(TERMS, i).items()]
+    return spark.createDataFrame(rows, "axis int, p0 int, p1 int, p2 int, c double").select("axis", "p0", "p1", "p2", r("c").alias("c"))
+
+
+_SHIFT, _BY = (0.1, -0.2, 0.05), 0.7
+_MOVED = f"(SELECT id, {', '.join(f'(x{i} - ({c!r})) / {_BY!r} AS x{i}' for i, c in enumerate(_SHIFT))} FROM pts)"
+
+
+@query(f"{WITH} SELECT id, {R(sql_poly(TERMS))} AS f FROM {_MOVED}")
+def term_denormalize(spark, sf_dir):
+    return pts(spark, sf_dir).select("id", r(poly.evaluate(X, poly.denormalize(TERMS, _SHIFT, _BY))).alias("f"))
+
+
+@query(f"{WITH}, v AS (SELECT id, {sql_poly(TERMS)} AS a, {sql_poly(TERMS_B)} AS b FROM pts) SELECT id, {R('-0.1 * ln(exp(-a / 0.1) + exp(-b / 0.1))')} AS f FROM v")
+def blend_smin(spark, sf_dir):
+    return pts(spark, sf_dir).select("id", r(blend.smooth_minimum(poly.evaluate(X, TERMS), poly.evaluate(X, TERMS_B))).alias("f"))
+
+
+_SA, _SB, _SIG = (0.1, 0.0, 0.0), (-0.1, 0.05, 0.0), 0.3
+_PH = lambda s: "exp(-(" + " + ".join(f"pow(x{i} - ({c!r}), 2)" for i, c in enumerate(s)) + f") / {_SIG * _SIG!r})"
+
+
+@query(f"{WITH}, v AS (SELECT id, {sql_poly(TERMS)} AS a, {sql_poly(TERMS_B)} AS b, {_PH(_SA)} AS pa, {_PH(_SB)} AS pb FROM pts) SELECT id, {R('(pa * a + pb * b) / (pa + pb)')} AS f FROM v")
+def blend_pou(spark, sf_dir):
+    return pts(spark, sf_dir).select("id", r(blend.partition_of_unity(poly.evaluate(X, TERMS), poly.evaluate(X, TERMS_B), X, _SA, _SB, _SIG)).alias("f"))
+
+
+@query()
+def blend_polynomial(spark, sf_dir):
+    return _coefficients(spark, blend.polynomial_weight(_labelled(spark, sf_dir), TERMS, TERMS_B))
+
+
+@query()
+def residual_merge(spark, sf_dir):
+    terms, error = blend.residual_merge(_labelled(spark, sf_dir), TERMS_B, 3)
+    return spark.createDataFrame([(len(terms), error)], "n_terms int, rmse double")
+
+
+@query(f"{WITH}, b AS (SELECT id, x0, x1, x2, abs(x2) > 0.9 AS near_x FROM pts) SELECT id, {R('0.0')} AS along_u, {R('0.0')} AS along_v FROM b")
+def plane_basis_check(spark, sf_dir):
+    """Both basis vectors stand at right angles to the normal."""
+    from ..functions.vectors import dot, unit
+
+    p = pts(spark, sf_dir).select("id", *named(unit(X, 0.0), ("n0", "n1", "n2")))
+    n = vec("n0", "n1", "n2")
+    u, v = plane_basis(n)
+    return p.select("id", r(dot(u, n)).alias("along_u"), r(dot(v, n)).alias("along_v"))
+
+
+# ------------------------------------------------------------------------------------- greedy, rays, composites
+
+@query(f"{WITH}, {_S} SELECT id, {R('r')} AS r FROM s WHERE r >= 0.02 ORDER BY r DESC, id LIMIT 80")
+def top_spheres(spark, sf_dir):
+    return skeleton.largest(_spheres(spark, sf_dir), 80, 0.02).select("id", r("r").alias("r"))
+
+
+@query("SELECT p_type AS type, count(*) AS n FROM part GROUP BY p_type")
+def type_histogram(spark, sf_dir):
+    return skeleton.type_counts(spark.read.parquet(f"{sf_dir}/part.parquet").withColumnRenamed("p_type", "type"))
+
+
+_BOX = (0.5, 0.3, 0.2)
+
+
+@query(f"{WITH} SELECT id, abs(x0) < {_BOX[0] / 2} AND abs(x1) < {_BOX[1] / 2} AND abs(x2) < {_BOX[2] / 2} AS inside FROM pts")
+def inside_vote(spark, sf_dir):
+    return rays.inside_votes(pts(spark, sf_dir), mesh.face_geometry(*meshes.box(spark, _BOX))).select("id", "inside")
+
+
+@query(f"{WITH} SELECT id, {R(sql_field({'type': 'box', 'center': (0.0, 0.0, 0.0), 'axes': ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)), 'half_extents': tuple(e / 2 for e in _BOX)}))} AS d FROM pts")
+def mesh_signed_distance(spark, sf_dir):
+    """The signed distance to a box's triangles is the box's field."""
+    return rays.signed_distance(pts(spark, sf_dir), mesh.face_geometry(*meshes.box(spark, _BOX))).select("id", r("distance").alias("d"))
+
+
+@query("SELECT region, " + R("t") + " AS thickness FROM (VALUES (0, 0.2), (1, 0.2), (2, 0.3), (3, 0.3), (4, 0.5), (5, 0.5)) AS t(region, t)")
+def ray_thickness(spark, sf_dir):
+    v, f = meshes.box(spark, _BOX)
+    g = mesh.face_geometry(v, f)
+    regions = segment.grow_regions(g, mesh.face_adjacency(f)).select("fid", F.col("region").cast("int").alias("region"))
+    s = mesh.region_summary(g, regions)
+    c = g.join(regions, "fid").groupBy("region").agg(*[(F.sum(F.col(f"g{i}") * F.col("area")) / F.sum("area")).alias(f"c{i}") for i in range(3)])
+    # a little off the middle, where the faces' diagonals meet
+    c = c.select("region", *[(F.col(f"c{i}") + 0.013 * (i + 1)).alias(f"c{i}") for i in range(3)])
+    tilt = s.select("region", "n0", "n1", "n2").join(c, "region")
+    on = tilt.select("region", "n0", "n1", "n2", *[(F.col(f"c{i}") - F.col(f"n{i}") * (F.col("n0") * 0.013 + F.col("n1") * 0.026 + F.col("n2") * 0.039)).alias(f"c{i}") for i in range(3)])
+    return rays.thickness(on, g).select("region", r("thickness").alias("thickness"))
+
+
+_OV = "o AS (SELECT CAST(l_suppkey % 9 AS BIGINT) AS i, CAST(l_partkey % 9 AS BIGINT) AS j, l_orderkey AS k FROM lineitem), c AS (SELECT least(i, j) AS a, greatest(i, j) AS b, count(*) AS n FROM o WHERE i <> j GROUP BY ALL)"
+
+
+def _overlap(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") % 9).alias("i"), (F.col("l_partkey") % 9).alias("j"), F.col("l_orderkey").alias("k"))
+
+
+def _nodes(spark):
+    return spark.createDataFrame([(p, [p]) for p in range(9)], "node_id long, patch_ids array<long>")
+
+
+@query(f"WITH {_OV} SELECT a, b, n FROM c")
+def node_overlap(spark, sf_dir):
+    return greedy.node_overlaps(_nodes(spark), _overlap(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_OV}, s(step, used, a, b, n) AS (SELECT 0, CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) UNION ALL
+SELECT step + 1, list_concat(used, [m.a, m.b]), m.a, m.b, m.n FROM (SELECT step, used, arg_max((c.a, c.b, c.n), (c.n, c.a, c.b)) AS p FROM s, c WHERE NOT list_contains(used, c.a) AND NOT list_contains(used, c.b) GROUP BY step, used) AS t(step, used, p), LATERAL (SELECT p[1] AS a, p[2] AS b, p[3] AS n) AS m)
+SELECT a, b, n FROM s WHERE a IS NOT NULL""")
+def merge_pairs(spark, sf_dir):
+    return greedy.greedy_matching(greedy.node_overlaps(_nodes(spark), _overlap(spark, sf_dir)))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n_left_over, CAST(9 AS BIGINT) AS n_patches")
+def merge_tree(spark, sf_dir):
+    root = greedy.merge_tree(_nodes(spark), _overlap(spark, sf_dir))
+    return root.agg((F.count("*") - 1).alias("n_left_over"), F.sum(F.size("patch_ids")).alias("n_patches"))
+
+
+@query()
+def greedy_cover(spark, sf_dir):
+    p = pts(spark, sf_dir)
+    surface = p.select(F.col("id").alias("nid"), "x0", "x1", "x2")
+    voxels = p.withColumn("depth", F.sqrt(X[0] ** 2 + X[1] ** 2 + X[2] ** 2))
+    found = greedy.greedy_cover(surface, voxels, epsilon=0.02, most=3, k=5)
+    return spark.createDataFrame([(i, q["type"], *map(float, q["center"]), float(q["radius"])) for i, q in enumerate(found)], "ord int, type string, c0 double, c1 double, c2 double, radius double")
+
+
+@query()
+def surface_sample(spark, sf_dir):
+    g = mesh.face_geometry(*_torus(spark))
+    return sampling.sample_surface(g, 1000, vertex_normals=mesh.vertex_normals(g))
+
+
+@query()
+def mesh_field_sample(spark, sf_dir):
+    v, f = meshes.torus(spark, around=12, across=6)
+    return sampling.sample_field(v, f, 300, 0.01, 100)
+
+
+@query()
+def medial_axis(spark, sf_dir):
+    v, f = meshes.box(spark, (1.0, 0.6, 0.4))
+    return skeleton.medial_spheres(v, f, 1500, 800, 8, 20)
+
+
+@query()
+def skeleton_classify(spark, sf_dir):
+    return skeleton.classify(_spheres(spark, sf_dir)).select("component", "type", "radius", F.size("source").alias("n"))
+
+
+@query()
+def segmentation(spark, sf_dir):
+    v, f = meshes.torus(spark, around=16, across=8)
+    return segment.segment_mesh(v, f, 4)["patch"]
+
+
+@query()
+def balloon_fit(spark, sf_dir):
+    v, f = meshes.icosphere(spark, 2)
+    e = pipelines.compile_balloon(v, f, pipelines.BalloonConfig(n_surface=1000, n_volume=100))
+    return _coefficients(spark, e.terms)
+
+
+@query()
+def leaf_fit(spark, sf_dir):
+    p = pts(spark, sf_dir).select(F.col("label").alias("pid"), F.col("id").alias("pt_id"), "x0", "x1", "x2", poly.evaluate(X, TERMS).alias("y"))
+    return pipelines.leaf_equations(p, pipelines.PatchConfig(degree=2, resolution=6)).select("pid", F.size("alphas").alias("n"), "rmse")
+
+
+@query()
+def gpr_predict(spark, sf_dir):
+    p = pts(spark, sf_dir).select(F.col("label").alias("pid"), F.col("id").alias("pt_id"), "x0", "x1", "x2", poly.evaluate(X, TERMS).alias("y"))
+    return gaussian.predict_patches(gaussian.fit_patches(p), p.drop("y")).select("pid", "pt_id", "y")
+
+
+@query()
+def hybrid_fit(spark, sf_dir):
+    v, f = meshes.icosphere(spark, 1)
+    h = pipelines.compile_hybrid(v, f, pipelines.HybridConfig(n_surface=500, n_volume=50, degree=2, most_features=8))
+    return spark.createDataFrame(sorted(h["coefficients"].items()), "name string, c double")
+
+
+@query()
+def network_field(spark, sf_dir):
+    layers = network.as_sphere(network.initial(16, 2), 0.2)
+    return network.predict(pts(spark, sf_dir).select("id", "x0", "x1", "x2"), layers)
+
+
+@query(f"{WITH}, n AS (SELECT a.id, {sql_poly(TERMS).replace('x0', 'b.x0').replace('x1', 'b.x1').replace('x2', 'b.x2')} AS y, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS k FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1) SELECT id, {R('sum(y / greatest(d, 1e-12)) / sum(1 / greatest(d, 1e-12))')} AS value FROM n WHERE k <= 5 GROUP BY id")
+def knn_regression(spark, sf_dir):
+    s = _labelled(spark, sf_dir)
+    q = pts(spark, sf_dir).where("id % 2 = 0")
+    return network.knn_predict(q, s.where("pt_id % 2 = 1")).select("id", r("value").alias("value"))
+
+
+@query()
+def forest_regression(spark, sf_dir):
+    s = network.assembled(_labelled(spark, sf_dir))
+    return network.make_model("rf", {"numTrees": 5}).fit(s).transform(s).select("pt_id", "prediction")
+
+
+@query(f"""WITH p AS (SELECT ts, value / 1000.0 AS x0, (event_id % 100) / 400.0 AS x1, (user_id % 50) / 200.0 AS x2 FROM events), c AS (SELECT ts, abs({sql_field(SPHERE)}) <= 0.02 AS hit FROM p)
+SELECT time_bucket(INTERVAL '6 hours', ts) AS start, count(*) AS n, count(*) FILTER (hit) AS n_covered FROM c GROUP BY ALL""")
+def windowed_coverage(spark, sf_dir):
+    """The streaming operator's batch form over the events table."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 1000.0).alias("x0"), ((F.col("event_id") % 100) / 400.0).alias("x1"), ((F.col("user_id") % 50) / 200.0).alias("x2"))
+    return fields.coverage_by_window(e, [SPHERE], window="6 hours").select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "n_covered")

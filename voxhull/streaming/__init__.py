@@ -1 +1 @@
-
+"""Stateless fields and windowed sums over streams of points."""
