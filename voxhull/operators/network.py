@@ -35,7 +35,7 @@ def initial(hidden: int = 64, layers: int = 3, kind: str = "tanh", seed: int = 0
     for n in range(layers + 1):
         size = hidden if n < layers else 1
         bound = (1 / width if n == 0 else np.sqrt(6 / width) / OMEGA) if kind == "sine" else np.sqrt(6 / width) / (1.0 if kind == "relu" else 1.7)
-        out.append((rng.uniform(-bound, bound, (size, width)), np.zeros(size)))
+        out.append((rng.uniform(-bound, bound, (size, width)), rng.uniform(-bound, bound, size)))
         width = size
     return out
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import harmonics, poly, sdf
 from ..functions.vectors import named, plane_basis, sphere_coordinates, vec
-from ..operators import blend, fit, gaussian, graphs, greedy, mesh, network, rays, sampling, segment, skeleton, spatial
+from ..operators import blend, fit, gaussian, graphs, greedy, mesh, network, rays, sampling, segment, skeleton, slabs, spatial
 from ..sources import grids, meshes
 from ..streaming import fields
 from . import pipelines
@@ -770,6 +770,12 @@ def ray_thickness(spark, sf_dir):
     return rays.thickness(on, g).select("region", r("thickness").alias("thickness"))
 
 
+@query("SELECT region, " + R("a") + " AS area, " + R("t") + " AS thickness, " + R("a") + " AS hull_area, 4 AS n_corners FROM (VALUES (0, 0.15, 0.2), (1, 0.15, 0.2), (2, 0.1, 0.3), (3, 0.1, 0.3), (4, 0.06, 0.5), (5, 0.06, 0.5)) AS t(region, a, t)")
+def slab_extract(spark, sf_dir):
+    s = slabs.slabs(*meshes.box(spark, _BOX))
+    return s.select(F.col("region").cast("int").alias("region"), r("area").alias("area"), r("thickness").alias("thickness"), r("hull_area").alias("hull_area"), F.size("hull").alias("n_corners"))
+
+
 _OV = "o AS (SELECT CAST(l_suppkey % 9 AS BIGINT) AS i, CAST(l_partkey % 9 AS BIGINT) AS j, l_orderkey AS k FROM lineitem), c AS (SELECT least(i, j) AS a, greatest(i, j) AS b, count(*) AS n FROM o WHERE i <> j GROUP BY ALL)"
 
 

@@ -18,7 +18,7 @@ def read_obj(spark: SparkSession, path: str) -> Mesh:
     vertices so far, texture and normal indexes are ignored. A file's lines are numbered within one row of the file,
     so order needs no sort of the whole input.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("mesh_id"), F.split("value", r"\r?\n").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("mesh_id"), F.split("value", r"\r?\n").alias("lines"))
     corner = lambda prefix: F.filter("lines", lambda x: x.rlike(rf"^\s*{prefix}\s"))
     words = lambda x: F.split(F.trim(x), r"\s+")
     v = files.select("mesh_id", F.posexplode(corner("v")).alias("vid", "line"))
