@@ -15,7 +15,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,21 @@ NO_ID = -(2**63)  # stands for a null document id
 HEADER = struct.Struct("<4sHHqqq")
 
 
+#: Marks that, behind an ASCII letter, open a pre-token of their own and share it with no other kind of character.
+_TAIL = "!#$%&()*+,-./:;=?@[\\]^_`{}~\""
+_TAIL_SET = frozenset(_TAIL)
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all spans, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
 class _Codes(dict):
     """Pieces numbered as they are first met."""
 
@@ -40,70 +55,125 @@ class _Codes(dict):
 class Encoder:
     """Ids of texts by a byte-level BPE file of the tokenizers library, add_special_tokens=False.
 
-    remember: pieces held in memory; beyond it the memory is emptied. at_once: characters of texts cut up together, unless
+    remember: pieces held in memory; beyond it those met often stay. at_once: characters of texts cut up together, unless
     one text has more. Both change memory and speed alone.
     """
 
-    def __init__(self, path: str, remember: int = 2_000_000, at_once: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 1_000_000, at_once: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.remember, self.at_once = remember, at_once
-        self.size = self.tok.get_vocab_size()
-        self.widths = np.zeros(self.size, np.int64)  # in the byte-level alphabet a token has a character for each byte
+        self.vocabulary = self.tok.get_vocab_size()
+        self.widths = np.zeros(self.vocabulary, np.int64)  # in the byte-level alphabet a token has a character for each byte
         for token, i in self.tok.get_vocab().items():
             self.widths[i] = len(token)
         self._reset()
 
     def _reset(self) -> None:
-        self.codes = _Codes()
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.at = np.zeros(1 << 18, np.int64)  # start of each code's ids, and the end of the last
+        self.codes, self.tails = _Codes(), {}
+        self.flat, self.used = np.empty(1 << 20, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)  # of each code's ids in flat
         self.loose = np.zeros(1 << 18, bool)  # pieces with white space at an end: no cut is safe there
+        self.hits = np.zeros(1 << 18, np.int32)
         self.n = 0
 
+    def _forget(self) -> None:
+        """Keep what is met often; a corpus has many words that are met once."""
+        keep = np.flatnonzero(self.hits[: self.n] >= 4)
+        often = np.sort(keep[np.argsort(-self.hits[keep], kind="stable")[: self.remember // 2]])
+        held = list(self.codes)
+        codes, tails = _Codes(), {t: self.flat[a : a + n] for t, (a, n) in self.tails.items()}
+        for i, c in enumerate(often.tolist()):
+            codes[held[c]] = i
+        del held
+        size, ids = self.size[often], self.flat[spans(self.start[often], self.size[often])]
+        loose = self.loose[often]
+        self._reset()
+        n = len(often)
+        self.start, self.size, self.loose, self.hits = (np.zeros(max(n, 1) * 2, x.dtype) for x in (self.start, self.size, self.loose, self.hits))
+        self.start[:n] = self._put(ids) + np.cumsum(size) - size
+        self.size[:n], self.loose[:n] = size, loose
+        self.codes, self.n = codes, n
+        self.tails = {t: (self._put(x), len(x)) for t, x in tails.items()}
+
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Hold the ids of pieces (with their leading blank, if they have one) that got the next codes.
-
-        Pieces that open with a blank are encoded in one call, as one text that can be cut between any two of them;
-        as every token stands for a fixed number of bytes, the pieces' lengths say which ids are whose.
+    def _put(self, ids: np.ndarray) -> int:
+        at = self.used
+        if at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(len(ids), len(self.flat)), np.uint32)])
+        self.flat[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def _tail(self, tail: str) -> tuple[int, int]:
+        if tail not in self.tails:
+            ids = self._ids([tail])[0]
+            self.tails[tail] = self._put(np.array(ids, np.uint32)), len(ids)
+        return self.tails[tail]
+
+    def _learn(self) -> None:
+        """Hold the ids of pieces (with their leading blank, if they have one) that got codes since the last time.
+
+        A piece that ends in marks behind an ASCII letter has its stem's ids, then the marks'. Stems that open with
+        a blank are encoded in one call, as one text that can be cut between any two of them; as every token stands for
+        a fixed number of bytes, their lengths say which ids are whose.
         """
-        k = len(pieces)
-        loose = np.zeros(k, bool)
-        for j, p in enumerate(pieces):
-            if p[-1:].isalnum() and p[1:2].isalnum() and p[0] == " ":
-                continue
+        codes, n = self.codes, self.n
+        new = list(islice(codes, n, None))
+        marked, stems, tails = [], [], []
+        for j, p in enumerate(new):
+            if p[-1:] in _TAIL_SET:
+                stem = p.rstrip(_TAIL)
+                last = stem[-1:]
+                if last.isascii() and last.isalpha():
+                    marked.append(j)
+                    stems.append(codes[stem])
+                    tails.append(self._tail(p[len(stem) :]))
+        new += islice(codes, n + len(new), None)  # stems met first with their marks
+        k = len(new)
+        if n + k > len(self.start):
+            grow = max(k, len(self.start))
+            self.start, self.size = (np.concatenate([x, np.zeros(grow, np.int64)]) for x in (self.start, self.size))
+            self.loose = np.concatenate([self.loose, np.zeros(grow, bool)])
+            self.hits = np.concatenate([self.hits, np.zeros(grow, np.int32)])
+        # a piece is safe to cut at if it has visible ASCII at both ends; the few others are looked at one by one
+        first, second = (code_points("".join([p[i : i + 1] or "\0" for p in new])) for i in (0, 1))
+        last = code_points("".join([p[-1:] or "\0" for p in new]))
+        blank = first == 32
+        head = np.where(blank, second, first)
+        unsure = ~((head > 32) & (head < 127) & (last > 32) & (last < 127))
+        for j in np.flatnonzero(unsure).tolist():
+            p = new[j]
             body = p[1:] if p[:1] == " " else p
             # conservative: whatever Python or Unicode may call a blank at either end of the piece
-            loose[j] = not body or not (body[0].isprintable() and body[-1].isprintable()) or body[0].isspace() or body[-1].isspace()
-        chain_of = np.array([p[:1] == " " for p in pieces]) & ~loose
-        lens = np.zeros(k, np.int64)
-        joined = [pieces[j] for j in np.flatnonzero(chain_of)]
-        run = np.array(self._ids(["".join(joined)])[0], np.uint32) if joined else np.empty(0, np.uint32)
-        ends = np.cumsum(np.fromiter((len(p.encode()) for p in joined), np.int64, len(joined)))
-        stops = np.searchsorted(np.cumsum(self.widths[run]), ends) + 1
-        lens[chain_of] = np.diff(stops, prepend=0)
-        alone = np.flatnonzero(~chain_of)
-        single = self._ids([pieces[j] for j in alone]) if len(alone) else []
-        lens[alone] = np.fromiter(map(len, single), np.int64, len(single))
-        total, end = int(lens.sum()), int(self.at[self.n])
-        new = np.empty(total, np.uint32)
-        owner = np.repeat(chain_of, lens)
-        new[owner] = run
-        new[~owner] = np.fromiter(chain.from_iterable(single), np.uint32, total - len(run))
-        if end + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(total, len(self.flat)), np.uint32)])
-        if self.n + k + 1 > len(self.at):
-            grow = max(k + 1, len(self.at))
-            self.at = np.concatenate([self.at, np.zeros(grow, np.int64)])
-            self.loose = np.concatenate([self.loose, np.zeros(grow, bool)])
-        self.flat[end : end + total] = new
-        self.at[self.n + 1 : self.n + k + 1] = end + np.cumsum(lens)
-        self.loose[self.n : self.n + k] = loose
+            self.loose[n + j] = not body or not (body[0].isprintable() and body[-1].isprintable()) or body[0].isspace() or body[-1].isspace()
+        plain = np.ones(k, bool)
+        plain[marked] = False
+        chained = blank & ~self.loose[n : n + k] & plain
+        if chained.any():
+            text = "".join([new[j] for j in np.flatnonzero(chained).tolist()])
+            run = np.array(self._ids([text])[0], np.uint32)
+            raw = text.encode()
+            starts = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)  # a piece's one blank opens it
+            stops = np.searchsorted(np.cumsum(self.widths[run]), np.append(starts[1:], len(raw))) + 1
+            sizes = np.diff(stops, prepend=0)
+            self.start[n : n + k][chained] = self._put(run) + stops - sizes
+            self.size[n : n + k][chained] = sizes
+        alone = np.flatnonzero(plain & ~chained)
+        for j, ids in zip(alone.tolist(), self._ids([new[j] for j in alone.tolist()]) if len(alone) else []):
+            self.start[n + j], self.size[n + j] = self._put(np.array(ids, np.uint32)), len(ids)
+        if marked:
+            stem, tail = np.array(stems), np.array(tails)
+            starts = np.stack([self.start[stem], tail[:, 0]], 1).ravel()
+            sizes = np.stack([self.size[stem], tail[:, 1]], 1).ravel()
+            at = self._put(self.flat[spans(starts, sizes)])
+            both = sizes.reshape(-1, 2).sum(1)
+            self.start[n + np.array(marked)] = at + np.cumsum(both) - both
+            self.size[n + np.array(marked)] = both
         self.n += k
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -119,7 +189,7 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > self.remember:
-            self._reset()
+            self._forget()
         pieces, counts = [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if t:
@@ -129,12 +199,11 @@ class Encoder:
                 counts[i] = len(pieces) - n
         got = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
         if len(self.codes) > self.n:
-            self._learn(list(islice(self.codes, self.n, None)))
-        lens = self.at[got + 1] - self.at[got]
+            self._learn()
+        self.hits[: self.n] += np.bincount(got, minlength=self.n).astype(np.int32)
+        lens = self.size[got]
         ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.arange(total) + np.repeat(self.at[got] - (ends - lens), lens)
-        flat = self.flat[source]
+        flat = self.flat[spans(self.start[got], lens)]
         stops = np.concatenate(([0], np.cumsum(counts)))
         begins = np.concatenate(([0], ends))
         bad = np.concatenate(([0], np.cumsum(self.loose[got])))
@@ -234,7 +303,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, block_ids: int = 1
         from pyspark import TaskContext
 
         part, enc = TaskContext.get().partitionId(), encoder(path)
-        bits, block, before = bits_for(max(enc.size, end_id + 1)), 0, 0
+        bits, block, before = bits_for(max(enc.vocabulary, end_id + 1)), 0, 0
         ids, held, n = [], [], 0
 
         def close() -> pa.RecordBatch:
