@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, stored
+from .common import mixed, partitions, stored, trimmed
 
 NULL_ID = -(2**63)  # orders a null doc_id before all others
 ASKED = "bucket int, chunk long, keys binary, ranks binary"
@@ -166,7 +166,9 @@ def with_answers(chunks: DataFrame, replies: DataFrame, run: Callable[[int, pa.T
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([], schema=EMPTY[0])
-        return run(left["chunk"][0].as_py(), opened(left["data"][0].as_py()), right)
+        out = run(left["chunk"][0].as_py(), opened(left["data"][0].as_py()), right)
+        trimmed()
+        return out
 
     EMPTY = [arrow_schema(schema)]
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(each, schema)

@@ -6,6 +6,8 @@ every executor reads them back from the shared store, and a lost executor costs
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -37,7 +39,32 @@ def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of stored() that later ones have replaced, and let Spark clear the shuffle files of what made them.
+
+    Spark clears these once the driver's JVM collects their owner, which a driver with a large heap may not do for hours.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        for _ in range(2):  # the first collection frees what the second one's queue of references then sees
+            gc.collect()
+            tables[0].sparkSession._jvm.System.gc()
+
+
+def trimmed() -> None:
+    """Give a Python worker's freed memory back to the machine, where its C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def ascii_lower(col: Column) -> Column:

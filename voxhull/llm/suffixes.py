@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ASKED, answered, answers, arrow_schema, ask, chunked, n_buckets, opened, with_answers
-from .common import mixed, span_hashes, stored, text_bytes
+from .common import dropped, mixed, span_hashes, stored, text_bytes
 
 REACH = 40
 CUT = 2 * REACH + 8  # the bytes that decide on a cut
 ROUND = "bucket int, chunk long, keys binary, n long"
 _ROUND = arrow_schema(ROUND)
-STATE = -1  # the bucket of a chunk's own state
+STATE, NAMES = -1, -2  # the buckets of a chunk's own state, and of the names that the suffix order needs
 
 
 # ----------------------------------------------------------------------------------------------- cuts and runs
@@ -145,9 +145,21 @@ def send(chunk: int, bucket: np.ndarray, cols: list[np.ndarray], tail: list[np.n
     return [pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.int64()))], schema=_ROUND)]
 
 
-def state_row(chunk: int, state: dict, n: int = 0) -> pa.RecordBatch:
-    data = zlib.compress(pickle.dumps(state), 1)
-    return pa.RecordBatch.from_arrays([pa.array([STATE], pa.int32()), pa.array([chunk], pa.int64()), pa.array([data], pa.binary()), pa.array([n], pa.int64())], schema=_ROUND)
+def state_row(chunk: int, state: dict, n: int = 0, bucket: int = STATE) -> pa.RecordBatch:
+    data = zlib.compress(pickle.dumps({k: slim(v) for k, v in state.items()}), 1)
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([data], pa.binary()), pa.array([n], pa.int64())], schema=_ROUND)
+
+
+def slim(v):
+    """Whole numbers in 32 bits where they fit; positions in a chunk nearly always do."""
+    if isinstance(v, np.ndarray) and v.dtype == np.int64 and (not v.size or (v.min() >= -(2**31) and v.max() < 2**31)):
+        return v.astype(np.int32)
+    return v
+
+
+def state_of(data: bytes) -> dict:
+    state = pickle.loads(zlib.decompress(data))
+    return {k: v.astype(np.int64) if isinstance(v, np.ndarray) and v.dtype == np.int32 else v for k, v in state.items()}
 
 
 def sorted_rows(asked: DataFrame, kind: str, width: int) -> DataFrame:
@@ -203,16 +215,22 @@ def received(replies: pa.Table) -> np.ndarray:
     return np.concatenate([np.frombuffer(k, "<u8") for b, k in got if b >= 0]) if len(got) else np.empty(0, np.uint64)
 
 
-def next_round(before: DataFrame, replies: DataFrame, run: Callable[[int, dict, pa.Table], list[pa.RecordBatch]], what: str) -> DataFrame:
-    """Each chunk's state and replies become its next state and questions, a stored table."""
+def next_round(before: DataFrame, replies: DataFrame, run: Callable[[int, dict, pa.Table], list[pa.RecordBatch]], what: str, done: tuple[DataFrame, ...] = (), bucket: int = STATE) -> DataFrame:
+    """Each chunk's state (its row of that bucket) and replies become its next state and questions, a stored table.
+
+    done: tables that go then.
+    """
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([], schema=_ROUND)
-        return pa.Table.from_batches(run(left["chunk"][0].as_py(), pickle.loads(zlib.decompress(left["keys"][0].as_py())), right), schema=_ROUND)
+        return pa.Table.from_batches(run(left["chunk"][0].as_py(), state_of(left["keys"][0].as_py()), right), schema=_ROUND)
 
-    states = before.where(F.col("bucket") == STATE)
-    return stored(states.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(each, ROUND), what, "uncompressed")
+    states = before.where(F.col("bucket") == bucket)
+    out = stored(states.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(each, ROUND), what, "uncompressed")
+    if done:
+        dropped(*done)
+    return out
 
 
 # ------------------------------------------------------------------------------------------- difference covers
@@ -289,6 +307,7 @@ def remove_recurring(docs: DataFrame, size: int = 400) -> DataFrame:
         np.add.at(held, np.minimum(hi, c.end[at]), -1)
         keep = np.flatnonzero(np.cumsum(held[:-1]) > 0)
         bare = c.bare(size)
+        runs = np.flatnonzero(np.diff(bare, prepend=-2) != 1)
         # phrases whose prefix of names decides: up to size bytes from the next cut on, or the run's end
         run = np.cumsum(np.diff(at, prepend=-2) != 1)
         run_stop = np.searchsorted(run, run, "right")
@@ -298,10 +317,12 @@ def remove_recurring(docs: DataFrame, size: int = 400) -> DataFrame:
         state = {
             "bytes": c.a[keep].tobytes(), "keep": keep[np.diff(keep, prepend=-2) != 1], "stop": keep[np.diff(keep, append=len(c.a) + 2) != 1] + 1,
             "s": c.s[at], "e": c.e[at], "prev": c.prev[at], "next": c.next[at], "end": c.end[at], "last": c.last[at], "after": after,
-            "run": run, "n_names": n_names, "name": c.name[at], "bare": bare,
-            "bare_keys": span_hashes(c.a, bare, bare + size) if len(bare) else np.empty(0, np.uint64),
+            "run": run, "n_names": n_names, "name": c.name[at],
+            "bare": np.stack([bare[runs], bare[np.append(runs[1:], len(bare)) - 1] + 1]) if len(bare) else np.zeros((2, 0), np.int64),
+            "bare_keys": np.unique(span_hashes(c.a, bare, bare + size)),
         }
-        return pa.Table.from_batches([state_row(chunk, state, int(n_names.max(initial=1)))])
+        light = {k: state[k] for k in ("name", "run", "n_names")}
+        return pa.Table.from_batches([state_row(chunk, state, int(n_names.max(initial=1))), state_row(chunk, light, 0, NAMES)])
 
     first = stored(with_answers(chunks, answered(chunks.mapInArrow(names, ASKED), "shared"), select, ROUND), "cuts", "uncompressed")
     longest = first.agg(F.max("n").alias("n")).first().n or 1
@@ -312,7 +333,7 @@ def remove_recurring(docs: DataFrame, size: int = 400) -> DataFrame:
 
 
 def levels_of(state: dict) -> list[Level]:
-    out = [Level(state["levels"][0], state["run"].astype(np.int64))]
+    out = [Level(state["levels"][0], state["run"])]
     for names in state["levels"][1:]:
         out.append(out[-1].below(names))
     return out
@@ -320,11 +341,11 @@ def levels_of(state: dict) -> list[Level]:
 
 def suffix_order(first: DataFrame, buckets: int, depth: int) -> DataFrame:
     """(bucket, chunk, keys, n): for each chunk, how many names each suffix shares with its nearest in the suffix order."""
-    none = first.limit(0)
+    none = first.sparkSession.createDataFrame([], ROUND)
 
     def triples(chunk: int, state: dict, replies: pa.Table) -> list[pa.RecordBatch]:
         if "levels" not in state:
-            state = {"levels": [state["name"]], "run": state["run"].astype(np.int32), "n_names": state["n_names"].astype(np.int32)}
+            state = {"levels": [state["name"]], "run": state["run"], "n_names": state["n_names"]}
         else:
             state["levels"].append(received(replies)[state.pop("sent")])
         levels = levels_of(state)
@@ -337,10 +358,9 @@ def suffix_order(first: DataFrame, buckets: int, depth: int) -> DataFrame:
         return [state_row(chunk, state)]
 
     states, replies = first, none
-    for _ in range(depth):
-        states = next_round(states, replies, triples, "triples")
-        replies = sorted_rows(states, "name", 3)
-    states = next_round(states, replies, triples, "triples")
+    for level in range(depth + 1):
+        states = next_round(states, replies, triples, "triples", (states,) if level else (), STATE if level else NAMES)
+        replies = sorted_rows(states, "name", 3) if level < depth else none
 
     for level in range(depth - 1, -1, -1):
 
@@ -356,10 +376,10 @@ def suffix_order(first: DataFrame, buckets: int, depth: int) -> DataFrame:
             tag = np.repeat([0, 1], [int(one.sum()), int(two.sum())])
             cols = [np.concatenate((x[one], y[two])) for x, y in zip(sort_a, sort_b)]
             b, cols, back = sorted_by_bucket(2 * ranged(cols[0], level, buckets) + tag, cols)
-            state["sent"], state["at"] = (back, tag), at
+            state["sent"], state["tag"], state["at"] = back, tag, at
             return [state_row(chunk, state), *send(chunk, b, cols)]
 
-        states = next_round(states, none, place, "merge")
+        states = next_round(states, none, place, "merge", (states,))
         replies = stored(sorted_rows(states, "pred", 4), "merged", "uncompressed")
         tops = sorted((r.bucket, r.n) for r in replies.groupBy("bucket").agg(F.max("n").alias("n")).collect())  # one for each range
         carry = np.zeros((2, 2 * buckets + 4), np.uint64)
@@ -369,7 +389,7 @@ def suffix_order(first: DataFrame, buckets: int, depth: int) -> DataFrame:
 
         def settle(chunk: int, state: dict, replies: pa.Table, level: int = level, carry: np.ndarray = carry) -> list[pa.RecordBatch]:
             here = levels_of(state)[level]
-            (back, tag), at = state.pop("sent"), state.pop("at")
+            back, tag, at = state.pop("sent"), state.pop("tag"), state.pop("at")
             r = here.spread(state["rank"])
             key = r.copy()
             if len(at):
@@ -388,7 +408,7 @@ def suffix_order(first: DataFrame, buckets: int, depth: int) -> DataFrame:
             state["sent"], state["twice"] = back, np.bincount(back, minlength=len(b))[back] > 1
             return [state_row(chunk, state), *send(chunk, b, cols, tail)]
 
-        states = next_round(states, replies, settle, "merge")
+        states = next_round(states, replies, settle, "merge", (states, replies))
         if level:
             replies = sorted_rows(states, "name", 4)
 
@@ -396,13 +416,13 @@ def suffix_order(first: DataFrame, buckets: int, depth: int) -> DataFrame:
                 state["rank"] = received(replies)[state.pop("sent")]
                 return [state_row(chunk, state)]
 
-            states = next_round(states, replies, ranks, "ranks")
+            states = next_round(states, replies, ranks, "ranks", (states,))
 
     def matched(chunk: int, state: dict, replies: pa.Table) -> list[pa.RecordBatch]:
         k = np.where(state["twice"], state["n_names"], received(replies)[state["sent"]].astype(np.int64))
         return [pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([chunk], pa.int64()), pa.array([k.astype("<i4").tobytes()], pa.binary()), pa.array([0], pa.int64())], schema=_ROUND)]
 
-    return next_round(states, sorted_rows(states, "near", 4), matched, "matches")
+    return next_round(states, sorted_rows(states, "near", 4), matched, "matches", (states,))
 
 
 def windows_of(first: DataFrame, matches: DataFrame, buckets: int, size: int) -> DataFrame:
@@ -433,8 +453,8 @@ def windows_of(first: DataFrame, matches: DataFrame, buckets: int, size: int) ->
         keys, back = np.unique(state["name"], return_inverse=True)
         flag = np.zeros(len(keys), bool)
         np.logical_or.at(flag, back, (lo <= hi) & ~state["last"])
-        state["back"], state["flag"] = back, flag
-        return [state_row(chunk, state), *asks(chunk, keys[flag], 1), *asks(chunk, keys[~flag], 0)]
+        small = {"sure": state["sure"], "back": back, "flag": flag}
+        return [state_row(chunk, small), *asks(chunk, keys[flag], 1), *asks(chunk, keys[~flag], 0)]
 
     def flagged(table: pa.Table) -> pa.Table:
         """For the keys that a chunk has no open window at: does another one have?"""
@@ -446,25 +466,29 @@ def windows_of(first: DataFrame, matches: DataFrame, buckets: int, size: int) ->
         return pa.table({"bucket": rest["bucket"], "chunk": rest["chunk"], "bits": pa.array(bits, pa.binary())})
 
     def opened_windows(chunk: int, state: dict, replies: pa.Table) -> list[pa.RecordBatch]:
-        keys, flag = np.unique(state["name"]), state["flag"]
+        own = replies.filter(pa.compute.equal(replies["bucket"], STATE))
+        small = state_of(own["bits"][0].as_py())
+        keys, flag = np.unique(state["name"]), small["flag"].copy()
         flag[~flag] = answers(keys[~flag], buckets, replies)
-        use = flag[state["back"]] & ~state["last"] if len(keys) else np.empty(0, bool)
+        use = flag[small["back"]] & ~state["last"] if len(keys) else np.empty(0, bool)
         s, e = state["s"][use], state["e"][use]
-        at = ranges(np.maximum(state["prev"][use] + 1, e - size), np.minimum(s, state["end"][use] - size) + 1)
+        lo, hi = np.maximum(state["prev"][use] + 1, e - size), np.minimum(s, state["end"][use] - size) + 1
+        lo, hi = lo[lo < hi], hi[lo < hi]
+        at = ranges(lo, hi)
         base = np.cumsum(state["stop"] - state["keep"]) - (state["stop"] - state["keep"])
         part = np.searchsorted(state["keep"], at, "right") - 1
         local = at - state["keep"][part] + base[part] if len(at) else at
-        found = span_hashes(np.frombuffer(state["bytes"], np.uint8), local, local + size) if len(at) else np.empty(0, np.uint64)
-        at, found = np.concatenate((at, state["bare"])), np.concatenate((found, state["bare_keys"]))
-        keys, back, n = np.unique(found, return_inverse=True, return_counts=True)
-        out = {"sure": state["sure"], "open": at, "back": back.astype(np.int32), "twice": n > 1, "keys": keys}
-        return [state_row(chunk, out), *asks(chunk, keys, 0)]
+        found = span_hashes(np.frombuffer(state["bytes"], np.uint8), local, local + size)
+        keys = np.unique(np.concatenate((found, state["bare_keys"])))
+        # the windows' hashes are found again where the texts are: their ranges say which
+        return [state_row(chunk, {"sure": small["sure"], "open": np.stack([lo, hi]), "bare": state["bare"]}), *asks(chunk, keys, 0)]
 
     import pyarrow.compute  # noqa: F401
 
-    states = next_round(first, matches, judged, "open")
-    flags = states.where("bucket >= 0").groupBy("bucket").applyInArrow(flagged, "bucket int, chunk long, bits binary")
-    return next_round(states, flags, opened_windows, "windows")
+    small = next_round(first, matches, judged, "open", (matches,))
+    flags = small.where("bucket >= 0").groupBy("bucket").applyInArrow(flagged, "bucket int, chunk long, bits binary")
+    flags = flags.unionByName(small.where(F.col("bucket") == STATE).select("bucket", "chunk", F.col("keys").alias("bits")))
+    return next_round(first, flags, opened_windows, "windows", (first, small))
 
 
 def removed(chunks: DataFrame, states: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -476,17 +500,21 @@ def removed(chunks: DataFrame, states: DataFrame, size: int, buckets: int) -> Da
         texts = [x for c in table["text"].chunks for x in text_bytes(c)]
         at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         kinds = replies["bucket"].to_pylist()
-        state = pickle.loads(zlib.decompress(replies["bits"][kinds.index(STATE)].as_py()))
-        again = (state["twice"] | answers(state["keys"], buckets, replies))[state["back"]] if len(state["keys"]) else np.empty(0, bool)
+        state = state_of(replies["bits"][kinds.index(STATE)].as_py())
+        a = np.frombuffer(b"".join(texts), np.uint8)
+        open_at = [ranges(*state[k]) for k in ("open", "bare")]
+        found = np.concatenate([span_hashes(a, x, x + size) for x in open_at])
+        open_at = np.concatenate(open_at)
+        keys, back, n = np.unique(found, return_inverse=True, return_counts=True)
+        again = ((n > 1) | answers(keys, buckets, replies))[back] if len(keys) else np.empty(0, bool)
         lo, stop = state["sure"]
-        lo, hi = np.concatenate((lo[stop > lo], state["open"][again])), np.concatenate((stop[stop > lo] - 1, state["open"][again])) + size
+        lo, hi = np.concatenate((lo[stop > lo], open_at[again])), np.concatenate((stop[stop > lo] - 1, open_at[again])) + size
         cover = np.zeros(int(at[-1]) + 1, np.int32)
         np.add.at(cover, lo, 1)
         np.add.at(cover, hi, -1)
         gone = np.cumsum(cover[:-1]) > 0
         fresh = gone & ~np.concatenate(([False], gone[:-1]))
         fresh[at[:-1][at[:-1] < at[-1]]] |= gone[at[:-1][at[:-1] < at[-1]]]
-        a = np.frombuffer(b"".join(texts), np.uint8)
         sums, spans = np.concatenate(([0], np.cumsum(gone))), np.concatenate(([0], np.cumsum(fresh)))
         kept = [t if sums[i] == sums[j] else a[i:j][~gone[i:j]].tobytes() for t, i, j in zip(texts, at[:-1], at[1:])]
         return pa.Table.from_arrays([table["doc_id"], pa.array(np.diff(at)), pa.array(np.diff(sums[at])), pa.array(np.diff(spans[at])), pa.array(kept, pa.binary())], schema=arrow_schema(schema))
