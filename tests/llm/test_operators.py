@@ -46,7 +46,7 @@ def test_url_rules_and_mined_verdicts(spark):
     ]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(100 + i, f"http://bad.net/p/{i}", "") for i in range(40)] + [(200 + i, f"http://good.net/p/{i}", "") for i in range(40)], "page_id long, url string, rule string")
     labels = spark.createDataFrame([(100 + i, 0, 0) for i in range(30)] + [(200 + i, 1, 0) for i in range(30)] + [(None, 0, 0), (1, None, None)], "doc_id long, quality int, toxic int")
-    got = rows(url_filters.judge(pages, labels, support=0.05), "page_id")
+    got = rows(url_filters.judge(pages, labels, support=0.05, confidence=0.7), "page_id")
     want = {0: ("org/", "allow"), 1: ("example.org/es/", "block"), 2: ("example.org/en/1", "block"), 3: ("org/", "allow"), 4: ("com/fr/", "allow"), 5: ("com/de/", "block")}
     for i, (rule, verdict) in want.items():
         assert (got[i].rule, got[i].verdict) == (rule, verdict)
