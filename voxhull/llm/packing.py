@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, values
-from .tokens import encoder
+from .common import partitions, trimmed, values
+from .tokens import encoder, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
@@ -159,7 +159,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, length: int = 20
                 k, s, m, crc, total, seq, off = zip(*done)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, s, m, crc, total, seq, off)], schema=_ARROW)
 
-        for batch in batches:
+        for batch in slices(batches):
             keys = values(batch, "doc_id").to_pylist()
             for key, ids in zip(keys, enc.encode(values(batch, "text").to_pylist())):
                 shard.append((key, np.concatenate([ids, end])))
@@ -172,6 +172,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, length: int = 20
             fill(shard, filler)
         filler.end()
         yield from rows()
+        trimmed()
 
     text = F.coalesce("text", F.lit(""))
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.substring(text, 1, 64).alias("opening"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbers, partitions, stored, values
+from .common import numbers, partitions, stored, trimmed, values
 
 MAGIC, VERSION = b"VXTK", 1
 NO_ID = -(2**63)  # stands for a null document id
@@ -188,6 +188,10 @@ class Encoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        distinct = dict.fromkeys(texts)
+        if len(distinct) < len(texts):  # copies side by side are cut up once
+            distinct.update(zip(distinct, self._encode(list(distinct))))
+            return [distinct[t] for t in texts]
         if len(self.codes) > self.remember:
             self._forget()
         pieces, counts = [], np.zeros(len(texts), np.int64)
@@ -228,6 +232,14 @@ class Encoder:
         return np.array(out, np.uint32)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: a text as a Python string takes memory beside the batch that holds it."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        trimmed()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -311,7 +323,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, block_ids: int = 1
             return out
 
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             keys = values(batch, "doc_id").to_pylist()
             for doc, got in zip(keys, enc.encode(values(batch, "text").fill_null("").to_pylist())):
                 ids.append(NO_ID if doc is None else doc)
