@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import Vec, add, clip, cross, dot, lit, norm, scale, sub, vec
 
-#: F2's directions: five of them, the last one shorter than 1 on purpose.
+#: F2's five ray directions, the last one shorter than 1.
 DIRECTIONS = ((0.4395064455, 0.617598629942, 0.652231566745), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (0.577, 0.577, 0.577))
 BLOCK = 200_000
 
