@@ -22,10 +22,10 @@ def cloud(spark, n=300, seed=0, clustered=False):
     return p, spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)], "id long, x0 double, x1 double, x2 double")
 
 
-@pytest.mark.parametrize("clustered", [False, True])
-def test_knn_equals_brute_force(spark, clustered):
+@pytest.mark.parametrize("clustered,few", [(False, 0), (True, 0), (True, 2000)])
+def test_knn_equals_brute_force(spark, clustered, few):
     p, df = cloud(spark, 200, 1, clustered)
-    got = spatial.knn(df, df.withColumnRenamed("id", "nid"), 6, same=True).toPandas()
+    got = spatial.knn(df, df.withColumnRenamed("id", "nid"), 6, same=True, few=few).toPandas()
     d = np.linalg.norm(p[:, None] - p[None], axis=2)
     np.fill_diagonal(d, np.inf)
     for i, g in got.groupby("id"):
@@ -37,7 +37,7 @@ def test_knn_far_queries_few_points_and_none(spark):
     _, df = cloud(spark, 3)
     far = spark.createDataFrame([(7, 50.0, 0.0, 0.0)], "id long, x0 double, x1 double, x2 double")
     right = df.withColumnRenamed("id", "nid")
-    assert spatial.knn(far, right, 5).count() == 3
+    assert spatial.knn(far, right, 5).count() == spatial.knn(far, right, 5, few=0).count() == 3
     assert spatial.knn(far, right.limit(0), 5).count() == 0 and spatial.knn(far.limit(0), right, 5).count() == 0
 
 
