@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxhull.llm import decontamination, packing, phrases, quality_classifier, simhash
+from voxhull.llm import decontamination, near_copies, packing, phrases, quality_classifier
 from voxhull.llm.common import stored
 
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group whose SimHash fingerprints are linked."""
-    return simhash.one_of_each(docs)
+    """One document, that of the smallest doc_id, of each group whose five-word shingles are alike by 0.8 or more."""
+    return near_copies.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """The pipeline's stages on their own, each against what its operator says of the same documents."""
 
+import random
 from collections import defaultdict
 
 import corpus_pipeline
 import pytest
 from support import awkward, empty, frame
-from test_operators import plain_fingerprint, plain_hits, words
+from test_operators import plain_components, plain_fingerprint, plain_hits, words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -37,6 +38,35 @@ def test_near_duplicates_keep_one_of_each_group(spark, docs, data):
     assert kept <= {min(g) for g in groups.values()}
 
 
+def plain_near_copies(rows):
+    """Kept doc_ids (equal fingerprints are a group too) and pairs of different sets with five-word similarity >= 0.8, by comparing all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    ids = sorted(sets)
+    alike = [(a, b) for a in ids for b in ids if a < b and (sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) > 0)]
+    fp = {i: plain_fingerprint(t) for i, t in rows}
+    equal = [(a, b) for a in ids for b in ids if a < b and fp[a] == fp[b]]
+    return set(plain_components(ids, alike + equal).values()), [(a, b) for a, b in alike if sets[a] != sets[b]]
+
+
+def test_near_copies_are_those_of_all_pairs(spark, data):
+    rnd = random.Random(4)
+    rows = [(i, t) for i, t in awkward(3)]
+    for c in range(12):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(30, 300))]
+        for k in range(8):
+            w = list(base)
+            for _ in range(rnd.randint(0, max(1, len(w) // 40))):
+                w[rnd.randrange(len(w))] = f"z{rnd.randrange(5000)}"
+            rows.append((3000 + 10 * c + k, " ".join(w)))
+    want, near = plain_near_copies(rows)
+    assert sum((plain_fingerprint(dict(rows)[a]) ^ plain_fingerprint(dict(rows)[b])).bit_count() > 2 for a, b in near) > 20
+    got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows).select(*COLUMNS), data).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_repeated_passages_leave_other_texts_alone(spark, docs, data):
     before = {r.doc_id: r for r in docs.collect()}
     for r in corpus_pipeline.repeated_passages(spark, docs, data).collect():
