@@ -8,6 +8,8 @@ import pytest
 from support import awkward, empty, frame
 from test_operators import plain_components, plain_fingerprint, plain_hits, words
 
+from voxhull.llm import simhash
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -67,6 +69,13 @@ def test_near_copies_are_those_of_all_pairs(spark, data):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_rows_of_one_doc_id_with_different_texts_survive(spark, data):
+    text = lambda a: " ".join(f"{a}{j}" for j in range(60))
+    df = frame(spark, [(1, text("a")), (5, text("a")), (5, text("b")), (6, text("c")), (6, text("d")), (6, text("d"))]).select(*COLUMNS)
+    for kept in (corpus_pipeline.near_duplicates(spark, df, data), simhash.one_of_each(df)):
+        assert sorted((r.doc_id, r.text[0]) for r in kept.collect()) == [(1, "a"), (5, "b"), (6, "c"), (6, "d")]
+
+
 def test_repeated_passages_leave_other_texts_alone(spark, docs, data):
     before = {r.doc_id: r for r in docs.collect()}
     for r in corpus_pipeline.repeated_passages(spark, docs, data).collect():

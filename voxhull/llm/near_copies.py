@@ -61,7 +61,7 @@ def needed(n, tenths: int = 8):
 
 
 def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node, fp (SimHash over three words) for each row of docs."""
+    """doc_id, text_key, node, fp (SimHash over three words) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bytes(lower_blanks_table())
@@ -71,9 +71,9 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
                 texts = text_bytes(values(part, "text"))
                 names = [node(s) for s in shingle_sets(texts, shingle)]
                 fps = np.array([simhash.fingerprint(t.translate(table).split()) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([values(part, "doc_id"), pa.array(names, pa.int64()), pa.array(fps)], names=["doc_id", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([values(part, "doc_id"), values(part, "text_key"), pa.array(names, pa.int64()), pa.array(fps)], names=["doc_id", "text_key", "node", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, node long, fp long")
 
 
 def _distinct(texts: list[bytes], shingle: int) -> dict[int, np.ndarray]:
@@ -222,6 +222,5 @@ def one_of_each(docs: DataFrame, shingle: int = 5, tenths: int = 8) -> DataFrame
     equal = nodes.join(least, "fp").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     label = simhash.components(links(docs, nodes, shingle, tenths).unionByName(equal))
     named = nodes.where(F.col("doc_id").isNotNull()).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = stored(named.groupBy("label").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "first")
-    kept = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    first = stored(named.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select("r.*").distinct(), "first")
+    return simhash.rows_of(docs, first)

@@ -40,17 +40,18 @@ def fingerprint(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(set_in * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """docs(doc_id, text) with fp, the fingerprint as a signed long. Null texts have no words."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, keep_key: bool = False) -> DataFrame:
+    """docs(doc_id, text) with fp, the fingerprint as a signed long. Null texts have no words. keep_key: with text_key too."""
+    kept = ["doc_id", "text_key"] if keep_key else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower = bytes(lower_blanks_table())
         for batch in batches:
             col = values(batch, "text")
             found = np.fromiter((fingerprint(x.translate(lower).split(), shingle, seed) for x in _each(col)), np.uint64, len(col))
-            yield pa.RecordBatch.from_arrays([values(batch, "doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(values(batch, c) for c in kept), pa.array(found.view(np.int64))], names=[*kept, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *kept[1:], "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
 
 
 def _each(col: pa.Array) -> Iterator[bytes]:
@@ -202,14 +203,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     return held.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def rows_of(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of docs that first(doc_id, text_key) names, once each, and all without a doc_id; text_key: xxhash64 of the text.
+
+    Rows that share a doc_id are told apart by their texts.
+    """
+    keyed = docs.where(F.col("doc_id").isNotNull()).withColumn("__text_key", F.xxhash64("text"))
+    named = keyed.join(first.select("doc_id", F.col("text_key").alias("__text_key")), ["doc_id", "__text_key"], "left_semi")
+    named = named.dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """The rows of docs, all columns as they are, that stand for their group: those with its smallest doc_id, once each.
 
     Rows without a doc_id can't be told apart and all stay.
     """
-    first = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    held = stored(fingerprints(keyed, shingle, keep_key=True), "fingerprints")
+    label = components(links(held.select("fp").distinct(), radius))
+    named = held.where(F.col("doc_id").isNotNull()).join(label, held.fp == label.node, "left").withColumn("label", F.coalesce("label", "fp"))
+    first = named.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select("r.*").distinct()
+    return rows_of(docs, stored(first, "first"))
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
