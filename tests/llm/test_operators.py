@@ -57,6 +57,21 @@ def test_url_rules_and_mined_verdicts(spark):
     assert "bad.net" in got[135].mined_rule
 
 
+def test_url_rules_see_all_of_a_url_and_all_sizes(spark):
+    bad = [*(f"http://h{i}.spam.example.com/p{i}" for i in range(10)), *(f"http://a{i}.net/x{i}/casino/y" for i in range(10)), *(f"http://b{i}.net/z{i}?q=1&ref=2" for i in range(10))]
+    good = [*(f"http://h{i}.fine.example.com/p{i}" for i in range(20)), *(f"http://g{i}.net/x{i}/news/y?q=1" for i in range(20))]
+    four = ["c1", "c2", "c3", "c4"]
+    bad += [f"ftp://k{i}.org/" + "/".join(four) for i in range(10)]  # each three of the four are good more often
+    good += [f"ftp://l{i}.org/" + "/".join(c for c in four if c != left) for left in four for i in range(15)]
+    urls = [(i, u) for i, u in enumerate(bad + good)]
+    new = ["http://new.spam.example.com/", "http://new.net/q/casino/r", "http://new.net/?q=5&ref=5", "ftp://new.org/c1/c2/c3/c4", "http://new.fine.example.com/", "ftp://new.org/c1/c2/c3/u"]
+    pages = spark.createDataFrame(urls + [(1000 + i, u) for i, u in enumerate(new)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= len(bad)), 0) for i, _ in urls], "doc_id long, quality int, toxic int")
+    got = rows(url_filters.judge(pages, labels, rules=(), support=0.05, confidence=0.7), "page_id")
+    assert [got[1000 + i].verdict for i in range(6)] == ["block"] * 4 + ["allow"] * 2
+    assert got[1003].mined_rule == "seg=c1 seg=c2 seg=c3 seg=c4"
+
+
 def test_url_filters_without_labels_or_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
