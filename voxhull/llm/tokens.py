@@ -1,8 +1,9 @@
 """Token ids of whole texts, and the bit-packed file format that holds them (Token-ID / binary output).
 
-Encoding. A byte-level BPE cuts a text into pre-tokens and encodes each on its own, and a single blank between two
-characters that are no white space always opens a pre-token. So a text can be cut there, and each distinct piece
-needs one call of the tokenizers library for as long as a worker remembers it; ids are the library's for the whole text.
+Encoding. A byte-level BPE cuts a text into pre-tokens and encodes each on its own. At some places a pre-token opens
+whatever stands further away: at a single blank between two visible characters, at a mark behind a letter and others
+(``cuts``). So a text can be cut there, and each distinct piece is encoded by the tokenizers library once for as
+long as a worker remembers it; ids are the library's for the whole text.
 
 File format. A table of blocks, each one binary value: a header (magic, version, bits, documents, ids), the document
 ids, their running id counts (the block offsets), and the ids, each in ``bits`` bits, the fewest that hold the
@@ -15,10 +16,10 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,25 +30,58 @@ NO_ID = -(2**63)  # stands for a null document id
 HEADER = struct.Struct("<4sHHqqq")
 
 
-#: Marks that, behind an ASCII letter, open a pre-token of their own and share it with no other kind of character.
-_TAIL = "!#$%&()*+,-./:;=?@[\\]^_`{}~\""
-_TAIL_SET = frozenset(_TAIL)
-
-
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions of all spans, one after the other."""
     ends = np.cumsum(sizes)
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+_KIND = np.zeros(256, np.uint8)  # of a byte: 1 ASCII letter, 2 digit, 3 mark, 4 apostrophe, 5 blank, 6 line end, 7 of a longer character; 0: other white space and controls
+for _b in range(33, 127):
+    _KIND[_b] = 1 if chr(_b).isalpha() else 2 if chr(_b).isdigit() else 4 if chr(_b) == "'" else 3
+_KIND[32], _KIND[10], _KIND[128:] = 5, 6, 7
+_KIND = _KIND.tobytes()
+
+
+def cuts(data: bytes) -> np.ndarray:
+    """Of each byte of UTF-8, whether the regular expression of byte-level BPE surely opens a pre-token there, whatever stands further away.
+
+    Letters are those of ASCII and of U+00C0 to U+017F but for the two signs among them; longer characters that may be
+    white space are never cut at.
+    """
+    n = len(data)
+    a = np.frombuffer(data, np.uint8)
+    k = np.frombuffer(data.translate(_KIND), np.uint8)
+    out = np.zeros(n, bool)
+    if n < 2:
+        return out
+    shown = (k > 0) & (k < 5)  # visible ASCII
+    # a two-byte letter, marked at its second byte
+    pair = np.zeros(n, bool)
+    pair[1:] = (a[:-1] >= 0xC3) & (a[:-1] <= 0xC5) & ~((a[:-1] == 0xC3) & ((a[1:] == 0x97) | (a[1:] == 0xB7)))
+    opens = shown.copy()  # of a byte: a character that is surely no white space opens here
+    opens[:-1] |= pair[1:]
+    ends = shown | pair
+    letter = k == 1
+    letter_ends = letter | pair
+    mark = k == 3
+    # a blank or a line end, alone between two visible characters; what follows the line end; a mark behind a letter; a letter behind a mark
+    lone = np.zeros(n, bool)
+    lone[1:-1] = ends[:-2] & opens[2:]
+    line = (k == 6) & lone
+    out |= (k == 5) & lone
+    out |= line
+    out[1:] |= line[:-1]
+    out[1:] |= letter_ends[:-1] & (mark | (k == 4))[1:]
+    letter[:-1] |= pair[1:]
+    out[1:] |= mark[:-1] & letter[1:]
+    return out
 
 
 class _Codes(dict):
     """Pieces numbered as they are first met."""
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: bytes) -> int:
         n = self[piece] = len(self)
         return n
 
@@ -55,15 +89,16 @@ class _Codes(dict):
 class Encoder:
     """Ids of texts by a byte-level BPE file of the tokenizers library, add_special_tokens=False.
 
-    remember: pieces held in memory; beyond it those met often stay. at_once: characters of texts cut up together, unless
+    remember: pieces held in memory; beyond it those met often stay. at_once: bytes of texts cut up together, unless
     one text has more. Both change memory and speed alone.
     """
 
-    def __init__(self, path: str, remember: int = 1_000_000, at_once: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 400_000, at_once: int = 2_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.remember, self.at_once = remember, at_once
         self.vocabulary = self.tok.get_vocab_size()
         self.widths = np.zeros(self.vocabulary, np.int64)  # in the byte-level alphabet a token has a character for each byte
@@ -72,31 +107,26 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.codes, self.tails = _Codes(), {}
+        self.codes = _Codes()
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)  # of each code's ids in flat
-        self.loose = np.zeros(1 << 18, bool)  # pieces with white space at an end: no cut is safe there
+        self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)  # of each code's ids in flat
         self.hits = np.zeros(1 << 18, np.int32)
         self.n = 0
 
     def _forget(self) -> None:
         """Keep what is met often; a corpus has many words that are met once."""
-        keep = np.flatnonzero(self.hits[: self.n] >= 4)
+        keep = np.flatnonzero(self.hits[: self.n] >= 3)
         often = np.sort(keep[np.argsort(-self.hits[keep], kind="stable")[: self.remember // 2]])
-        held = list(self.codes)
-        codes, tails = _Codes(), {t: self.flat[a : a + n] for t, (a, n) in self.tails.items()}
+        held, codes = list(self.codes), _Codes()
         for i, c in enumerate(often.tolist()):
             codes[held[c]] = i
         del held
         size, ids = self.size[often], self.flat[spans(self.start[often], self.size[often])]
-        loose = self.loose[often]
         self._reset()
-        n = len(often)
-        self.start, self.size, self.loose, self.hits = (np.zeros(max(n, 1) * 2, x.dtype) for x in (self.start, self.size, self.loose, self.hits))
-        self.start[:n] = self._put(ids) + np.cumsum(size) - size
-        self.size[:n], self.loose[:n] = size, loose
-        self.codes, self.n = codes, n
-        self.tails = {t: (self._put(x), len(x)) for t, x in tails.items()}
+        self._room(len(often))
+        self.start[: len(often)] = self._put(ids) + np.cumsum(size) - size
+        self.size[: len(often)] = size
+        self.codes, self.n = codes, len(often)
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -109,131 +139,122 @@ class Encoder:
         self.used += len(ids)
         return at
 
-    def _tail(self, tail: str) -> tuple[int, int]:
-        if tail not in self.tails:
-            ids = self._ids([tail])[0]
-            self.tails[tail] = self._put(np.array(ids, np.uint32)), len(ids)
-        return self.tails[tail]
+    def _room(self, n: int) -> None:
+        if n > len(self.start):
+            more = max(n - len(self.start), len(self.start))
+            self.start, self.size, self.hits = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.start, self.size, self.hits))
 
-    def _learn(self) -> None:
-        """Hold the ids of pieces (with their leading blank, if they have one) that got codes since the last time.
+    def _learn(self, new: list[bytes]) -> None:
+        """Hold the ids of pieces that got codes since the last time.
 
-        A piece that ends in marks behind an ASCII letter has its stem's ids, then the marks'. Stems that open with
-        a blank are encoded in one call, as one text that can be cut between any two of them; as every token stands for
-        a fixed number of bytes, their lengths say which ids are whose.
+        Pieces that open with a blank are encoded together, as texts that can be cut between any two of them; as every
+        token stands for a fixed number of bytes, their lengths say which ids are whose. The others go one by one.
         """
-        codes, n = self.codes, self.n
-        new = list(islice(codes, n, None))
-        marked, stems, tails = [], [], []
-        for j, p in enumerate(new):
-            if p[-1:] in _TAIL_SET:
-                stem = p.rstrip(_TAIL)
-                last = stem[-1:]
-                if last.isascii() and last.isalpha():
-                    marked.append(j)
-                    stems.append(codes[stem])
-                    tails.append(self._tail(p[len(stem) :]))
-        new += islice(codes, n + len(new), None)  # stems met first with their marks
-        k = len(new)
-        if n + k > len(self.start):
-            grow = max(k, len(self.start))
-            self.start, self.size = (np.concatenate([x, np.zeros(grow, np.int64)]) for x in (self.start, self.size))
-            self.loose = np.concatenate([self.loose, np.zeros(grow, bool)])
-            self.hits = np.concatenate([self.hits, np.zeros(grow, np.int32)])
-        # a piece is safe to cut at if it has visible ASCII at both ends; the few others are looked at one by one
-        first, second = (code_points("".join([p[i : i + 1] or "\0" for p in new])) for i in (0, 1))
-        last = code_points("".join([p[-1:] or "\0" for p in new]))
-        blank = first == 32
-        head = np.where(blank, second, first)
-        unsure = ~((head > 32) & (head < 127) & (last > 32) & (last < 127))
-        for j in np.flatnonzero(unsure).tolist():
-            p = new[j]
-            body = p[1:] if p[:1] == " " else p
-            # conservative: whatever Python or Unicode may call a blank at either end of the piece
-            self.loose[n + j] = not body or not (body[0].isprintable() and body[-1].isprintable()) or body[0].isspace() or body[-1].isspace()
-        plain = np.ones(k, bool)
-        plain[marked] = False
-        chained = blank & ~self.loose[n : n + k] & plain
-        if chained.any():
-            text = "".join([new[j] for j in np.flatnonzero(chained).tolist()])
-            run = np.array(self._ids([text])[0], np.uint32)
-            raw = text.encode()
-            starts = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)  # a piece's one blank opens it
-            stops = np.searchsorted(np.cumsum(self.widths[run]), np.append(starts[1:], len(raw))) + 1
-            sizes = np.diff(stops, prepend=0)
-            self.start[n : n + k][chained] = self._put(run) + stops - sizes
-            self.size[n : n + k][chained] = sizes
-        alone = np.flatnonzero(plain & ~chained)
-        for j, ids in zip(alone.tolist(), self._ids([new[j] for j in alone.tolist()]) if len(alone) else []):
-            self.start[n + j], self.size[n + j] = self._put(np.array(ids, np.uint32)), len(ids)
-        if marked:
-            stem, tail = np.array(stems), np.array(tails)
-            starts = np.stack([self.start[stem], tail[:, 0]], 1).ravel()
-            sizes = np.stack([self.size[stem], tail[:, 1]], 1).ravel()
-            at = self._put(self.flat[spans(starts, sizes)])
-            both = sizes.reshape(-1, 2).sum(1)
-            self.start[n + np.array(marked)] = at + np.cumsum(both) - both
-            self.size[n + np.array(marked)] = both
+        n, k = self.n, len(new)
+        self._room(n + k)
+        sizes = np.fromiter(map(len, new), np.int64, k)
+        ends = np.cumsum(sizes)
+        data = b"".join(new)
+        safe = cuts(data)
+        begin = ends - sizes
+        blank = np.frombuffer(data, np.uint8)[begin] == 32
+        chained = blank & safe[begin]  # cut safely off what stands before it, and
+        chained[:-1] &= blank[1:] & safe[begin[1:]]  # off what follows: it has visible characters at both ends
+        chained[-1:] = False
+        alone = np.flatnonzero(~chained)
+        many = np.flatnonzero(chained)
+        for lo in range(0, len(many), 2048):
+            part = many[lo : lo + 2048]
+            run = np.array(self._ids([b"".join([new[j] for j in part.tolist()]).decode()])[0], np.uint32)
+            stops = np.searchsorted(np.cumsum(self.widths[run]), np.cumsum(sizes[part])) + 1
+            count = np.diff(stops, prepend=0)
+            self.start[n + part] = self._put(run) + stops - count
+            self.size[n + part] = count
+        if len(alone):
+            got = self._ids([new[j].decode() for j in alone.tolist()])
+            count = np.fromiter(map(len, got), np.int64, len(got))
+            self.start[n + alone] = self._put(np.concatenate([np.array(x, np.uint32) for x in got])) + np.cumsum(count) - count
+            self.size[n + alone] = count
         self.n += k
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text its ids as uint32."""
-        out: list[np.ndarray] = []
-        lo, n = 0, 0
-        for i, t in enumerate(texts):  # some texts at a time: their pieces take many times their size
-            n += len(t)
-            if n > self.at_once or i == len(texts) - 1:
-                out += self._encode(texts[lo : i + 1])
-                lo, n = i + 1, 0
-        return out
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        distinct = dict.fromkeys(texts)
-        if len(distinct) < len(texts):  # copies side by side are cut up once
-            distinct.update(zip(distinct, self._encode(list(distinct))))
-            return [distinct[t] for t in texts]
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text its ids as uint32; a null has none."""
+        flat, ends = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(flat, ends[:-1]) if len(texts) else []
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, one after the other, as uint32, and where each text's end."""
+        sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        special = np.zeros(len(texts), bool)  # the file's added tokens in a text are no matter of the regular expression
+        for t in self.special:
+            special |= pa.compute.match_substring(texts, t).fill_null(False).to_numpy(zero_copy_only=False)
+        flat, counts = [], []
+        lo, held = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            held += n
+            if held > self.at_once or i == len(sizes) - 1:
+                ids, count = self._encode(texts.slice(lo, i + 1 - lo), sizes[lo : i + 1])
+                if special[lo : i + 1].any():
+                    ids, count = self._corrected(ids, count, texts.slice(lo, i + 1 - lo), special[lo : i + 1])
+                flat.append(ids)
+                counts.append(count)
+                lo, held = i + 1, 0
+        if not flat:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        return np.concatenate(flat), np.cumsum(np.concatenate(counts))
+
+    def _encode(self, texts: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.codes) > self.remember:
             self._forget()
-        pieces, counts = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                w = t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else (" " + x if k else x for k, x in enumerate(t.split(" ")))
-                n = len(pieces)
-                pieces += w
-                counts[i] = len(pieces) - n
-        got = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+        data = b"".join([x.as_buffer() for x in texts.cast(pa.binary()) if x.is_valid]) if texts.null_count else _bytes_of(texts)
+        stops = np.cumsum(sizes)
+        opens = cuts(data)
+        opens[(stops - sizes)[sizes > 0]] = True
+        at = np.append(np.flatnonzero(opens), len(data)).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+        kind = pa.binary() if at.dtype == np.int32 else pa.large_binary()
+        pieces = pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        known = pieces.dictionary.to_pylist()
+        code = np.fromiter(map(self.codes.__getitem__, known), np.int64, len(known))
         if len(self.codes) > self.n:
-            self._learn()
-        self.hits[: self.n] += np.bincount(got, minlength=self.n).astype(np.int32)
+            fresh = np.flatnonzero(code >= self.n)
+            self._learn([known[j] for j in fresh.tolist()])
+        del known
+        which = pieces.indices.to_numpy(zero_copy_only=False)
+        self.hits[code] += np.bincount(which, minlength=len(code)).astype(np.int32)
+        got = code[which]
         lens = self.size[got]
-        ends = np.cumsum(lens)
         flat = self.flat[spans(self.start[got], lens)]
-        stops = np.concatenate(([0], np.cumsum(counts)))
-        begins = np.concatenate(([0], ends))
-        bad = np.concatenate(([0], np.cumsum(self.loose[got])))
-        out = []
-        for i, t in enumerate(texts):
-            a, b = stops[i], stops[i + 1]
-            out.append(self._careful(t, pieces[a:b], self.loose[got[a:b]]) if bad[b] > bad[a] else flat[begins[a] : begins[b]])
-        return out
+        ends = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
+        return flat, np.diff(ends[np.searchsorted(at[:-1], stops)], prepend=0)
+
+    def _corrected(self, flat: np.ndarray, count: np.ndarray, texts: pa.Array, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = np.split(flat, np.cumsum(count)[:-1])
+        for i in np.flatnonzero(special).tolist():
+            parts[i] = np.array(self._ids([texts[i].as_py()])[0], np.uint32)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+def _bytes_of(texts: pa.Array) -> bytes:
+    """The bytes of a column without nulls."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32)
+    lo, hi = at[texts.offset], at[texts.offset + len(texts)]
+    return data[int(lo) : int(hi)].to_pybytes() if data is not None else b""
+
 
-    def _careful(self, text: str, pieces: list[str], loose: np.ndarray) -> np.ndarray:
-        """A text with blanks beside white space: pieces that touch such a place are joined and encoded as one."""
-        runs, run = [], []
-        for j, p in enumerate(pieces):
-            if run and not (loose[j] or loose[j - 1]):
-                runs.append("".join(run))
-                run = []
-            run.append(p)
-        runs.append("".join(run))
-        out: list[int] = []
-        for ids in self._ids(runs):
-            out += ids
-        return np.array(out, np.uint32)
-
-
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of fewer rows: a text as a Python string takes memory beside the batch that holds it."""
+def with_end(flat: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents' ids one after the other, and where each ends: with end_id behind every document."""
+    stops = ends + np.arange(1, len(ends) + 1)
+    out = np.empty(len(flat) + len(ends), np.uint32)
+    own = np.ones(len(out), bool)
+    own[stops - 1] = False
+    out[own] = flat
+    out[stops - 1] = end_id
+    return out, stops
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: ids take memory beside the batch that holds the texts."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
@@ -274,11 +295,16 @@ def bits_for(vocabulary: int) -> int:
     return max(1, int(vocabulary - 1).bit_length())
 
 
-def write_block(doc_ids: list[int], docs: list[np.ndarray], bits: int) -> bytes:
-    ends = np.cumsum([0] + [len(d) for d in docs]).astype("<i8")
-    flat = np.concatenate(docs) if docs else np.empty(0, np.uint32)
-    head = HEADER.pack(MAGIC, VERSION, bits, len(docs), len(flat), 0)
-    return head + np.array(doc_ids, "<i8").tobytes() + ends.tobytes() + pack(flat, bits)
+def write_block(doc_ids: list[int] | np.ndarray, docs: list[np.ndarray], bits: int) -> bytes:
+    return block_of(doc_ids, np.fromiter(map(len, docs), np.int64, len(docs)), docs, bits)
+
+
+def block_of(doc_ids: list[int] | np.ndarray, lens: np.ndarray, parts: list[np.ndarray], bits: int) -> bytes:
+    """A block of documents of these lengths, whose ids are those of the parts, one after the other."""
+    ends = np.concatenate(([0], np.cumsum(lens))).astype("<i8")
+    flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+    head = HEADER.pack(MAGIC, VERSION, bits, len(lens), len(flat), 0)
+    return b"".join((head, np.asarray(doc_ids, "<i8").tobytes(), ends.tobytes(), pack(flat, bits)))
 
 
 class Block:
@@ -316,24 +342,28 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, block_ids: int = 1
 
         part, enc = TaskContext.get().partitionId(), encoder(path)
         bits, block, before = bits_for(max(enc.vocabulary, end_id + 1)), 0, 0
-        ids, held, n = [], [], 0
+        ids, lens, held, n = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"part": [part], "block": [block], "start_in_part": [before], "n_ids": [n], "data": [write_block(ids, held, bits)]}, schema=BLOCK_ARROW)
-            return out
+            data = block_of(np.concatenate(ids), np.concatenate(lens), held, bits)
+            return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "start_in_part": [before], "n_ids": [n], "data": [data]}, schema=BLOCK_ARROW)
 
-        end = np.array([end_id], np.uint32)
         for batch in slices(batches):
-            keys = values(batch, "doc_id").to_pylist()
-            for doc, got in zip(keys, enc.encode(values(batch, "text").fill_null("").to_pylist())):
-                ids.append(NO_ID if doc is None else doc)
-                held.append(np.concatenate([got, end]))
-                n += len(got) + 1
+            keys = values(batch, "doc_id").fill_null(NO_ID).to_numpy()
+            flat, ends = with_end(*enc.encode_column(values(batch, "text")), end_id)
+            at, lo = 0, 0  # documents and ids of the batch that are in blocks
+            while at < len(ends):
+                hi = min(int(np.searchsorted(ends, lo + block_ids - n)) + 1, len(ends))  # the document that fills the block is its last
+                ids.append(keys[at:hi])
+                lens.append(np.diff(ends[at:hi], prepend=lo))
+                held.append(flat[lo : ends[hi - 1]])
+                n += int(ends[hi - 1]) - lo
+                at, lo = hi, int(ends[hi - 1])
                 if n >= block_ids:
                     yield close()
                     block, before = block + 1, before + n
-                    ids, held, n = [], [], 0
-        if ids:
+                    ids, lens, held, n = [], [], [], 0
+        if n:
             yield close()
 
     n = partitions(docs.sparkSession)
