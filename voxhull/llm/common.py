@@ -10,6 +10,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,18 @@ def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, queries that run send at most so many rows to Python at once: long texts in large batches fill memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of stored() that later ones have replaced, and let Spark clear the shuffle files of what made them.
 

@@ -23,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbers, partitions, stored, trimmed, values
+from .common import numbers, partitions, rows_per_batch, stored, trimmed, values
 
 MAGIC, VERSION = b"VXTK", 1
 NO_ID = -(2**63)  # stands for a null document id
@@ -368,7 +368,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, block_ids: int = 1
 
     n = partitions(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(encode, BLOCKS), "tokens", "uncompressed")
+    with rows_per_batch(docs.sparkSession, 1000):
+        return stored(ordered.mapInArrow(encode, BLOCKS), "tokens", "uncompressed")
 
 
 BLOCK_ARROW = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("start_in_part", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
