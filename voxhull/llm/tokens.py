@@ -93,7 +93,7 @@ class Encoder:
     one text has more. Both change memory and speed alone.
     """
 
-    def __init__(self, path: str, remember: int = 400_000, at_once: int = 2_000_000):
+    def __init__(self, path: str, remember: int = 600_000, at_once: int = 4_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -253,7 +253,7 @@ def with_end(flat: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarra
     return out, stops
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Batches of fewer rows: ids take memory beside the batch that holds the texts."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
@@ -368,7 +368,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, block_ids: int = 1
 
     n = partitions(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    with rows_per_batch(docs.sparkSession, 1000):
+    with rows_per_batch(docs.sparkSession, 2000):
         return stored(ordered.mapInArrow(encode, BLOCKS), "tokens", "uncompressed")
 
 
