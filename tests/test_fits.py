@@ -22,10 +22,10 @@ def cloud(spark, n=300, seed=0, clustered=False):
     return p, spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)], "id long, x0 double, x1 double, x2 double")
 
 
-@pytest.mark.parametrize("clustered,few", [(False, 0), (True, 0), (True, 2000)])
-def test_knn_equals_brute_force(spark, clustered, few):
+@pytest.mark.parametrize("clustered,per_cell", [(False, 64), (True, 64), (True, 1)])
+def test_knn_equals_brute_force(spark, clustered, per_cell):
     p, df = cloud(spark, 200, 1, clustered)
-    got = spatial.knn(df, df.withColumnRenamed("id", "nid"), 6, same=True, few=few).toPandas()
+    got = spatial.knn(df, df.withColumnRenamed("id", "nid"), 6, same=True, per_cell=per_cell).toPandas()
     d = np.linalg.norm(p[:, None] - p[None], axis=2)
     np.fill_diagonal(d, np.inf)
     for i, g in got.groupby("id"):
@@ -37,10 +37,36 @@ def test_knn_far_queries_few_points_and_none(spark):
     _, df = cloud(spark, 3)
     far = spark.createDataFrame([(7, 50.0, 0.0, 0.0)], "id long, x0 double, x1 double, x2 double")
     right = df.withColumnRenamed("id", "nid")
-    assert spatial.knn(far, right, 5).count() == spatial.knn(far, right, 5, few=0).count() == 3
+    assert spatial.knn(far, right, 5).count() == 3
     assert spatial.knn(far, right.limit(0), 5).count() == 0 and spatial.knn(far.limit(0), right, 5).count() == 0
 
 
+def test_knn_of_points_at_one_place_takes_the_first_by_id(spark):
+    df = spark.createDataFrame([(i, 1.0, 2.0, 3.0) for i in range(50)] + [(99, 4.0, 2.0, 3.0)], "id long, x0 double, x1 double, x2 double")
+    got = spatial.knn(df, df.withColumnRenamed("id", "nid"), 2, same=True).groupBy("id").agg(F.sort_array(F.collect_list("nid")).alias("n")).collect()
+    assert {r.id: r.n for r in got} == {i: [j for j in range(3) if j != i][:2] for i in [*range(50), 99]}
+
+
+def test_knn_in_a_cluster_stays_bounded(spark):
+    p = np.random.default_rng(3).normal(size=(6000, 3)) * np.where(np.arange(6000) % 2, 1.0, 1e-3)[:, None]  # half of all points in one coarse cell
+    df = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)], "id long, x0 double, x1 double, x2 double")
+    got = spatial.knn(df, df.withColumnRenamed("id", "nid"), 3, same=True).toPandas()
+    assert len(got) == 18000
+    for i in (0, 1, 5000, 5999):
+        d = np.linalg.norm(p - p[i], axis=1)
+        d[i] = np.inf
+        assert got[got.id == i].sort_values("rank").nid.tolist() == np.argsort(d)[:3].tolist()
+
+
+def test_sphere_overlaps_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    x, r = rng.uniform(0, 4, (150, 3)), 10 ** rng.uniform(-3, 0.3, 150)
+    df = spark.createDataFrame([(i, *map(float, q), float(v)) for i, (q, v) in enumerate(zip(x, r))], "id long, x0 double, x1 double, x2 double, r double")
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if np.linalg.norm(x[i] - x[j]) < 1.1 * (r[i] + r[j])}
+    got = [(q.i, q.j) for q in spatial.sphere_overlaps(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components_and_paths(spark):
     rng = np.random.default_rng(2)
     n = 60

@@ -1,7 +1,7 @@
 """Spatial joins on a grid of cells.
 
 A point's cell is an equi-join key, so near points meet by a shuffle on cells, never by all pairs. k nearest neighbours
-search rings of cells outward, and only points whose k-th neighbour might lie outside the searched ring go on.
+search grids from fine to coarse, and only points whose k-th neighbour might lie outside the searched cells go on.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm, sub, vec
+from .storage import stored
 
 X = ("x0", "x1", "x2")
 
@@ -37,59 +38,54 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, left_id: str =
     return a.join(b, ["k0", "k1", "k2"]).select(left_id, right_id, d.alias("d")).where(F.col("d") <= radius)
 
 
-def knn(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", right_id: str = "nid", same: bool = False, few: int = 2000) -> DataFrame:
+def knn(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", right_id: str = "nid", same: bool = False, per_cell: int = 64) -> DataFrame:
     """left_id, right_id, d, rank (1 is the nearest; ties by right_id). same: a point isn't its own neighbour.
 
-    Cells are sized so that about 2 k points of ``right`` fall into one, from one aggregate. Each round searches
-    a ring twice as wide for the points that aren't settled; a point is settled once its k-th distance is within the searched ring.
-    Up to ``few`` points of ``right``, counted first, go to every task as one array instead, which takes no shuffle and no rounds.
+    Rounds on grids, each twice as coarse as the one before: a point sees the 27 cells around it and is settled once its
+    k-th neighbour is no further than a cell is wide. The first grid is so fine that no cell holds more than about ``per_cell`` * k
+    points of ``right`` (counted cell by cell, the cells are halved until that holds), so a cluster is settled among itself, and what goes on to
+    coarse cells is what is sparse at the scale before. Of points at one place the first few by right_id stand for all.
     """
-    stats = right.agg(F.count("*").alias("n"), *[F.min(x).alias(f"lo{i}") for i, x in enumerate(X)], *[F.max(x).alias(f"hi{i}") for i, x in enumerate(X)]).first()
-    n = stats.n
-    if not n:
-        return left.join(right.select(F.col(right_id), F.lit(0.0).alias("d")), F.lit(False)).select(left_id, right_id, "d", F.lit(1).alias("rank"))
-    if n <= few:
-        every = right.agg(F.collect_list(F.struct(F.col(right_id), *X)).alias("_all"))
-        p = vec(*X)
-        near = F.transform("_all", lambda b: F.struct(norm(sub(p, (b["x0"], b["x1"], b["x2"]))).alias("d"), b[right_id].alias("n")))
-        j = left.join(F.broadcast(every), F.lit(True)).select(left_id, near.alias("_near"))
-        if same:
-            j = j.select(left_id, F.filter("_near", lambda b: b["n"] != F.col(left_id)).alias("_near"))
-        top = j.select(left_id, F.posexplode(F.slice(F.array_sort("_near"), 1, k)).alias("pos", "b"))
-        return top.select(left_id, F.col("b.n").alias(right_id), F.col("b.d").alias("d"), (F.col("pos") + 1).alias("rank"))
-    sides = [max(1e-12, stats[f"hi{i}"] - stats[f"lo{i}"]) for i in range(3)]
-    span = max(sides)
-    size = max((sides[0] * sides[1] * sides[2] * 2 * k / n) ** (1 / 3), span * 1e-6)
-    need = min(k + same, n)
-    a = left.select(F.col(left_id), *[F.col(x).alias(f"a{i}") for i, x in enumerate(X)])
-    b = right.select(F.col(right_id), *[F.col(x).alias(f"b{i}") for i, x in enumerate(X)], *cell(size))
-    origin = [stats[f"lo{i}"] for i in range(3)]
-    far = a.agg(*[F.min(f"a{i}").alias(f"lo{i}") for i in range(3)], *[F.max(f"a{i}").alias(f"hi{i}") for i in range(3)]).first()
-    if far.lo0 is None:
-        return left.join(right.select(F.col(right_id), F.lit(0.0).alias("d")), F.lit(False)).select(left_id, right_id, "d", F.lit(1).alias("rank"))
-    reach = max(max(abs(far[f"hi{i}"] - origin[i]), abs(origin[i] + sides[i] - far[f"lo{i}"]), sides[i]) for i in range(3))
+    empty = left.join(right.select(F.col(right_id), F.lit(0.0).alias("d")), F.lit(False)).select(left_id, right_id, "d", F.lit(1).alias("rank"))
+    bounds = [f(x).alias(f"{n}{i}") for i, x in enumerate(X) for n, f in (("lo", F.min), ("hi", F.max))]
+    here, there = right.agg(F.count("*").alias("n"), *bounds).first(), left.agg(*bounds).first()
+    if not here.n or there.lo0 is None:
+        return empty
+    need = min(k + same, here.n)
+    place = Window.partitionBy("b0", "b1", "b2").orderBy(right_id)
+    b = right.select(F.col(right_id), *[F.col(x).alias(f"b{i}") for i, x in enumerate(X)])
+    b = stored(b.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= need).drop("_n"))
+    origin = [here[f"lo{i}"] for i in range(3)]
+    sides = [here[f"hi{i}"] - origin[i] for i in range(3)]
+    span = max(max(sides), 1e-12)
+    reach = max(max(abs(there[f"hi{i}"] - origin[i]), abs(here[f"hi{i}"] - there[f"lo{i}"]), sides[i]) for i in range(3))
+    size, least = max((sides[0] * sides[1] * sides[2] * need / (1.5 * here.n)) ** (1 / 3), span * 2.0**-10), span * 2.0**-24
+    cells = lambda p, size: [F.floor((F.col(f"{p}{i}") - origin[i]) / size).cast("long").alias(f"k{i}") for i in range(3)]
+    while size > least and b.groupBy(*cells("b", size)).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n > per_cell * max(1, need):
+        size /= 2
+    todo = left.select(F.col(left_id), *[F.col(x).alias(f"a{i}") for i, x in enumerate(X)])
+    d = norm(sub(vec("a0", "a1", "a2"), vec("b0", "b1", "b2")))
     w = Window.partitionBy(left_id).orderBy("d", right_id)
-    rounds, ring, todo = [], 1, a
+    rounds = []
     while True:
-        probe = todo.select("*", *[F.floor(F.col(f"a{i}") / size).cast("long").alias(f"k{i}") for i in range(3)])
-        last = ring * size >= reach + size
+        last = size >= reach
+        probe = todo.select("*", *cells("a", size))
         for i in range(3):
-            lo, hi = int(origin[i] // size), int((origin[i] + sides[i]) // size)
-            probe = probe.withColumn(f"k{i}", F.explode(_around(f"k{i}", ring, lo, hi)))
-        d = norm(sub(vec("a0", "a1", "a2"), vec("b0", "b1", "b2")))
-        near = probe.join(b, ["k0", "k1", "k2"]).select(left_id, "a0", "a1", "a2", right_id, d.alias("d"))
+            probe = probe.withColumn(f"k{i}", F.explode(_around(f"k{i}", 1, -1, int(sides[i] // size) + 1)))
+        near = probe.join(b.select("*", *cells("b", size)), ["k0", "k1", "k2"]).select(left_id, right_id, d.alias("d"))
         top = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= need)
         if last:
             rounds.append(top.select(left_id, right_id, "d"))
             break
-        held = top.groupBy(left_id).agg(F.count("*").alias("n"), F.max("d").alias("worst"))
-        sure = held.where((F.col("n") >= need) & (F.col("worst") <= ring * size)).select(left_id)
-        done = top.join(sure, left_id, "left_semi").select(left_id, right_id, "d").persist()
-        rounds.append(done)
-        todo = todo.join(done.select(left_id).distinct(), left_id, "left_anti")
+        # a row for each point, settled or not
+        held = top.groupBy(left_id).agg(F.collect_list(F.struct(right_id, "d")).alias("near"), F.max("d").alias("worst"), F.count("*").alias("n"))
+        settled = (F.col("n") >= need) & (F.col("worst") <= size)
+        found = stored(todo.join(held, left_id, "left").withColumn("settled", F.coalesce(settled, F.lit(False))))
+        rounds.append(found.where("settled").select(left_id, F.explode("near").alias("e")).select(left_id, f"e.{right_id}", "e.d"))
+        todo = found.where("not settled").select(left_id, "a0", "a1", "a2")
         if todo.limit(1).count() == 0:
             break
-        ring *= 2
+        size *= 2
     out = rounds[0]
     for r in rounds[1:]:
         out = out.unionByName(r)
@@ -115,14 +111,23 @@ def local_maxima(points: DataFrame, value: str, k: int, key: str = "id") -> Data
 def sphere_overlaps(spheres: DataFrame, factor: float = 1.1) -> DataFrame:
     """I < j of spheres(id, x0, x1, x2, r) nearer than factor * (r_i + r_j).
 
-    Cells are as wide as the largest reach, so the pairs are an equi-join with a filter, not all pairs.
+    Spheres are classed by the power of two of their radius. Of a pair the larger one's class says how wide cells are, so a
+    large sphere meets small ones in wide cells and small ones meet each other in narrow ones. The driver sees the classes alone.
     """
-    widest = spheres.agg(F.max("r").alias("r")).first().r or 1.0
-    other = spheres.select(F.col("id").alias("nid"), *X)
-    pairs = radius_join(spheres, other, 2 * factor * widest).where("id < nid")
-    r = spheres.select("id", "r")
-    j = pairs.join(r, "id").join(r.select(F.col("id").alias("nid"), F.col("r").alias("nr")), "nid")
-    return j.where(F.col("d") < factor * (F.col("r") + F.col("nr"))).select(F.col("id").alias("i"), F.col("nid").alias("j"), "d")
+    s = spheres.select("id", *X, "r", F.floor(F.log2(F.greatest(F.col("r"), F.lit(1e-300)))).cast("int").alias("c"))
+    classes = sorted(r.c for r in s.select("c").distinct().collect())  # at most as many as a double has exponents
+    width = F.pow(F.lit(2.0), F.col("g") + 2) * factor  # no less than the reach of a pair whose larger one is of class g
+    cells = [F.floor(F.col(x) / width).cast("long").alias(f"k{i}") for i, x in enumerate(X)]
+    levels = F.filter(F.array(*[F.lit(c) for c in classes]), lambda c: c >= F.col("c")) if classes else F.array().cast("array<int>")
+    small = s.select("*", F.explode(levels).alias("g")).select("g", *cells, *[F.col(c).alias(f"s_{c}") for c in ("id", "r", "c", *X)])
+    large = s.withColumn("g", F.col("c")).select("*", *cells)
+    for i in range(3):
+        large = large.withColumn(f"k{i}", F.explode(_around(f"k{i}", 1)))
+    d = norm(sub(vec(*X), vec(*[f"s_{x}" for x in X])))
+    once = (F.col("s_c") < F.col("c")) | (F.col("s_id") < F.col("id"))  # of equal classes either one is the larger
+    pairs = large.join(small, ["g", "k0", "k1", "k2"]).where(once & (F.col("id") != F.col("s_id")))
+    pairs = pairs.select(F.least("id", "s_id").alias("i"), F.greatest("id", "s_id").alias("j"), d.alias("d"), (F.col("r") + F.col("s_r")).alias("rr"))
+    return pairs.where(F.col("d") < F.col("rr") * factor).select("i", "j", "d")
 
 
 def without_slabs(points: DataFrame, surface: DataFrame, slab_distance: Column, tolerance: float = 0.005) -> DataFrame:
