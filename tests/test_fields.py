@@ -116,6 +116,14 @@ def test_harmonics_are_orthonormal(spark):
     assert np.allclose(np.diag(m), [1.0 if k == 0 else 0.5 for _, k in names], atol=1e-9)
 
 
+def test_hybrid_matrix_equals_the_columns(spark):
+    names = harmonics.hybrid_names(2, 3, 1)
+    x = np.vstack([np.random.default_rng(0).normal(size=(20, 3)), np.zeros(3), [0, 0, 2.0], [0, 0, -2.0]])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, x0 double, x1 double, x2 double")
+    want = df.select("id", *[harmonics.hybrid_feature(vec("x0", "x1", "x2"), n).alias(f"f{i}") for i, n in enumerate(names)]).orderBy("id").toPandas().to_numpy()[:, 1:]
+    assert np.allclose(harmonics.hybrid_matrix(x, names), want, atol=1e-9)
+
+
 def test_hybrid_basis_drops_one_constant():
     assert len(harmonics.hybrid_names(2, 2, 1)) == 10 + 2 * 9 - 1
 

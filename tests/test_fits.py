@@ -235,6 +235,65 @@ def test_balloon_finds_the_sphere(spark):
     assert np.allclose(e.terms[2, 0, 0], e.terms[0, 2, 0], rtol=0.05)
 
 
+def test_gram_of_a_high_degree(spark):
+    s = sample(spark, TERMS, 500)
+    g, b, yy, n = fit.gram(s, fit.Design.polynomial(vec(*X), 10), F.col("y"))
+    assert g.shape == (286, 286) and n == 500 and fit.loss(g, b, yy, n, fit.least_squares(g, b)) < 1e-6
+    few = fit.gram(s, poly.features(vec(*X), 3), F.col("y"))
+    assert np.allclose(g[:20, :20], few[0]) and np.allclose(b[:20], few[1])
+
+
+def test_curvature_and_its_derivatives():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(6, 3))
+    powers = np.array(poly.exponents(2))
+    sphere = poly.to_coefficients(poly.sphere_terms(2, 1.0), 2)
+    d = fit.derivative_matrices(x, powers)
+    h, by = fit.curvature([m @ sphere for m in d])
+    assert np.allclose(h, 1 / np.linalg.norm(x, axis=1), atol=1e-6)
+    a = sphere + rng.normal(size=10) * 0.1
+    h, by = fit.curvature([m @ a for m in d])
+    jacobian = sum(b[:, None] * m for b, m in zip(by, d))
+    for k in range(10):
+        step = np.zeros(10)
+        step[k] = 1e-6
+        up, down = (fit.curvature([m @ (a + sign * step) for m in d])[0] for sign in (1, -1))
+        assert np.allclose((up - down) / 2e-6, jacobian[:, k], atol=1e-4)
+
+
+def test_balloon_with_curvature(spark):
+    v, f = meshes.icosphere(spark, 2)
+    e = pipelines.compile_balloon(v, f, pipelines.BalloonConfig(n_surface=600, n_volume=50, curvature_weight=0.01, newton_steps=5))
+    assert e.degree == 2 and e.rmse < 2e-2
+
+
+def test_patches_merge_to_the_sphere_by_either_blend(spark):
+    v, f = meshes.icosphere(spark, 3)
+    x = np.random.default_rng(0).normal(size=(300, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for merge in ("polynomial", "partition_of_unity"):
+        e, merges = pipelines.compile_mesh(v, f, pipelines.PatchConfig(n_seeds=6, degree=4, resolution=8, merge=merge))
+        assert sum(len(level) for level in merges) == 5
+        r = np.linspace(0.5, 1.5, 401)
+        values = e((x[:, None, :] * r[None, :, None]).reshape(-1, 3)).reshape(300, 401)
+        turn = np.abs(values).argmin(1)
+        assert 0.85 < r[turn].mean() < 1.15
+
+
+class Spheres:
+    """A backend of one's own: every patch is the unit sphere."""
+
+    def fit_patches(self, samples, config):
+        alphas = poly.to_coefficients(poly.sphere_terms(2, 1.0), config.degree)
+        return samples.select("pid").distinct().select("pid", F.array(*[F.lit(float(a)) for a in alphas]).alias("alphas"), F.lit(0.0).alias("rmse"))
+
+
+def test_patches_by_a_backend_of_ones_own(spark):
+    v, f = meshes.icosphere(spark, 2)
+    e, _ = pipelines.compile_mesh(v, f, pipelines.PatchConfig(n_seeds=2, degree=2, backend=Spheres()))
+    assert abs(e(np.array([[1.0, 0.0, 0.0]]))[0]) < 0.1
+
+
 def test_patch_pipeline_finds_the_sphere(spark):
     v, f = meshes.icosphere(spark, 2)
     with pytest.raises(ValueError):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +61,36 @@ def hybrid_feature(p: Vec, name: str) -> Column:
     return poly.monomial(p, poly.parse(name))
 
 
+def hybrid_matrix(x: np.ndarray, names: Sequence[str]) -> np.ndarray:
+    """hybrid_feature's values in numpy for points x: a row a point, a column a name. Each Legendre function is built up once."""
+    r = np.maximum(np.sqrt((x * x).sum(1)), 1e-10)
+    cos = (x[:, 2] / r).clip(-1, 1)
+    sin, phi = np.sqrt(1 - cos * cos), np.arctan2(x[:, 1], x[:, 0])
+    held: dict[tuple[int, int], np.ndarray] = {}
+
+    def of(l: int, m: int) -> np.ndarray:
+        if (l, m) not in held:
+            if l == m:
+                held[l, m] = np.ones(len(x)) if not m else of(m - 1, m - 1) * sin * -(2.0 * m - 1)
+            else:
+                before = of(l - 2, m) if l > m + 1 else 0.0
+                held[l, m] = (cos * (2.0 * l - 1) * of(l - 1, m) - (l + m - 1.0) * before) / (l - m)
+        return held[l, m]
+
+    out = np.empty((len(x), len(names)))
+    for i, name in enumerate(names):
+        if name.startswith("r^"):
+            k, lm = name[2:].split("*Y_")
+            l, m = map(int, lm.split("^"))
+            n = abs(m)
+            scale = math.sqrt((2 * l + 1) / (4 * math.pi) * math.factorial(l - n) / math.factorial(l + n))
+            turn = np.cos(n * phi) if m >= 0 else np.sin(n * phi) * -((-1) ** n)
+            out[:, i] = r ** int(k) * scale * of(l, n) * turn
+        else:
+            out[:, i] = (x ** np.array(poly.parse(name))).prod(1)
+    return out
+
+
 def hybrid_evaluate(p: Vec, coefficients: Mapping[str, float], least: float = 1e-4) -> Column:
     """The sum over features by name, without negligible coefficients. Keyed by name, so growing a basis keeps them aligned."""
     out = F.lit(0.0)

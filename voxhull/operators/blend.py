@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+
 import warnings
 from collections.abc import Mapping, Sequence
 
@@ -73,7 +73,7 @@ def residual_merge(samples: DataFrame, terms: poly.Terms, degree: int = 4, done:
         rest = samples.withColumn("y", F.col("y") - poly.evaluate(p, terms))
         terms = poly.plus(terms, fit.fit_polynomial(rest, degree)["terms"])
         tried.append((error(terms), dict(terms)))
-    refitted = fit.refit_terms(samples, terms, limit=math.inf)
+    refitted = fit.refit_terms(samples, terms)
     tried.append((error(refitted), refitted))
     best = min(tried, key=lambda t: t[0])
     return best[1], best[0]

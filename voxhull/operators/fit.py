@@ -1,42 +1,118 @@
-"""Fits on Gram matrices.
+"""Fits on Gram matrices.
 
-Least squares in all its forms needs sums of products of features only: one partial aggregate over the rows gives a
-small matrix, and the driver solves. No row leaves its executor.
+Least squares in all its forms needs sums of products of features only. Each task multiplies its rows' feature matrix with
+itself, batch by batch; the tasks' matrices are added up block by block in a shuffle, and the driver solves. No row
+leaves its executor, and a polynomial's features are made where they are multiplied: only coordinates travel to Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import poly
 from ..functions.vectors import Vec, vec
+from . import spatial
 
+BLOCK = 64  # rows of a matrix that travel together
+ROWS = 4096  # rows whose features are held at a time
+SUMS = "g long, block int, n long, data binary"
+_SUMS = pa.schema([("g", pa.int64()), ("block", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 
-def gram(rows: DataFrame, features: Sequence[Column], y: Column, by: Column | None = None):
-    """(G, b, yy, n) with G = sum of f f', b = sum of f y; a dict of these by the group where ``by`` is given.
 
-    The features are materialised once in a projection; the triangle of sums is one aggregate.
+@dataclass(frozen=True)
+class Design:
+    """Features of a fit: Columns, and what makes a matrix of features, rows by ``size``, of their values."""
+
+    columns: tuple[Column, ...]
+    size: int
+    matrix: Callable[[np.ndarray], np.ndarray]
+
+    @staticmethod
+    def of(features: Sequence[Column] | Design) -> Design:
+        return features if isinstance(features, Design) else Design(tuple(features), len(features), lambda x: x)
+
+    @staticmethod
+    def polynomial(p: Vec, degree: int) -> Design:
+        """The monomials of poly.exponents(degree)."""
+        powers = np.array(poly.exponents(degree))
+        return Design(tuple(p), len(powers), lambda x: monomials(x, powers))
+
+
+def monomials(x: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """x, a row a point, to the powers, a row a monomial."""
+    out = np.ones((len(x), len(powers)))
+    for i in range(x.shape[1]):
+        ladder = np.cumprod(np.column_stack([np.ones(len(x)), *[x[:, i]] * int(powers[:, i].max(initial=0))]), axis=1)
+        out *= ladder[:, powers[:, i]]
+    return out
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of one group's blocks, one at a time."""
+    total, n, first = None, 0, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part = np.frombuffer(batch.column(3)[i].as_py())
+            total = part.copy() if total is None else total + part
+            n += batch.column(2)[i].as_py()
+            first = first or (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+    yield pa.RecordBatch.from_arrays([pa.array([first[0]], pa.int64()), pa.array([first[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], schema=_SUMS)
+
+
+def summed(rows: DataFrame, width: int, part: Callable[[np.ndarray], Iterator[tuple[int, np.ndarray, int]]]) -> dict[int, tuple[np.ndarray, int]]:
+    """Sums of matrices with ``width`` columns by group: part(values) yields (group, matrix, count) of some rows' values.
+
+    rows: columns of doubles; rows with a null are left out. A task adds up its own, so what is shuffled is one matrix a task and
+    group, in blocks of rows, and one task adds up one block.
     """
-    k = len(features)
-    flat = rows.select(*[f.alias(f"_f{i}") for i, f in enumerate(features)], y.cast("double").alias("_y"), *([by.alias("_g")] if by is not None else []))
-    sums = [F.sum(F.col(f"_f{i}") * F.col(f"_f{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
-    sums += [F.sum(F.col(f"_f{i}") * F.col("_y")).alias(f"b{i}") for i in range(k)]
-    sums += [F.sum(F.col("_y") * F.col("_y")).alias("yy"), F.count("*").alias("n")]
-
-    def unpack(r) -> tuple[np.ndarray, np.ndarray, float, int]:
-        g = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                g[i, j] = g[j, i] = r[f"s{i}_{j}"] or 0.0
-        return g, np.array([r[f"b{i}"] or 0.0 for i in range(k)]), r["yy"] or 0.0, r["n"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            x = x[~np.isnan(x).any(axis=1)]
+            for lo in range(0, len(x), ROWS):
+                for g, m, n in part(x[lo : lo + ROWS]):
+                    sums[g] = m if g not in sums else sums[g] + m
+                    counts[g] = counts.get(g, 0) + n
+        for g, m in sums.items():
+            for lo in range(0, len(m), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([lo], pa.int32()), pa.array([0 if lo else counts[g]], pa.int64()), pa.array([m[lo : lo + BLOCK].tobytes()], pa.binary())], schema=_SUMS)
+
+    total = rows.mapInArrow(run, SUMS).groupBy("g", "block").applyInArrow(_added, SUMS).toArrow().sort_by([("g", "ascending"), ("block", "ascending")])
+    out: dict[int, tuple[np.ndarray, int]] = {}
+    for g in dict.fromkeys(total["g"].to_pylist()):
+        at = [i for i, x in enumerate(total["g"].to_pylist()) if x == g]
+        out[g] = np.concatenate([np.frombuffer(total["data"][i].as_py()).reshape(-1, width) for i in at]), sum(total["n"][i].as_py() for i in at)
+    return out
+
+
+def gram(rows: DataFrame, features: Sequence[Column] | Design, y: Column, by: Column | None = None):
+    """(G, b, yy, n) with G = sum of f f', b = sum of f y; a dict of these by the group (a whole number) where ``by`` is given.
+
+    Rows with a null or NaN among them don't count.
+    """
+    design = Design.of(features)
+    k, matrix = design.size, design.matrix
+    flat = rows.select(*[c.cast("double").alias(f"_c{i}") for i, c in enumerate(design.columns)], y.cast("double").alias("_y"), (F.lit(0.0) if by is None else by.cast("double")).alias("_g"))
+
+    def part(x: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        z = np.column_stack([matrix(x[:, :-2]), x[:, -2]])
+        for g in np.unique(x[:, -1]):
+            own = z[x[:, -1] == g]
+            yield int(g), own.T @ own, len(own)
+
+    got = {g: (m[:k, :k], m[:k, k], float(m[k, k]), n) for g, (m, n) in summed(flat, k + 1, part).items()}
     if by is None:
-        return unpack(flat.agg(*sums).first())
-    return {r["_g"]: unpack(r) for r in flat.groupBy("_g").agg(*sums).collect()}  # by: a few folds or regions
+        return got.get(0, (np.zeros((k, k)), np.zeros(k), 0.0, 0))
+    return got  # by: a few folds or regions
 
 
 def least_squares(g: np.ndarray, b: np.ndarray, ridge: float = 0.0) -> np.ndarray:
@@ -130,7 +206,7 @@ def fit_polynomial(samples: DataFrame, degree: int = 4, start: np.ndarray | None
     scale = normalize_points(samples).select("scale").first().scale
     p = tuple((F.col(f"x{i}") - center[i]) / scale for i in range(3))
     k = folds if samples.limit(2 * folds).count() == 2 * folds else 1
-    sums = gram(samples, poly.features(p, degree), F.col("y"), F.pmod(F.xxhash64(order), F.lit(k)))
+    sums = gram(samples, Design.polynomial(p, degree), F.col("y"), F.pmod(F.xxhash64(order), F.lit(k)))
     g, b, yy, n = (sum(f[i] for f in sums.values()) for i in range(4))
     alphas, lam = lasso_cv(sums, start) if len(sums) > 1 else (least_squares(g, b), 0.0)
     alphas = refit_support(g, b, alphas)
@@ -153,36 +229,109 @@ def refit_terms(samples: DataFrame, terms: poly.Terms, limit: float = 20.0) -> p
     return fixed | dict(zip(free, least_squares(g, b).tolist()))
 
 
-def sign_hinge_fit(samples: DataFrame, features: Sequence[Column], alphas: np.ndarray, steps: int = 50, rate: float = 1.0, sign_weight: float = 1.0, ridge: float = 1e-5) -> tuple[np.ndarray, list[float]]:
-    """Mean f^2 on the surface (y = 0) + sign_weight * mean relu(-f sign y)^2 off it + ridge |a|^2.
+def curvature(d: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The mean curvature of level sets from the derivatives x, y, z, xx, yy, zz, xy, xz, yz, and its derivatives by each of these."""
+    gx, gy, gz, xx, yy, zz, xy, xz, yz = d
+    m2 = gx * gx + gy * gy + gz * gz + 1e-8
+    m = np.sqrt(m2)
+    trace = xx + yy + zz
+    along = gx * gx * xx + gy * gy * yy + gz * gz * zz + 2 * (gx * gy * xy + gx * gz * xz + gy * gz * yz)
+    top, low = m2 * trace - along, 2 * (m2 * m + 1e-8)
+    by_first = []
+    for g, row in ((gx, (xx, xy, xz)), (gy, (xy, yy, yz)), (gz, (xz, yz, zz))):
+        dtop = 2 * g * trace - 2 * (row[0] * gx + row[1] * gy + row[2] * gz)
+        by_first.append((dtop * low - top * 6 * m * g) / (low * low))
+    second = [(m2 - g * g) / low for g in (gx, gy, gz)] + [-2 * a * b / low for a, b in ((gx, gy), (gx, gz), (gy, gz))]
+    return top / low, by_first + second
+
+
+def derivative_matrices(x: np.ndarray, powers: np.ndarray) -> list[np.ndarray]:
+    """The features' derivatives in the order of curvature()."""
+
+    def by(axes: Sequence[int]) -> np.ndarray:
+        q, c = powers.copy(), np.ones(len(powers))
+        for a in axes:
+            c = c * q[:, a]
+            q[:, a] = np.maximum(q[:, a] - 1, 0)
+        return monomials(x, q) * c
+
+    return [by(a) for a in ((0,), (1,), (2,), (0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))]
 
-    A row on its right side adds nothing, so the loss is a least squares over the rows that are on the surface or on the wrong
-    side. Each step aggregates these rows' Gram matrix at the current coefficients and takes a damped Newton step that keeps the coefficients' length, which rules out the zero field. One job a step.
+
+def hinge_sums(samples: DataFrame, design: Design, alphas: np.ndarray, counts: tuple[int, int], sign_weight: float = 1.0, curved: float = 0.0, powers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """One step's sums of the loss of sign_hinge_fit at the coefficients: (J'J, J'r, r'r) over its residuals r. samples(_c..., _s, _h); one job.
+
+    The curvature term, where curved > 0, is that of surface rows with a target _h (NaN: none); it needs a polynomial's powers.
     """
-    k = len(features)
-    flat = samples.select(*[f.alias(f"_f{i}") for i, f in enumerate(features)], F.signum("y").alias("_s")).persist()
+    on, off = (max(1, n) for n in counts)
+    k, matrix = design.size, design.matrix
+
+    def part(x: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        f, sign, target = matrix(x[:, :-2]), x[:, -2], x[:, -1]
+        value = f @ alphas
+        weight = np.where(sign == 0, 1.0 / on, np.where(value * sign < 0, sign_weight / off, 0.0))
+        use = weight > 0
+        j, r, w = f[use], value[use], weight[use]
+        z = np.column_stack([j, r]) * np.sqrt(w)[:, None]
+        out = z.T @ z
+        bent = (sign == 0) & (target < NO_TARGET) if curved and powers is not None else np.zeros(len(x), bool)
+        if bent.any():
+            d = derivative_matrices(x[bent][:, :-2], powers)
+            h, by = curvature([m @ alphas for m in d])
+            z = np.column_stack([sum(b[:, None] * m for b, m in zip(by, d)), h - target[bent]]) * np.sqrt(curved / on)
+            out = out + z.T @ z
+        yield 0, out, len(x)
+
+    m = summed(samples, k + 1, part).get(0, (np.zeros((k + 1, k + 1)), 0))[0]
+    return m[:k, :k], m[:k, k], float(m[k, k])
+
+
+NO_TARGET = 1e300
+
+
+def sign_hinge_fit(samples: DataFrame, features: Sequence[Column] | Design, alphas: np.ndarray, steps: int = 50, rate: float = 1.0, sign_weight: float = 1.0, ridge: float = 1e-5, curved: float = 0.0, target: str | None = None, degree: int | None = None) -> tuple[np.ndarray, list[float]]:
+    """Mean f^2 on the surface (y = 0) + sign_weight * mean relu(-f sign y)^2 off it + curved * mean (curvature - target)^2 + ridge |a|^2.
+
+    A row on its right side adds nothing. Each step aggregates the residuals' sums at the current coefficients (one job, whatever the
+    number of rows) and takes a damped Gauss-Newton step that keeps the coefficients' length, which rules out the zero field.
+    curved, target, degree: the curvature term is for polynomial features of that degree with a column of targets, null where there is none.
+    """
+    from .storage import stored
+
+    design = Design.of(features)
+    powers = np.array(poly.exponents(degree)) if degree is not None else None
+    h = F.lit(NO_TARGET) if target is None else F.coalesce(F.col(target).cast("double"), F.lit(NO_TARGET))
+    flat = stored(samples.select(*[c.cast("double").alias(f"_c{i}") for i, c in enumerate(design.columns)], F.signum("y").alias("_s"), h.alias("_h")))
     counts = flat.agg(F.sum((F.col("_s") == 0).cast("int")).alias("on"), F.sum((F.col("_s") != 0).cast("int")).alias("off")).first()
     a, length, seen = alphas.astype(float).copy(), float(np.linalg.norm(alphas)), []
+    best, low, damping = a, np.inf, 1e-3
     for _ in range(steps):
-        value = F.lit(0.0)
-        for i, c in enumerate(a):
-            if c:
-                value = value + F.col(f"_f{i}") * float(c)
-        weight = F.when(F.col("_s") == 0, 1.0 / max(1, counts.on or 0)).when(value * F.col("_s") < 0, sign_weight / max(1, counts.off or 0)).otherwise(0.0)
-        row = flat.withColumn("_w", weight).where("_w > 0").agg(*[F.sum(F.col("_w") * F.col(f"_f{i}") * F.col(f"_f{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-        g = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                g[i, j] = g[j, i] = row[f"s{i}_{j}"] or 0.0
-        seen.append(float(a @ g @ a + ridge * a @ a))
-        if len(seen) > 1 and abs(seen[-2] - seen[-1]) <= 1e-9 * max(1e-12, seen[-2]):
-            break
-        step = np.linalg.solve(g + (ridge + 1e-3 * np.trace(g) / k) * np.eye(k), (g + ridge * np.eye(k)) @ a)
-        new = a - 0.5 * rate * step
+        g, r, now = hinge_sums(flat, design, a, (counts.on or 0, counts.off or 0), sign_weight, curved, powers)
+        value = now + ridge * float(a @ a)
+        seen.append(min(value, low))
+        if value < low:
+            done = low - value <= 1e-9 * max(1e-12, low) if np.isfinite(low) else False
+            best, low, damping = a, value, max(damping / 3, 1e-9)
+            top, slope = g, r + ridge * a
+            if done:
+                break
+        else:  # a step too far: back, and shorter
+            a, damping = best, damping * 10
+            if damping > 1e6:
+                break
+        scale = max(float(np.trace(top)) / len(a), 1e-300)
+        new = best - rate * np.linalg.solve(top + (ridge + damping * scale) * np.eye(len(a)), slope)
         norm = np.linalg.norm(new)
-        a = new * (length / norm) if norm > 0 else a
-    flat.unpersist()
-    return a, seen
+        a = new * (length / norm) if norm > 0 else best
+    return best, seen
+
+
+def nearest_curvature(surface: DataFrame, vertices: DataFrame, value: str, key: str = "pt_id") -> DataFrame:
+    """Key, target: at each surface point the value of the nearest of vertices(vid, x0..x2, value), divided by all points' standard deviation."""
+    near = spatial.nearest(surface.select(F.col(key).alias("id"), "x0", "x1", "x2"), vertices.select(F.col("vid").alias("nid"), "x0", "x1", "x2"))
+    got = near.join(vertices.select(F.col("vid").alias("nid"), F.col(value).alias("v")), "nid")
+    spread = got.agg(F.stddev_pop("v").alias("s"))  # one row
+    return got.join(F.broadcast(spread), F.lit(True)).select(F.col("id").alias(key), (F.col("v") / (F.col("s") + 1e-8)).alias("target"))
 
 
 # ------------------------------------------------------------------------------------ shapes of point groups

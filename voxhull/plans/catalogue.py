@@ -630,6 +630,25 @@ def gram_matrix(spark, sf_dir):
     return spark.createDataFrame(rows, "i int, j int, g double").select("i", "j", r("g").alias("g"))
 
 
+_SLOPES = (0.1, 1.0, -0.5, 0.25)
+_FS = "(" + " + ".join(f"{a!r} * {f}" for a, f in zip(_SLOPES, _F1)) + ")"
+_WS = f"CASE WHEN s = 0 THEN 1.0 / greatest((SELECT sum(CAST(s = 0 AS INT)) FROM v), 1) WHEN {_FS} * s < 0 THEN 1.0 / greatest((SELECT sum(CAST(s <> 0 AS INT)) FROM v), 1) ELSE 0 END"
+
+
+@query(f"{WITH}, v AS (SELECT *, CASE WHEN id % 3 = 0 THEN 0 ELSE sign(x0 - x1) END AS s FROM pts), w AS (SELECT *, {_FS} AS f, {_WS} AS w FROM v) " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {R(f'sum(w * {_F1[i]} * {_F1[j]})')} AS g FROM w" for i in range(4) for j in range(i, 4)) + " UNION ALL " + " UNION ALL ".join(f"SELECT {i} AS i, -1 AS j, {R(f'sum(w * {_F1[i]} * f)')} AS g FROM w" for i in range(4)) + f" UNION ALL SELECT -1, -1, {R('sum(w * f * f)')} FROM w")
+def sign_hinge_step(spark, sf_dir):
+    """The sums of one step of the surface and sign loss; every third point is on the surface."""
+    import numpy as np
+
+    design = fit.Design.polynomial(X, 1)
+    p = pts(spark, sf_dir)
+    s = p.select(*[F.col(f"x{i}").alias(f"_c{i}") for i in range(3)], F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.signum(F.col("x0") - F.col("x1"))).alias("_s"), F.lit(fit.NO_TARGET).alias("_h"))
+    n = s.agg(F.sum((F.col("_s") == 0).cast("int")).alias("on"), F.sum((F.col("_s") != 0).cast("int")).alias("off")).first()
+    g, b, loss = fit.hinge_sums(s, design, np.array(_SLOPES), (n.on, n.off))
+    rows = [(i, j, float(g[i, j])) for i in range(4) for j in range(i, 4)] + [(i, -1, float(b[i])) for i in range(4)] + [(-1, -1, loss)]
+    return spark.createDataFrame(rows, "i int, j int, g double").select("i", "j", r("g").alias("g"))
+
+
 def _det(m):
     return f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
 
@@ -865,7 +884,7 @@ def gpr_predict(spark, sf_dir):
 @query()
 def hybrid_fit(spark, sf_dir):
     v, f = meshes.icosphere(spark, 1)
-    h = pipelines.compile_hybrid(v, f, pipelines.HybridConfig(n_surface=500, n_volume=50, degree=2, most_features=8))
+    h = pipelines.compile_hybrid(v, f, pipelines.HybridConfig(n_surface=500, n_volume=50, degree=2, l_max=2, r_max=1, last_l=4, last_r=2, most_features=8, newton_steps=5))
     return spark.createDataFrame(sorted(h["coefficients"].items()), "name string, c double")
 
 
@@ -875,6 +894,17 @@ def network_field(spark, sf_dir):
     return network.predict(pts(spark, sf_dir).select("id", "x0", "x1", "x2"), layers)
 
 
+_J10 = f"SELECT a.id, b.label AS v, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS k FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1"
+
+
+@query(f"{WITH}, n AS ({_J10}) SELECT id AS pt_id, {R('v / ((SELECT stddev_pop(v) FROM n WHERE k = 1) + 1e-8)')} AS target FROM n WHERE k = 1")
+def mesh_curvature_nearest(spark, sf_dir):
+    """The value of the nearest vertex, scaled by all values' deviation; the odd points are the vertices."""
+    p = pts(spark, sf_dir)
+    v = p.where("id % 2 = 1").select(F.col("id").alias("vid"), "x0", "x1", "x2", F.col("label").cast("double").alias("curvature"))
+    return fit.nearest_curvature(p.where("id % 2 = 0").withColumnRenamed("id", "pt_id"), v, "curvature").select("pt_id", r("target").alias("target"))
+
+
 @query(f"{WITH}, n AS (SELECT a.id, {sql_poly(TERMS).replace('x0', 'b.x0').replace('x1', 'b.x1').replace('x2', 'b.x2')} AS y, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS k FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1) SELECT id, {R('sum(y / greatest(d, 1e-12)) / sum(1 / greatest(d, 1e-12))')} AS value FROM n WHERE k <= 5 GROUP BY id")
 def knn_regression(spark, sf_dir):
     s = _labelled(spark, sf_dir)
