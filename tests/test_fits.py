@@ -225,7 +225,23 @@ def test_greedy_cover_explains_a_sphere(spark):
     log = []
     got = greedy.greedy_cover(surface, voxels, largest=2.0, k=5, most=2, log=log)
     assert got[0]["type"] == "sphere" and abs(got[0]["radius"] - 0.9) < 1e-9 and log[0] == 1.0 and len(got) == 1
-    assert greedy.propose_capsule(np.zeros(3), 1.0, np.zeros((2, 3)), 1.0) is None
+
+
+def test_capsules_lie_along_their_surroundings(spark):
+    rng = np.random.default_rng(1)
+    rod = np.column_stack([rng.uniform(-1, 1, 400), rng.normal(size=(400, 2)) * 0.02])
+    near = np.vstack([rod, rng.normal(size=(3, 3)) * 0.01 + [9, 9, 9]])
+    deep = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(near)], "id long, x0 double, x1 double, x2 double")
+    seeds = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.8), (2, 9.0, 9.0, 9.0, 0.8)], "id long, x0 double, x1 double, x2 double, depth double")
+    got = greedy.capsules(seeds, deep, 0.3).collect()
+    assert [r.id for r in got] == [1]  # too few points around the other
+    c = got[0]
+    off = rod[np.linalg.norm(rod, axis=1) <= 1.2]
+    axis = np.linalg.svd(off, full_matrices=False)[2][0]
+    assert abs(abs(np.dot(c.axis, axis)) - 1) < 1e-6 and c.radius == 0.3 and abs(c.half_height - min(np.ptp(off @ axis) / 2, 0.72)) < 1e-9
+    assert not greedy.capsules(seeds, deep, 5.0).count()  # wider than long
+    shell = spark.createDataFrame([(0.3, 0.3, 0.0), (0.9, 0.0, 0.0), (-0.2, 0.0, 0.31)], "x0 double, x1 double, x2 double")
+    assert [r.gained for r in greedy.capsule_gains(greedy.capsules(seeds, deep, 0.3), shell, 0.02).collect()] == [2]
 
 
 def test_balloon_finds_the_sphere(spark):

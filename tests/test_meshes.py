@@ -190,6 +190,20 @@ def test_skeleton_classes(spark):
     assert (cone.r_top > cone.r_bottom) == (cone.axis[2] > 0)
 
 
+def test_crowded_spheres_are_a_box_around_the_surface(spark):
+    rng = np.random.default_rng(0)
+    p = rng.uniform(-0.05, 0.05, (9, 3))
+    spheres = spark.createDataFrame([(i, *map(float, q), 0.5) for i, q in enumerate(p)], "id long, x0 double, x1 double, x2 double, r double")
+    x = rng.uniform(-1, 1, (500, 3)) * [0.4, 0.2, 0.1]
+    far = np.array([[5.0, 5.0, 5.0]])
+    surface = spark.createDataFrame([tuple(map(float, q)) for q in np.vstack([x, far])], "x0 double, x1 double, x2 double")
+    got = skeleton.classify(spheres, surface).collect()
+    assert [(r.type, len(r.source)) for r in got] == [("box", 9)]
+    assert np.allclose(sorted(got[0].half_extents), sorted(np.ptp(x @ np.linalg.svd(x - x.mean(0), full_matrices=False)[2].T, axis=0) / 2), atol=1e-6)
+    bare = skeleton.classify(spheres).first()
+    assert bare.type == "box" and min(bare.half_extents) > 0.5
+
+
 def test_largest_breaks_ties_by_id(spark):
     df = spark.createDataFrame([(3, 0.5), (1, 0.5), (2, 0.9), (4, 0.001)], "id long, r double")
     assert [r.id for r in skeleton.largest(df, 2).collect()] == [2, 1]

@@ -356,6 +356,31 @@ def principal_values() -> tuple[Column, Column, Column]:
     return F.when(flat, q).otherwise(big), F.when(flat, q).otherwise(q * 3 - big - small), F.when(flat, q).otherwise(small)
 
 
+def principal_axes(sums: DataFrame, key: str) -> DataFrame:
+    """sums(key, c00..c22, ...) with its rows' eigenvalues l1 >= l2 >= l3 and axes a10..a32, each axis with its largest part positive.
+
+    A row is a group's aggregate, so what goes to Python is one row a group; each batch is decomposed at once.
+    """
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    names = [*[f"l{k}" for k in (1, 2, 3)], *[f"a{k}{i}" for k in (1, 2, 3) for i in range(3)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = np.zeros((batch.num_rows, 3, 3))
+            for n, (i, j) in enumerate(pairs):
+                c[:, i, j] = c[:, j, i] = batch.column(n).to_numpy(zero_copy_only=False)
+            values, axes = np.linalg.eigh(np.nan_to_num(c))
+            values, axes = np.maximum(values[:, ::-1], 0.0), axes[:, :, ::-1].transpose(0, 2, 1)
+            top = np.take_along_axis(axes, np.abs(axes).argmax(2)[:, :, None], 2)
+            axes = axes * np.where(top < 0, -1.0, 1.0)
+            new = [pa.array(values[:, k]) for k in range(3)] + [pa.array(np.ascontiguousarray(axes[:, k, i])) for k in range(3) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[len(pairs) :], *new], names=[*batch.schema.names[len(pairs) :], *names])
+
+    rest = [c for c in sums.columns if c not in {f"c{i}{j}" for i, j in pairs}]
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in sums.select(*rest).dtypes], *[f"{n} double" for n in names]])
+    return sums.select(*[f"c{i}{j}" for i, j in pairs], *rest).mapInArrow(run, schema)
+
+
 def line_and_plane(points: DataFrame, key: str) -> DataFrame:
     """Of each group the share of variance on its first axis (line_r2), and flatness = third over first singular value."""
     a, b, c = principal_values()

@@ -130,6 +130,22 @@ def sphere_overlaps(spheres: DataFrame, factor: float = 1.1) -> DataFrame:
     return pairs.where(F.col("d") < F.col("rr") * factor).select("i", "j", "d")
 
 
+def in_balls(points: DataFrame, balls: DataFrame) -> DataFrame:
+    """The columns of balls(c0..c2, reach, ...) and of points(x0..x2, ...) for points at most reach from a ball's centre.
+
+    Balls are classed by the power of two of their reach, and a ball meets the points of the 27 cells around it in cells as wide.
+    """
+    b = balls.withColumn("g", F.floor(F.log2(F.greatest(F.col("reach"), F.lit(1e-300)))).cast("int"))
+    classes = sorted(r.g for r in b.select("g").distinct().collect())  # at most as many as a double has exponents
+    width = F.pow(F.lit(2.0), F.col("g") + 1)
+    b = b.select("*", *[F.floor(F.col(f"c{i}") / width).cast("long").alias(f"k{i}") for i in range(3)])
+    for i in range(3):
+        b = b.withColumn(f"k{i}", F.explode(_around(f"k{i}", 1)))
+    p = points.select("*", F.explode(F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<int>")).alias("g"))
+    p = p.select("*", *[F.floor(F.col(x) / width).cast("long").alias(f"k{i}") for i, x in enumerate(X)])
+    return b.join(p, ["g", "k0", "k1", "k2"]).where(norm(sub(vec(*X), vec("c0", "c1", "c2"))) <= F.col("reach")).drop("g", "k0", "k1", "k2")
+
+
 def without_slabs(points: DataFrame, surface: DataFrame, slab_distance: Column, tolerance: float = 0.005) -> DataFrame:
     """points whose nearest surface point isn't within tolerance of a slab."""
     flat = surface.where(F.abs(slab_distance) <= tolerance).select(F.col("nid"))
