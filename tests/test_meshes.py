@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxhull.functions.vectors import lit, vec
 from voxhull.operators import graphs, mesh, rays, sampling, segment, skeleton
 from voxhull.sources import grids, meshes, sinks
 
@@ -110,14 +111,6 @@ def test_inside_and_distance(spark, sphere):
     assert -1 < d[0] < -0.9 and abs(d[1] + 0.09) < 0.03 and abs(d[2] - 0.51) < 0.03 and abs(d[3] - 1) < 0.03
 
 
-def test_blocks_of_triangles_agree(spark, sphere, monkeypatch):
-    g = mesh.face_geometry(*sphere).cache()
-    p = spark.createDataFrame([(i, 0.3 * i, 0.05, 0.02) for i in range(6)], "id long, x0 double, x1 double, x2 double")
-    whole = {r.id: r.distance for r in rays.signed_distance(p, g).collect()}
-    monkeypatch.setattr(rays, "BLOCK", 50)
-    assert {r.id: r.distance for r in rays.signed_distance(p, g).collect()} == pytest.approx(whole)
-
-
 def test_curvature_and_seeds(sphere):
     v, f = sphere
     g, a = mesh.face_geometry(v, f), mesh.face_adjacency(f)
@@ -169,6 +162,31 @@ def test_slabs_of_a_box_are_its_sides(spark):
     assert d[0] < 0 and abs(d[1] - 0.05) < 1e-9 and abs(d[2] - 0.1) < 1e-9
 
 
+def test_rays_and_distances_equal_all_pairs(spark):
+    rng = np.random.default_rng(0)
+    a = rng.uniform(-2, 2, (60, 3))
+    size = 10 ** rng.uniform(-2, 0.3, (60, 1, 1))
+    t = np.concatenate([a[:, None], a[:, None] + rng.normal(size=(60, 2, 3)) * size], 1)
+    tri = spark.createDataFrame([(i, *map(float, q.ravel())) for i, q in enumerate(t)], "fid long, " + ", ".join(f"{p}{i} double" for p in "abc" for i in range(3)))
+    x = np.vstack([rng.uniform(-3, 3, (40, 3)), [[30.0, 0.0, 0.0]]])
+    d = rng.normal(size=(41, 3))
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    points = spark.createDataFrame([(i, *map(float, p), *map(float, w)) for i, (p, w) in enumerate(zip(x, d))], "id long, x0 double, x1 double, x2 double, d0 double, d1 double, d2 double")
+    pairs = points.crossJoin(tri)
+    p, w = vec("x0", "x1", "x2"), vec("d0", "d1", "d2")
+    corners = [rays.corner(c) for c in "abc"]
+    want = pairs.select("id", rays.hit(p, w, *corners).alias("t")).where("t > 0.005").groupBy("id").agg(F.min("t").alias("t"))
+    assert {r.id: r.t for r in rays.nearest_hits(points, tri).collect()} == pytest.approx({r.id: r.t for r in want.collect()})
+    want = pairs.groupBy("id").agg(F.min(rays.triangle_distance(p, *corners)).alias("near"))
+    assert {r.id: r.near for r in rays.distances(points, tri).collect()} == pytest.approx({r.id: r.near for r in want.collect()})
+    counts = pairs.groupBy("id").agg(*[F.sum(rays.hit(p, lit(q), *corners).isNotNull().cast("int") % 2).alias(f"h{i}") for i, q in enumerate(rays.DIRECTIONS)])
+    votes = counts.select("id", sum((F.col(f"h{i}") % 2 for i in range(1, 5)), F.col("h0") % 2).alias("votes"))
+    assert {r.id: r.votes for r in rays.inside_votes(points, tri).collect()} == {r.id: r.votes for r in votes.collect()}
+    assert rays.distances(points, tri.limit(0)).count() == 0 and rays.inside_votes(points.limit(0), tri).count() == 0
+    plan = rays.inside_votes(points, tri)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_skeleton_classes(spark):
     rows, i = [], 0
     def put(points, radii, off):

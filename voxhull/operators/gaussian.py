@@ -65,7 +65,7 @@ MODEL = "pid long, x array<double>, weights array<double>, variance double, leng
 def fit_patches(samples: DataFrame, key: str = "pid") -> DataFrame:
     """M2 for each patch of samples(pid, x0..x2, y); a patch is some hundred samples (R3), which bounds a group."""
 
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         m = fit(pdf[["x0", "x1", "x2"]].to_numpy(), pdf.y.to_numpy())
         return pd.DataFrame([{"pid": k[0], **m, "x": m["x"].ravel().tolist(), "weights": m["weights"].tolist()}])
 

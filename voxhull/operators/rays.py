@@ -1,21 +1,22 @@
 """Rays and distances to triangles (F2, J11, G11, signed distance).
 
-Triangles meet points by grid cells, or along a ray by a broadcast whose size is counted first; beyond the bound the
-rows meet in blocks of triangles of that size.
+Triangles meet points and rays by equi-joins on grid cells: along a fixed direction cells of the plane across it, for the nearest
+triangle cells around the point, and along a ray the cells it runs by.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Vec, add, clip, cross, dot, lit, norm, scale, sub, vec
+from .storage import stored
 
 #: F2's five ray directions, the last one shorter than 1.
 DIRECTIONS = ((0.4395064455, 0.617598629942, 0.652231566745), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (0.577, 0.577, 0.577))
-BLOCK = 200_000
 
 
 def corner(p: str) -> Vec:
@@ -37,28 +38,61 @@ def hit(origin: Vec, direction: Vec, a: Vec, b: Vec, c: Vec) -> Column:
     return F.when(~flat & (u >= 0) & (v >= 0) & (u + v <= 1) & (t > 0), t)
 
 
-def _blocks(triangles: DataFrame):
-    """triangles in blocks of at most about BLOCK rows, each small enough to be sent to every task."""
-    n = triangles.count()
-    k = max(1, -(-n // BLOCK))
-    for i in range(k):
-        yield F.broadcast(triangles if k == 1 else triangles.where(F.pmod(F.xxhash64("fid"), F.lit(k)) == i))
+_NAMES = [f"{p}{i}" for p in "abc" for i in range(3)]
 
 
-def _over_blocks(points: DataFrame, triangles: DataFrame, per_block, merge) -> DataFrame:
-    parts = [per_block(points.join(t, F.lit(True))) for t in _blocks(triangles)]
-    return merge(reduce(DataFrame.unionByName, parts))
+def _plane(d: tuple[float, ...]) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Two unit vectors at right angles to a direction and each other."""
+    n = np.array(d) / np.linalg.norm(d)
+    u = np.cross(n, np.eye(3)[np.abs(n).argmin()])
+    u /= np.linalg.norm(u)
+    return tuple(u.tolist()), tuple(np.cross(n, u).tolist())
+
+
+def _boxes(triangles: DataFrame, axes: list[tuple[float, ...]]) -> DataFrame:
+    """fid, corners, and lo0, hi0, ... : a triangle's extent along each axis."""
+    spans = []
+    for i, axis in enumerate(axes):
+        at = [dot(corner(p), lit(axis)) for p in "abc"]
+        spans += [F.least(*at).alias(f"lo{i}"), F.greatest(*at).alias(f"hi{i}")]
+    return triangles.select("fid", *_NAMES, *spans)
+
+
+def _width(boxes: DataFrame, dims: int) -> tuple[float, float]:
+    """A cell's width, such that triangles cover some cells each on the whole, and the largest coordinate, for rounding's sake."""
+    sizes = [F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(dims)]
+    r = boxes.agg(F.sqrt(F.avg(sum((x * x for x in sizes[1:]), sizes[0] * sizes[0]))).alias("w"), F.max(F.greatest(*[F.abs(f"{e}{i}") for e in ("lo", "hi") for i in range(dims)])).alias("far")).first()
+    return max(r.w or 0.0, (r.far or 0.0) * 1e-6, 1e-12), r.far or 0.0
+
+
+def _in_cells(boxes: DataFrame, dims: int, width: float, slack: float) -> DataFrame:
+    """boxes with k0, k1, ... of each cell they touch, ``slack`` wider to any side."""
+    for i in range(dims):
+        first, last = F.floor((F.col(f"lo{i}") - slack) / width).cast("long"), F.floor((F.col(f"hi{i}") + slack) / width).cast("long")
+        boxes = boxes.withColumn(f"k{i}", F.explode(F.sequence(first, last)))
+    return boxes
+
+
+def _crossings(points: DataFrame, triangles: DataFrame, direction: tuple[float, ...]) -> DataFrame:
+    """id, n: how many triangles the ray from each of points(id, x0..x2) meets; points that meet none are left out.
+
+    Seen along the ray, a triangle is a shape in a plane and a point one spot of it, so they meet by an equi-join on cells of that plane.
+    """
+    axes = list(_plane(direction))
+    boxes = _boxes(triangles, axes)
+    width, far = _width(boxes, 2)
+    spots = points.select("id", "x0", "x1", "x2", *[F.floor(dot(vec("x0", "x1", "x2"), lit(a)) / width).cast("long").alias(f"k{i}") for i, a in enumerate(axes)])
+    met = spots.join(_in_cells(boxes, 2, width, 1e-9 * max(far, width)).select("k0", "k1", *_NAMES), ["k0", "k1"])
+    t = hit(vec("x0", "x1", "x2"), lit(direction), corner("a"), corner("b"), corner("c"))
+    return met.where(t.isNotNull()).groupBy("id").agg(F.count("*").alias("n"))
 
 
 def inside_votes(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """id, votes, inside: a direction votes inside if its ray meets the mesh an odd number of times; three of five decide."""
-    t = triangles.select("fid", *[f"{p}{i}" for p in "abc" for i in range(3)])
-    origin = vec("x0", "x1", "x2")
-    sums = [F.sum(hit(origin, lit(d), corner("a"), corner("b"), corner("c")).isNotNull().cast("int")).alias(f"h{k}") for k, d in enumerate(DIRECTIONS)]
-    names = [f"h{k}" for k in range(len(DIRECTIONS))]
-    counted = _over_blocks(points.select("id", "x0", "x1", "x2"), t, lambda j: j.groupBy("id").agg(*sums), lambda u: u.groupBy("id").agg(*[F.sum(n).alias(n) for n in names]))
-    votes = reduce(lambda a, b: a + b, [(F.col(n) % 2).cast("int") for n in names])
-    return counted.select("id", votes.alias("votes"), (votes >= 3).alias("inside"))
+    votes = points.select("id").distinct().select("id", F.lit(0).alias("vote"))
+    for d in DIRECTIONS:
+        votes = votes.unionByName(_crossings(points, triangles, d).select("id", (F.col("n") % 2).cast("int").alias("vote")))
+    return votes.groupBy("id").agg(F.sum("vote").cast("int").alias("votes")).select("id", "votes", (F.col("votes") >= 3).alias("inside"))
 
 
 def triangle_distance(p: Vec, a: Vec, b: Vec, c: Vec) -> Column:
@@ -75,24 +109,85 @@ def triangle_distance(p: Vec, a: Vec, b: Vec, c: Vec) -> Column:
     return F.when(inside, plane).otherwise(F.least(side(a, b), side(b, c), side(c, a)))
 
 
+def distances(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """id, near: the distance of points(id, x0..x2) to the nearest triangle; no rows without triangles.
+
+    Rounds on grids, each twice as coarse: a point sees the triangles in the 27 cells around it and is settled once the nearest one is no
+    further than a cell is wide.
+    """
+    axes = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
+    boxes = stored(_boxes(triangles, axes))
+    width, far = _width(boxes, 3)
+    reach = points.agg(F.max(F.greatest(*[F.abs(f"x{i}") for i in range(3)])).alias("r")).first().r
+    if reach is None or not boxes.limit(1).count():
+        return points.select("id", F.lit(0.0).alias("near")).where(F.lit(False))
+    low = boxes.agg(*[F.min(f"lo{i}").alias(f"lo{i}") for i in range(3)], *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(3)]).first()
+    todo, rounds = points.select("id", "x0", "x1", "x2"), []
+    near = F.min(triangle_distance(vec("x0", "x1", "x2"), corner("a"), corner("b"), corner("c"))).alias("near")
+    while True:
+        probe = todo.select("*", *[F.floor(F.col(f"x{i}") / width).cast("long").alias(f"k{i}") for i in range(3)])
+        for i in range(3):
+            first, last = int(low[f"lo{i}"] // width), int(low[f"hi{i}"] // width)
+            a, b = F.greatest(F.col(f"k{i}") - 1, F.lit(first)), F.least(F.col(f"k{i}") + 1, F.lit(last))
+            probe = probe.withColumn(f"k{i}", F.explode(F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<bigint>"))))
+        found = probe.join(_in_cells(boxes, 3, width, 0.0).select("k0", "k1", "k2", *_NAMES), ["k0", "k1", "k2"]).groupBy("id").agg(near)
+        if width >= 2 * (reach + far):  # these cells hold everything
+            rounds.append(found)
+            break
+        both = stored(todo.join(found, "id", "left"))
+        settled = F.coalesce(F.col("near") <= width, F.lit(False))
+        rounds.append(both.where(settled).select("id", "near"))
+        todo = both.where(~settled).select("id", "x0", "x1", "x2")
+        if not todo.limit(1).count():
+            break
+        width *= 2
+    return reduce(DataFrame.unionByName, rounds)
+
+
 def signed_distance(points: DataFrame, triangles: DataFrame) -> DataFrame:
-    """id, distance to the nearest triangle, negative inside by F2's vote; both from one pass over (point, triangle)."""
-    t = triangles.select("fid", *[f"{p}{i}" for p in "abc" for i in range(3)])
-    origin = vec("x0", "x1", "x2")
-    names = [f"h{k}" for k in range(len(DIRECTIONS))]
-    aggs = [F.sum(hit(origin, lit(d), corner("a"), corner("b"), corner("c")).isNotNull().cast("int")).alias(n) for n, d in zip(names, DIRECTIONS)]
-    near = F.min(triangle_distance(origin, corner("a"), corner("b"), corner("c"))).alias("near")
-    s = _over_blocks(points.select("id", "x0", "x1", "x2"), t, lambda j: j.groupBy("id").agg(near, *aggs), lambda u: u.groupBy("id").agg(F.min("near").alias("near"), *[F.sum(n).alias(n) for n in names]))
-    votes = reduce(lambda a, b: a + b, [(F.col(n) % 2).cast("int") for n in names])
-    return s.select("id", F.when(votes >= 3, -F.col("near")).otherwise(F.col("near")).alias("distance"))
+    """id, distance to the nearest triangle, negative inside by F2's vote."""
+    j = distances(points, triangles).join(inside_votes(points, triangles), "id")
+    return j.select("id", F.when(F.col("inside"), -F.col("near")).otherwise(F.col("near")).alias("distance"))
 
 
 def nearest_hits(rays: DataFrame, triangles: DataFrame, least: float = 0.005) -> DataFrame:
-    """Id and t of the nearest hit beyond ``least`` of rays(id, x0..x2, d0..d2), d of length 1."""
-    t = triangles.select("fid", *[f"{p}{i}" for p in "abc" for i in range(3)])
-    h = hit(vec("x0", "x1", "x2"), vec("d0", "d1", "d2"), corner("a"), corner("b"), corner("c"))
-    near = lambda j: j.select("id", h.alias("t")).where(F.col("t") > least).groupBy("id").agg(F.min("t").alias("t"))
-    return _over_blocks(rays, t, near, lambda u: u.groupBy("id").agg(F.min("t").alias("t")))
+    """Id and t of the nearest hit beyond ``least`` of rays(id, x0..x2, d0..d2), d of length 1.
+
+    A ray is walked in stretches twice as long each time; the cells that a stretch runs by meet the triangles in them, and a ray whose nearest hit
+    lies within what was walked goes no further.
+    """
+    axes = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
+    boxes = stored(_boxes(triangles, axes))
+    width, far = _width(boxes, 3)
+    reach = rays.agg(F.max(F.greatest(*[F.abs(f"x{i}") for i in range(3)])).alias("r")).first().r
+    if reach is None or not boxes.limit(1).count():
+        return rays.select("id", F.lit(0.0).alias("t")).where(F.lit(False))
+    cells = _in_cells(boxes, 3, width, 1e-9 * max(far, width)).select("fid", "k0", "k1", "k2", *_NAMES)
+    origin, way = vec("x0", "x1", "x2"), vec("d0", "d1", "d2")
+    end = 2 * (reach + far) + width  # nothing lies further along any ray
+    todo, rounds, start, stop = rays.select("id", "x0", "x1", "x2", "d0", "d1", "d2"), [], 0.0, 8 * width
+    while True:
+        # spots half a cell apart; what lies between two of them is in their cells or the next ones
+        spots = todo.select("*", F.explode(F.sequence(F.lit(int(start / width * 2)), F.lit(int(stop / width * 2) + 1))).alias("s"))
+        keys = spots.select("*", *[F.floor((o + w * F.col("s") * (width / 2)) / width).cast("long").alias(f"m{i}") for i, (o, w) in enumerate(zip(origin, way))])
+        for i in range(3):
+            at = (F.col(f"x{i}") + F.col(f"d{i}") * F.col("s") * (width / 2)) / width - F.col(f"m{i}")
+            side = F.col(f"m{i}") + F.when(at < 0.5, -1).otherwise(1)
+            keys = keys.withColumn(f"k{i}", F.explode(F.array(F.col(f"m{i}"), side)))
+        keys = keys.select("id", *[f"{c}{i}" for c in "xdk" for i in range(3)]).distinct()
+        h = hit(origin, way, corner("a"), corner("b"), corner("c"))
+        found = keys.join(cells, ["k0", "k1", "k2"]).select("id", h.alias("t")).where(F.col("t") > least).groupBy("id").agg(F.min("t").alias("t"))
+        if stop >= end:
+            rounds.append(found)
+            break
+        both = stored(todo.join(found, "id", "left"))
+        settled = F.coalesce(F.col("t") <= stop, F.lit(False))
+        rounds.append(both.where(settled).select("id", "t"))
+        todo = both.where(~settled).drop("t")
+        if not todo.limit(1).count():
+            break
+        start, stop = stop, stop * 2
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def thickness(regions: DataFrame, triangles: DataFrame, offset: float = 0.01, least: float = 1e-4) -> DataFrame:

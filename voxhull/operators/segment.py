@@ -85,7 +85,7 @@ def grow_regions(geometry: DataFrame, adjacency: DataFrame, least: float = 0.998
     n = geometry.select("mesh_id", "fid", "n0", "n1", "n2", F.lit(None).cast("long").alias("f1"))
     a = adjacency.select("mesh_id", F.col("f0").alias("fid"), *[F.lit(None).cast("double").alias(f"n{i}") for i in range(3)], "f1")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         faces = pdf[pdf.f1.isna()].sort_values("fid")
         ids, normals = faces.fid.to_numpy(), faces[["n0", "n1", "n2"]].to_numpy()
         at = {f: i for i, f in enumerate(ids)}

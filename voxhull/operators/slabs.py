@@ -124,7 +124,7 @@ def slabs(vertices: DataFrame, faces: DataFrame, least_share: float = 0.01, flat
     d = sub(vec("x0", "x1", "x2"), vec("c0", "c1", "c2"))
     flat_points = corner.join(frame, "region").join(edge, "region").select("region", "alpha", dot(d, vec("u0", "u1", "u2")).alias("u"), dot(d, vec("v0", "v1", "v2")).alias("v"))
 
-    def outline(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def outline(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         hull = concave_hull(pdf[["u", "v"]].to_numpy(), float(pdf.alpha.iloc[0]))
         return pd.DataFrame([{"region": key[0], "hull": [{"u": float(a), "v": float(b)} for a, b in hull], "hull_area": abs(signed_area(hull))}])
 
