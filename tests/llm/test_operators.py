@@ -1,6 +1,7 @@
 """Each operator against a plain computation over the same documents, with nulls, ties, copies, blanks and empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -128,6 +129,13 @@ def test_token_counts_match_plain_viterbi(docs, spark):
     assert token_counts.token_counts(empty(spark), path).count() == 0
 
 
+def test_trie_and_stream_count_alike():
+    model = token_counts.Unigram.from_file(P.path("piece_bpe_32k.model"))
+    trie, small = token_counts.Trie(model), token_counts.Trie(model, most=50, long=12)
+    some = sorted({"▁" + w for _, t in DOCS for w in words(t)})[:400] + ["", "▁", "▁日本語", "▁" + "ab" * 3000]
+    assert [trie.count(w) for w in some] == [small.count(w) for w in some] == [model.stream(w) for w in some]
+
+
 # ---------------------------------------------------------------------------------------------- 4 token files
 
 def test_token_files_round_trip(docs, spark, tokenizer):
@@ -161,6 +169,14 @@ def test_encoder_agrees_with_the_library_after_forgetting(tokenizer):
     assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_agrees_with_the_library_on_odd_texts(tokenizer):
+    rnd = random.Random(6)
+    atoms = [*" \n\t\r.,-_!?()'\"<|>#1é́ß×÷ŉſ—…日😀½²ª\u2003\u00a0\u3000\u0085\u200b\x1c\x00", "  ", "\n\n", "'s", "'ll", "a", "Word", "don't", "<|endoftext|>", "http://x.y/z?q=1"]
+    texts = ["".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 25))) for _ in range(4000)]
+    enc = tokens.Encoder(BPE, remember=500, at_once=3000)
+    assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 # ------------------------------------------------------------------------------------------------- 5 SimHash
 
 def plain_fingerprint(text, k=3):
@@ -263,6 +279,59 @@ def test_packing_covers_all_without_padding(docs, spark, tokenizer):
     assert packing.pack_documents(empty(spark), BPE).count() == 0
 
 
+def plain_fill(docs, corpus, length):
+    """Documents in the order in which they are packed: a window's seed, then the unused ones of highest score for it."""
+    index, free, order, used, seed = packing.Shard([x for _, x in docs], corpus), set(range(len(docs))), [], 0, None
+    while free:
+        if used == 0 or seed is None:
+            pick = min(free)
+            seed = None
+        else:
+            scores = index.scores(seed)
+            pick = min(free, key=lambda i: (-scores[i], i))
+        free.remove(pick)
+        order.append(pick)
+        crossed = used + len(docs[pick][1]) > length
+        used = (used + len(docs[pick][1])) % length
+        if used and (seed is None or crossed):
+            seed = pick  # what is left of it opens the next window
+        elif not used:
+            seed = None
+    return order
+
+
+def test_packing_fills_windows_by_falling_score():
+    rng = np.random.default_rng(8)
+    docs = [(i, rng.integers(0, 40, rng.integers(3, 30)).astype(np.uint32)) for i in range(60)]
+    df = np.bincount(np.concatenate([np.unique(x) for _, x in docs]), minlength=40) * 3  # of a larger corpus
+    corpus = packing.Corpus(df, 400, 15.0)
+    filler = packing.Filler(64, 0)
+    packing.fill(docs, filler, corpus)
+    filler.end()
+    pieces = sorted((p for p in filler.done if p[1] == 0), key=lambda p: (p[5], p[6]))
+    assert [p[0] for p in pieces] == plain_fill(docs, corpus, 64)
+
+
+def test_packing_counts_the_whole_corpus(docs, tokenizer):
+    got = packing.corpus_of(packing.encoded(docs, BPE, 1))
+    ids = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for _, t in DOCS]
+    want = Counter(x for d in ids for x in set(d))
+    assert got.n == len(DOCS) and got.mean == pytest.approx(np.mean([len(d) for d in ids]))
+    assert {i: n for i, n in enumerate(got.df.tolist()) if n} == dict(want)
+
+
+def test_packing_deals_by_the_strongest_terms():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 12, rng.integers(0, 9)).astype(np.uint32) for _ in range(30)]
+    corpus = packing.Corpus(rng.integers(1, 40, 12), 90, 4.0)
+    got = corpus.strongest(np.concatenate(docs), np.array([len(d) for d in docs]), 20)
+    for d, row in zip(docs, got.tolist()):
+        n = Counter(d.tolist())
+        w = {t: float(corpus.weights(np.array([t]), np.array([k]), np.array([len(d)]))[0]) * (1 if corpus.df[t] >= 20 else 1e-6) for t, k in n.items()}
+        want = sorted(w, key=lambda t: (-w[t], t))[:3]
+        assert row == want + [-1] * (3 - len(want))
+
+
 def test_packing_scores_are_bm25():
     rng = np.random.default_rng(3)
     docs = [rng.integers(0, 30, rng.integers(1, 40)).astype(np.uint32) for _ in range(25)]
@@ -289,6 +358,30 @@ def test_classifier_on_held_out_rows(spark, data):
     assert (got.predicted == got.quality).mean() > 0.95
 
 
+def test_classifier_votes_are_those_of_all_cosines():
+    rng = np.random.default_rng(0)
+    rows = rng.poisson(0.02, (60, quality_classifier.BUCKETS)).astype(np.float32)
+    rows[10] = rows[11] = rows[12]  # ties
+    labels = rng.integers(0, 2, 60)
+    model = quality_classifier.fit(rows, labels, rank=8, neighbours=5)
+    asked = np.vstack([rows[:20], rng.poisson(0.02, (10, quality_classifier.BUCKETS)), np.zeros((1, quality_classifier.BUCKETS))]).astype(np.float32)
+    got = model.score(asked)
+    for q, score in zip(model.place(asked), got):
+        if not np.abs(q).sum():
+            assert score == pytest.approx(labels.mean())
+            continue
+        cos = [float(np.dot(q, v)) for v in model.vectors]
+        best = sorted(range(60), key=lambda i: (-round(cos[i], 6), i))[:5]
+        weight = [max(cos[i], 0) + 1e-12 for i in best]
+        assert score == pytest.approx(sum(w * labels[i] for w, i in zip(weight, best)) / sum(weight), abs=1e-4)
+
+
+def test_classifier_takes_one_text_of_a_repeated_doc_id(spark):
+    df = frame(spark, [(1, "some words here")] * 40 + [(1, "other words there")] + [(3, "and these are bad words")])
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert len(quality_classifier.train(df, labels).labels) == len({i for i in (1, 3) if zlib.crc32(str(i).encode()) % 5})
+
+
 def test_classifier_without_labels_or_texts(spark):
     df = frame(spark, [(1, None), (2, ""), (3, "ab"), (None, "some text here")])
     labels = spark.createDataFrame([(None, 1, 0), (1, None, 0), (2, 7, 0)], "doc_id long, quality int, toxic int")

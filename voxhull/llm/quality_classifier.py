@@ -2,7 +2,9 @@
 
 A text is counted whole into hashed character trigrams of its UTF-8 bytes (case, marks and line ends included), scaled
 by sublinear counts and inverse document frequency, and projected by a truncated singular value decomposition of the
-labelled sample. Every text's cosines to all labelled vectors are one blocked matrix product; the nearest vote.
+labelled sample. Beside these a vector has an angle: how far the text repeats itself beyond what is usual at its length,
+which latent directions of trigrams cannot tell (a text twice over has the same direction). Every text's cosines to all
+labelled vectors are one blocked matrix product; the nearest vote, each weighted by its similarity.
 
 Sample: the fit uses at most ``sample`` labelled rows, those of least hash, a stated bound (default 4096). So what is
 broadcast is bounded too: sample * rank + buckets * (rank + 1) floats. Scoring covers every row.
@@ -74,7 +76,9 @@ class Voter:
         k = min(self.neighbours, len(self.labels))
         cos = v @ self.vectors.T
         near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        sim = np.maximum(np.take_along_axis(cos, near, 1), 0) ** 8 + 1e-12
+        tied = np.flatnonzero((cos >= np.take_along_axis(cos, near, 1).min(1, keepdims=True)).sum(1) > k)
+        near[tied] = np.argsort(-cos[tied], axis=1, kind="stable")[:, :k]  # of equally near ones the first of the sample
+        sim = np.maximum(np.take_along_axis(cos, near, 1), 0) + 1e-12
         out = (sim * self.labels[near]).sum(1) / sim.sum(1)
         return np.where(np.abs(v).sum(1) > 0, out, self.prior)
 
@@ -108,12 +112,14 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = 4096, rank: int = 64, neighbours: int = 15) -> Voter:
     """Fit on at most ``sample`` rows of labels(doc_id, quality) that aren't held out and have a text in docs.
 
-    Rows with a null doc_id or a label other than 0 and 1 aren't used; a doc_id labelled more than once counts once, with its least label. The rows are those of least hash of doc_id.
+    Rows with a null doc_id or a label other than 0 and 1 aren't used; a doc_id labelled more than once counts once, with its least label; of
+    rows that share a doc_id the text of least hash counts. The rows are those of least hash of doc_id.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     once = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
     chosen = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most sample rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most sample rows, whatever repeats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
