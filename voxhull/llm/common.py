@@ -58,8 +58,8 @@ def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables of stored() that later ones have replaced, and let Spark clear the shuffle files of what made them.
+def dropped(*tables: DataFrame, shuffles: bool = True) -> None:
+    """Delete tables of stored() that later ones have replaced, and, with shuffles, let Spark clear the shuffle files of what made them.
 
     Spark clears these once the driver's JVM collects their owner, which a driver with a large heap may not do for hours.
     """
@@ -67,7 +67,7 @@ def dropped(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
+    if tables and shuffles:
         for _ in range(2):  # the first collection frees what the second one's queue of references then sees
             gc.collect()
             tables[0].sparkSession._jvm.System.gc()

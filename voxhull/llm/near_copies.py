@@ -205,10 +205,13 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = 5, tenths: int = 8,
             order = Window.partitionBy("key").orderBy(*(("n", "node") if left == 2 else ("label", "node")))
             some = named.select(F.struct(*of).alias("x"), F.lag(F.struct(*of)).over(order).alias("y")).where(F.expr(f"x.label <> y.label AND {may}"))
             some = some.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-            found = stored(found.unionByName(_similar(some, sets, tenths)), "similar")
+            before, found = found, stored(found.unionByName(_similar(some, sets, tenths)), "similar")
+            dropped(named, before)
     rest = named.alias("x").join(named.alias("y"), "key").where(F.expr(f"x.node < y.node AND x.label <> y.label AND {may}"))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return found.unionByName(stored(_similar(rest, sets, tenths), "similar"))
+    last = stored(_similar(rest, sets, tenths), "similar")
+    dropped(named, rows, sets, first)
+    return found.unionByName(last)
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, tenths: int = 8) -> DataFrame:

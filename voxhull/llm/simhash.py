@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_blanks_table, partitions, stored, values
+from .common import dropped, lower_blanks_table, partitions, stored, values
 
 
 def fingerprint(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
@@ -182,6 +182,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # stars: no node is both a centre and a leaf, and each leaf has one centre
         leaves = after.groupBy("b").agg(F.count("*").alias("n"))
         unsettled = leaves.where("n > 1").select(F.col("b").alias("x")).unionByName(after.select(F.col("a").alias("x")).distinct().join(leaves.select(F.col("b").alias("x")), "x", "left_semi")).limit(1).count()
+        dropped(edges, large, shuffles=False)
         edges = after
         if not unsettled:
             break
