@@ -435,10 +435,11 @@ def region_grow(spark, sf_dir):
     return segment.grow_regions(mesh.face_geometry(v, f), mesh.face_adjacency(f)).select("fid", "region")
 
 
-@query("SELECT range AS fid, range // 2 * 2 AS region FROM range(12)")
+@query(GEOMETRY.replace("WITH q", "WITH RECURSIVE q", 1) + f""", {ADJ}, {BEND}, l AS (SELECT f0 AS x, f1 AS y FROM bend WHERE abs(1 - bend) >= 0.9 UNION ALL SELECT f1, f0 FROM bend WHERE abs(1 - bend) >= 0.9),
+reach(fid, to_fid) AS (SELECT fid, fid FROM f UNION SELECT reach.fid, l.y FROM reach JOIN l ON l.x = reach.to_fid) SELECT CAST(fid AS BIGINT) AS fid, CAST(min(to_fid) AS BIGINT) AS region FROM reach GROUP BY fid""")
 def region_grow_relaxed(spark, sf_dir):
-    v, f = meshes.box(spark, (1.0, 0.6, 0.4))
-    return segment.flat_components(mesh.face_geometry(v, f), mesh.face_adjacency(f)).select("fid", "region")
+    v, f = _torus(spark)
+    return segment.flat_components(mesh.face_geometry(v, f), mesh.face_adjacency(f), 0.9).select("fid", "region")
 
 
 @query(f"{MESH}, p AS (SELECT vid, CAST(vid // 96 AS BIGINT) AS pid FROM v) SELECT DISTINCT pid, CAST(fid AS BIGINT) AS fid FROM (SELECT fid, unnest([v0, v1, v2]) AS vid FROM f) JOIN p USING (vid)")
@@ -738,15 +739,17 @@ def residual_merge(spark, sf_dir):
     return spark.createDataFrame([(len(terms), error)], "n_terms int, rmse double")
 
 
-@query(f"{WITH}, b AS (SELECT id, x0, x1, x2, abs(x2) > 0.9 AS near_x FROM pts) SELECT id, {R('0.0')} AS along_u, {R('0.0')} AS along_v FROM b")
+@query(f"""{WITH}, n AS (SELECT id, x0 / sqrt(x0 * x0 + x1 * x1 + x2 * x2) AS n0, x1 / sqrt(x0 * x0 + x1 * x1 + x2 * x2) AS n1, x2 / sqrt(x0 * x0 + x1 * x1 + x2 * x2) AS n2 FROM pts),
+w AS (SELECT *, CASE WHEN abs(n0) > 0.9 THEN -n2 ELSE 0 END AS w0, CASE WHEN abs(n0) > 0.9 THEN 0 ELSE n2 END AS w1, CASE WHEN abs(n0) > 0.9 THEN n0 ELSE -n1 END AS w2 FROM n),
+u AS (SELECT *, w0 / sqrt(w0 * w0 + w1 * w1 + w2 * w2) AS u0, w1 / sqrt(w0 * w0 + w1 * w1 + w2 * w2) AS u1, w2 / sqrt(w0 * w0 + w1 * w1 + w2 * w2) AS u2 FROM w)
+SELECT id, {R('u0')} AS u0, {R('u1')} AS u1, {R('u2')} AS u2, {R('n1 * u2 - n2 * u1')} AS v0, {R('n2 * u0 - n0 * u2')} AS v1, {R('n0 * u1 - n1 * u0')} AS v2 FROM u""")
 def plane_basis_check(spark, sf_dir):
-    """Both basis vectors stand at right angles to the normal."""
-    from ..functions.vectors import dot, unit
+    """Two unit vectors in the plane, the helper axis being x0 unless the normal is near it."""
+    from ..functions.vectors import unit
 
     p = pts(spark, sf_dir).select("id", *named(unit(X, 0.0), ("n0", "n1", "n2")))
-    n = vec("n0", "n1", "n2")
-    u, v = plane_basis(n)
-    return p.select("id", r(dot(u, n)).alias("along_u"), r(dot(v, n)).alias("along_v"))
+    u, v = plane_basis(vec("n0", "n1", "n2"))
+    return p.select("id", *[r(c).alias(f"u{i}") for i, c in enumerate(u)], *[r(c).alias(f"v{i}") for i, c in enumerate(v)])
 
 
 # ------------------------------------------------------------------------------------- greedy, rays, composites
@@ -775,7 +778,11 @@ def mesh_signed_distance(spark, sf_dir):
     return rays.signed_distance(pts(spark, sf_dir), mesh.face_geometry(*meshes.box(spark, _BOX))).select("id", r("distance").alias("d"))
 
 
-@query("SELECT region, " + R("t") + " AS thickness FROM (VALUES (0, 0.2), (1, 0.2), (2, 0.3), (3, 0.3), (4, 0.5), (5, 0.5)) AS t(region, t)")
+#: A box's sides in the order of their first faces: two across each axis, the last axis first.
+_SIDES = f"b AS (SELECT {_BOX[0]!r} AS e0, {_BOX[1]!r} AS e1, {_BOX[2]!r} AS e2), s AS (SELECT range AS region, CASE range // 2 WHEN 0 THEN e2 WHEN 1 THEN e1 ELSE e0 END AS t, e0 * e1 * e2 AS volume FROM b, range(6))"
+
+
+@query(f"WITH {_SIDES} SELECT CAST(region AS INTEGER) AS region, {R('t')} AS thickness FROM s")
 def ray_thickness(spark, sf_dir):
     v, f = meshes.box(spark, _BOX)
     g = mesh.face_geometry(v, f)
@@ -789,7 +796,7 @@ def ray_thickness(spark, sf_dir):
     return rays.thickness(on, g).select("region", r("thickness").alias("thickness"))
 
 
-@query("SELECT region, " + R("a") + " AS area, " + R("t") + " AS thickness, " + R("a") + " AS hull_area, 4 AS n_corners FROM (VALUES (0, 0.15, 0.2), (1, 0.15, 0.2), (2, 0.1, 0.3), (3, 0.1, 0.3), (4, 0.06, 0.5), (5, 0.06, 0.5)) AS t(region, a, t)")
+@query(f"WITH {_SIDES} SELECT CAST(region AS INTEGER) AS region, {R('volume / t')} AS area, {R('t')} AS thickness, {R('volume / t')} AS hull_area, 4 AS n_corners FROM s")
 def slab_extract(spark, sf_dir):
     s = slabs.slabs(*meshes.box(spark, _BOX))
     return s.select(F.col("region").cast("int").alias("region"), r("area").alias("area"), r("thickness").alias("thickness"), r("hull_area").alias("hull_area"), F.size("hull").alias("n_corners"))
@@ -818,7 +825,8 @@ def merge_pairs(spark, sf_dir):
     return greedy.greedy_matching(greedy.node_overlaps(_nodes(spark), _overlap(spark, sf_dir)))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_left_over, CAST(9 AS BIGINT) AS n_patches")
+@query(f"""WITH RECURSIVE {_OV}, l AS (SELECT a AS x, b AS y FROM c UNION ALL SELECT b, a FROM c), reach(x, y) AS (SELECT range, range FROM range(9) UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y),
+m AS (SELECT x, min(y) AS root FROM reach GROUP BY x) SELECT count(DISTINCT root) - 1 AS n_left_over, CAST(count(*) AS BIGINT) AS n_patches FROM m""")
 def merge_tree(spark, sf_dir):
     root = greedy.merge_tree(_nodes(spark), _overlap(spark, sf_dir))
     return root.agg((F.count("*") - 1).alias("n_left_over"), F.sum(F.size("patch_ids")).alias("n_patches"))
