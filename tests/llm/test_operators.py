@@ -420,6 +420,18 @@ def test_recurring_bytes(spark, seed):
     assert {i: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for i, r in got.items()} == plain_recurring(these, 400)
 
 
+def test_recurring_bytes_never_span_two_documents(spark):
+    rnd = random.Random(5)
+    prose = lambda n: "".join(rnd.choice("abcdefghij klm") for _ in range(n))
+    these = []
+    for i in range(40):  # ends that agree over fewer than 400 bytes, each before one of two copies
+        end, copy = prose(rnd.randint(150, 399)), prose(rnd.randint(500, 900))
+        for k in (0, 1):
+            these += [(1000 * k + 2 * i, prose(300) + end), (1000 * k + 2 * i + 1, copy)]
+    got = rows(suffixes.remove_recurring(frame(spark, these, 1)))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for i, r in got.items()} == plain_recurring(these, 400)
+
+
 def test_recurring_bytes_of_nothing(spark):
     assert suffixes.remove_recurring(empty(spark)).count() == 0
     got = suffixes.remove_recurring(frame(spark, [(1, None), (None, "q" * 500), (None, "q" * 500)])).collect()

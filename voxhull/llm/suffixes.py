@@ -309,7 +309,9 @@ def remove_recurring(docs: DataFrame, size: int = 400) -> DataFrame:
         bare = c.bare(size)
         runs = np.flatnonzero(np.diff(bare, prepend=-2) != 1)
         # phrases whose prefix of names decides: up to size bytes from the next cut on, or the run's end
-        run = np.cumsum(np.diff(at, prepend=-2) != 1)
+        fresh = np.diff(at, prepend=-2) != 1
+        fresh[1:] |= c.last[at[:-1]]  # a run ends with its document
+        run = np.cumsum(fresh)
         run_stop = np.searchsorted(run, run, "right")
         reach = np.searchsorted(c.e[at], c.next[at] + size, "left") + 1
         n_names = np.minimum(reach, run_stop) - np.arange(len(at))
