@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written by Spark to the shared folder, and read back: lineage ends here, and lost executors lose nothing.
-
-    Where the session names no folder, as in tests, a temporary one is used.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where none is named, as in tests, a temporary one on a single machine; a cluster needs one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.voxhull.rounds", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="voxhull-")
         spark.conf.set("spark.voxhull.rounds", root)
-    path, schema = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}", df.schema
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written by Spark to the shared folder, and read back: lineage ends here, and lost executors lose nothing."""
+    spark = df.sparkSession
+    path, schema = f"{shared_dir(spark)}/round-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

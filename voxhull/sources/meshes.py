@@ -54,6 +54,22 @@ def box(spark: SparkSession, extents=(1.0, 1.0, 1.0), mesh_id: str = "box") -> M
     return vertices, faces
 
 
+def height_field(cells: DataFrame, width: int) -> Mesh:
+    """S2 for measured data: cells(mesh_id, i, j, x0, x1, x2), 0 <= j < width, are vertices on a lattice, and where all four corners
+    of a square are there it has two faces. Vertices are numbered i * width + j, so no pass over all rows is needed to number them.
+
+    A square is found by its corners' count, in one aggregate; each vertex is a corner of at most four.
+    """
+    vid = F.col("i").cast("long") * width + F.col("j")
+    vertices = cells.select("mesh_id", vid.alias("vid"), *[F.col(f"x{k}").cast("double").alias(f"x{k}") for k in range(3)])
+    corner = F.array(*[F.struct((F.col("i").cast("long") - di).alias("i"), (F.col("j").cast("long") - dj).alias("j")) for di in (0, 1) for dj in (0, 1)])
+    squares = cells.select("mesh_id", F.inline(corner)).where((F.col("i") >= 0) & F.col("j").between(0, width - 2))
+    whole = squares.groupBy("mesh_id", "i", "j").agg(F.count("*").alias("n")).where("n = 4").select("mesh_id", (F.col("i") * width + F.col("j")).alias("at"))
+    at = F.col("at")
+    face = lambda k, *v: F.struct((at * 2 + k).alias("fid"), *[(at + d).alias(f"v{n}") for n, d in enumerate(v)])
+    return vertices, whole.select("mesh_id", F.inline(F.array(face(0, 0, width, width + 1), face(1, 0, width + 1, 1))))
+
+
 def icosphere(spark: SparkSession, subdivisions: int = 3, radius: float = 1.0, mesh_id: str = "icosphere") -> Mesh:
     """Each subdivision splits faces at their edges' midpoints, which an aggregate over undirected edges numbers."""
     g = (1 + 5**0.5) / 2
