@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, numbers, values
+from .common import LOWER, values
 
 STRETCH = 1024
 UNKNOWN = "und"
@@ -204,9 +204,10 @@ def train(docs: DataFrame, sample: int = 1 << 17, piece: int = 256) -> Languages
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     langs = max(usable.agg(F.count_distinct("lang").alias("n")).first().n, 1)
     rows, size = max(1, sample // (piece * langs)), min(piece, max(1, sample // langs))
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("lang", "doc_id").groupBy("lang", "doc_id").agg(F.count("*").alias("n"))
-    chosen = ids.withColumn("k", F.row_number().over(least)).where(F.col("k") <= rows).select("lang", "doc_id")  # at most sample / piece rows, or one a language
+    chosen = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct().withColumn("part", F.pmod("h", F.lit(64)))
+    for by in (["lang", "part"], ["lang"]):  # the least of a frequent language are among the least of its parts
+        chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("k") <= rows)
+    chosen = chosen.select("lang", "doc_id")  # at most sample / piece rows, or one a language
     place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - size + 1)).cast("int") + 1
     texts = usable.where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["lang", "doc_id"])
     got = texts.groupBy("lang", "doc_id").agg(F.min_by(F.substring("text", place, F.lit(size)), F.xxhash64("text")).alias("piece")).toArrow()
