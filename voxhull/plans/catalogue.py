@@ -316,17 +316,21 @@ def grid_points(spark, sf_dir):
 
 # ------------------------------------------------------------------------------------------------------ meshes
 
-AROUND, ACROSS = 24, 12
-_A, _BB = f"((vid // {ACROSS}) * (2 * pi() / {AROUND}))", f"((vid % {ACROSS}) * (2 * pi() / {ACROSS}))"
-TORUS_V = f"v AS (SELECT vid, (1.0 + 0.3 * cos({_BB})) * cos({_A}) AS x0, (1.0 + 0.3 * cos({_BB})) * sin({_A}) AS x1, 0.3 * sin({_BB}) AS x2 FROM (SELECT range AS vid FROM range({AROUND * ACROSS})))"
+#: The mesh of most queries: a closed surface of lineitem, a ring for each supplier and twelve quantities across, swollen by the mean price there.
+ACROSS = 12
+_A, _BB = "(i * (2 * pi() / (SELECT n FROM rings)))", f"(j * (2 * pi() / {ACROSS}))"
+_SWOLLEN = "(0.3 * (swell + 1.0))"
 
 
 def _at(di: int, dj: int) -> str:
-    return f"((id // {ACROSS} + {di}) % {AROUND}) * {ACROSS} + (id % {ACROSS} + {dj}) % {ACROSS}"
+    return f"((i + {di}) % (SELECT n FROM rings)) * {ACROSS} + (j + {dj}) % {ACROSS}"
 
 
-TORUS_F = f"f AS (SELECT id * 2 AS fid, {_at(0, 0)} AS v0, {_at(1, 0)} AS v1, {_at(1, 1)} AS v2 FROM q UNION ALL SELECT id * 2 + 1, {_at(0, 0)}, {_at(1, 1)}, {_at(0, 1)} FROM q)"
-MESH = f"WITH q AS (SELECT range AS id FROM range({AROUND * ACROSS})), {TORUS_V}, {TORUS_F}"
+MESH = f"""WITH rings AS (SELECT count(*) AS n FROM supplier),
+lattice AS (SELECT l_suppkey AS i, CAST(l_quantity AS BIGINT) % {ACROSS} AS j, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) * 1e-5 AS swell FROM lineitem GROUP BY 1, 2),
+v AS (SELECT i * {ACROSS} + j AS vid, (1.0 + cos({_BB}) * {_SWOLLEN}) * cos({_A}) AS x0, (1.0 + cos({_BB}) * {_SWOLLEN}) * sin({_A}) AS x1, sin({_BB}) * {_SWOLLEN} AS x2 FROM lattice),
+f AS (SELECT (i * {ACROSS} + j) * 2 AS fid, {_at(0, 0)} AS v0, {_at(1, 0)} AS v1, {_at(1, 1)} AS v2 FROM lattice UNION ALL SELECT (i * {ACROSS} + j) * 2 + 1, {_at(0, 0)}, {_at(1, 1)}, {_at(0, 1)} FROM lattice)"""
+RECURSIVE_MESH = MESH.replace("WITH", "WITH RECURSIVE", 1)
 _C = ", ".join(f"{p}.x{i} AS {p}{i}" for p in "abc" for i in range(3))
 _U, _W = [f"(b{i} - a{i})" for i in range(3)], [f"(c{i} - a{i})" for i in range(3)]
 _CROSS = [f"({_U[(i + 1) % 3]} * {_W[(i + 2) % 3]} - {_U[(i + 2) % 3]} * {_W[(i + 1) % 3]})" for i in range(3)]
@@ -338,93 +342,95 @@ ADJ = "sd AS (SELECT fid, least(s, t) AS a, greatest(s, t) AS b FROM (SELECT fid
 BEND = "bend AS (SELECT f0, f1, adj.a, adj.b, 1 - (p.n0 * q.n0 + p.n1 * q.n1 + p.n2 * q.n2) AS bend FROM adj JOIN geo p ON p.fid = f0 JOIN geo q ON q.fid = f1)"
 
 
-def _torus(spark):
-    return meshes.torus(spark, around=AROUND, across=ACROSS)
+def _survey(spark: SparkSession, sf_dir: str) -> meshes.Mesh:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("i"), (F.col("l_quantity").cast("long") % ACROSS).alias("j"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    lattice = lines.groupBy("i", "j").agg((F.sum("price").cast("double") / F.count("*") * 1e-5).alias("swell"))
+    return meshes.swollen_torus(lattice, spark.read.parquet(f"{sf_dir}/supplier.parquet").count(), ACROSS, mesh_id="survey")
 
 
 @query(f"{MESH} SELECT vid, {R('x0')} AS x0, {R('x1')} AS x1, {R('x2')} AS x2 FROM v")
 def mesh_vertices(spark, sf_dir):
-    return _torus(spark)[0].select("vid", *[r(f"x{i}").alias(f"x{i}") for i in range(3)])
+    return _survey(spark, sf_dir)[0].select("vid", *[r(f"x{i}").alias(f"x{i}") for i in range(3)])
 
 
 @query(f"{MESH} SELECT CAST(fid AS BIGINT) AS fid, CAST(v0 AS BIGINT) AS v0, CAST(v1 AS BIGINT) AS v1, CAST(v2 AS BIGINT) AS v2 FROM f")
 def mesh_faces(spark, sf_dir):
-    return _torus(spark)[1].select(*[F.col(c).cast("long").alias(c) for c in ("fid", "v0", "v1", "v2")])
+    return _survey(spark, sf_dir)[1].select(*[F.col(c).cast("long").alias(c) for c in ("fid", "v0", "v1", "v2")])
 
 
 @query(f"{MESH}, {EDGES} SELECT src, dst, {R('w')} AS w, n AS n_faces FROM e")
 def mesh_edges(spark, sf_dir):
-    return mesh.edges(*_torus(spark)).select("src", "dst", r("w").alias("w"), "n_faces")
+    return mesh.edges(*_survey(spark, sf_dir)).select("src", "dst", r("w").alias("w"), "n_faces")
 
 
 @query(f"{MESH}, {EDGES} SELECT src, dst, {R('w')} AS w FROM (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e)")
 def mesh_graph(spark, sf_dir):
-    return mesh.graph(mesh.edges(*_torus(spark))).select("src", "dst", r("w").alias("w"))
+    return mesh.graph(mesh.edges(*_survey(spark, sf_dir))).select("src", "dst", r("w").alias("w"))
 
 
 @query(f"{GEOMETRY} SELECT fid, {R('area')} AS area, {R('n0')} AS n0, {R('n1')} AS n1, {R('n2')} AS n2 FROM geo")
 def face_area_normal(spark, sf_dir):
-    return mesh.face_geometry(*_torus(spark)).select("fid", *[r(c).alias(c) for c in ("area", "n0", "n1", "n2")])
+    return mesh.face_geometry(*_survey(spark, sf_dir)).select("fid", *[r(c).alias(c) for c in ("area", "n0", "n1", "n2")])
 
 
 @query(f"{MESH}, {ADJ} SELECT f0, f1, a AS v0, b AS v1 FROM adj")
 def face_adjacency(spark, sf_dir):
-    return mesh.face_adjacency(_torus(spark)[1]).select("f0", "f1", "v0", "v1")
+    return mesh.face_adjacency(_survey(spark, sf_dir)[1]).select("f0", "f1", "v0", "v1")
 
 
 @query(f"{MESH}, {EDGES} SELECT count(*) AS n_edges, bool_and(n = 2) AS watertight, true AS winding_consistent, (SELECT count(*) FROM v) - count(*) + (SELECT count(*) FROM f) AS euler FROM e")
 def mesh_watertight(spark, sf_dir):
-    v, f = _torus(spark)
+    v, f = _survey(spark, sf_dir)
     n, m = v.count(), f.count()
     return mesh.watertight(f).select("n_edges", "watertight", "winding_consistent", (F.lit(n) - F.col("n_edges") + F.lit(m)).alias("euler"))
 
 
 @query(f"{GEOMETRY}, s AS (SELECT vid, sum(n0 * area) AS w0, sum(n1 * area) AS w1, sum(n2 * area) AS w2 FROM (SELECT *, unnest([v0, v1, v2]) AS vid FROM geo) GROUP BY vid) SELECT vid, {', '.join(R(f'w{i} / sqrt(w0 * w0 + w1 * w1 + w2 * w2)') + f' AS n{i}' for i in range(3))} FROM s")
 def vertex_normals(spark, sf_dir):
-    return mesh.vertex_normals(mesh.face_geometry(*_torus(spark))).select("vid", *[r(f"n{i}").alias(f"n{i}") for i in range(3)])
+    return mesh.vertex_normals(mesh.face_geometry(*_survey(spark, sf_dir))).select("vid", *[r(f"n{i}").alias(f"n{i}") for i in range(3)])
 
 
 @query(f"""{MESH}, m AS (SELECT {', '.join(f"min(x{i}) AS lo{i}, max(x{i}) AS hi{i}" for i in range(3))} FROM v) SELECT vid, {', '.join(R(f'(x{i} - (lo{i} + hi{i}) / 2) / (greatest(hi0, hi1, hi2) - least(lo0, lo1, lo2))') + f' AS x{i}' for i in range(3))} FROM v, m""")
 def mesh_normalize(spark, sf_dir):
-    return mesh.normalize_mesh(_torus(spark)[0]).select("vid", *[r(f"x{i}").alias(f"x{i}") for i in range(3)])
+    return mesh.normalize_mesh(_survey(spark, sf_dir)[0]).select("vid", *[r(f"x{i}").alias(f"x{i}") for i in range(3)])
 
 
 @query(f"""{GEOMETRY}, c AS (SELECT {', '.join(f"sum(g{i} * area) / sum(area) AS c{i}" for i in range(3))} FROM geo), m AS (SELECT sqrt(pow(max(x0) - min(x0), 2) + pow(max(x1) - min(x1), 2) + pow(max(x2) - min(x2), 2)) AS d FROM v)
 SELECT vid, {', '.join(R(f'(x{i} - c{i}) / d') + f' AS x{i}' for i in range(3))} FROM v, c, m""")
 def mesh_normalize_centroid(spark, sf_dir):
-    return mesh.normalize_by_centroid(*_torus(spark)).select("vid", *[r(f"x{i}").alias(f"x{i}") for i in range(3)])
+    return mesh.normalize_by_centroid(*_survey(spark, sf_dir)).select("vid", *[r(f"x{i}").alias(f"x{i}") for i in range(3)])
 
 
 @query(f"{GEOMETRY}, {ADJ}, {BEND}, c AS (SELECT vid, avg(bend) AS c FROM (SELECT bend, unnest([a, b]) AS vid FROM bend) GROUP BY vid) SELECT v.vid, {R('1 + 5 * coalesce(c / (SELECT max(c) FROM c), 0.0)')} AS w FROM v LEFT JOIN c ON v.vid = c.vid")
 def vertex_curvature_weight(spark, sf_dir):
-    v, f = _torus(spark)
+    v, f = _survey(spark, sf_dir)
     return segment.curvature_weights(mesh.face_geometry(v, f), mesh.face_adjacency(f), v).select("vid", r("w").alias("w"))
 
 
 @query(f"""{GEOMETRY}, {ADJ}, {BEND}, t AS (SELECT sum(bend) AS total, median(bend) AS med, count(*) AS n FROM bend), a AS (SELECT sum(area) AS area FROM geo),
 s AS (SELECT *, greatest(CAST(ceil(total / (area / 20.0 * 4 * 1e-3 * n / area)) AS BIGINT), 2) AS k FROM t, a) SELECT {R('total')} AS total, {R('med')} AS median, n AS n_edges, {R('area')} AS area, CAST(k + k % 2 AS INTEGER) AS n_seeds FROM s""")
 def n_seeds_fast(spark, sf_dir):
-    v, f = _torus(spark)
+    v, f = _survey(spark, sf_dir)
     s = segment.seed_estimate(mesh.face_geometry(v, f), mesh.face_adjacency(f))
     return s.select(r("total").alias("total"), r("median").alias("median"), "n_edges", r("area").alias("area"), F.col("n_seeds").cast("int").alias("n_seeds"))
 
 
 @query()
 def n_seeds_accurate(spark, sf_dir):
-    v, f = _torus(spark)
+    v, f = _survey(spark, sf_dir)
     return segment.seed_estimate_accurate(mesh.face_geometry(v, f), v)
 
 
 @query(f"{GEOMETRY} SELECT {R('sqrt(sum(area) / 16 / pi()) * 1.25')} AS radius, CAST(least(greatest(floor(sum(area) * 5000), 30), 600) AS INTEGER) AS n_samples FROM geo")
 def patch_radius(spark, sf_dir):
     area = F.sum("area")
-    return mesh.face_geometry(*_torus(spark)).agg(r(segment.patch_radius(area, F.lit(16))).alias("radius"), mesh.sample_count(area).alias("n_samples"))
+    return mesh.face_geometry(*_survey(spark, sf_dir)).agg(r(segment.patch_radius(area, F.lit(16))).alias("radius"), mesh.sample_count(area).alias("n_samples"))
 
 
 @query(f"""{GEOMETRY}, s AS (SELECT fid // 24 AS region, sum(area) AS area, count(*) AS n_faces, {', '.join(f'sum(n{i} * area) AS s{i}' for i in range(3))} FROM geo GROUP BY ALL)
 SELECT CAST(region AS BIGINT) AS region, {R('area')} AS area, n_faces, {', '.join(R(f's{i} / sqrt(s0 * s0 + s1 * s1 + s2 * s2)') + f' AS n{i}' for i in range(3))} FROM s WHERE area >= 0.01 * (SELECT sum(area) FROM geo)""")
 def region_summary(spark, sf_dir):
-    v, f = _torus(spark)
+    v, f = _survey(spark, sf_dir)
     s = mesh.region_summary(mesh.face_geometry(v, f), f.select("fid", F.expr("fid div 24").alias("region"))).where("share >= 0.01")
     return s.select("region", r("area").alias("area"), "n_faces", *[r(f"n{i}").alias(f"n{i}") for i in range(3)])
 
@@ -435,16 +441,16 @@ def region_grow(spark, sf_dir):
     return segment.grow_regions(mesh.face_geometry(v, f), mesh.face_adjacency(f)).select("fid", "region")
 
 
-@query(GEOMETRY.replace("WITH q", "WITH RECURSIVE q", 1) + f""", {ADJ}, {BEND}, l AS (SELECT f0 AS x, f1 AS y FROM bend WHERE abs(1 - bend) >= 0.9 UNION ALL SELECT f1, f0 FROM bend WHERE abs(1 - bend) >= 0.9),
+@query(GEOMETRY.replace("WITH", "WITH RECURSIVE", 1) + f""", {ADJ}, {BEND}, l AS (SELECT f0 AS x, f1 AS y FROM bend WHERE abs(1 - bend) >= 0.9 UNION ALL SELECT f1, f0 FROM bend WHERE abs(1 - bend) >= 0.9),
 reach(fid, to_fid) AS (SELECT fid, fid FROM f UNION SELECT reach.fid, l.y FROM reach JOIN l ON l.x = reach.to_fid) SELECT CAST(fid AS BIGINT) AS fid, CAST(min(to_fid) AS BIGINT) AS region FROM reach GROUP BY fid""")
 def region_grow_relaxed(spark, sf_dir):
-    v, f = _torus(spark)
+    v, f = _survey(spark, sf_dir)
     return segment.flat_components(mesh.face_geometry(v, f), mesh.face_adjacency(f), 0.9).select("fid", "region")
 
 
 @query(f"{MESH}, p AS (SELECT vid, CAST(vid // 96 AS BIGINT) AS pid FROM v) SELECT DISTINCT pid, CAST(fid AS BIGINT) AS fid FROM (SELECT fid, unnest([v0, v1, v2]) AS vid FROM f) JOIN p USING (vid)")
 def patch_faces(spark, sf_dir):
-    v, f = _torus(spark)
+    v, f = _survey(spark, sf_dir)
     return mesh.patch_faces(f, v.select("vid", F.expr("vid div 96").alias("pid"))).select("pid", F.col("fid").cast("long").alias("fid"))
 
 
@@ -545,11 +551,11 @@ def running_distance(spark, sf_dir):
     return _dist(spark, sf_dir).select("vid", "seed_rank", r(F.min("d").over(w)).alias("near"))
 
 
-@query(f"""WITH RECURSIVE q AS (SELECT range AS id FROM range({AROUND * ACROSS})), {TORUS_V}, {TORUS_F}, {EDGES}, g AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e),
+@query(f"""{RECURSIVE_MESH}, {EDGES}, g AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e),
 p(vid, d) USING KEY (vid) AS (SELECT CAST(0 AS BIGINT), CAST(0.0 AS DOUBLE) UNION SELECT dst, min(p.d + w) FROM p JOIN g ON p.vid = src LEFT JOIN recurring.p AS o ON o.vid = dst WHERE o.d IS NULL OR p.d + w < o.d GROUP BY dst)
 SELECT CAST(vid AS BIGINT) AS vid, {R('d')} AS d FROM p""")
 def sssp(spark, sf_dir):
-    g = mesh.graph(mesh.edges(*_torus(spark)))
+    g = mesh.graph(mesh.edges(*_survey(spark, sf_dir)))
     return graphs.shortest_paths(g, spark.createDataFrame([(0,)], "source long")).select("vid", r("d").alias("d"))
 
 
@@ -843,7 +849,7 @@ def greedy_cover(spark, sf_dir):
 
 @query()
 def surface_sample(spark, sf_dir):
-    g = mesh.face_geometry(*_torus(spark))
+    g = mesh.face_geometry(*_survey(spark, sf_dir))
     return sampling.sample_surface(g, 1000, vertex_normals=mesh.vertex_normals(g))
 
 

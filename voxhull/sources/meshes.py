@@ -34,13 +34,24 @@ def read_obj(spark: SparkSession, path: str) -> Mesh:
 def torus(spark: SparkSession, major: float = 1.0, minor: float = 0.3, around: int = 128, across: int = 64, mesh_id: str = "torus") -> Mesh:
     """Around * across vertices, twice as many faces, turned outward."""
     g = spark.range(around * across)
-    i, j = F.expr(f"id div {across}"), F.expr(f"id % {across}")
+    return swollen_torus(g.select(F.expr(f"id div {across}").alias("i"), F.expr(f"id % {across}").alias("j"), F.lit(0.0).alias("swell")), around, across, major, minor, mesh_id)
+
+
+def swollen_torus(lattice: DataFrame, around: int, across: int, major: float = 1.0, minor: float = 0.3, mesh_id: str = "torus") -> Mesh:
+    """S2 for measured data: a closed mesh of lattice(i, j, swell), i of around, j of across, with radius minor * (1 + swell) there.
+
+    Each place of the lattice has one row; it is a vertex, i * across + j, and a square of two faces, turned outward.
+    """
+    i, j = F.col("i").cast("long"), F.col("j").cast("long")
     a, b = i * (2 * 3.141592653589793 / around), j * (2 * 3.141592653589793 / across)
-    rho = F.lit(major) + F.cos(b) * minor
-    vertices = g.select(F.lit(mesh_id).alias("mesh_id"), F.col("id").alias("vid"), (rho * F.cos(a)).alias("x0"), (rho * F.sin(a)).alias("x1"), (F.sin(b) * minor).alias("x2"))
+    r = F.lit(minor) * (F.col("swell") + 1.0)
+    rho = F.lit(major) + F.cos(b) * r
+    vid = i * across + j
+    vertices = lattice.select(F.lit(mesh_id).alias("mesh_id"), vid.alias("vid"), (rho * F.cos(a)).alias("x0"), (rho * F.sin(a)).alias("x1"), (F.sin(b) * r).alias("x2"))
     at = lambda di, dj: ((i + di) % around) * across + (j + dj) % across
-    quads = g.select("id", F.explode(F.array(F.struct(F.lit(0).alias("k"), at(0, 0).alias("v0"), at(1, 0).alias("v1"), at(1, 1).alias("v2")), F.struct(F.lit(1).alias("k"), at(0, 0).alias("v0"), at(1, 1).alias("v1"), at(0, 1).alias("v2")))).alias("f"))
-    return vertices, quads.select(F.lit(mesh_id).alias("mesh_id"), (F.col("id") * 2 + F.col("f.k")).alias("fid"), "f.v0", "f.v1", "f.v2")
+    face = lambda k, *v: F.struct((vid * 2 + k).alias("fid"), *[c.alias(f"v{n}") for n, c in enumerate(v)])
+    faces = lattice.select(F.lit(mesh_id).alias("mesh_id"), F.inline(F.array(face(0, at(0, 0), at(1, 0), at(1, 1)), face(1, at(0, 0), at(1, 1), at(0, 1)))))
+    return vertices, faces
 
 
 #: The corners of the unit cube, bit i of the number on axis i, and its faces turned outward.
