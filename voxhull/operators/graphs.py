@@ -145,6 +145,7 @@ def farthest_points(graph: DataFrame, first: int, n: int, weights: DataFrame | N
     weights(vid, w): distances count divided by w + 1e-8. Ties go to the lower vertex. The driver holds one seed a round.
     """
     seeds, all_d, nearest = [first], None, None
+    graph = stored(graph)
     for rank in range(n):
         spark = graph.sparkSession
         d = shortest_paths(graph, spark.createDataFrame([(seeds[-1],)], "source long")).select(F.lit(rank).alias("seed_rank"), "vid", "d")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import harmonics, poly, sdf
 from ..functions.vectors import named, plane_basis, sphere_coordinates, vec
-from ..operators import blend, fit, gaussian, graphs, greedy, mesh, network, rays, sampling, segment, skeleton, slabs, spatial
+from ..operators import blend, fit, gaussian, graphs, greedy, mesh, network, rays, repair, sampling, segment, skeleton, slabs, spatial
 from ..sources import grids, meshes
 from ..streaming import fields
 from . import pipelines
@@ -454,6 +454,28 @@ def patch_faces(spark, sf_dir):
     return mesh.patch_faces(f, v.select("vid", F.expr("vid div 96").alias("pid"))).select("pid", F.col("fid").cast("long").alias("fid"))
 
 
+#: The survey with faces turned, squares and single faces gone: every hole has three or four edges.
+_TURNED, _GONE, _HALF = "fid * 7919 % 10 < 3", "fid // 2 % 17 = 5", "fid // 2 % 17 = 12 AND fid % 2 = 1"
+_LEAST_FIRST = "CASE least(v0, v1, v2) WHEN v0 THEN [v0, v1, v2] WHEN v1 THEN [v1, v2, v0] ELSE [v2, v0, v1] END"
+
+
+@query(f"""{MESH}, sq AS (SELECT {_at(0, 0)} AS a, {_at(1, 0)} AS b, {_at(1, 1)} AS c, {_at(0, 1)} AS d FROM lattice WHERE (i * {ACROSS} + j) % 17 = 5),
+fan AS (SELECT *, least(a, b, c, d) IN (a, c) AS ac FROM sq),
+x AS (SELECT v0, v1, v2, {_HALF} AS added FROM f WHERE NOT ({_GONE}) UNION ALL SELECT CASE WHEN ac THEN a ELSE b END, CASE WHEN ac THEN b ELSE c END, CASE WHEN ac THEN c ELSE d END, true FROM fan
+    UNION ALL SELECT CASE WHEN ac THEN a ELSE b END, CASE WHEN ac THEN c ELSE d END, CASE WHEN ac THEN d ELSE a END, true FROM fan),
+l AS (SELECT {_LEAST_FIRST} AS k, added FROM x) SELECT CAST(k[1] AS BIGINT) AS v0, CAST(k[2] AS BIGINT) AS v1, CAST(k[3] AS BIGINT) AS v2, added FROM l""")
+def mesh_repair(spark, sf_dir):
+    """S3: what comes out is the whole surface again, wound outward; only the diagonal of a filled square may differ."""
+    v, f = _survey(spark, sf_dir)
+    sql = lambda x: F.expr(x.replace("fid // 2", "(fid div 2)"))
+    f = f.where(~sql(_GONE) & ~sql(_HALF))
+    turned = f.select("mesh_id", "fid", "v0", *[F.when(sql(_TURNED), F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("v2", "v1"), ("v1", "v2"))])
+    out = repair.repaired(v, turned)
+    least = F.least("v0", "v1", "v2")
+    k = F.when(least == F.col("v0"), F.array("v0", "v1", "v2")).when(least == F.col("v1"), F.array("v1", "v2", "v0")).otherwise(F.array("v2", "v0", "v1"))
+    return out.select(k.alias("k"), "added").select(*[F.col("k")[i].alias(f"v{i}") for i in range(3)], "added")
+
+
 # ---------------------------------------------------------------------------------------- spatial and graph joins
 
 _D = "sqrt(pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2))"
@@ -567,9 +589,20 @@ def connected_components(spark, sf_dir):
     return graphs.components(p.select(F.col("id").alias("node")), near.select(F.col("id").alias("a"), F.col("nid").alias("b")))
 
 
-@query()
+def _reach(k: int) -> str:
+    return (f"p{k}(vid, d) USING KEY (vid) AS (SELECT s.vid, CAST(0.0 AS DOUBLE) FROM s{k} s UNION SELECT dst, min(p{k}.d + w) FROM p{k} JOIN g ON p{k}.vid = src LEFT JOIN recurring.p{k} AS o ON o.vid = dst "
+            f"WHERE o.d IS NULL OR p{k}.d + w < o.d GROUP BY dst)")
+
+
+def _farthest(k: int) -> str:
+    near = " UNION ALL ".join(f"SELECT vid, d FROM p{i}" for i in range(k))
+    return f"s{k} AS (SELECT vid FROM (SELECT vid, min(d) AS near FROM ({near}) GROUP BY vid) ORDER BY near DESC, vid LIMIT 1)"
+
+
+@query(f"""{RECURSIVE_MESH}, {EDGES}, g AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e), s0 AS (SELECT CAST(0 AS BIGINT) AS vid), {', '.join(f'{_reach(k)}, {_farthest(k + 1)}' for k in range(3))}
+{' UNION ALL '.join(f'SELECT {k} AS seed_rank, CAST(vid AS BIGINT) AS vid FROM s{k}' for k in range(4))}""")
 def fps(spark, sf_dir):
-    g = mesh.graph(mesh.edges(*meshes.torus(spark, around=16, across=8)))
+    g = mesh.graph(mesh.edges(*_survey(spark, sf_dir)))
     seeds, _ = graphs.farthest_points(g, 0, 4)
     return spark.createDataFrame(list(enumerate(seeds)), "seed_rank int, vid long")
 
