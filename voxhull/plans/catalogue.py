@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import harmonics, poly, sdf
-from ..functions.vectors import named, plane_basis, sphere_coordinates, vec
-from ..operators import blend, fit, gaussian, graphs, greedy, mesh, network, rays, repair, sampling, segment, skeleton, slabs, spatial
+from ..functions.vectors import cross, dot, named, plane_basis, sphere_coordinates, vec
+from ..operators import blend, fit, gaussian, graphs, greedy, isosurface, mesh, network, rays, repair, sampling, segment, skeleton, slabs, spatial
+from ..operators.storage import stored
 from ..sources import grids, meshes
 from ..streaming import fields
 from . import pipelines
@@ -476,6 +477,51 @@ def mesh_repair(spark, sf_dir):
     return out.select(k.alias("k"), "added").select(*[F.col("k")[i].alias(f"v{i}") for i in range(3)], "added")
 
 
+#: Places of the lattice that lineitem fills: supplier, quantity, discount in hundredths; a place is inside where two lines or more lie.
+_STEP, _PLACES = (0.01, 0.02, 0.1), "l_suppkey + 1 AS i, CAST(l_quantity AS BIGINT) + 1 AS j, CAST(round(l_discount * 100) AS BIGINT) + 1 AS k"
+_TETRA = " UNION ALL ".join(f"SELECT {t} AS t, {list(c)} AS c" for t, c in enumerate(isosurface.TETRAHEDRA))
+_AT = "[x.i + ({c} & 1), x.j + ({c} >> 1 & 1), x.k + ({c} >> 2 & 1)]"
+_CUT = "list_transform([1, 2, 3], lambda y: ({p}[y] + {f} / ({f} - {g}) * ({q}[y] - {p}[y])) * [" + ", ".join(map(repr, _STEP)) + "][y])"
+
+
+def _cross(u: str, v: str) -> str:
+    return f"sqrt({' + '.join(f'pow({u}[{a}] * {v}[{b}] - {u}[{b}] * {v}[{a}], 2)' for a, b in ((1, 2), (2, 3), (3, 1)))})"
+
+
+def _minus(a: str, b: str) -> str:
+    return f"list_transform([1, 2, 3], lambda z: {a}[z] - {b}[z])"
+
+
+@query(f"""WITH den AS (SELECT {_PLACES}, 1.5 - count(*) AS f FROM lineitem GROUP BY 1, 2, 3),
+x AS (SELECT DISTINCT i - (o & 1) AS i, j - (o >> 1 & 1) AS j, k - (o >> 2 & 1) AS k FROM den, (SELECT CAST(range AS INTEGER) AS o FROM range(8))),
+tet AS ({_TETRA}), cor AS (SELECT x.i, x.j, x.k, t, list(struct_pack(p := {_AT.format(c='c')}, f := coalesce(d.f, CAST(1.5 AS DOUBLE)), c := c) ORDER BY c) AS cs
+  FROM x, (SELECT t, unnest(c) AS c FROM tet) u LEFT JOIN den d ON d.i = x.i + (c & 1) AND d.j = x.j + (c >> 1 & 1) AND d.k = x.k + (c >> 2 & 1) GROUP BY x.i, x.j, x.k, t),
+io AS (SELECT i, j, k, list_filter(cs, lambda z: z.f < 0) AS ins, list_filter(cs, lambda z: z.f >= 0) AS outs FROM cor),
+h AS (SELECT *, CASE WHEN len(ins) = 3 THEN outs ELSE ins END AS a, CASE WHEN len(ins) = 3 THEN ins ELSE outs END AS b FROM io WHERE len(ins) BETWEEN 1 AND 3),
+w AS (SELECT *, {', '.join(_CUT.format(p=f'a[{m}].p', q=f'b[{n}].p', f=f'a[{m}].f', g=f'b[{n}].f') + f' AS c{m}{n}' for m, n in ((1, 1), (1, 2)))},
+  {_CUT.format(p='a[1].p', q='b[3].p', f='a[1].f', g='b[3].f')} AS c13, {', '.join(_CUT.format(p='a[2].p', q=f'b[{n}].p', f='a[2].f', g=f'b[{n}].f') + f' AS c2{n}' for n in (1, 2))},
+  {', '.join(f'a[{m}].f / (a[{m}].f - b[{n}].f) AS t{m}{n}' for m in (1, 2) for n in (1, 2, 3))} FROM h),
+s AS (SELECT CASE WHEN len(ins) = 2 THEN 2 ELSE 1 END AS n, CASE WHEN len(ins) = 2 THEN {_cross(_minus('c11', 'c22'), _minus('c12', 'c21'))} ELSE {_cross(_minus('c11', 'c13'), _minus('c12', 'c13'))} END / 2 AS area,
+  CASE len(ins) WHEN 1 THEN t11 * t12 * t13 WHEN 3 THEN 1 - t11 * t12 * t13 ELSE t11 * t12 + t11 * t22 * (1 - t12) + (1 - t11) * t21 * t22 END AS part FROM w),
+e AS (SELECT DISTINCT least(p.c, q.c) AS lo, greatest(p.c, q.c) AS hi, i + (least(p.c, q.c) & 1) AS i, j + (least(p.c, q.c) >> 1 & 1) AS j, k + (least(p.c, q.c) >> 2 & 1) AS k FROM (SELECT i, j, k, unnest(ins) AS p, outs FROM io) z, LATERAL (SELECT unnest(z.outs) AS q)),
+v AS (SELECT count(*) AS n FROM (SELECT DISTINCT i, j, k, hi - lo FROM e)),
+full_ AS (SELECT count(*) AS n FROM io WHERE len(ins) = 4), sums AS (SELECT CAST(sum(n) AS BIGINT) AS n_faces, sum(area) AS area, (sum(part) + (SELECT n FROM full_)) / 6 * {_STEP[0]} * {_STEP[1]} * {_STEP[2]} AS volume FROM s)
+SELECT (SELECT n FROM v) AS n_vertices, n_faces, n_faces // 2 * 3 AS n_edges, true AS watertight, true AS winding_consistent, {R('area', 4)} AS area, {R('volume')} AS volume FROM sums""")
+def iso_surface(spark, sf_dir):
+    """A closed surface about the places where lines lie close; its volume tells that it is turned outward."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    places = lines.select((F.col("l_suppkey") + 1).alias("i"), (F.col("l_quantity").cast("long") + 1).alias("j"), (F.round(F.col("l_discount") * 100).cast("long") + 1).alias("k"))
+    values = places.groupBy("i", "j", "k").agg((1.5 - F.count("*")).alias("f"))
+    v, f = isosurface.surface(isosurface.cells_of_values(values, missing=1.5), (0, 0, 0), _STEP)
+    f = stored(f)
+    counts = v.groupBy("mesh_id").agg(F.count("*").alias("n_vertices")).join(f.groupBy("mesh_id").agg(F.count("*").alias("n_faces")), "mesh_id")
+    geometry = stored(mesh.face_geometry(v, f))
+    a, b, c = (vec(*(f"{p}{i}" for i in range(3))) for p in "abc")
+    size = geometry.groupBy("mesh_id").agg(F.sum("area").alias("area"), (F.sum(dot(a, cross(b, c))) / 6).alias("volume"))
+    out = counts.join(mesh.watertight(f), "mesh_id").join(size, "mesh_id")
+    return out.select("n_vertices", "n_faces", "n_edges", "watertight", "winding_consistent", r("area", 4).alias("area"), r("volume").alias("volume"))
+
+
 # ---------------------------------------------------------------------------------------- spatial and graph joins
 
 _D = "sqrt(pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2))"
