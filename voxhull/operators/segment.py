@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cross, curvedness, dot, norm, sub, vec
+from ..functions.vectors import cross, curvedness, dot, lit, norm, sub, vec
 from . import graphs, mesh
+from .storage import stored
 
 
 def curvature_weights(geometry: DataFrame, adjacency: DataFrame, vertices: DataFrame, alpha: float = 5.0) -> DataFrame:
@@ -78,37 +79,104 @@ def patch_radius(area: Column, n_seeds: Column, overlap: float = 0.25) -> Column
     return F.sqrt(area / n_seeds / np.pi) * (1.0 + overlap)
 
 
-def grow_regions(geometry: DataFrame, adjacency: DataFrame, least: float = 0.998) -> DataFrame:
-    """mesh_id, fid, region. A face joins the region whose seed's normal it shares up to sign, faces taken as seeds in
-    order of id and grown last in, first out. The order decides, so a mesh is one task; many meshes run side by side.
+#: Faces that may grow in one task; larger sets of faces that could meet in a region grow in rounds.
+TOGETHER = 1 << 18
+_N = ("n0", "n1", "n2")
+
+
+def _grown(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """G4 in one task: rows of faces (face, fid, n0..n2) and of links between them (not face, fid, f1)."""
+    faces = pdf[pdf.face].sort_values("fid")
+    ids, normals = faces.fid.to_numpy(), faces[list(_N)].to_numpy()
+    at = {f: i for i, f in enumerate(ids)}
+    near: list[list[int]] = [[] for _ in ids]
+    pairs = pdf[~pdf.face]
+    for f, g in zip(pairs.fid, pairs.f1):
+        near[at[f]].append(at[g])
+        near[at[g]].append(at[f])
+    region = np.full(len(ids), -1)
+    for seed in range(len(ids)):
+        if region[seed] >= 0:
+            continue
+        stack, region[seed] = [seed], seed
+        while stack:
+            for j in near[stack.pop()]:
+                if region[j] < 0 and abs(normals[j] @ normals[seed]) >= least:
+                    region[j] = seed
+                    stack.append(j)
+    return pd.DataFrame({"mesh_id": pdf.mesh_id.iloc[0], "fid": ids, "region": ids[region]})
+
+
+def _centres(n: int) -> np.ndarray:
+    """n directions, evenly spread over a half sphere."""
+    z, turn = (np.arange(n) + 0.5) / n, np.arange(n) * np.pi * (3 - 5**0.5)
+    return np.stack([np.sqrt(1 - z * z) * np.cos(turn), np.sqrt(1 - z * z) * np.sin(turn), z], 1)
+
+
+def _rounds(faces: DataFrame, links: DataFrame, least: float, n_centres: int = 64) -> DataFrame:
+    """G4 of faces(mesh_id, fid, n0..n2) and links(mesh_id, f0, f1) in rounds, each of which grows many seeds that can't meet.
+
+    All that could reach a face before its own turn, or meet a region of its own, lies within three times the angle of a region about its
+    normal and is connected to it by such faces. So a face is a seed for certain if no undecided face of lesser number lies
+    there. It is looked for in a somewhat larger set, that of faces about one of some fixed directions, which many faces share.
     """
-    n = geometry.select("mesh_id", "fid", "n0", "n1", "n2", F.lit(None).cast("long").alias("f1"))
-    a = adjacency.select("mesh_id", F.col("f0").alias("fid"), *[F.lit(None).cast("double").alias(f"n{i}") for i in range(3)], "f1")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        faces = pdf[pdf.f1.isna()].sort_values("fid")
-        ids, normals = faces.fid.to_numpy(), faces[["n0", "n1", "n2"]].to_numpy()
-        at = {f: i for i, f in enumerate(ids)}
-        near: list[list[int]] = [[] for _ in ids]
-        pairs = pdf[pdf.f1.notna()].sort_values(["fid", "f1"])
-        for f, g in zip(pairs.fid, pairs.f1.astype("int64")):
-            near[at[f]].append(at[g])
-            near[at[g]].append(at[f])
-        region = np.full(len(ids), -1)
-        n_regions = 0
-        for seed in range(len(ids)):
-            if region[seed] >= 0:
-                continue
-            stack, region[seed] = [seed], n_regions
-            while stack:
-                for j in near[stack.pop()]:
-                    if region[j] < 0 and abs(normals[j] @ normals[seed]) >= least:
-                        region[j] = n_regions
-                        stack.append(j)
-            n_regions += 1
-        return pd.DataFrame({"mesh_id": key[0], "fid": ids, "region": region})
-
-    return n.unionByName(a).groupBy("mesh_id").applyInPandas(run, "mesh_id string, fid long, region long")
+    turn = 3 * np.arccos(min(1.0, least))
+    centres = _centres(n_centres)
+    cosines = F.array(*[F.abs(dot(vec(*_N), lit(c))) for c in centres.tolist()])
+    placed = stored(faces.select("mesh_id", "fid", *_N, cosines.alias("c")).select("mesh_id", "fid", *_N, "c", F.array_max("c").alias("own")))
+    off = np.arccos(min(1.0, placed.agg(F.min("own")).first()[0] or 1.0))
+    reach = np.cos(min(np.pi / 2, off + turn + 1e-9))
+    about = F.filter(F.transform("c", lambda x, i: F.when(x >= reach, i)), lambda i: i.isNotNull())
+    left = stored(placed.select("mesh_id", "fid", *_N, (F.array_position("c", F.col("own")) - 1).cast("int").alias("own"), about.alias("about")))
+    done = None
+    node = lambda *c: F.struct(*[F.col(x).alias(f"k{i}") for i, x in enumerate(c)])
+    while left.limit(1).count():
+        members = stored(left.select("mesh_id", F.explode("about").alias("centre"), "fid", *_N, "own"))
+        end = members.select("mesh_id", "centre", "fid")
+        pairs = stored(links.join(end.withColumnRenamed("fid", "f0"), ["mesh_id", "f0"]).join(end.withColumnRenamed("fid", "f1"), ["mesh_id", "centre", "f1"]).select("mesh_id", "centre", "f0", "f1"))
+        key = ("mesh_id", "centre", "fid")
+        sets = graphs.components(members.select(node(*key).alias("node")), pairs.select(node("mesh_id", "centre", "f0").alias("a"), node("mesh_id", "centre", "f1").alias("b")))
+        sets = sets.select(F.col("node.k0").alias("mesh_id"), F.col("node.k1").alias("centre"), F.col("node.k2").alias("fid"), F.col("component.k2").alias("seed"))
+        told = members.join(sets, list(key))
+        seeds = told.where((F.col("seed") == F.col("fid")) & (F.col("own") == F.col("centre"))).select("mesh_id", "centre", "seed", *[F.col(x).alias(f"s{i}") for i, x in enumerate(_N)])
+        flat = F.abs(dot(vec(*_N), vec("s0", "s1", "s2"))) >= least
+        near = stored(told.join(seeds, ["mesh_id", "centre", "seed"]).where(flat).select("mesh_id", "seed", "fid"))
+        inside = pairs.join(near.select("mesh_id", "seed", F.col("fid").alias("f0")), ["mesh_id", "f0"]).join(near.select("mesh_id", "seed", F.col("fid").alias("f1")), ["mesh_id", "seed", "f1"])
+        parts = graphs.components(near.select(node("mesh_id", "seed", "fid").alias("node")), inside.select(node("mesh_id", "seed", "f0").alias("a"), node("mesh_id", "seed", "f1").alias("b")))
+        grown = stored(parts.where("component.k2 = node.k1").select(F.col("node.k0").alias("mesh_id"), F.col("node.k2").alias("fid"), F.col("node.k1").alias("region")))
+        done = grown if done is None else stored(done.unionByName(grown))
+        left = stored(left.join(grown.select("mesh_id", "fid"), ["mesh_id", "fid"], "left_anti"))
+    return faces.select("mesh_id", "fid", F.col("fid").alias("region")).limit(0) if done is None else done
+
+
+def grow_regions(geometry: DataFrame, adjacency: DataFrame, least: float = 0.998, together: int = TOGETHER) -> DataFrame:
+    """mesh_id, fid, region (its seed, the face of least number). A face joins the region whose seed's normal it shares up to sign, faces taken
+    as seeds in order of fid; the result is that of this order.
+
+    Faces of a region differ by twice its angle at most, so sets that are connected by such neighbours grow apart from each other: those of at most
+    ``together`` faces in a task each, larger ones in rounds of seeds that can't meet (_rounds).
+    """
+    n = geometry.select("mesh_id", "fid", *_N)
+    p, q = (n.select("mesh_id", F.col("fid").alias(f), *[F.col(x).alias(f"{c}{i}") for i, x in enumerate(_N)]) for f, c in (("f0", "p"), ("f1", "q")))
+    widest = np.cos(min(np.pi / 2, 2 * np.arccos(min(1.0, least)) + 1e-9))
+    links = adjacency.select("mesh_id", "f0", "f1").join(p, ["mesh_id", "f0"]).join(q, ["mesh_id", "f1"]).where(F.abs(dot(vec("p0", "p1", "p2"), vec("q0", "q1", "q2"))) >= widest).select("mesh_id", "f0", "f1")
+    links = stored(links)
+    node = lambda f: F.struct("mesh_id", F.col(f).alias("fid"))
+    sets = graphs.components(n.select(node("fid").alias("node")), links.select(node("f0").alias("a"), node("f1").alias("b"))).select("node.mesh_id", "node.fid", F.col("component.fid").alias("part"))
+    sizes = sets.groupBy("mesh_id", "part").agg(F.count("*").alias("size"))
+    dealt = stored(n.join(sets.join(sizes, ["mesh_id", "part"]), ["mesh_id", "fid"]))
+    linked = links.join(dealt.select("mesh_id", F.col("fid").alias("f0"), "part", "size"), ["mesh_id", "f0"])
+    small = F.col("size") <= together
+    rows = dealt.where(small).select("mesh_id", "part", F.lit(True).alias("face"), "fid", *_N, F.lit(0).cast("long").alias("f1"))
+    rows = rows.unionByName(linked.where(small).select("mesh_id", "part", F.lit(False).alias("face"), F.col("f0").alias("fid"), *[F.lit(0.0).alias(x) for x in _N], "f1"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _grown(pdf, least)
+
+    out = rows.groupBy("mesh_id", "part").applyInPandas(run, "mesh_id string, fid long, region long")
+    if dealt.where(~small).limit(1).count():
+        out = out.unionByName(_rounds(dealt.where(~small).select("mesh_id", "fid", *_N), stored(linked.where(~small).select("mesh_id", "f0", "f1")), least))
+    return out
 
 
 def flat_components(geometry: DataFrame, adjacency: DataFrame, least: float = 0.998) -> DataFrame:

@@ -436,10 +436,16 @@ def region_summary(spark, sf_dir):
     return s.select("region", r("area").alias("area"), "n_faces", *[r(f"n{i}").alias(f"n{i}") for i in range(3)])
 
 
-@query("SELECT range AS fid, range // 2 AS region FROM range(12)")
+#: Growing step by step: the newest region takes the neighbours of its faces that are free and share its seed's normal; if there are none, the least free face seeds the next.
+@query(GEOMETRY.replace("WITH", "WITH RECURSIVE", 1) + f""", {ADJ}, both AS MATERIALIZED (SELECT f0, f1 FROM adj UNION ALL SELECT f1, f0 FROM adj), n AS MATERIALIZED (SELECT fid, n0, n1, n2 FROM geo),
+grow(fid, region) USING KEY (fid) AS (SELECT CAST(min(fid) AS BIGINT), CAST(min(fid) AS BIGINT) FROM n UNION
+SELECT * FROM (WITH fresh AS (SELECT DISTINCT both.f1 AS fid, g.region FROM recurring.grow g JOIN both ON both.f0 = g.fid JOIN n s ON s.fid = g.region JOIN n t ON t.fid = both.f1
+    WHERE g.region = (SELECT max(region) FROM recurring.grow) AND abs(s.n0 * t.n0 + s.n1 * t.n1 + s.n2 * t.n2) >= 0.9 AND NOT EXISTS (SELECT 1 FROM recurring.grow o WHERE o.fid = both.f1))
+  SELECT CAST(fid AS BIGINT), region FROM fresh UNION ALL SELECT CAST(min(fid) AS BIGINT), CAST(min(fid) AS BIGINT) FROM n WHERE NOT EXISTS (SELECT 1 FROM fresh) AND NOT EXISTS (SELECT 1 FROM recurring.grow o WHERE o.fid = n.fid) HAVING count(*) > 0))
+SELECT fid, region FROM grow""")
 def region_grow(spark, sf_dir):
-    v, f = meshes.box(spark, (1.0, 0.6, 0.4))
-    return segment.grow_regions(mesh.face_geometry(v, f), mesh.face_adjacency(f)).select("fid", "region")
+    v, f = _survey(spark, sf_dir)
+    return segment.grow_regions(mesh.face_geometry(v, f), mesh.face_adjacency(f), 0.9).select("fid", "region")
 
 
 @query(GEOMETRY.replace("WITH", "WITH RECURSIVE", 1) + f""", {ADJ}, {BEND}, l AS (SELECT f0 AS x, f1 AS y FROM bend WHERE abs(1 - bend) >= 0.9 UNION ALL SELECT f1, f0 FROM bend WHERE abs(1 - bend) >= 0.9),
@@ -871,7 +877,7 @@ _SIDES = f"b AS (SELECT {_BOX[0]!r} AS e0, {_BOX[1]!r} AS e1, {_BOX[2]!r} AS e2)
 def ray_thickness(spark, sf_dir):
     v, f = meshes.box(spark, _BOX)
     g = mesh.face_geometry(v, f)
-    regions = segment.grow_regions(g, mesh.face_adjacency(f)).select("fid", F.col("region").cast("int").alias("region"))
+    regions = segment.grow_regions(g, mesh.face_adjacency(f)).select("fid", F.expr("cast(region div 2 as int)").alias("region"))
     s = mesh.region_summary(g, regions)
     c = g.join(regions, "fid").groupBy("region").agg(*[(F.sum(F.col(f"g{i}") * F.col("area")) / F.sum("area")).alias(f"c{i}") for i in range(3)])
     # a little off the middle, where the faces' diagonals meet
@@ -884,7 +890,7 @@ def ray_thickness(spark, sf_dir):
 @query(f"WITH {_SIDES} SELECT CAST(region AS INTEGER) AS region, {R('volume / t')} AS area, {R('t')} AS thickness, {R('volume / t')} AS hull_area, 4 AS n_corners FROM s")
 def slab_extract(spark, sf_dir):
     s = slabs.slabs(*meshes.box(spark, _BOX))
-    return s.select(F.col("region").cast("int").alias("region"), r("area").alias("area"), r("thickness").alias("thickness"), r("hull_area").alias("hull_area"), F.size("hull").alias("n_corners"))
+    return s.select(F.expr("cast(region div 2 as int)").alias("region"), r("area").alias("area"), r("thickness").alias("thickness"), r("hull_area").alias("hull_area"), F.size("hull").alias("n_corners"))
 
 
 _OV = "o AS (SELECT CAST(l_suppkey % 9 AS BIGINT) AS i, CAST(l_partkey % 9 AS BIGINT) AS j, l_orderkey AS k FROM lineitem), c AS (SELECT least(i, j) AS a, greatest(i, j) AS b, count(*) AS n FROM o WHERE i <> j GROUP BY ALL)"
