@@ -437,10 +437,10 @@ def region_summary(spark, sf_dir):
 
 
 #: Growing step by step: the newest region takes the neighbours of its faces that are free and share its seed's normal; if there are none, the least free face seeds the next.
-@query(GEOMETRY.replace("WITH", "WITH RECURSIVE", 1) + f""", {ADJ}, both AS MATERIALIZED (SELECT f0, f1 FROM adj UNION ALL SELECT f1, f0 FROM adj), n AS MATERIALIZED (SELECT fid, n0, n1, n2 FROM geo),
+@query(GEOMETRY.replace("WITH", "WITH RECURSIVE", 1) + f""", {ADJ}, sides AS MATERIALIZED (SELECT f0, f1 FROM adj UNION ALL SELECT f1, f0 FROM adj), n AS MATERIALIZED (SELECT fid, n0, n1, n2 FROM geo),
 grow(fid, region) USING KEY (fid) AS (SELECT CAST(min(fid) AS BIGINT), CAST(min(fid) AS BIGINT) FROM n UNION
-SELECT * FROM (WITH fresh AS (SELECT DISTINCT both.f1 AS fid, g.region FROM recurring.grow g JOIN both ON both.f0 = g.fid JOIN n s ON s.fid = g.region JOIN n t ON t.fid = both.f1
-    WHERE g.region = (SELECT max(region) FROM recurring.grow) AND abs(s.n0 * t.n0 + s.n1 * t.n1 + s.n2 * t.n2) >= 0.9 AND NOT EXISTS (SELECT 1 FROM recurring.grow o WHERE o.fid = both.f1))
+SELECT * FROM (WITH fresh AS (SELECT DISTINCT sides.f1 AS fid, g.region FROM recurring.grow g JOIN sides ON sides.f0 = g.fid JOIN n s ON s.fid = g.region JOIN n t ON t.fid = sides.f1
+    WHERE g.region = (SELECT max(region) FROM recurring.grow) AND abs(s.n0 * t.n0 + s.n1 * t.n1 + s.n2 * t.n2) >= 0.9 AND NOT EXISTS (SELECT 1 FROM recurring.grow o WHERE o.fid = sides.f1))
   SELECT CAST(fid AS BIGINT), region FROM fresh UNION ALL SELECT CAST(min(fid) AS BIGINT), CAST(min(fid) AS BIGINT) FROM n WHERE NOT EXISTS (SELECT 1 FROM fresh) AND NOT EXISTS (SELECT 1 FROM recurring.grow o WHERE o.fid = n.fid) HAVING count(*) > 0))
 SELECT fid, region FROM grow""")
 def region_grow(spark, sf_dir):
