@@ -1,18 +1,15 @@
-"""Flat slabs of a mesh (step 0 of the primitive decomposition: G4, F5, A11 to A13, P27, G11, G12, D13)."""
+"""Flat slabs of a mesh (step 0 of the primitive decomposition: G4, F5, A11 to A13, P27, G11, G12, D13), and hulls of few points on one machine."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, named, plane_basis, sub, vec
-from . import mesh, rays, segment
-
-HULL = "region long, hull array<struct<u:double,v:double>>, hull_area double"
+from . import mesh, outline, rays, segment
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
@@ -109,8 +106,7 @@ def slabs(vertices: DataFrame, faces: DataFrame, least_share: float = 0.01, flat
     """Region, area, centre c0..c2, normal n0..n2, axes u0..u2 and v0..v2, hull in (u, v) about the centre, thickness.
 
     Regions of faces with one normal (G4) of at least a share of all area (F5); the plane's axes (P27); the concave hull of the
-    region's corners with alpha = 1 / (2 mean edge) (G12, A13); the distance to the next face (G11). A region's corners are one
-    mesh's flat part, so one task's rows. Without a next face a region is no slab.
+    region's corners with alpha = 1 / (2 mean edge) (G12, A13); the distance to the next face (G11). Without a next face a region is no slab.
     """
     geometry = mesh.face_geometry(vertices, faces).persist()
     regions = segment.grow_regions(geometry, mesh.face_adjacency(faces), flat).select("fid", "region").persist()
@@ -122,13 +118,9 @@ def slabs(vertices: DataFrame, faces: DataFrame, least_share: float = 0.01, flat
     frame = kept.join(centre, "region").select("region", "area", "c0", "c1", "c2", "n0", "n1", "n2", *named(u, ("u0", "u1", "u2")), *named(v, ("v0", "v1", "v2"))).persist()
     edge = mesh.region_edge_length(vertices, faces, regions).select("region", "alpha")
     d = sub(vec("x0", "x1", "x2"), vec("c0", "c1", "c2"))
-    flat_points = corner.join(frame, "region").join(edge, "region").select("region", "alpha", dot(d, vec("u0", "u1", "u2")).alias("u"), dot(d, vec("v0", "v1", "v2")).alias("v"))
-
-    def outline(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        hull = concave_hull(pdf[["u", "v"]].to_numpy(), float(pdf.alpha.iloc[0]))
-        return pd.DataFrame([{"region": key[0], "hull": [{"u": float(a), "v": float(b)} for a, b in hull], "hull_area": abs(signed_area(hull))}])
+    flat_points = corner.join(frame, "region").join(edge, "region").select("region", F.col("vid").alias("id"), "alpha", dot(d, vec("u0", "u1", "u2")).alias("u"), dot(d, vec("v0", "v1", "v2")).alias("v"))
 
-    hulls = flat_points.groupBy("region").applyInPandas(outline, HULL)
+    hulls = outline.widened(flat_points.withColumn("radius", 1 / F.col("alpha")))
     # rays start a little off the centre, which may lie on the sides of triangles
     start = frame.select("region", *[(F.col(f"c{i}") + F.col(f"u{i}") * 1.3e-3 + F.col(f"v{i}") * 0.7e-3).alias(f"c{i}") for i in range(3)], "n0", "n1", "n2")
     return frame.join(hulls, "region").join(rays.thickness(start, geometry), "region")

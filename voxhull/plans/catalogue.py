@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import harmonics, poly, sdf
 from ..functions.vectors import cross, dot, named, plane_basis, sphere_coordinates, vec
-from ..operators import blend, fit, gaussian, graphs, greedy, isosurface, mesh, network, rays, repair, sampling, segment, skeleton, slabs, spatial
+from ..operators import blend, fit, gaussian, graphs, greedy, isosurface, mesh, network, outline, rays, repair, sampling, segment, skeleton, slabs, spatial
 from ..operators.storage import stored
 from ..sources import grids, meshes
 from ..streaming import fields
@@ -893,6 +893,19 @@ def slab_extract(spark, sf_dir):
     return s.select(F.expr("cast(region div 2 as int)").alias("region"), r("area").alias("area"), r("thickness").alias("thickness"), r("hull_area").alias("hull_area"), F.size("hull").alias("n_corners"))
 
 
+_WIDE = 0.12
+_BARE = f"NOT EXISTS (SELECT 1 FROM pts r WHERE r.label = x.label AND r.id <> x.s AND r.id <> x.t AND pow(r.x0 - x.cx, 2) + pow(r.x1 - x.cy, 2) < {_WIDE**2!r} - 1e-12)"
+
+
+@query(f"""{WITH}, d AS (SELECT p.label, p.id AS s, q.id AS t, p.x0 AS px, p.x1 AS py, q.x0 AS qx, q.x1 AS qy, sqrt(pow(p.x0 - q.x0, 2) + pow(p.x1 - q.x1, 2)) AS d FROM pts p JOIN pts q ON p.label = q.label AND p.id <> q.id),
+x AS (SELECT label, s, t, (px + qx) / 2 + (qy - py) / d * sqrt({_WIDE**2!r} - d * d / 4) AS cx, (py + qy) / 2 - (qx - px) / d * sqrt({_WIDE**2!r} - d * d / 4) AS cy FROM d WHERE d > 0 AND d < {2 * _WIDE!r}),
+e AS (SELECT label, s, t FROM x WHERE {_BARE}) SELECT label, s, t FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.label = e.label AND b.s = e.t AND b.t = e.s)""")
+def alpha_outline(spark, sf_dir):
+    """Border edges of each label's points in the plane of x0 and x1, the shape on their left; the circle on their right is empty, the other isn't."""
+    p = pts(spark, sf_dir).select(F.col("label").alias("region"), "id", F.col("x0").alias("u"), F.col("x1").alias("v"), F.lit(_WIDE).alias("radius"))
+    return outline.border(p).select(F.col("region").alias("label"), "s", "t")
+
+
 _OV = "o AS (SELECT CAST(l_suppkey % 9 AS BIGINT) AS i, CAST(l_partkey % 9 AS BIGINT) AS j, l_orderkey AS k FROM lineitem), c AS (SELECT least(i, j) AS a, greatest(i, j) AS b, count(*) AS n FROM o WHERE i <> j GROUP BY ALL)"
 
 
