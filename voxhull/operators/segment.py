@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cross, curvedness, dot, lit, norm, sub, vec
 from . import graphs, mesh
+from .quantiles import percentiles
 from .storage import stored
 
 
@@ -35,9 +36,10 @@ def patch_capacity(area: Column, degree: int = 4, tolerance: float = 1e-3) -> Co
 
 def seed_estimate(geometry: DataFrame, adjacency: DataFrame, degree: int = 4, tolerance: float = 1e-3) -> DataFrame:
     """A4 with A6 and A7: mesh_id, total and median bend, n_edges, area, n_seeds."""
-    bend = mesh.dihedral_bend(geometry, adjacency).groupBy("mesh_id").agg(F.sum("bend").alias("total"), F.percentile("bend", F.lit(0.5)).alias("median"), F.count("*").alias("n_edges"))
+    bend = stored(mesh.dihedral_bend(geometry, adjacency).select("mesh_id", "bend"))
+    total = bend.groupBy("mesh_id").agg(F.sum("bend").alias("total"), F.count("*").alias("n_edges"))
     area = geometry.groupBy("mesh_id").agg(F.sum("area").alias("area"))
-    j = bend.join(area, "mesh_id")
+    j = total.join(percentiles(bend, ["mesh_id"], "bend", {"median": 0.5}), "mesh_id").join(area, "mesh_id")
     per_edge = patch_capacity(F.col("area"), degree, tolerance) * F.col("n_edges") / F.col("area")
     return j.withColumn("n_seeds", even_seeds(F.ceil(F.col("total") / per_edge)))
 
@@ -69,8 +71,9 @@ def vertex_curvature(geometry: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def seed_estimate_accurate(geometry: DataFrame, vertices: DataFrame, degree: int = 4, tolerance: float = 1e-3) -> DataFrame:
     """A5 with A6 and A7."""
-    c = vertex_curvature(geometry, vertices).groupBy("mesh_id").agg(F.percentile("curvedness", F.lit(0.5)).alias("median"), F.avg("curvedness").alias("mean"), F.percentile("curvedness", F.lit(0.95)).alias("p95"))
-    j = c.join(geometry.groupBy("mesh_id").agg(F.sum("area").alias("area")), "mesh_id")
+    c = stored(vertex_curvature(geometry, vertices).select("mesh_id", "curvedness"))
+    middle = percentiles(c, ["mesh_id"], "curvedness", {"median": 0.5, "p95": 0.95}).join(c.groupBy("mesh_id").agg(F.avg("curvedness").alias("mean")), "mesh_id")
+    j = middle.select("mesh_id", "median", "mean", "p95").join(geometry.groupBy("mesh_id").agg(F.sum("area").alias("area")), "mesh_id")
     return j.withColumn("n_seeds", even_seeds(F.ceil(F.col("median") * F.col("area") / patch_capacity(F.col("area"), degree, tolerance))))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import harmonics, poly, sdf
 from ..functions.vectors import cross, dot, named, plane_basis, sphere_coordinates, vec
-from ..operators import blend, fit, gaussian, graphs, greedy, isosurface, mesh, network, outline, rays, repair, sampling, segment, skeleton, slabs, spatial
+from ..operators import blend, fit, gaussian, graphs, greedy, isosurface, mesh, network, outline, quantiles, rays, repair, sampling, segment, skeleton, slabs, spatial
 from ..operators.storage import stored
 from ..sources import grids, meshes
 from ..streaming import fields
@@ -528,6 +528,15 @@ def iso_surface(spark, sf_dir):
     return out.select("n_vertices", "n_faces", "n_edges", "watertight", "winding_consistent", r("area", 4).alias("area"), r("volume").alias("volume"))
 
 
+@query(f"""SELECT CAST(l_suppkey % 7 AS BIGINT) AS part, {R('quantile_cont(l_extendedprice, 0.5)')} AS median, {R('quantile_cont(l_extendedprice, 0.95)')} AS p95, {R('quantile_cont(l_extendedprice, 0.0)')} AS least, {R('quantile_cont(l_extendedprice, 1.0)')} AS most
+FROM lineitem GROUP BY ALL""")
+def price_percentiles(spark, sf_dir):
+    """A4, A5: the percentiles that seed counts take, of groups too large to sort in a task."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") % 7).cast("long").alias("part"), "l_extendedprice")
+    q = quantiles.percentiles(lines, ["part"], "l_extendedprice", {"median": 0.5, "p95": 0.95, "least": 0.0, "most": 1.0})
+    return q.select("part", *[r(c).alias(c) for c in ("median", "p95", "least", "most")])
+
+
 # ---------------------------------------------------------------------------------------- spatial and graph joins
 
 _D = "sqrt(pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2))"
