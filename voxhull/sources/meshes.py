@@ -11,23 +11,52 @@ from pyspark.sql import functions as F
 Mesh = tuple[DataFrame, DataFrame]
 
 
+def _numbered(lines: DataFrame, kind: str) -> DataFrame:
+    """mesh_id, file, block, at, words, n: the lines of a kind, n their number in the file from 0, in the order of the file; and so of files that Spark reads in many splits.
+
+    Within a split Spark numbers the lines that pass a filter without gaps; a split's lines go after those of the file's splits before it,
+    and only the splits' counts meet. So no row moves to be numbered.
+    """
+    from pyspark.sql import Window
+
+    own = lines.where(F.col("kind") == kind).withColumn("at", F.monotonically_increasing_id())
+    splits = own.groupBy("file", "block").agg(F.min("at").alias("start"), F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = splits.select("file", "block", (before - F.col("start")).alias("shift"))
+    return own.join(offset, ["file", "block"]).select("mesh_id", "file", "block", "at", "words", (F.col("at") + F.col("shift")).alias("n"))
+
+
 def read_obj(spark: SparkSession, path: str) -> Mesh:
-    """Every OBJ file under path is a mesh, named by its file.
+    """Every OBJ file under path is a mesh, named by its file; large files are read in splits.
 
-    Lines ``v x y z`` and ``f a b c ...`` count, faces of more corners become fans, negative indexes count from the
-    vertices so far, texture and normal indexes are ignored. A file's lines are numbered within one row of the file,
-    so order needs no sort of the whole input.
+    Lines ``v x y z`` and ``f a b c ...`` count, faces of more corners become fans, texture and normal indexes are ignored. A negative index
+    counts back from the vertices before the face's line. Rows of lines are numbered where they are read (_numbered); only files with negative
+    indexes have their lines put in order, a split a task.
     """
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("mesh_id"), F.split("value", r"\r?\n").alias("lines"))
-    corner = lambda prefix: F.filter("lines", lambda x: x.rlike(rf"^\s*{prefix}\s"))
-    words = lambda x: F.split(F.trim(x), r"\s+")
-    v = files.select("mesh_id", F.posexplode(corner("v")).alias("vid", "line"))
-    vertices = v.select("mesh_id", F.col("vid").cast("long").alias("vid"), *[words(F.col("line"))[i + 1].cast("double").alias(f"x{i}") for i in range(3)])
-    f = files.select("mesh_id", F.size(corner("v")).alias("n"), F.posexplode(corner("f")).alias("line_no", "line"))
-    ids = F.transform(F.slice(words(F.col("line")), 2, 1 << 20), lambda t: F.substring_index(t, "/", 1).cast("long"))
-    f = f.select("mesh_id", "line_no", F.transform(ids, lambda i: F.when(i < 0, F.col("n") + i).otherwise(i - 1)).alias("ids"))
-    fans = f.where(F.size("ids") >= 3).select("mesh_id", "line_no", "ids", F.explode(F.sequence(F.lit(1), F.size("ids") - 2)).alias("k"))
-    rows = fans.select("mesh_id", (F.col("line_no").cast("long") * (1 << 20) + F.col("k")).alias("fid"), F.col("ids")[0].alias("v0"), F.expr("ids[k]").alias("v1"), F.expr("ids[k + 1]").alias("v2"))
+    from pyspark.sql import Window
+
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = text.select(F.element_at(F.split("file", "/"), -1).alias("mesh_id"), "file", "block", F.split(F.trim(F.translate("value", "\t\r", "  ")), " +").alias("words"))
+    lines = lines.select("*", F.col("words")[0].alias("kind")).where(F.col("kind").isin("v", "f") & (F.size("words") > 3))
+    v = _numbered(lines, "v")
+    vertices = v.select("mesh_id", F.col("n").alias("vid"), *[F.col("words")[i + 1].cast("double").alias(f"x{i}") for i in range(3)])
+    ids = F.transform(F.slice("words", 2, 1 << 20), lambda t: F.substring_index(t, "/", 1).cast("long"))
+    f = _numbered(lines, "f").select("mesh_id", "file", "block", "n", ids.alias("ids"))
+    back = f.where(F.exists("ids", lambda i: i < 0))
+    # vertices before a line: those of its file's splits before, and of its split
+    order = lines.join(back.select("file").distinct(), "file", "left_semi").withColumn("at", F.monotonically_increasing_id())
+    so_far = F.sum((F.col("kind") == "v").cast("long")).over(Window.partitionBy("file", "block").orderBy("at"))
+    number = F.sum((F.col("kind") == "f").cast("long")).over(Window.partitionBy("file", "block").orderBy("at"))
+    count = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
+    splits = order.groupBy("file", "block").agg(count("v").alias("vs"), count("f").alias("fs"))
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("vs", "fs")])
+    known = order.select("file", "block", "kind", so_far.alias("v"), number.alias("f")).where("kind = 'f'").join(splits, ["file", "block"])
+    known = known.select("file", (F.col("f") - 1 + F.col("fs")).alias("n"), (F.col("v") + F.col("vs")).alias("before"))
+    relative = back.join(known, ["file", "n"]).select("mesh_id", "n", F.transform("ids", lambda i: F.when(i < 0, F.col("before") + i).otherwise(i - 1)).alias("ids"))
+    plain = f.where(~F.exists("ids", lambda i: i < 0)).select("mesh_id", "n", F.transform("ids", lambda i: i - 1).alias("ids"))
+    fans = plain.unionByName(relative).select("mesh_id", "n", "ids", F.explode(F.sequence(F.lit(1), F.size("ids") - 2)).alias("k"))
+    rows = fans.select("mesh_id", (F.col("n") * (1 << 20) + F.col("k")).alias("fid"), F.col("ids")[0].alias("v0"), F.expr("ids[k]").alias("v1"), F.expr("ids[k + 1]").alias("v2"))
     return vertices, rows
 
 
