@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import poly
+from ..functions import expr, poly
 from ..functions.vectors import Vec, vec
 from . import spatial
 
@@ -229,6 +229,58 @@ def refit_terms(samples: DataFrame, terms: poly.Terms, limit: float = 20.0) -> p
     return fixed | dict(zip(free, least_squares(g, b).tolist()))
 
 
+def expression_sums(samples: DataFrame, form: expr.Expr, values: Sequence[float], signs: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of an expression with places for constants the sums that a Gauss-Newton step takes, one aggregate: products of its derivatives by the constants,
+    these times what is missing, and the loss.
+
+    The loss is the mean square of f - y; with ``signs``, the numbers of surface rows (y = 0) and others, it is the surface rows' mean square of f plus the
+    others' mean square of f where its sign is wrong.
+    """
+    p = vec("x0", "x1", "x2")
+    smooth = expr.smoothed(form)
+    f = expr.column(smooth, p, values)
+    slopes = [expr.column(expr.derivative(smooth, expr.Expr("p", value=i)), p, values) for i in range(len(values))]
+    if signs is None:
+        g, b, yy, n = gram(samples, slopes, F.col("y") - f)
+        return g / max(n, 1), b / max(n, 1), yy / max(n, 1)
+    on, off = (float(max(n, 1)) ** -0.5 for n in signs)
+    weight = F.when(F.col("y") == 0, F.lit(on)).when(f * F.signum("y") < 0, F.lit(off)).otherwise(F.lit(0.0))
+    g, b, yy, _ = gram(samples, [s * weight for s in slopes], -f * weight)
+    return g, b, yy
+
+
+def refit_expression(samples: DataFrame, form: expr.Expr, steps: int = 30, limit: float = 20.0, signed: bool = False, tol: float = 1e-12) -> tuple[expr.Expr, list[float]]:
+    """M14 with F10, F11: the constants of any expression refitted to samples(x0, x1, x2, y), its structure as it is; the expression and the losses so far.
+
+    Damped Gauss-Newton steps, each one aggregate over the samples; a step that doesn't lower the loss is taken back and damped more. A constant
+    above the limit, or none worth fitting, leaves all as it is.
+    """
+    places, values = expr.parametric(form)
+    if not values or any(abs(c) > limit for c in values):
+        return form, []
+    counts = None
+    if signed:
+        n = samples.agg(F.sum((F.col("y") == 0).cast("long")).alias("on"), F.sum((F.col("y") != 0).cast("long")).alias("off")).first()
+        counts = (n.on or 0, n.off or 0)
+    best, damping = np.array(values), 1e-3
+    g, b, least = expression_sums(samples, places, best, counts)
+    losses = [least]
+    for _ in range(steps):
+        step = np.linalg.lstsq(g + damping * np.diag(np.diag(g)) + 1e-15 * np.eye(len(b)), b, rcond=None)[0]
+        g2, b2, now = expression_sums(samples, places, best + step, counts)
+        if np.isfinite(now) and now < least:
+            done = least - now <= tol * max(least, 1e-300)
+            best, g, b, least, damping = best + step, g2, b2, now, damping / 5
+            losses.append(least)
+            if done or least < 1e-24:
+                break
+        else:
+            damping *= 10
+            if damping > 1e6:
+                break
+    return expr.filled(places, best.tolist()), losses
+
+
 def curvature(d: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """The mean curvature of level sets from the derivatives x, y, z, xx, yy, zz, xy, xz, yz, and its derivatives by each of these."""
     gx, gy, gz, xx, yy, zz, xy, xz, yz = d

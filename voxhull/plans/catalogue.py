@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import harmonics, poly, sdf
+from ..functions import expr, harmonics, poly, sdf
 from ..functions.vectors import cross, dot, named, plane_basis, sphere_coordinates, vec
 from ..operators import blend, fit, gaussian, graphs, greedy, isosurface, mesh, network, outline, quantiles, rays, repair, sampling, segment, skeleton, slabs, spatial
 from ..operators.storage import stored
@@ -731,6 +731,32 @@ def gram_matrix(spark, sf_dir):
     return spark.createDataFrame(rows, "i int, j int, g double").select("i", "j", r("g").alias("g"))
 
 
+def _form() -> expr.Expr:
+    x0, x1, x2 = expr.coordinates()
+    return 0.8 * expr.sin(2.3 * x0) + expr.exp(1.4 * x1) * expr.absolute(x2) - 0.5
+
+
+_ABS = "sqrt(x2 * x2 + 1e-8)"
+_JS = ["sin(2.3 * x0)", "0.8 * x0 * cos(2.3 * x0)", f"x1 * exp(1.4 * x1) * {_ABS}", "1.0"]
+_REST = f"({_Y} - (0.8 * sin(2.3 * x0) + exp(1.4 * x1) * {_ABS} - 0.5))"
+
+
+@query(f"{WITH} " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {R(f'avg({_JS[i]} * {_JS[j]})')} AS g FROM pts" for i in range(4) for j in range(i, 4)) + " UNION ALL " + " UNION ALL ".join(f"SELECT {i} AS i, -1 AS j, {R(f'avg({_JS[i]} * {_REST})')} AS g FROM pts" for i in range(4)) + f" UNION ALL SELECT -1, -1, {R(f'avg({_REST} * {_REST})')} FROM pts")
+def expression_step(spark, sf_dir):
+    """The sums of a step that refits the four constants of a sine and an exponential."""
+    places, values = expr.parametric(_form())
+    g, b, loss = fit.expression_sums(pts(spark, sf_dir).withColumn("y", F.col("x0") * F.col("x1") + F.col("x2") * 0.5), places, values)
+    rows = [(i, j, float(g[i, j])) for i in range(4) for j in range(i, 4)] + [(i, -1, float(b[i])) for i in range(4)] + [(-1, -1, loss)]
+    return spark.createDataFrame(rows, "i int, j int, g double").select("i", "j", r("g").alias("g"))
+
+
+@query(f"{WITH} SELECT id, {R('0.8 * sin(2.3 * x0) + exp(1.4 * x1) * abs(x2) - 0.5')} AS f, {R('0.8 * 2.3 * cos(2.3 * x0)')} AS g0, {R(f'1.4 * exp(1.4 * x1) * {_ABS}')} AS g1, {R(f'exp(1.4 * x1) * x2 / {_ABS}')} AS g2 FROM pts")
+def expression_gradient(spark, sf_dir):
+    """P20, P21, P21c of an expression that is no polynomial."""
+    f = expr.Formula(_form())
+    return f.gradient(f.value(pts(spark, sf_dir), "f")).select("id", r("f").alias("f"), *[r(f"g{i}").alias(f"g{i}") for i in range(3)])
+
+
 _SLOPES = (0.1, 1.0, -0.5, 0.25)
 _FS = "(" + " + ".join(f"{a!r} * {f}" for a, f in zip(_SLOPES, _F1)) + ")"
 _WS = f"CASE WHEN s = 0 THEN 1.0 / greatest((SELECT sum(CAST(s = 0 AS INT)) FROM v), 1) WHEN {_FS} * s < 0 THEN 1.0 / greatest((SELECT sum(CAST(s <> 0 AS INT)) FROM v), 1) ELSE 0 END"
