@@ -905,14 +905,24 @@ def mesh_signed_distance(spark, sf_dir):
 
 
 #: A box's sides in the order of their first faces: two across each axis, the last axis first.
-_SIDES = f"b AS (SELECT {_BOX[0]!r} AS e0, {_BOX[1]!r} AS e1, {_BOX[2]!r} AS e2), s AS (SELECT range AS region, CASE range // 2 WHEN 0 THEN e2 WHEN 1 THEN e1 ELSE e0 END AS t, e0 * e1 * e2 AS volume FROM b, range(6))"
+#: A box for each supplier, in a row, as large as its mean quantity, price and discount say. Boxes have six sides of two faces, a pair for each axis, the last axis first.
+_CRATES = ("CAST(l_suppkey AS BIGINT) AS box, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) / count(*) / 50 AS e0, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) / 2e5 AS e1, "
+           "CAST(sum(CAST(l_discount AS DECIMAL(18, 2))) AS DOUBLE) / count(*) * 20 AS e2")
+_SIDES = f"b AS (SELECT {_CRATES} FROM lineitem GROUP BY l_suppkey), s AS (SELECT box * 6 + range AS region, CASE range // 2 WHEN 0 THEN e2 WHEN 1 THEN e1 ELSE e0 END AS t, e0 * e1 * e2 AS volume FROM b, range(6))"
 
 
-@query(f"WITH {_SIDES} SELECT CAST(region AS INTEGER) AS region, {R('t')} AS thickness FROM s")
+def _crates(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    mean = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double") / F.count("*")
+    b = lines.groupBy(F.col("l_suppkey").cast("long").alias("box")).agg((mean("l_quantity") / 50).alias("e0"), (mean("l_extendedprice") / 2e5).alias("e1"), (mean("l_discount") * 20).alias("e2"))
+    return meshes.boxes(b.select(F.lit("crates").alias("mesh_id"), "*", (F.col("box") * 5.0).alias("o0"), F.lit(0.0).alias("o1"), F.lit(0.0).alias("o2")))
+
+
+@query(f"WITH {_SIDES} SELECT CAST(region AS BIGINT) AS region, {R('t')} AS thickness FROM s")
 def ray_thickness(spark, sf_dir):
-    v, f = meshes.box(spark, _BOX)
-    g = mesh.face_geometry(v, f)
-    regions = segment.grow_regions(g, mesh.face_adjacency(f)).select("fid", F.expr("cast(region div 2 as int)").alias("region"))
+    v, f = _crates(spark, sf_dir)
+    g = stored(mesh.face_geometry(v, f))
+    regions = stored(segment.grow_regions(g, mesh.face_adjacency(f)).select("fid", F.expr("region div 2").alias("region")))
     s = mesh.region_summary(g, regions)
     c = g.join(regions, "fid").groupBy("region").agg(*[(F.sum(F.col(f"g{i}") * F.col("area")) / F.sum("area")).alias(f"c{i}") for i in range(3)])
     # a little off the middle, where the faces' diagonals meet
@@ -922,10 +932,10 @@ def ray_thickness(spark, sf_dir):
     return rays.thickness(on, g).select("region", r("thickness").alias("thickness"))
 
 
-@query(f"WITH {_SIDES} SELECT CAST(region AS INTEGER) AS region, {R('volume / t')} AS area, {R('t')} AS thickness, {R('volume / t')} AS hull_area, 4 AS n_corners FROM s")
+@query(f"WITH {_SIDES} SELECT CAST(region AS BIGINT) AS region, {R('volume / t')} AS area, {R('t')} AS thickness, {R('volume / t')} AS hull_area, 4 AS n_corners FROM s")
 def slab_extract(spark, sf_dir):
-    s = slabs.slabs(*meshes.box(spark, _BOX))
-    return s.select(F.expr("cast(region div 2 as int)").alias("region"), r("area").alias("area"), r("thickness").alias("thickness"), r("hull_area").alias("hull_area"), F.size("hull").alias("n_corners"))
+    s = slabs.slabs(*_crates(spark, sf_dir), least_share=0.0)
+    return s.select(F.expr("region div 2").alias("region"), r("area").alias("area"), r("thickness").alias("thickness"), r("hull_area").alias("hull_area"), F.size("hull").alias("n_corners"))
 
 
 _WIDE = 0.12
@@ -988,7 +998,7 @@ def surface_sample(spark, sf_dir):
 
 @query()
 def mesh_field_sample(spark, sf_dir):
-    v, f = meshes.torus(spark, around=12, across=6)
+    v, f = _survey(spark, sf_dir)
     return sampling.sample_field(v, f, 300, 0.01, 100)
 
 
@@ -1005,7 +1015,7 @@ def skeleton_classify(spark, sf_dir):
 
 @query()
 def segmentation(spark, sf_dir):
-    v, f = meshes.torus(spark, around=16, across=8)
+    v, f = _survey(spark, sf_dir)
     return segment.segment_mesh(v, f, 4)["patch"]
 
 

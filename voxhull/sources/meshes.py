@@ -87,6 +87,15 @@ def swollen_torus(lattice: DataFrame, around: int, across: int, major: float = 1
 BOX_FACES = ((0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5))
 
 
+def boxes(table: DataFrame) -> Mesh:
+    """S2 for measured data: a box for each row of table(mesh_id, box, e0, e1, e2, o0, o1, o2), with these extents about the middle o; vertices are numbered 8 box + i,
+    faces 12 box + i."""
+    corner = F.array(*[F.struct(F.lit(c).alias("c"), *[(F.col(f"o{i}") + F.col(f"e{i}") * ((c >> i & 1) - 0.5)).alias(f"x{i}") for i in range(3)]) for c in range(8)])
+    v = table.select("mesh_id", "box", F.inline(corner)).select("mesh_id", (F.col("box") * 8 + F.col("c")).alias("vid"), "x0", "x1", "x2")
+    side = F.array(*[F.struct((F.col("box") * 12 + k).alias("fid"), *[(F.col("box") * 8 + c).alias(f"v{n}") for n, c in enumerate(f)]) for k, f in enumerate(BOX_FACES)])
+    return v, table.select("mesh_id", F.inline(side))
+
+
 def box(spark: SparkSession, extents=(1.0, 1.0, 1.0), mesh_id: str = "box") -> Mesh:
     bit = lambda n: F.shiftright("id", n).bitwiseAND(F.lit(1))
     vertices = spark.range(8).select(F.lit(mesh_id).alias("mesh_id"), F.col("id").alias("vid"), *[((bit(i) - 0.5) * extents[i]).alias(f"x{i}") for i in range(3)])
