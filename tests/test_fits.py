@@ -251,6 +251,28 @@ def test_balloon_finds_the_sphere(spark):
     assert np.allclose(e.terms[2, 0, 0], e.terms[0, 2, 0], rtol=0.05)
 
 
+def test_the_sign_loss_decides_a_fit(spark):
+    """A box by a polynomial of degree 2: steps of the loss change the fit and lower that loss, though not the error of least squares."""
+    rng = np.random.default_rng(5)
+    half = np.array([0.9, 0.5, 0.3])
+    x = rng.uniform(-1, 1, (600, 3))
+    d = np.abs(x) - half
+    off = np.linalg.norm(np.maximum(d, 0), axis=1) + np.minimum(d.max(1), 0)
+    on = rng.uniform(-1, 1, (300, 3)) * half
+    side = rng.integers(0, 3, 300)
+    on[np.arange(300), side] = half[side] * rng.choice([-1, 1], 300)
+    rows = [(*map(float, p), float(v)) for p, v in zip(np.vstack([x, on]), [*off, *np.zeros(300)])]
+    samples = spark.createDataFrame(rows, "x0 double, x1 double, x2 double, y double").cache()
+    design = fit.Design.polynomial(vec(*X), 2)
+    sums = fit.gram(samples, design, F.col("y"))
+    start = poly.to_coefficients(poly.sphere_terms(2, 0.6), 2)
+    loss = lambda a: np.mean((m[600:] @ a) ** 2) / (a @ a) + np.mean(np.maximum(-(m[:600] @ a) * np.sign(off), 0) ** 2) / (a @ a)
+    m = fit.monomials(np.vstack([x, on]), np.array(poly.exponents(2)))
+    (plain_error, plain), (error, hinge) = (pipelines.fitted(samples, design, F.col("y"), sums, start, pipelines.BalloonConfig(newton_steps=k), 2) for k in (0, 12))
+    assert error >= plain_error and not np.allclose(plain, hinge, rtol=1e-2)
+    assert loss(hinge) < 0.9 * loss(plain)
+
+
 def test_gram_of_a_high_degree(spark):
     s = sample(spark, TERMS, 500)
     g, b, yy, n = fit.gram(s, fit.Design.polynomial(vec(*X), 10), F.col("y"))

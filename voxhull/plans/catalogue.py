@@ -1021,8 +1021,8 @@ def segmentation(spark, sf_dir):
 
 @query()
 def balloon_fit(spark, sf_dir):
-    v, f = meshes.icosphere(spark, 2)
-    e = pipelines.compile_balloon(v, f, pipelines.BalloonConfig(n_surface=1000, n_volume=100))
+    v, f = _survey(spark, sf_dir)
+    e = pipelines.compile_balloon(v, f, pipelines.BalloonConfig(n_surface=1000, n_volume=100, last_degree=4, newton_steps=10))
     return _coefficients(spark, e.terms)
 
 
@@ -1040,7 +1040,7 @@ def gpr_predict(spark, sf_dir):
 
 @query()
 def hybrid_fit(spark, sf_dir):
-    v, f = meshes.icosphere(spark, 1)
+    v, f = _survey(spark, sf_dir)
     h = pipelines.compile_hybrid(v, f, pipelines.HybridConfig(n_surface=500, n_volume=50, degree=2, l_max=2, r_max=1, last_l=4, last_r=2, most_features=8, newton_steps=5))
     return spark.createDataFrame(sorted(h["coefficients"].items()), "name string, c double")
 

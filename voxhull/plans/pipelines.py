@@ -290,27 +290,29 @@ class BalloonConfig:
     seed: int = 42
 
 
-def fitted(samples: DataFrame, design: fit.Design, y: Column, sums: tuple, start: np.ndarray, config, degree: int | None = None, target: str | None = None) -> tuple[float, np.ndarray]:
-    """Of the surface and sign loss's minimum near the least squares fit, rescaled to distances, and that fit itself: the one of smaller error."""
+def fitted(samples: DataFrame, design: fit.Design, y: Column, sums: tuple, start: np.ndarray, config, degree: int | None = None, target: str | None = None, again: bool = False) -> tuple[float, np.ndarray]:
+    """The minimum of the surface and sign loss that lies nearest the least squares fit on start's support, or nearest start itself (again), scaled to
+    distances; and its root mean square error, which is no less than that of least squares. Without steps, least squares alone.
+    """
     g, b, yy, n = sums
-    plain = fit.refit_support(g, b, np.where(np.abs(start) > 0, start, 1e-12))
-    found = [(fit.loss(g, b, yy, n, plain), plain)]
-    if config.newton_steps:
-        curved = getattr(config, "curvature_weight", 0.0) if target else 0.0
-        ridge = 1e-4 / degree**2 if degree else 1e-5
-        hinge, _ = fit.sign_hinge_fit(samples.withColumn("y", y), design, plain, config.newton_steps, 1.0, config.sign_weight, ridge, curved, target, degree)
-        size = float(hinge @ g @ hinge)
-        hinge = hinge * (float(hinge @ b) / size if size > 0 else 1.0)
-        found.append((fit.loss(g, b, yy, n, hinge), hinge))
-    return min(found, key=lambda t: t[0])
+    plain = start if again else fit.refit_support(g, b, np.where(np.abs(start) > 0, start, 1e-12))
+    if not config.newton_steps:
+        return fit.loss(g, b, yy, n, plain), plain
+    curved = getattr(config, "curvature_weight", 0.0) if target else 0.0
+    ridge = 1e-4 / degree**2 if degree else 1e-5
+    hinge, _ = fit.sign_hinge_fit(samples.withColumn("y", y), design, plain, config.newton_steps, 1.0, config.sign_weight, ridge, curved, target, degree)
+    size = float(hinge @ g @ hinge)
+    hinge = hinge * (float(hinge @ b) / size if size > 0 and hinge @ b > 0 else 1.0)
+    return fit.loss(g, b, yy, n, hinge), hinge
 
 
 def compile_balloon(vertices: DataFrame, faces: DataFrame, config: BalloonConfig = BalloonConfig()) -> Equation:
     """One polynomial for the whole mesh, from a sphere (M10), raising the degree while the error stays above the threshold.
 
     Each degree is fitted by least squares and refined by the surface and sign loss (M12), with the curvature term (J10) where it has a weight.
-    Coefficients of a lower degree come first in a higher one, so each degree starts from the one before it (M11). ``patience`` degrees in a
-    row that lower the error by under a hundredth end the search, as does the last degree.
+    Coefficients of a lower degree come first in a higher one, so each degree starts from the one before it (M11). A degree is refined in rounds until
+    ``patience`` of them in a row lower the error by under a hundredth, or one leaves the coefficients as they are; then the degree is raised. The threshold
+    or the last degree ends the search, and the best of all rounds is returned.
     """
     samples = stored(sampling.sample_field(vertices, faces, config.n_surface, config.epsilon, config.n_volume, config.seed))
     frame = sampling.normalize_points(samples).select("c0", "c1", "c2", "scale").first()
@@ -326,15 +328,21 @@ def compile_balloon(vertices: DataFrame, faces: DataFrame, config: BalloonConfig
     degree = config.first_degree
     alphas = poly.to_coefficients(poly.sphere_terms(2, mean_r), degree)
     best: tuple[float, np.ndarray, int] | None = None
-    flat = 0
     while True:
         design, y = fit.Design.polynomial(p, degree), F.col("y") / scale
-        error, alphas = fitted(samples, design, y, fit.gram(samples, design, y), alphas, config, degree, target)
-        log.info("balloon: degree %d, error %.5f", degree, error)
-        flat = 0 if best is None or error < 0.99 * best[0] else flat + 1
-        if best is None or error < best[0]:
-            best = (error, alphas, degree)
-        if error < config.threshold or flat >= config.patience or degree + config.step > config.last_degree:
+        sums, flat, level = fit.gram(samples, design, y), 0, np.inf if best is None else best[0]
+        before = None
+        while flat < max(1, config.patience):
+            error, alphas = fitted(samples, design, y, sums, alphas, config, degree, target, again=before is not None)
+            log.info("balloon: degree %d, error %.5f", degree, error)
+            if best is None or error < best[0]:
+                best = (error, alphas, degree)
+            same = before is not None and np.allclose(alphas, before, rtol=1e-6, atol=1e-9)
+            if error < config.threshold or same or not config.newton_steps:
+                break
+            flat = 0 if error < 0.99 * level else flat + 1
+            level, before = min(level, error), alphas
+        if error < config.threshold or degree + config.step > config.last_degree:
             break
         alphas = poly.expand(alphas, degree, degree + config.step)
         degree += config.step
