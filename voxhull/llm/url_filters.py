@@ -1,8 +1,7 @@
 """URL filters: association rules mined from labelled URLs, and fixed host and path rules before them.
 
 A URL becomes a set of tokens: every suffix of its host by whole labels, every path segment, the extension, every query
-key and the scheme. Query op1 takes the seven slots that its SQL names (top label, domain, host, first path segment,
-extension, first query key, scheme), and sets of any size of them. FP-growth finds token sets that are frequent among labelled URLs together with their label; those of enough confidence become rules. The
+key and the scheme. FP-growth finds token sets of any size that are frequent among labelled URLs together with their label; those of enough confidence become rules. The
 rules are an inverted index by token: a URL's tokens fetch the rules they occur in, and a rule fits once as many of
 its tokens as it has came together.
 """
@@ -68,7 +67,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     parts = {
         "site": sites,
         "seg": F.split(path, "/"),
-        "ext": F.array(ascii_lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1))),
+        "ext": F.array(ascii_lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})\z", 1))),
         "key": keys,
         "scheme": F.array(ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit("")))),
     }
@@ -79,30 +78,14 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(*[named(k, v) for k, v in parts.items()]))
 
 
-def slots(url: Column, host: Column, path: Column) -> Column:
-    """The tokens of query op1's SQL, one a slot, sorted and distinct; those without a value are left out."""
-    ext = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)
-    key = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^=&#]*)", 1)
-    parts = {
-        "top": F.substring_index(host, ".", -1),
-        "domain": F.substring_index(host, ".", -2),
-        "host": host,
-        "dir": F.regexp_extract(path, r"^/([^/]*)/", 1),
-        "ext": ascii_lower(ext),
-        "key": F.coalesce(key, F.lit("")),
-        "scheme": ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit(""))),
-    }
-    return F.filter(F.array(*[F.when(v != "", F.concat(F.lit(f"{k}="), v)) for k, v in parts.items()]), lambda t: t.isNotNull())
-
-
 def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.5) -> DataFrame:
     """Rules (rule_id, tokens, size, support, confidence) for bad URLs from labelled(tokens, bad).
 
     A rule's tokens, of any number, occur in at least ``support`` of the labelled URLs together with a bad label, and of all URLs with
     these tokens at least ``confidence`` are bad. A rule that a smaller rule implies is left out. Support and
-    confidence alone bound the work: a URL of t tokens counts in up to 2 ** t sets.
+    confidence alone bound the work: a URL of t tokens that are frequent counts in up to 2 ** t sets. URLs without tokens don't count.
     """
-    sets = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
+    sets = labelled.where(F.size("tokens") > 0).select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
     frequent = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(sets).freqItemsets
     held = stored(frequent.select(F.array_sort("items").alias("items"), "freq"), "item-sets")
     marked = F.array_contains("items", BAD)
@@ -128,7 +111,7 @@ def matches(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     return fetched.where(F.size(F.array_except("rule_tokens", "tokens")) == 0).select(key, "rule_id")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, support: float = 0.002, confidence: float = 0.5, cut_url=tokens) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, support: float = 0.002, confidence: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rule for each row of pages(page_id, url).
 
     labels(doc_id, quality, toxic) label the page of the same number: bad if quality is 0 or toxic is 1. A page_id
@@ -137,7 +120,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, support: float = 0.0
     """
     u, h, p = F.col("url"), F.col("host"), F.col("path")
     cut = pages.select(F.col("page_id"), u, host(u).alias("host"), path(u).alias("path"))
-    cut = cut.withColumn("tokens", F.when(h != "", cut_url(u, h, p)).otherwise(F.array().cast("array<string>")))
+    cut = cut.withColumn("tokens", F.when(h != "", tokens(u, h, p)).otherwise(F.array().cast("array<string>")))
     bad = labels.groupBy("doc_id").agg(F.max((F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")).alias("bad"))
     labelled = cut.join(bad, cut.page_id == bad.doc_id).select("tokens", (F.col("bad") == 1).alias("bad"))
     mined = mine(labelled, support, confidence)
@@ -150,18 +133,16 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, support: float = 0.0
 
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), cut_url=slots)
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 _SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_SLOTS = {
-    "top": "string_split(host, '.')[-1]",
-    "domain": "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')",
-    "host": "host",
-    "dir": r"regexp_extract(path, '^/([^/]*)/', 1)",
-    "ext": _SQL_LOWER.format(r"regexp_extract(path, '\.([A-Za-z0-9]{1,8})$', 1)"),
-    "key": r"regexp_extract(url, '(?s)^.*?://[^?#]*\?([^=&#]*)', 1)",
-    "scheme": _SQL_LOWER.format(r"regexp_extract(url, '(?s)^(.*?)://', 1)"),
+_TOKENS = {  # kind: values of a URL
+    "site": "list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.'))",
+    "seg": "string_split(path, '/')",
+    "ext": "[" + _SQL_LOWER.format(r"regexp_extract(path, '\.([A-Za-z0-9]{1,8})\z', 1)") + "]",
+    "key": r"list_transform(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda pair: string_split(pair, '=')[1])",
+    "scheme": "[" + _SQL_LOWER.format(r"regexp_extract(url, '(?s)^(.*?)://', 1)") + "]",
 }
 _CASE = "CASE " + " ".join(
     f"WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND prefix(path, '{r.path}') THEN '{{{r.verdict}|{r.text}}}'"
@@ -171,11 +152,12 @@ ORACLES = {
     "op1_url_filters": f"""
 WITH u AS (SELECT page_id, url, {_SQL_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-s AS ({" UNION ALL ".join(f"SELECT page_id, '{k}=' || {v} AS t FROM u WHERE host <> '' AND {v} <> ''" for k, v in _SLOTS.items())}),
+s AS ({" UNION ".join(f"SELECT page_id, '{k}=' || t AS t FROM (SELECT page_id, unnest({v}) AS t FROM u WHERE host <> '') WHERE t <> ''" for k, v in _TOKENS.items())}),
 b AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-p AS (SELECT page_id, list_sort(list(t)) AS all_ts FROM s GROUP BY page_id),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT page_id FROM s) p JOIN b ON p.page_id = b.page_id),
+o AS (SELECT t FROM s JOIN b ON s.page_id = b.page_id, n GROUP BY t, n.n HAVING sum(bad) >= ceil(0.002 * n.n)),
+p AS (SELECT s.page_id, list_sort(list(s.t)) AS all_ts FROM s JOIN o ON s.t = o.t GROUP BY s.page_id),
 a AS (SELECT page_id, list_filter(all_ts, lambda x, i: (m >> (i - 1)) & 1 = 1) AS ts FROM (SELECT page_id, all_ts, unnest(range(1, 1 << len(all_ts))) AS m FROM p)),
-n AS (SELECT count(*) AS n FROM p JOIN b ON p.page_id = b.page_id),
 f AS (SELECT ts, count(*) AS n, sum(bad) AS n_bad FROM a JOIN b ON a.page_id = b.page_id GROUP BY ts),
 r AS (SELECT ts FROM f, n WHERE n_bad >= ceil(0.002 * n.n) AND n_bad >= 0.5 * f.n),
 h AS (SELECT DISTINCT page_id FROM a JOIN r ON a.ts = r.ts),
