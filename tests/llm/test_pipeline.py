@@ -8,7 +8,7 @@ import pytest
 from support import awkward, empty, frame
 from test_operators import plain_components, plain_fingerprint, plain_hits, words
 
-from voxhull.llm import simhash
+from voxhull.llm import near_copies, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,28 +32,40 @@ def test_each_stage_takes_an_empty_table(spark, data):
         assert stage(spark, none, data).count() == 0
 
 
+def lowered(text):
+    return words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
 def test_near_duplicates_keep_one_of_each_group(spark, docs, data):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()}
     groups = defaultdict(list)
     for r in docs.collect():
-        groups[plain_fingerprint(r.text)].append(r.doc_id)
+        groups[tuple(lowered(r.text))].append(r.doc_id)
     assert kept <= {min(g) for g in groups.values()}
 
 
+def test_texts_of_one_fingerprint_that_are_not_alike_stay(spark, data):
+    own = lambda a: [f"{a}{j}" for j in range(90)]
+    rows = [(1, " ".join(["so"] * 200 + own("a"))), (2, " ".join(["so"] * 200 + own("b"))), (3, " ".join(["SO"] * 200 + own("a")))]
+    assert len({plain_fingerprint(t) for _, t in rows}) == 1
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows).select(*COLUMNS), data)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
 def plain_near_copies(rows):
-    """Kept doc_ids (equal fingerprints are a group too) and pairs of different sets with five-word similarity >= 0.8, by comparing all pairs."""
+    """Kept doc_ids and pairs of different sets with five-word similarity >= 0.8, by comparing all pairs."""
     sets = {}
     for i, t in rows:
-        w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        w = lowered(t)
         sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
     ids = sorted(sets)
     alike = [(a, b) for a in ids for b in ids if a < b and (sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) > 0)]
-    fp = {i: plain_fingerprint(t) for i, t in rows}
-    equal = [(a, b) for a in ids for b in ids if a < b and fp[a] == fp[b]]
-    return set(plain_components(ids, alike + equal).values()), [(a, b) for a, b in alike if sets[a] != sets[b]]
+    return set(plain_components(ids, alike).values()), [(a, b) for a, b in alike if sets[a] != sets[b]]
 
 
-def test_near_copies_are_those_of_all_pairs(spark, data):
+@pytest.mark.parametrize("part", [near_copies.PART, 2])
+def test_near_copies_are_those_of_all_pairs(spark, data, part, monkeypatch):
+    monkeypatch.setattr(near_copies, "PART", part)
     rnd = random.Random(4)
     rows = [(i, t) for i, t in awkward(3)]
     for c in range(12):
@@ -63,6 +75,9 @@ def test_near_copies_are_those_of_all_pairs(spark, data):
             for _ in range(rnd.randint(0, max(1, len(w) // 40))):
                 w[rnd.randrange(len(w))] = f"z{rnd.randrange(5000)}"
             rows.append((3000 + 10 * c + k, " ".join(w)))
+    shared = [f"q{i}" for i in range(40)]
+    for k in range(30):  # a passage of all and an end of one's own: alike by less
+        rows.append((4000 + k, " ".join(shared + [f"e{k}x{j}" for j in range(8 + k % 12)])))
     want, near = plain_near_copies(rows)
     assert sum((plain_fingerprint(dict(rows)[a]) ^ plain_fingerprint(dict(rows)[b])).bit_count() > 2 for a, b in near) > 20
     got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows).select(*COLUMNS), data).collect()]

@@ -10,8 +10,10 @@ what any of them proposes is a link only after the exact similarity of both sets
 3. The rest, exactly: of n shingles in one global order (rarest first), two texts of a similarity of 0.8 share one
    among their first n - ceil(0.8 n) + 1. All pairs that share such a shingle, could have the similarity by their
    sizes and by a sketch of their shingles, and are not in one component yet are compared. No pair is left out.
+   Pairs meet by shingle and class of size; what lies in one component already is left out before the join, and a
+   shingle of very many texts is dealt to several tasks.
 
-Texts of one and the same SimHash fingerprint over three words are one group beside that, whatever their similarity.
+Fingerprints only propose: texts whose fingerprints are equal but whose shingles are not alike stay apart.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from .chunks import ask, chunked, dealt, n_buckets, spread, with_answers
 from .common import Words, dropped, lower_blanks_table, stored, text_bytes, values, windows
 
 SKETCH = [f"s{i}" for i in range(8)]
+PART = 2000  # texts of one shingle and class of size that a task compares others with
 MOST = 255  # occurrences are counted up to here; more are as frequent
 
 
@@ -173,8 +176,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     return held.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle: int = 5, tenths: int = 8, radius: int = 2) -> DataFrame:
-    """Pairs (a, b) of nodes of that similarity, whose components are those of all pairs of that similarity."""
+def groups(docs: DataFrame, nodes: DataFrame, shingle: int = 5, tenths: int = 8, radius: int = 2) -> DataFrame:
+    """(node, label) of the components of all pairs of that similarity; nodes without a link are left out."""
     buckets = n_buckets(docs)
     chunks = chunked(docs, [])
     replies = _counted(_asked(chunks, shingle, buckets))
@@ -197,33 +200,71 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = 5, tenths: int = 8,
     apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in SKETCH)
     may = f"10 * least(x.n, y.n) >= {tenths} * greatest(x.n, y.n) AND {10 + tenths} * ({apart}) <= {10 - tenths} * (x.n + y.n)"
     of = ["label", "node", "n", *SKETCH]
-    for left in (2, 1, 0):
-        label = simhash.components(found)
-        about = sets.select("node", "n", *SKETCH).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = stored(rows.select("key", "node").join(about, "node"), "labelled-prefixes")
-        if left:  # each text with the next one that has a shingle of its prefix, by size and then by component
-            order = Window.partitionBy("key").orderBy(*(("n", "node") if left == 2 else ("label", "node")))
-            some = named.select(F.struct(*of).alias("x"), F.lag(F.struct(*of)).over(order).alias("y")).where(F.expr(f"x.label <> y.label AND {may}"))
-            some = some.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-            before, found = found, stored(found.unionByName(_similar(some, sets, tenths)), "similar")
-            dropped(named, before)
-    rest = named.alias("x").join(named.alias("y"), "key").where(F.expr(f"x.node < y.node AND x.label <> y.label AND {may}"))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    last = stored(_similar(rest, sets, tenths), "similar")
-    dropped(named, rows, sets, first)
-    return found.unionByName(last)
+    label = stored(simhash.components(found), "labels")
+    for by in ("n", "label"):  # each text with the next one that has a shingle of its prefix, by size and then by component
+        named = _labelled(rows, sets, label)
+        order = Window.partitionBy("key").orderBy(by, "node")
+        some = named.select(F.struct(*of).alias("x"), F.lag(F.struct(*of)).over(order).alias("y")).where(F.expr(f"x.label <> y.label AND {may}"))
+        some = some.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        before, label = label, extended(label, _similar(some, sets, tenths))
+        dropped(named, before)
+    named = _labelled(rows, sets, label)
+    rest = _met(named, tenths).where(F.expr(f"x.label <> y.label AND {may}"))
+    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    out = extended(label, _similar(rest, sets, tenths))
+    dropped(named, label, rows, sets, first, found)
+    return out
+
+
+def _labelled(rows: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
+    """rows(key, node) with each node's label, size and sketch, for keys of more than one label; stored."""
+    about = sets.select("node", "n", *SKETCH).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = rows.select("key", "node").join(about.select("node", "label"), "node").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return stored(rows.select("key", "node").join(several.select("key"), "key", "left_semi").join(about, "node"), "labelled-prefixes")
+
+
+def _met(named: DataFrame, tenths: int) -> DataFrame:
+    """Structs (x, y) of the rows of named that share a key and could be alike by size, each pair of a key once.
+
+    Sizes of a similar pair lie within a factor 10 / tenths, so their classes by powers of it are equal or next to each other. Groups of a
+    key and a class whose texts all have one label are left out; of large groups the x side is dealt to several tasks.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(10.0 / tenths)) * (1 + 1e-9))).cast("int")  # a little wider than the factor, so that rounding parts no pair
+    classed = named.withColumn("g", size)
+    # y goes to its own class and the one below, where it meets x
+    y = classed.select("key", F.posexplode(F.array("g", F.col("g") - 1)).alias("larger", "g"), F.struct("label", "node", "n", *SKETCH).alias("y"))
+    groups = y.groupBy("key", "g").agg(F.min("y.label").alias("lo"), F.max("y.label").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+    groups = groups.select("key", "g", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    x = classed.join(groups, ["key", "g"]).select("key", "g", F.expr("pmod(xxhash64(node), parts)").cast("int").alias("part"), F.struct("label", "node", "n", *SKETCH).alias("x"))
+    y = y.join(groups, ["key", "g"]).select("key", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "larger", "y")
+    return x.join(y, ["key", "g", "part"]).where("larger = 1 OR x.node < y.node")
+
+
+def extended(label: DataFrame, pairs: DataFrame) -> DataFrame:
+    """label(node, label) after further links pairs(a, b); stored. Only links between different components are worked on."""
+    ends = pairs.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    new = stored(ends, "new-links")
+    if new.limit(1).count() == 0:
+        dropped(new)
+        return stored(label, "labels")
+    over = simhash.components(new)  # of old labels
+    moved = label.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    fresh = over.join(label, "node", "left_anti").select("node", "label")  # nodes that had no link before
+    out = stored(moved.unionByName(fresh), "labels")
+    dropped(new)
+    return out
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, tenths: int = 8) -> DataFrame:
     """The rows of docs, all columns as they are, that stand for their group: those with its smallest doc_id, once each.
 
     Groups are the components of all pairs of texts whose sets of shingles have a Jaccard similarity of ``tenths`` tenths
-    or more, and of equal fingerprints; words are lower-cased. Null and blank texts are one group. Rows without a doc_id can't be told apart and all stay.
+    or more; words are lower-cased. Texts of fewer words are one shingle. Null and blank texts are one group. Rows without a doc_id can't be told apart and all stay.
     """
     nodes = stored(_nodes(docs, shingle), "nodes")
-    least = nodes.groupBy("fp").agg(F.min("node").alias("a"))
-    equal = nodes.join(least, "fp").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    label = simhash.components(links(docs, nodes, shingle, tenths).unionByName(equal))
+    label = groups(docs, nodes, shingle, tenths)
     named = nodes.where(F.col("doc_id").isNotNull()).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = stored(named.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select("r.*").distinct(), "first")
+    dropped(nodes, label)
     return simhash.rows_of(docs, first)
