@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Vec, add, clip, cross, dot, lit, norm, scale, sub, vec
+from .spatial import in_reach, outside
 from .storage import stored
 
 #: F2's five ray directions, the last one shorter than 1.
@@ -113,7 +114,7 @@ def distances(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """id, near: the distance of points(id, x0..x2) to the nearest triangle; no rows without triangles.
 
     Rounds on grids, each twice as coarse: a point sees the triangles in the 27 cells around it and is settled once the nearest one is no
-    further than a cell is wide.
+    further than a cell is wide. Points far outside the mesh's box search cells as a tree.
     """
     axes = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
     boxes = stored(_boxes(triangles, axes))
@@ -124,6 +125,10 @@ def distances(points: DataFrame, triangles: DataFrame) -> DataFrame:
     low = boxes.agg(*[F.min(f"lo{i}").alias(f"lo{i}") for i in range(3)], *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(3)]).first()
     todo, rounds = points.select("id", "x0", "x1", "x2"), []
     near = F.min(triangle_distance(vec("x0", "x1", "x2"), corner("a"), corner("b"), corner("c"))).alias("near")
+    if reach > far:  # else no point can be outside
+        off = outside(("x0", "x1", "x2"), [low[f"lo{i}"] for i in range(3)], [low[f"hi{i}"] for i in range(3)]) > 16 * width * width
+        rounds.append(stored(in_reach(todo.where(off), boxes, 1, width, "id", ("x0", "x1", "x2")).groupBy("id").agg(near)))
+        todo, reach = todo.where(~off), min(reach, far + 4 * width)
     while True:
         probe = todo.select("*", *[F.floor(F.col(f"x{i}") / width).cast("long").alias(f"k{i}") for i in range(3)])
         for i in range(3):
@@ -153,37 +158,42 @@ def signed_distance(points: DataFrame, triangles: DataFrame) -> DataFrame:
 def nearest_hits(rays: DataFrame, triangles: DataFrame, least: float = 0.005) -> DataFrame:
     """Id and t of the nearest hit beyond ``least`` of rays(id, x0..x2, d0..d2), d of length 1.
 
-    A ray is walked in stretches twice as long each time; the cells that a stretch runs by meet the triangles in them, and a ray whose nearest hit
-    lies within what was walked goes no further.
+    A ray is walked from where it enters the mesh's box to where it leaves it, in stretches twice as long each time; the cells that a stretch runs by meet
+    the triangles in them, and a ray whose nearest hit lies within what was walked goes no further. Rays that miss the box are left out at once.
     """
     axes = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
     boxes = stored(_boxes(triangles, axes))
     width, far = _width(boxes, 3)
-    reach = rays.agg(F.max(F.greatest(*[F.abs(f"x{i}") for i in range(3)])).alias("r")).first().r
-    if reach is None or not boxes.limit(1).count():
+    box = boxes.agg(*[F.min(f"lo{i}").alias(f"lo{i}") for i in range(3)], *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(3)]).first()
+    if box.lo0 is None:
         return rays.select("id", F.lit(0.0).alias("t")).where(F.lit(False))
     cells = _in_cells(boxes, 3, width, 1e-9 * max(far, width)).select("fid", "k0", "k1", "k2", *_NAMES)
     origin, way = vec("x0", "x1", "x2"), vec("d0", "d1", "d2")
-    end = 2 * (reach + far) + width  # nothing lies further along any ray
-    todo, rounds, start, stop = rays.select("id", "x0", "x1", "x2", "d0", "d1", "d2"), [], 0.0, 8 * width
+    enter, leave = [F.lit(0.0)], []
+    for i, (x, d) in enumerate(zip(origin, way)):  # the box is a cell wider, which covers rounding and rays all but parallel to a side
+        lo, hi, along = F.lit(box[f"lo{i}"] - width), F.lit(box[f"hi{i}"] + width), F.abs(d) > 1e-12
+        beside, a, b = (x < lo) | (x > hi), (lo - x) / F.when(along, d), (hi - x) / F.when(along, d)
+        enter.append(F.when(along, F.least(a, b)).when(beside, F.lit(float("inf"))).otherwise(F.lit(0.0)))
+        leave.append(F.when(along, F.greatest(a, b)).when(beside, F.lit(-1.0)).otherwise(F.lit(float("inf"))))
+    clipped = rays.select("id", "x0", "x1", "x2", "d0", "d1", "d2", F.greatest(*enter).alias("t0"), F.least(*leave).alias("t1")).where("t0 <= t1")
+    todo, rounds, start, stop = clipped, [], 0.0, 8 * width
     while True:
-        # spots half a cell apart; what lies between two of them is in their cells or the next ones
-        spots = todo.select("*", F.explode(F.sequence(F.lit(int(start / width * 2)), F.lit(int(stop / width * 2) + 1))).alias("s"))
-        keys = spots.select("*", *[F.floor((o + w * F.col("s") * (width / 2)) / width).cast("long").alias(f"m{i}") for i, (o, w) in enumerate(zip(origin, way))])
+        # spots half a cell apart from where the ray enters; what lies between two of them is in their cells or the next ones
+        most = F.least(F.lit(int(stop / width * 2) + 1), F.ceil((F.col("t1") - F.col("t0")) / width * 2).cast("int") + 1)
+        spots = todo.select("*", F.explode(F.sequence(F.lit(int(start / width * 2)), F.greatest(most, F.lit(int(start / width * 2))))).alias("s"))
+        spots = spots.select("*", *[((x + d * (F.col("t0") + F.col("s") * (width / 2))) / width).alias(f"p{i}") for i, (x, d) in enumerate(zip(origin, way))])
+        keys = spots.select("*", *[F.floor(f"p{i}").cast("long").alias(f"m{i}") for i in range(3)])
         for i in range(3):
-            at = (F.col(f"x{i}") + F.col(f"d{i}") * F.col("s") * (width / 2)) / width - F.col(f"m{i}")
-            side = F.col(f"m{i}") + F.when(at < 0.5, -1).otherwise(1)
+            side = F.col(f"m{i}") + F.when(F.col(f"p{i}") - F.col(f"m{i}") < 0.5, -1).otherwise(1)
             keys = keys.withColumn(f"k{i}", F.explode(F.array(F.col(f"m{i}"), side)))
         keys = keys.select("id", *[f"{c}{i}" for c in "xdk" for i in range(3)]).distinct()
         h = hit(origin, way, corner("a"), corner("b"), corner("c"))
         found = keys.join(cells, ["k0", "k1", "k2"]).select("id", h.alias("t")).where(F.col("t") > least).groupBy("id").agg(F.min("t").alias("t"))
-        if stop >= end:
-            rounds.append(found)
-            break
         both = stored(todo.join(found, "id", "left"))
-        settled = F.coalesce(F.col("t") <= stop, F.lit(False))
-        rounds.append(both.where(settled).select("id", "t"))
-        todo = both.where(~settled).drop("t")
+        walked = F.col("t1") - F.col("t0") <= stop
+        settled = F.coalesce(F.col("t") - F.col("t0") <= stop, F.lit(False))
+        rounds.append(both.where((settled | walked) & F.col("t").isNotNull()).select("id", "t"))
+        todo = both.where(~settled & ~walked).drop("t")
         if not todo.limit(1).count():
             break
         start, stop = stop, stop * 2

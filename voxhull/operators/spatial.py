@@ -6,6 +6,8 @@ search grids from fine to coarse, and only points whose k-th neighbour might lie
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +40,51 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, left_id: str =
     return a.join(b, ["k0", "k1", "k2"]).select(left_id, right_id, d.alias("d")).where(F.col("d") <= radius)
 
 
+def outside(at: tuple[str, ...], low: list[float], high: list[float]) -> Column:
+    """The square of a point's distance to a box; 0 within it."""
+    by = [F.greatest(F.lit(0.0), F.lit(lo) - F.col(n), F.col(n) - F.lit(hi)) for n, lo, hi in zip(at, low, high)]
+    return by[0] * by[0] + by[1] * by[1] + by[2] * by[2]
+
+
+def in_reach(points: DataFrame, items: DataFrame, need: int, size: float, key: str, at: tuple[str, ...]) -> DataFrame:
+    """The rows of points(key, at) with those rows of items(lo0, hi0, lo1, ...) that may be among their ``need`` nearest; at least ``need`` items exist.
+
+    For points far from all items, where rings of cells would hold everything. Cells are searched from coarse to fine like the nodes of a tree: a
+    point keeps a cell if the box of its items begins no further off than the boxes of enough other cells end. Cells are ``size`` wide at last. The
+    first levels, of at most 4096 cells by their number, are broadcast; later ones meet the points by equi-joins.
+    """
+    ends = items.agg(*[F.min(f"lo{i}").alias(f"o{i}") for i in range(3)], *[F.max(f"lo{i}").alias(f"p{i}") for i in range(3)]).first()
+    levels = max(1, math.ceil(math.log2(max(1.0, max(ends[f"p{i}"] - ends[f"o{i}"] for i in range(3)) / size))) + 1)
+    placed = items.select("*", *[F.floor((F.col(f"lo{i}") - ends[f"o{i}"]) / size).cast("long").alias(f"_k{i}") for i in range(3)])
+    extents = [f(f"{e}{i}").alias(f"_{e}{i}") for i in range(3) for e, f in (("lo", F.min), ("hi", F.max))]
+    fine = stored(placed.groupBy("_k0", "_k1", "_k2").agg(F.count("*").alias("_n"), *extents))
+    merged = [F.sum("_n").alias("_n"), *[f(f"_{e}{i}").alias(f"_{e}{i}") for i in range(3) for e, f in (("lo", F.min), ("hi", F.max))]]
+    begins = [F.greatest(F.lit(0.0), F.col(f"_lo{i}") - F.col(n), F.col(n) - F.col(f"_hi{i}")) for i, n in enumerate(at)]
+    goes = [F.greatest(F.abs(F.col(n) - F.col(f"_lo{i}")), F.abs(F.col(n) - F.col(f"_hi{i}"))) for i, n in enumerate(at)]
+    mine = Window.partitionBy(key)
+    looks = points.select(key, *at, *[F.lit(0).cast("long").alias(f"_k{i}") for i in range(3)])
+    for level in range(levels - 1, -1, -1):
+        up = [F.shiftright(f"_k{i}", level).alias(f"_c{i}") for i in range(3)]
+        cells = fine.groupBy(*up).agg(*merged).select("*", *[F.shiftright(f"_c{i}", 1).alias(f"_k{i}") for i in range(3)])
+        small = 8 ** (levels - level) <= 4096
+        met = looks.join(F.broadcast(cells) if small else cells, ["_k0", "_k1", "_k2"])
+        met = met.select(key, *at, "_n", *[F.col(f"_c{i}").alias(f"_k{i}") for i in range(3)], norm(tuple(begins)).alias("_from"), norm(tuple(goes)).alias("_to"))
+        met = met.withColumn("_sum", F.sum("_n").over(mine.orderBy("_to").rowsBetween(Window.unboundedPreceding, 0)))
+        met = met.withColumn("_enough", F.min(F.when(F.col("_sum") >= need, F.col("_to"))).over(mine))
+        looks = met.where(F.col("_from") <= F.col("_enough") * (1 + 1e-9)).select(key, *at, "_k0", "_k1", "_k2")
+        if not small and level % 4 == 0 and level:
+            looks = stored(looks)
+    return looks.join(placed, ["_k0", "_k1", "_k2"]).drop("_k0", "_k1", "_k2")
+
+
 def knn(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", right_id: str = "nid", same: bool = False, per_cell: int = 64) -> DataFrame:
     """left_id, right_id, d, rank (1 is the nearest; ties by right_id). same: a point isn't its own neighbour.
 
     Rounds on grids, each twice as coarse as the one before: a point sees the 27 cells around it and is settled once its
     k-th neighbour is no further than a cell is wide. The first grid is so fine that no cell holds more than about ``per_cell`` * k
     points of ``right`` (counted cell by cell, the cells are halved until that holds), so a cluster is settled among itself, and what goes on to
-    coarse cells is what is sparse at the scale before. Of points at one place the first few by right_id stand for all.
+    coarse cells is what is sparse at the scale before. Points far outside the box of ``right`` search cells as a tree (in_reach). Of points at one
+    place the first few by right_id stand for all.
     """
     empty = left.join(right.select(F.col(right_id), F.lit(0.0).alias("d")), F.lit(False)).select(left_id, right_id, "d", F.lit(1).alias("rank"))
     bounds = [f(x).alias(f"{n}{i}") for i, x in enumerate(X) for n, f in (("lo", F.min), ("hi", F.max))]
@@ -61,12 +101,19 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", right_id
     reach = max(max(abs(there[f"hi{i}"] - origin[i]), abs(here[f"hi{i}"] - there[f"lo{i}"]), sides[i]) for i in range(3))
     size, least = max((sides[0] * sides[1] * sides[2] * need / (1.5 * here.n)) ** (1 / 3), span * 2.0**-10), span * 2.0**-24
     cells = lambda p, size: [F.floor((F.col(f"{p}{i}") - origin[i]) / size).cast("long").alias(f"k{i}") for i in range(3)]
+    rim = 4 * size
     while size > least and b.groupBy(*cells("b", size)).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n > per_cell * max(1, need):
         size /= 2
     todo = left.select(F.col(left_id), *[F.col(x).alias(f"a{i}") for i, x in enumerate(X)])
     d = norm(sub(vec("a0", "a1", "a2"), vec("b0", "b1", "b2")))
     w = Window.partitionBy(left_id).orderBy("d", right_id)
     rounds = []
+    if any(there[f"lo{i}"] < here[f"lo{i}"] - rim / 2 or there[f"hi{i}"] > here[f"hi{i}"] + rim / 2 for i in range(3)):
+        off = outside(("a0", "a1", "a2"), origin, [here[f"hi{i}"] for i in range(3)]) > rim * rim
+        items = b.select("*", *[F.col(f"b{i}").alias(f"{e}{i}") for i in range(3) for e in ("lo", "hi")])
+        met = in_reach(todo.where(off), items, need, size, left_id, ("a0", "a1", "a2")).select(left_id, right_id, d.alias("d"))
+        rounds.append(stored(met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= need).select(left_id, right_id, "d")))
+        todo, reach = todo.where(~off), min(reach, max(sides) + rim)
     while True:
         last = size >= reach
         probe = todo.select("*", *cells("a", size))
