@@ -188,9 +188,10 @@ def test_network(spark):
     assert np.allclose(got, network.forward(layers, x))
     on = x / np.linalg.norm(x, axis=1, keepdims=True) * 0.8
     xs, ys = np.vstack([on, on * 1.2, on * 0.8]), np.repeat([0.0, 0.1, -0.1], 500)
-    _, losses = network.train(xs, ys, layers, steps=60)
-    assert losses[-1] < losses[0]
-    for bad, error in (("svr", NotImplementedError), ("nope", ValueError)):
+    samples = spark.createDataFrame([(*map(float, p), float(v)) for p, v in zip(xs, ys)], "x0 double, x1 double, x2 double, y double")
+    _, losses = network.train(samples, layers, steps=60)
+    assert losses[-1] < 0.2 * losses[0]
+    for bad, error in (("knn", NotImplementedError), ("nope", ValueError)):
         with pytest.raises(error):
             network.make_model(bad)
 

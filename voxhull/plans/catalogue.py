@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr, harmonics, poly, sdf
 from ..functions.vectors import cross, dot, named, plane_basis, sphere_coordinates, vec
-from ..operators import blend, fit, gaussian, graphs, greedy, isosurface, mesh, network, outline, quantiles, rays, repair, sampling, segment, skeleton, slabs, spatial
+from ..operators import blend, fit, gaussian, graphs, greedy, isosurface, mesh, network, outline, quantiles, rays, repair, sampling, segment, skeleton, slabs, spatial, svr
 from ..operators.storage import stored
 from ..sources import grids, meshes
 from ..streaming import fields
@@ -1051,6 +1051,62 @@ def network_field(spark, sf_dir):
     return network.predict(pts(spark, sf_dir).select("id", "x0", "x1", "x2"), layers)
 
 
+_W1, _B1, _W2, _B2 = ((1.5, -0.5, 0.25), (-0.75, 1.0, 2.0)), (0.1, -0.2), (0.8, -0.6), 0.05
+_H = [f"tanh({' + '.join(f'{c!r} * x{i}' for i, c in enumerate(w))} + {b!r})" for w, b in zip(_W1, _B1)]
+_NET = f"net AS (SELECT *, {', '.join(f'{h} AS h{j}' for j, h in enumerate(_H))} FROM v), out AS (SELECT *, {_W2[0]!r} * h0 + {_W2[1]!r} * h1 + {_B2!r} AS f FROM net), n AS (SELECT greatest(sum(CAST(s = 0 AS INT)), 1) AS n_on, greatest(sum(CAST(s <> 0 AS INT)), 1) AS n_off FROM v), g AS (SELECT *, CASE WHEN s = 0 THEN 2 * f / n_on ELSE -2 * greatest(-f * s, 0) * s / n_off END AS d, CASE WHEN s = 0 THEN f * f / n_on ELSE pow(greatest(-f * s, 0), 2) / n_off END AS l FROM out, n)"
+_SIDE = "v AS (SELECT *, CASE WHEN id % 3 = 0 THEN 0 ELSE sign(x0 - x1) END AS s FROM pts)"
+
+
+@query(f"{WITH}, {_SIDE}, {_NET} " + " UNION ALL ".join([f"SELECT '{name}' AS part, {i} AS i, {R(f'sum({what})')} AS g FROM g" for name, i, what in [*[("w1", 3 * j + i, f"d * {_W2[j]!r} * (1 - h{j} * h{j}) * x{i}") for j in range(2) for i in range(3)], *[("b1", j, f"d * {_W2[j]!r} * (1 - h{j} * h{j})") for j in range(2)], *[("w2", j, f"d * h{j}") for j in range(2)], ("b2", 0, "d"), ("loss", 0, "l")]]))
+def network_step(spark, sf_dir):
+    """The derivatives of one step of a small network's fit, all rows off the surface drawn; every third point is on it."""
+    import numpy as np
+
+    p = pts(spark, sf_dir)
+    y = F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.signum(F.col("x0") - F.col("x1")))
+    s = p.select("x0", "x1", "x2", y.alias("y"), F.lit(0.0).alias("draw"))
+    n = s.agg(F.sum((F.col("y") == 0).cast("int")).alias("on"), F.sum((F.col("y") != 0).cast("int")).alias("off")).first()
+    layers = [(np.array(_W1), np.array(_B1)), (np.array([_W2]), np.array([_B2]))]
+    grads, loss = network.step_sums(s, layers, "tanh", (n.on, n.off), n.off, 1)
+    rows = [(name, i, float(v)) for name, g in zip(("w1", "b1", "w2", "b2"), grads) for i, v in enumerate(g.ravel())] + [("loss", 0, loss)]
+    return spark.createDataFrame(rows, "part string, i int, g double").select("part", "i", r("g").alias("g"))
+
+
+@query()
+def network_fit(spark, sf_dir):
+    """A network trained on offsets of the points from a sphere, and its value at every point."""
+    p = pts(spark, sf_dir)
+    y = sdf.primitive(X, SPHERE)
+    layers, _ = network.train(p.select("x0", "x1", "x2", F.when(F.abs(y) < 0.01, 0.0).otherwise(y).alias("y")), network.as_sphere(network.initial(16, 2), 0.2), steps=40)
+    return network.predict(p.select("id", "x0", "x1", "x2"), layers)
+
+
+_TUBE = 0.05
+_TR = f"({_FS} - {_Y})"
+_UP, _DOWN = (f"greatest(abs({_TR} {sign} {_TUBE}), {0.05 * _TUBE!r})" for sign in "-+")
+_TW = f"(0.25 / {_UP} + 0.25 / {_DOWN})"
+_TB = f"({_TW} * {_Y} + 0.25 * ({_TUBE} / {_UP} - 1) - 0.25 * ({_TUBE} / {_DOWN} - 1))"
+
+
+@query(f"{WITH} " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {R(f'avg({_TW} * {_F1[i]} * {_F1[j]})')} AS g FROM pts" for i in range(4) for j in range(i, 4)) + " UNION ALL " + " UNION ALL ".join(f"SELECT {i} AS i, -1 AS j, {R(f'avg({_TB} * {_F1[i]})')} AS g FROM pts" for i in range(4)) + f" UNION ALL SELECT -1, -1, {R(f'avg(greatest(abs({_TR}) - {_TUBE}, 0))')} FROM pts")
+def svr_step(spark, sf_dir):
+    """M16's svr: the means that one step of the fit within a tube takes, by linear features."""
+    import numpy as np
+
+    p = pts(spark, sf_dir)
+    design = fit.Design.polynomial(X, 1)
+    g, b, loss = svr.tube_sums(p.select(*[F.col(f"x{i}").alias(f"_c{i}") for i in range(3)], (F.col("x0") * F.col("x1") + F.col("x2") * 0.5).alias("_y")), design, np.array(_SLOPES), _TUBE, 0.05 * _TUBE)
+    n = p.count()
+    rows = [(i, j, float(g[i, j]) / n) for i in range(4) for j in range(i, 4)] + [(i, -1, float(b[i]) / n) for i in range(4)] + [(-1, -1, loss / n)]
+    return spark.createDataFrame(rows, "i int, j int, g double").select("i", "j", r("g").alias("g"))
+
+
+@query()
+def svr_regression(spark, sf_dir):
+    s = network.assembled(_labelled(spark, sf_dir))
+    return network.make_model("svr", {"size": 64, "steps": 30}).fit(s).transform(s).select("pt_id", "prediction")
+
+
 _J10 = f"SELECT a.id, b.label AS v, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS k FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1"
 
 

@@ -419,21 +419,21 @@ class NetworkConfig:
     layers: int = 2
     activation: str = "tanh"
     steps: int = 400
-    most_rows: int = 20_000
+    batch: int = 2048
     seed: int = 42
 
 
 def compile_network(vertices: DataFrame, faces: DataFrame, config: NetworkConfig = NetworkConfig()) -> dict:
-    """A small network fitted on a bounded sample (``most_rows``) on the driver, to be evaluated over any number of points by network.predict."""
+    """A small network fitted to samples of the mesh, derivatives summed over their partitions, to be evaluated over any number of points by network.predict."""
     samples = stored(sampling.sample_field(vertices, faces, config.n_surface, config.epsilon, config.n_volume, config.seed))
     frame = sampling.normalize_points(samples).select("c0", "c1", "c2", "scale").first()
-    center, scale = np.array([frame.c0, frame.c1, frame.c2]), frame.scale
-    rows = samples.orderBy(F.xxhash64("pt_id", "kind")).limit(config.most_rows).select("x0", "x1", "x2", "y").toPandas()
-    x, y = (rows[["x0", "x1", "x2"]].to_numpy() - center) / scale, rows.y.to_numpy()
+    center, scale = [frame.c0, frame.c1, frame.c2], frame.scale
+    unit = samples.select(*[((F.col(f"x{i}") - center[i]) / scale).alias(f"x{i}") for i in range(3)], "y")
+    radius = unit.where("y = 0").agg(F.avg(F.sqrt(F.expr("x0 * x0 + x1 * x1 + x2 * x2"))).alias("r")).first().r
     start = network.initial(config.hidden, config.layers, config.activation, config.seed)
-    start = network.as_sphere(start, float(np.linalg.norm(x[y == 0], axis=1).mean()), config.activation)
-    layers, losses = network.train(x, y, start, config.activation, config.steps, seed=config.seed)
-    return {"layers": layers, "activation": config.activation, "center": center.tolist(), "scale": scale, "losses": losses}
+    start = network.as_sphere(start, radius or 0.5, config.activation)
+    layers, losses = network.train(unit, start, config.activation, config.steps, batch=config.batch)
+    return {"layers": layers, "activation": config.activation, "center": center, "scale": scale, "losses": losses}
 
 
 @dataclass(frozen=True)
@@ -449,6 +449,6 @@ class RegressorConfig:
 
 
 def compile_regressor(vertices: DataFrame, faces: DataFrame, config: RegressorConfig = RegressorConfig()):
-    """A fitted Spark ML regressor of the field over world coordinates."""
+    """A fitted regressor of the field over world coordinates."""
     samples = stored(sampling.sample_field(vertices, faces, config.n_surface, config.epsilon, config.n_volume, config.seed))
     return network.make_model(config.model, config.params).fit(network.assembled(samples))
