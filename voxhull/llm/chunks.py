@@ -5,12 +5,13 @@ table, so each pass over them sees the same chunks whatever becomes of an execut
 
 Questions. A chunk sends every key it holds once, dealt into buckets by the key's hash: one row for each bucket, with
 the keys as one sorted array. So a key that a third of all rows hold comes from each chunk once, a bucket is a fair
-share of the distinct keys, and a bucket's task answers with one bit a key. Two answers exist: is the key held by
+share of the distinct keys, and a bucket's task answers with one bit a key. There are as many buckets as the chunks call for. Two answers exist: is the key held by
 another chunk too (``shared``), and is there another chunk whose first holder comes earlier (``later``)?
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import mixed, partitions, stored, trimmed
 
 NULL_ID = -(2**63)  # orders a null doc_id before all others
+A_BUCKET = 6  # chunks whose keys, at most some ten megabytes each, make a bucket
 ASKED = "bucket int, chunk long, keys binary, ranks binary"
 ASKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("ranks", pa.binary())])
 
@@ -111,8 +113,9 @@ def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.lexsort((keys, bucket))
 
 
-def n_buckets(df: DataFrame) -> int:
-    return 2 * partitions(df.sparkSession)
+def n_buckets(chunks: DataFrame) -> int:
+    """As many that a bucket is a share of the keys of A_BUCKET chunks at most, so a task holds no more however much there is."""
+    return max(2 * partitions(chunks.sparkSession), math.ceil(chunks.count() / A_BUCKET))
 
 
 def answered(asked: DataFrame, kind: str) -> DataFrame:
