@@ -24,12 +24,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; where none is set (tests, one machine), a temporary one is set."""
+    """The session's shared folder; where none is set, a temporary one on a single machine, as in tests. A cluster needs one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     held = spark.conf.get("spark.voxhull.scratch", None)
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         held = "file://" + tempfile.mkdtemp(prefix="voxhull-")
         spark.conf.set("spark.voxhull.scratch", held)
     return held
