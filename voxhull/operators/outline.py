@@ -4,11 +4,14 @@ An edge of the border joins two points on a circle of radius 1 / alpha that hold
 one. A circle through p is told by the direction of its centre, and each neighbour r of p, nearer than twice the radius, forbids an arc of
 directions; where arcs leave a gap, the border comes to p from the arc before the gap and goes on to the one after. So what is
 needed is a join with neighbours on cells and, at each point, a running maximum over arcs in the order of their starts.
+
+Points whose directions are all forbidden by a few near neighbours are inside and need no others (candidates). The rest, as many as the
+border is long and not as the region is large, are joined with all within twice the radius.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .repair import loops
@@ -17,27 +20,64 @@ from .storage import stored
 _EPS = 1e-12
 
 
-def neighbours(points: DataFrame) -> DataFrame:
-    """region, id, radius, nid, angle, d: the points within twice the radius of each of points(region, id, u, v, radius), by cells of that width."""
+#: Of the width within which points are neighbours, the parts that cells of the first trial are wide.
+_FINE = 8
+
+
+def neighbours(points: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """region, id, radius, nid, angle, d: those of others (all points, if None) within twice the radius of each of points(region, id, u, v, radius), by cells of that width."""
     wide = F.col("radius") * 2
     cell = [F.floor(F.col(x) / wide).alias(c) for x, c in (("u", "i"), ("v", "j"))]
-    p = points.select("region", "id", "u", "v", "radius", *cell)
+    p, o = (x.select("region", "id", "u", "v", "radius", *cell) for x in (points, points if others is None else others))
     about = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    q = p.select("region", F.col("id").alias("nid"), F.col("u").alias("nu"), F.col("v").alias("nv"), F.inline(about))
+    p = p.select("region", "id", "u", "v", "radius", F.inline(about))
+    q = o.select("region", F.col("id").alias("nid"), F.col("u").alias("nu"), F.col("v").alias("nv"), "i", "j")
     d = F.hypot(F.col("nu") - F.col("u"), F.col("nv") - F.col("v"))
     j = p.join(q, ["region", "i", "j"]).where(F.col("id") != F.col("nid"))
     return j.select("region", "id", "radius", "nid", F.atan2(F.col("nv") - F.col("v"), F.col("nu") - F.col("u")).alias("angle"), d.alias("d")).where(F.col("d") < F.col("radius") * 2)
 
 
+def candidates(points: DataFrame) -> DataFrame:
+    """Those of points(region, id, u, v, radius), each in a place of its own, that may lie on the border; regions of one radius each.
+
+    Tried are the arcs of a few points: of each cell of a fine lattice about a point the outermost by eight directions, whatever the cell
+    holds. A point that these surround is left out, and more arcs could not change that; one that they don't stays.
+    """
+    wide = F.col("radius") * 2 / _FINE
+    cell = [F.floor(F.col(x) / wide).alias(c) for x, c in (("u", "i"), ("v", "j"))]
+    p = points.select("region", "id", "u", "v", "radius", *cell)
+    out = [(F.col("u") * a + F.col("v") * b) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1))]
+    ends = p.groupBy("region", "i", "j").agg(*[F.max(F.struct(e.alias("e"), "id", "u", "v")).alias(f"m{n}") for n, e in enumerate(out)])
+    few = F.array_distinct(F.array(*[F.struct(F.col(f"m{n}.id").alias("nid"), F.col(f"m{n}.u").alias("nu"), F.col(f"m{n}.v").alias("nv")) for n in range(len(out))]))
+    about = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    each = ends.select("region", few.alias("few"), F.inline(about)).groupBy("region", "i", "j").agg(F.flatten(F.collect_list("few")).alias("few"))
+    turn = 2 * 3.141592653589793
+
+    def arc(n: Column) -> Column:
+        du, dv = n["nu"] - F.col("u"), n["nv"] - F.col("v")
+        half = F.acos(F.least(F.hypot(du, dv) / (F.col("radius") * 2), F.lit(1.0)))
+        start = F.atan2(dv, du) - half
+        start = F.when(start < -turn / 2, start + turn).otherwise(start)
+        return F.struct(start.alias("start"), (start + half * 2).alias("end"))
+
+    near = F.filter("few", lambda n: (n["nid"] != F.col("id")) & (F.hypot(n["nu"] - F.col("u"), n["nv"] - F.col("v")) < F.col("radius") * 2))
+    arcs = p.join(each, ["region", "i", "j"], "left").select("region", "id", "u", "v", "radius", F.array_sort(F.transform(near, arc)).alias("arcs"))
+    last = F.array_max(F.transform("arcs", lambda a: a["end"])) - turn
+    # how far the arcs reach without a gap, from where those reach that go round; a gap is told apart from none with room for rounding, on the safe side
+    reached = F.aggregate("arcs", last, lambda r, a: F.when(a["start"] > r - _EPS, F.lit(float("inf"))).otherwise(F.greatest(r, a["end"])))
+    return arcs.where((F.coalesce(F.size("arcs"), F.lit(0)) == 0) | (reached == float("inf"))).select("region", "id", "u", "v", "radius")
+
+
 def border(points: DataFrame) -> DataFrame:
     """region, s, t, next: the edges of the alpha shape's border of points(region, id, u, v, radius), the shape to the left of s -> t, and where the
     border goes on from t. Of points in one place the least id counts; edges with the shape on neither side are left out."""
     once = points.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("radius") > 0)).groupBy("region", "u", "v").agg(F.min("id").alias("id"), F.max("radius").alias("radius"))
+    once = stored(once.select("region", "id", "u", "v", "radius"))
     turn = 2 * 3.141592653589793
     half = F.acos(F.least(F.col("d") / (F.col("radius") * 2), F.lit(1.0)))
     start = F.col("angle") - half
     start = F.when(start < -turn / 2, start + turn).otherwise(start)
-    arcs = neighbours(once).select("region", "id", "nid", start.alias("start"), half.alias("half")).select("region", "id", "nid", "start", F.struct((F.col("start") + F.col("half") * 2).alias("end"), F.col("nid").alias("nid")).alias("e"))
+    arcs = neighbours(stored(candidates(once)), once).select("region", "id", "nid", start.alias("start"), half.alias("half")).select("region", "id", "nid", "start", F.struct((F.col("start") + F.col("half") * 2).alias("end"), F.col("nid").alias("nid")).alias("e"))
     around = Window.partitionBy("region", "id")
     inside = around.orderBy("start", F.desc("e"))
     before = F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1))
