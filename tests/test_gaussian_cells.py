@@ -41,3 +41,10 @@ def test_leaf_equations_of_patches_larger_than_a_fit(spark):
     df = samples(spark, 3000)
     got = pipelines.leaf_equations(df, pipelines.PatchConfig(degree=2, resolution=6)).collect()
     assert sorted(r.pid for r in got) == [0, 1] and all(len(r.alphas) == 10 and r.rmse < 0.02 for r in got)
+
+
+def test_fits_are_dealt_to_tasks_by_their_number(spark):
+    """The cells' bytes are few, so that by bytes one task would fit them all."""
+    models = gaussian.fit_patches(samples(spark, 900), most=64)
+    dealt = models.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in dealt) >= 15 and len(dealt) > 4 and max(r["count"] for r in dealt) <= 8

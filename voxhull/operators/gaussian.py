@@ -62,6 +62,8 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 
 #: Samples of one model at most; a patch of more is cut into cells. A fit takes time by the cube of its samples.
 MOST = 512
+#: Cells that a task fits, on average.
+TOGETHER = 2
 MODEL = "pid long, cell long, way array<struct<axis:int,at:double,also:boolean>>, x array<double>, weights array<double>, variance double, length double, noise double, mean double, std double, likelihood double"
 _AXES = ("x0", "x1", "x2")
 
@@ -105,7 +107,9 @@ def fit_patches(samples: DataFrame, key: str = "pid", most: int = MOST) -> DataF
         return pd.DataFrame([{"pid": k[0], "cell": k[1], "way": [dict(zip(("axis", "at", "also"), w)) for w in way], **m, "x": m["x"].ravel().tolist(), "weights": m["weights"].tolist()}])
 
     dealt = cells(samples.select(F.col(key).alias("pid"), "x0", "x1", "x2", "y"), most)
-    return dealt.groupBy("pid", "cell").applyInPandas(run, MODEL)
+    # a fit is much work on few bytes: by its bytes a table of hundreds of cells would be one task
+    n = dealt.select("pid", "cell").distinct().count()
+    return dealt.repartition(max(1, -(-n // TOGETHER)), "pid", "cell").groupBy("pid", "cell").applyInPandas(run, MODEL)
 
 
 def placed(queries: DataFrame, models: DataFrame) -> DataFrame:
