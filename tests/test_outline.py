@@ -58,3 +58,14 @@ def test_outlines_take_the_piece_that_encloses_most(spark):
     assert abs(shoelace - got[1].hull_area) < 1e-9
     wide = {r.region: r.hull_area for r in outline.widened(df, 6).collect()}
     assert set(wide) == {1, 2, 3} and abs(wide[3] - 0.5) < 1e-9
+
+
+def test_few_points_of_a_dense_region_meet_all_their_neighbours(spark, monkeypatch):
+    """What is inside is told by a few points about it, and what is left out changes no edge."""
+    rnd = random.Random(7)
+    df = spark.createDataFrame([(0, i, rnd.gauss(0, 0.13), rnd.gauss(0, 0.13), 0.12) for i in range(2000)], POINT)
+    kept = {r.id for r in outline.candidates(df).collect()}
+    got = {(x.s, x.t, x.next) for x in outline.border(df).collect()}
+    assert len(kept) < 200 and got and {i for s, t, _ in got for i in (s, t)} <= kept
+    monkeypatch.setattr(outline, "candidates", lambda points: points)
+    assert got == {(x.s, x.t, x.next) for x in outline.border(df).collect()}
