@@ -73,3 +73,20 @@ def test_no_surface(spark):
     assert v.count() == f.count() == 0
     none = spark.createDataFrame([], "i long, j long, k long, f double")
     assert isosurface.cells_of_values(none, missing=1.0).count() == 0
+
+
+def test_measures_equal_those_of_the_mesh_without_shuffling_its_faces(spark):
+    """Random values, some missing, over several bricks: counts, edges, area and volume as the mesh itself has them."""
+    rnd = random.Random(5)
+    rows = [(i, j, k, rnd.choice([-1.0, -0.25, 0.0, 0.5, 1.0])) for i in range(10, 36) for j in range(14, 20) for k in range(1, 6) if rnd.random() < 0.7]
+    cells = isosurface.cells_of_values(spark.createDataFrame(rows, "i long, j long, k long, f double"), missing=1.0).cache()
+    lo, step = [0.5, 0.0, -1.0], [1.0, 0.5, 2.0]
+    v, f = (x.cache() for x in isosurface.surface(cells, lo, step))
+    w = mesh.watertight(f).first()
+    got = isosurface.measured(cells, lo, step).first()
+    assert (got.n_vertices, got.n_faces, got.n_edges, got.watertight, got.winding_consistent) == (v.count(), f.count(), w.n_edges, True, True)
+    assert w.watertight and w.winding_consistent and w.n_edges * 2 == got.n_faces * 3 > 6000
+    assert abs(got.area / mesh.face_geometry(v, f).agg(F.sum("area")).first()[0] - 1) < 1e-9 and abs(got.volume / isosurface.volume(v, f).first().volume - 1) < 1e-9
+    torn = cells.where("i <> 20 or j <> 16 or k <> 3")  # a cell gone: its neighbours' edges have one face
+    assert isosurface.measured(torn, lo, step).first().watertight is False
+    assert isosurface.measured(cells.where("false"), lo, step).count() == 0
