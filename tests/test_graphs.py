@@ -96,3 +96,23 @@ def test_stars_join_what_the_links_join(spark, together):
     stars = graphs._stars(df, together)
     assert stars.count() <= df.count() and stars.where("a < b").count() == 0
     assert {r.node: r.component for r in graphs.components(nodes, stars).collect()} == {i: i // 100 * 100 for i in range(301)}
+
+
+def test_a_part_holds_its_edges_as_arrays():
+    """What a search holds beside its distances is some numbers for each edge, and no part of the usual size is large."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    n = 20000
+    src = np.repeat(np.arange(n), 6)
+    edges = pd.DataFrame({"src": src, "dst": (src + np.tile([1, 2, 3, 5, 7, 11], n)) % n + 5, "w": np.random.default_rng(2).random(6 * n)})
+    known = pd.DataFrame({"source": [0], "vid": [n], "d": [0.0], "open": [True]})  # a vertex without edges
+    tracemalloc.start()
+    try:
+        assert len(graphs._within(0, edges, known, 1 << 15)) == 0
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert held < 60 * len(edges) and graphs.PART <= 1 << 18

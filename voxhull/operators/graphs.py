@@ -74,16 +74,16 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 #: Of a part: vertices times sources at most about so many, so that a part's distances fit a task.
-PART = 1 << 20
+PART = 1 << 18
 
 
 def _within(part: int, edges: pd.DataFrame, known: pd.DataFrame, span: int) -> pd.DataFrame:
     """Dijkstra from a part's fresh vertices: what gets nearer in the part, and what its edges reach in others (open)."""
-    edges = edges.sort_values("src", kind="stable")
-    src = edges["src"].to_numpy()
-    dst, w = edges["dst"].tolist(), edges["w"].tolist()
-    names, first = np.unique(src, return_index=True)
-    ranges = dict(zip(names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(src)])))
+    order = np.argsort(edges["src"].to_numpy(), kind="stable")
+    src, dst, w = (edges[c].to_numpy()[order] for c in ("src", "dst", "w"))
+    low = part * span
+    # edges stay arrays, of which only a vertex's own become numbers of Python at a time
+    first = np.searchsorted(src, np.arange(low, (int(src[-1]) if len(src) else low - 1) + 2))
     out = []
     for source, mine in known.groupby("source"):
         best = dict(zip(mine["vid"].tolist(), mine["d"].tolist()))
@@ -95,9 +95,8 @@ def _within(part: int, edges: pd.DataFrame, known: pd.DataFrame, span: int) -> p
             d, v = heapq.heappop(heap)
             if d > best[v]:
                 continue
-            lo, hi = ranges.get(v, (0, 0))
-            for k in range(lo, hi):
-                t, far = dst[k], d + w[k]
+            lo, hi = first[v - low : v - low + 2] if v - low + 1 < len(first) else (0, 0)
+            for t, far in zip(dst[lo:hi].tolist(), (d + w[lo:hi]).tolist()):
                 if far < best.get(t, float("inf")):
                     best[t] = better[t] = far
                     if t // span == part:
