@@ -251,3 +251,13 @@ def test_equation_and_weight_sinks(spark, tmp_path):
     assert act == "sine" and center == [1, 2, 3] and scale == 0.5 and all(np.allclose(a, b, atol=1e-6) for x, y in zip(layers, back) for a, b in zip(x, y))
     with pytest.raises(ValueError):
         sinks.read_weights(b"nothing at all")
+
+
+def test_both_directions_of_an_edge_take_one_shuffle(spark):
+    """Closed, open, turned, thrice used and degenerate faces; edges are shuffled once, and their sums once."""
+    closed = [(0, 2, 1), (0, 1, 3), (1, 2, 3), (2, 0, 3)]
+    kinds = {"closed": closed, "open": closed[:3], "turned": [(0, 1, 2), *closed[1:]], "thrice": [*closed, (0, 1, 4), (4, 1, 0)], "flat": [(0, 0, 1)]}
+    f = spark.createDataFrame([(m, n, *v) for m, vs in kinds.items() for n, v in enumerate(vs)], "mesh_id string, fid long, v0 long, v1 long, v2 long")
+    w = mesh.watertight(f)
+    assert {r.mesh_id: tuple(r)[1:] for r in w.collect()} == {"closed": (6, True, True), "open": (6, False, True), "turned": (6, True, False), "thrice": (8, False, False), "flat": (2, False, True)}
+    assert w._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 4
