@@ -69,3 +69,19 @@ def test_few_points_of_a_dense_region_meet_all_their_neighbours(spark, monkeypat
     assert len(kept) < 200 and got and {i for s, t, _ in got for i in (s, t)} <= kept
     monkeypatch.setattr(outline, "candidates", lambda points: points)
     assert got == {(x.s, x.t, x.next) for x in outline.border(df).collect()}
+
+
+def test_points_amid_filled_cells_need_no_arcs(spark, monkeypatch):
+    """A dense ring: what is left for the arcs follows the rim, and the border is that of trying every point, from all partitions."""
+    rnd = random.Random(4)
+    rows = [(0, i, u, v, 0.2) for i, (u, v) in enumerate(ring(rnd, 8000, 0.5, 1.0))]
+    points = spark.createDataFrame(rows, POINT).cache()
+    rim = outline.sparse(points)
+    left = {r.id for r in rim.collect()}
+    # a place is left only where a cell within three widths may be empty
+    assert 0 < len(left) < 6400 and all(math.hypot(*rows[i][2:4]) < 0.5 + 0.22 or math.hypot(*rows[i][2:4]) > 1.0 - 0.22 for i in left)
+    got = {(r.s, r.t, r.next) for r in outline.border(points).collect()}
+    assert outline.candidates(points).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cell = lambda p: p.selectExpr("*", "floor(u / (radius * 2 / 8)) AS i", "floor(v / (radius * 2 / 8)) AS j")
+    monkeypatch.setattr(outline, "sparse", cell)
+    assert got == {(r.s, r.t, r.next) for r in outline.border(points).collect()} and len(got) > 50

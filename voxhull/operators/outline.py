@@ -5,7 +5,8 @@ one. A circle through p is told by the direction of its centre, and each neighbo
 directions; where arcs leave a gap, the border comes to p from the arc before the gap and goes on to the one after. So what is
 needed is a join with neighbours on cells and, at each point, a running maximum over arcs in the order of their starts.
 
-Points whose directions are all forbidden by a few near neighbours are inside and need no others (candidates). The rest, as many as the
+Points whose directions are all forbidden by a few near neighbours are inside and need no others: those of a cell in the midst of
+filled cells are told by the cells alone (sparse), others by the arcs of a few points (candidates). The rest, as many as the
 border is long and not as the region is large, are joined with all within twice the radius.
 """
 
@@ -37,6 +38,20 @@ def neighbours(points: DataFrame, others: DataFrame | None = None) -> DataFrame:
     return j.select("region", "id", "radius", "nid", F.atan2(F.col("nv") - F.col("v"), F.col("nu") - F.col("u")).alias("angle"), d.alias("d")).where(F.col("d") < F.col("radius") * 2)
 
 
+def sparse(points: DataFrame) -> DataFrame:
+    """Those of points(region, id, u, v, radius), with the cells i, j of a fine lattice they lie in, that have an empty cell among the 24 about their own.
+
+    The others are inside: a cell is a quarter of the radius wide, and a circle through a point of the middle one holds the whole of the
+    cell that lies half a radius from the point towards the circle's centre. Told from the cells, which are no more where points lie denser.
+    """
+    wide = F.col("radius") * 2 / _FINE
+    cell = [F.floor(F.col(x) / wide).alias(c) for x, c in (("u", "i"), ("v", "j"))]
+    p = points.select("region", "id", "u", "v", "radius", *cell)
+    ring = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in range(-2, 3) for b in range(-2, 3) if a or b])
+    filled = p.select("region", "i", "j").distinct().select("region", F.inline(ring)).groupBy("region", "i", "j").agg(F.count("*").alias("n")).where("n = 24")
+    return p.join(filled.select("region", "i", "j"), ["region", "i", "j"], "left_anti").select("region", "id", "u", "v", "radius", "i", "j")
+
+
 def candidates(points: DataFrame) -> DataFrame:
     """Those of points(region, id, u, v, radius), each in a place of its own, that may lie on the border; regions of one radius each.
 
@@ -61,7 +76,9 @@ def candidates(points: DataFrame) -> DataFrame:
         return F.struct(start.alias("start"), (start + half * 2).alias("end"))
 
     near = F.filter("few", lambda n: (n["nid"] != F.col("id")) & (F.hypot(n["nu"] - F.col("u"), n["nv"] - F.col("v")) < F.col("radius") * 2))
-    arcs = p.join(each, ["region", "i", "j"], "left").select("region", "id", "u", "v", "radius", F.array_sort(F.transform(near, arc)).alias("arcs"))
+    # dealt by number: arcs take their time by rows, of which many fit into a few bytes
+    tried = p.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    arcs = sparse(points).join(each, ["region", "i", "j"], "left").repartition(int(tried), "region", "id").select("region", "id", "u", "v", "radius", F.array_sort(F.transform(near, arc)).alias("arcs"))
     last = F.array_max(F.transform("arcs", lambda a: a["end"])) - turn
     # how far the arcs reach without a gap, from where those reach that go round; a gap is told apart from none with room for rounding, on the safe side
     reached = F.aggregate("arcs", last, lambda r, a: F.when(a["start"] > r - _EPS, F.lit(float("inf"))).otherwise(F.greatest(r, a["end"])))
