@@ -66,3 +66,21 @@ def test_opposite_normals_share_a_region_and_no_faces_have_none(spark):
     for together in (0, 10):
         assert {r.fid: r.region for r in segment.grow_regions(faces, near, 0.998, together).collect()} == {5: 5, 7: 5, 9: 9}
         assert segment.grow_regions(faces.where("fid < 0"), near.where("f0 < 0"), 0.998, together).count() == 0
+
+
+@pytest.mark.parametrize("least, per", [(0.9, 16), (0.8, 40), (0.998, 25)])
+def test_regions_that_cross_chunks_again_and_again_grow_as_face_by_face(spark, least, per):
+    """One rough surface whose faces are numbered at random, so that regions leave and enter chunks many times, and one numbered in rows."""
+    rnd = random.Random(per)
+    v, f = rough(rnd, "mixed", 13, 14)
+    w, g = rough(rnd, "rows", 12, 12)
+    g = [(m, 3 * k + 1, *t) for k, (m, _, *t) in enumerate(g)]
+    vertices = spark.createDataFrame(v + w, "mesh_id string, vid long, x0 double, x1 double, x2 double")
+    faces = spark.createDataFrame(f + g, "mesh_id string, fid long, v0 long, v1 long, v2 long")
+    geometry, adjacency = mesh.face_geometry(vertices, faces).cache(), mesh.face_adjacency(faces).cache()
+    links = adjacency.select("mesh_id", "f0", "f1")
+    got = {(r.mesh_id, r.fid): r.region for r in segment._rounds(geometry.select("mesh_id", "fid", "n0", "n1", "n2"), links, least, per).collect()}
+    for name in ("mixed", "rows"):
+        normals = {r.fid: (r.n0, r.n1, r.n2) for r in geometry.where(geometry.mesh_id == name).collect()}
+        want = plain(normals, [(r.f0, r.f1) for r in links.where(links.mesh_id == name).collect()], least)
+        assert {k: s for (m, k), s in got.items() if m == name} == want

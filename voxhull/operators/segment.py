@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cross, curvedness, dot, lit, norm, sub, vec
+from ..functions.vectors import cross, curvedness, dot, norm, sub, vec
 from . import graphs, mesh
 from .quantiles import percentiles
 from .storage import stored
@@ -82,7 +82,7 @@ def patch_radius(area: Column, n_seeds: Column, overlap: float = 0.25) -> Column
     return F.sqrt(area / n_seeds / np.pi) * (1.0 + overlap)
 
 
-#: Faces that may grow in one task; larger sets of faces that could meet in a region grow in rounds.
+#: Faces that may grow in one task; larger sets of faces that could meet in a region grow in chunks of about as many.
 TOGETHER = 1 << 18
 _N = ("n0", "n1", "n2")
 
@@ -110,46 +110,105 @@ def _grown(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"mesh_id": pdf.mesh_id.iloc[0], "fid": ids, "region": ids[region]})
 
 
-def _centres(n: int) -> np.ndarray:
-    """n directions, evenly spread over a half sphere."""
-    z, turn = (np.arange(n) + 0.5) / n, np.arange(n) * np.pi * (3 - 5**0.5)
-    return np.stack([np.sqrt(1 - z * z) * np.cos(turn), np.sqrt(1 - z * z) * np.sin(turn), z], 1)
+_S = ("s0", "s1", "s2")
+_GROWN = "mesh_id string, chunk int, fid long, region long, s0 double, s1 double, s2 double, lost long"
 
 
-def _rounds(faces: DataFrame, links: DataFrame, least: float, n_centres: int = 64) -> DataFrame:
-    """G4 of faces(mesh_id, fid, n0..n2) and links(mesh_id, f0, f1) in rounds, each of which grows many seeds that can't meet.
-
-    All that could reach a face before its own turn, or meet a region of its own, lies within three times the angle of a region about its
-    normal and is connected to it by such faces. So a face is a seed for certain if no undecided face of lesser number lies
-    there. It is looked for in a somewhat larger set, that of faces about one of some fixed directions, which many faces share.
+def _in_chunk(pdf: pd.DataFrame, known: pd.DataFrame, least: float) -> pd.DataFrame:
+    """G4 in a chunk: regions in the order of their seeds, those of faces of its own and those that come in. pdf: rows of faces and of links within
+    the chunk (face, fid, n0..n2, f1); known: where regions come in (enters, fid, region, s0..s2), and the regions that faces had before."""
+    faces = pdf[pdf.face].sort_values("fid")
+    ids, normals = faces.fid.tolist(), list(zip(*(faces[c].tolist() for c in _N)))
+    own = faces.fid.to_numpy()
+    near: list[list[int]] = [[] for _ in ids]
+    pairs = pdf[~pdf.face]
+    for i, j in zip(np.searchsorted(own, pairs.fid.to_numpy()).tolist(), np.searchsorted(own, pairs.f1.to_numpy()).tolist()):
+        near[i].append(j)
+        near[j].append(i)
+    coming = known[known.enters].sort_values("region", kind="stable")
+    enter: dict[int, list[int]] = {}
+    about: dict[int, tuple] = {}
+    for i, r, *n in zip(np.searchsorted(own, coming.fid.to_numpy()).tolist(), coming.region.tolist(), *(coming[c].tolist() for c in _S)):
+        enter.setdefault(r, []).append(i)
+        about[r] = tuple(n)
+    at = {r: int(i) for r, i in zip(enter, np.searchsorted(own, list(enter)))}
+    seeds = [(r, i if i < len(ids) and ids[i] == r else -1) for r, i in at.items()]
+    seeds = sorted({*seeds, *zip(ids, range(len(ids)))})
+    region: list[int] = [-1] * len(ids)
+    for r, i in seeds:
+        if i >= 0:
+            if region[i] >= 0:
+                continue  # it has a region of lesser number, and so isn't a seed
+            stack, (a, b, c) = [i], normals[i]
+            about[r] = normals[i]
+            region[i] = r
+        else:
+            stack, (a, b, c) = [], about[r]
+        for j in enter.get(r, ()):
+            if region[j] < 0:
+                region[j] = r
+                stack.append(j)
+        while stack:
+            for j in near[stack.pop()]:
+                if region[j] < 0:
+                    n = normals[j]
+                    if abs(a * n[0] + b * n[1] + c * n[2]) >= least:
+                        region[j] = r
+                        stack.append(j)
+    out = np.array(region, np.int64)
+    held = known[~known.enters]
+    lost = np.full(len(ids), -1, np.int64)
+    lost[np.searchsorted(own, held.fid.to_numpy())] = held.region.to_numpy()
+    lost[lost == out] = -1
+    of = np.array([about[r] for r in region])
+    return pd.DataFrame({"mesh_id": pdf.mesh_id.iloc[0], "chunk": pdf.chunk.iloc[0], "fid": own, "region": out, "s0": of[:, 0], "s1": of[:, 1], "s2": of[:, 2], "lost": pd.array(lost, "Int64").copy()})
+
+
+def _rounds(faces: DataFrame, links: DataFrame, least: float, together: int = TOGETHER) -> DataFrame:
+    """G4 of faces(mesh_id, fid, n0..n2) and links(mesh_id, f0, f1) in chunks of about ``together`` faces each, by ranges of fid.
+
+    A chunk grows its regions in the order of their seeds, and hands them on over the links to other chunks. What comes in anew or no more makes a
+    chunk grow again from nothing. A region that lost a face anywhere is first taken back from all chunks but its seed's, so that none is kept
+    up by its own traces alone. By then what settles is the result of the order: the regions of all seeds before one settle, then its own. Rounds
+    follow the chunks that a chain of regions crosses; those to which nothing new comes rest.
     """
-    turn = 3 * np.arccos(min(1.0, least))
-    centres = _centres(n_centres)
-    cosines = F.array(*[F.abs(dot(vec(*_N), lit(c))) for c in centres.tolist()])
-    placed = stored(faces.select("mesh_id", "fid", *_N, cosines.alias("c")).select("mesh_id", "fid", *_N, "c", F.array_max("c").alias("own")))
-    off = np.arccos(min(1.0, placed.agg(F.min("own")).first()[0] or 1.0))
-    reach = np.cos(min(np.pi / 2, off + turn + 1e-9))
-    about = F.filter(F.transform("c", lambda x, i: F.when(x >= reach, i)), lambda i: i.isNotNull())
-    left = stored(placed.select("mesh_id", "fid", *_N, (F.array_position("c", F.col("own")) - 1).cast("int").alias("own"), about.alias("about")))
-    done = None
-    node = lambda *c: F.struct(*[F.col(x).alias(f"k{i}") for i, x in enumerate(c)])
-    while left.limit(1).count():
-        members = stored(left.select("mesh_id", F.explode("about").alias("centre"), "fid", *_N, "own"))
-        end = members.select("mesh_id", "centre", "fid")
-        pairs = stored(links.join(end.withColumnRenamed("fid", "f0"), ["mesh_id", "f0"]).join(end.withColumnRenamed("fid", "f1"), ["mesh_id", "centre", "f1"]).select("mesh_id", "centre", "f0", "f1"))
-        key = ("mesh_id", "centre", "fid")
-        sets = graphs.components(members.select(node(*key).alias("node")), pairs.select(node("mesh_id", "centre", "f0").alias("a"), node("mesh_id", "centre", "f1").alias("b")))
-        sets = sets.select(F.col("node.k0").alias("mesh_id"), F.col("node.k1").alias("centre"), F.col("node.k2").alias("fid"), F.col("component.k2").alias("seed"))
-        told = members.join(sets, list(key))
-        seeds = told.where((F.col("seed") == F.col("fid")) & (F.col("own") == F.col("centre"))).select("mesh_id", "centre", "seed", *[F.col(x).alias(f"s{i}") for i, x in enumerate(_N)])
-        flat = F.abs(dot(vec(*_N), vec("s0", "s1", "s2"))) >= least
-        near = stored(told.join(seeds, ["mesh_id", "centre", "seed"]).where(flat).select("mesh_id", "seed", "fid"))
-        inside = pairs.join(near.select("mesh_id", "seed", F.col("fid").alias("f0")), ["mesh_id", "f0"]).join(near.select("mesh_id", "seed", F.col("fid").alias("f1")), ["mesh_id", "seed", "f1"])
-        parts = graphs.components(near.select(node("mesh_id", "seed", "fid").alias("node")), inside.select(node("mesh_id", "seed", "f0").alias("a"), node("mesh_id", "seed", "f1").alias("b")))
-        grown = stored(parts.where("component.k2 = node.k1").select(F.col("node.k0").alias("mesh_id"), F.col("node.k2").alias("fid"), F.col("node.k1").alias("region")))
-        done = grown if done is None else stored(done.unionByName(grown))
-        left = stored(left.join(grown.select("mesh_id", "fid"), ["mesh_id", "fid"], "left_anti"))
-    return faces.select("mesh_id", "fid", F.col("fid").alias("region")).limit(0) if done is None else done
+    n = max(1, -(-faces.count() // max(together, 16)))
+    placed = stored(faces.repartitionByRange(n, "mesh_id", "fid").select("mesh_id", F.spark_partition_id().alias("chunk"), "fid", *_N))
+    end = lambda f, *rest: placed.select("mesh_id", F.col("chunk").alias(f"c{f[1]}"), F.col("fid").alias(f), *rest)
+    met = stored(links.join(end("f0", *[F.col(x).alias(f"p{i}") for i, x in enumerate(_N)]), ["mesh_id", "f0"]).join(end("f1", *[F.col(x).alias(f"q{i}") for i, x in enumerate(_N)]), ["mesh_id", "f1"]))
+    rows = placed.select("mesh_id", "chunk", F.lit(True).alias("face"), "fid", *_N, F.lit(0).cast("long").alias("f1"))
+    rows = stored(rows.unionByName(met.where("c0 = c1").select("mesh_id", F.col("c0").alias("chunk"), F.lit(False).alias("face"), F.col("f0").alias("fid"), *[F.lit(0.0).alias(x) for x in _N], "f1")))
+    across = met.where("c0 <> c1")
+    one = across.select("mesh_id", F.col("f0").alias("fid"), F.col("c1").alias("chunk"), F.col("f1").alias("to"), *[F.col(f"q{i}").alias(x) for i, x in enumerate(_N)])
+    across = stored(one.unionByName(across.select("mesh_id", F.col("f1").alias("fid"), F.col("c0").alias("chunk"), F.col("f0").alias("to"), *[F.col(f"p{i}").alias(x) for i, x in enumerate(_N)])))
+    place = ["mesh_id", "chunk"]
+
+    def run(f: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        return _in_chunk(f, known, least) if len(f) else pd.DataFrame({c.split()[0]: [] for c in _GROWN.split(", ")})
+
+    def grown(own: DataFrame, coming: DataFrame, before: DataFrame) -> DataFrame:
+        cols = (*place, "fid", "region", *_S)
+        known = coming.select(F.lit(True).alias("enters"), *cols).unionByName(before.select(F.lit(False).alias("enters"), *cols))
+        return own.groupBy(*place).cogroup(known.groupBy(*place)).applyInPandas(run, _GROWN)
+
+    none = placed.limit(0).select(*place, "fid", F.col("fid").alias("region"), *[F.col(x).alias(y) for x, y in zip(_N, _S)])
+    label, came = stored(grown(rows, none, none).drop("lost")), stored(none)
+    gone = stored(came.select("mesh_id", "region"))
+    while True:
+        reached = across.join(label.select("mesh_id", "fid", "region", *_S), ["mesh_id", "fid"]).where((F.abs(dot(vec(*_S), vec(*_N))) >= least) & (F.col("to") > F.col("region")))
+        coming = stored(reached.join(gone, ["mesh_id", "region"], "left_anti").select(*place, F.col("to").alias("fid"), "region", *_S).dropDuplicates([*place, "fid", "region"]))
+        key = (*place, "fid", "region")
+        differs = came.select(*key).unionByName(coming.select(*key)).groupBy(*key).agg(F.count("*").alias("n")).where("n = 1")
+        again = stored(differs.select(*place).distinct())
+        if again.limit(1).count() == 0:
+            return label.select("mesh_id", "fid", "region")
+        active = lambda t: t.join(F.broadcast(again), place, "left_semi")  # noqa: E731  # a row a chunk
+        after = stored(grown(active(rows), active(coming), active(label)))
+        # a region that was just taken back has lost its faces by that, and stands on its seed alone
+        lost = after.where("lost >= 0").select("mesh_id", F.col("lost").alias("region")).distinct().join(gone, ["mesh_id", "region"], "left_anti")
+        gone = stored(lost.join(coming, ["mesh_id", "region"], "left_semi"))
+        label = stored(label.join(F.broadcast(again), place, "left_anti").unionByName(after.drop("lost")))
+        came = coming
 
 
 def grow_regions(geometry: DataFrame, adjacency: DataFrame, least: float = 0.998, together: int = TOGETHER) -> DataFrame:
@@ -157,7 +216,7 @@ def grow_regions(geometry: DataFrame, adjacency: DataFrame, least: float = 0.998
     as seeds in order of fid; the result is that of this order.
 
     Faces of a region differ by twice its angle at most, so sets that are connected by such neighbours grow apart from each other: those of at most
-    ``together`` faces in a task each, larger ones in rounds of seeds that can't meet (_rounds).
+    ``together`` faces in a task each, larger ones in chunks of about as many (_rounds).
     """
     n = geometry.select("mesh_id", "fid", *_N)
     p, q = (n.select("mesh_id", F.col("fid").alias(f), *[F.col(x).alias(f"{c}{i}") for i, x in enumerate(_N)]) for f, c in (("f0", "p"), ("f1", "q")))
@@ -178,7 +237,7 @@ def grow_regions(geometry: DataFrame, adjacency: DataFrame, least: float = 0.998
 
     out = rows.groupBy("mesh_id", "part").applyInPandas(run, "mesh_id string, fid long, region long")
     if dealt.where(~small).limit(1).count():
-        out = out.unionByName(_rounds(dealt.where(~small).select("mesh_id", "fid", *_N), stored(linked.where(~small).select("mesh_id", "f0", "f1")), least))
+        out = out.unionByName(_rounds(dealt.where(~small).select("mesh_id", "fid", *_N), stored(linked.where(~small).select("mesh_id", "f0", "f1")), least, together))
     return out
 
 
