@@ -84,3 +84,9 @@ def test_regions_that_cross_chunks_again_and_again_grow_as_face_by_face(spark, l
         normals = {r.fid: (r.n0, r.n1, r.n2) for r in geometry.where(geometry.mesh_id == name).collect()}
         want = plain(normals, [(r.f0, r.f1) for r in links.where(links.mesh_id == name).collect()], least)
         assert {k: s for (m, k), s in got.items() if m == name} == want
+
+
+def test_sets_of_a_few_faces_share_calls(spark):
+    sets = spark.range(4000).selectExpr("'m' AS mesh_id", "id div 2 AS part", "2L AS size").unionByName(spark.createDataFrame([("m", 7777, 9999)], "mesh_id string, part long, size long"))
+    calls = {r.b: r.n for r in sets.groupBy(segment._batch(sets).alias("b")).agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert calls.pop(-7778) == 1 and len(calls) <= int(spark.conf.get("spark.sql.shuffle.partitions")) and max(calls.values()) < 2000

@@ -84,6 +84,8 @@ def patch_radius(area: Column, n_seeds: Column, overlap: float = 0.25) -> Column
 
 #: Faces that may grow in one task; larger sets of faces that could meet in a region grow in chunks of about as many.
 TOGETHER = 1 << 18
+#: Faces, about so many, of small sets that grow in one call.
+_BATCH = 1 << 15
 _N = ("n0", "n1", "n2")
 
 
@@ -211,6 +213,12 @@ def _rounds(faces: DataFrame, links: DataFrame, least: float, together: int = TO
         came = coming
 
 
+def _batch(sets: DataFrame) -> Column:
+    """The call in which a set of sets(mesh_id, part, size), a row a face, grows: those of a few faces share one by the thousand, as none touches another."""
+    n = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() // _BATCH))
+    return F.when(F.col("size") <= _BATCH // 8, F.expr(f"pmod(xxhash64(mesh_id, part), {n})")).otherwise(-1 - F.col("part"))
+
+
 def grow_regions(geometry: DataFrame, adjacency: DataFrame, least: float = 0.998, together: int = TOGETHER) -> DataFrame:
     """mesh_id, fid, region (its seed, the face of least number). A face joins the region whose seed's normal it shares up to sign, faces taken
     as seeds in order of fid; the result is that of this order.
@@ -229,13 +237,14 @@ def grow_regions(geometry: DataFrame, adjacency: DataFrame, least: float = 0.998
     dealt = stored(n.join(sets.join(sizes, ["mesh_id", "part"]), ["mesh_id", "fid"]))
     linked = links.join(dealt.select("mesh_id", F.col("fid").alias("f0"), "part", "size"), ["mesh_id", "f0"])
     small = F.col("size") <= together
-    rows = dealt.where(small).select("mesh_id", "part", F.lit(True).alias("face"), "fid", *_N, F.lit(0).cast("long").alias("f1"))
-    rows = rows.unionByName(linked.where(small).select("mesh_id", "part", F.lit(False).alias("face"), F.col("f0").alias("fid"), *[F.lit(0.0).alias(x) for x in _N], "f1"))
+    batch = _batch(dealt.where(small)).alias("batch")
+    rows = dealt.where(small).select("mesh_id", batch, F.lit(True).alias("face"), "fid", *_N, F.lit(0).cast("long").alias("f1"))
+    rows = rows.unionByName(linked.where(small).select("mesh_id", batch, F.lit(False).alias("face"), F.col("f0").alias("fid"), *[F.lit(0.0).alias(x) for x in _N], "f1"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return _grown(pdf, least)
 
-    out = rows.groupBy("mesh_id", "part").applyInPandas(run, "mesh_id string, fid long, region long")
+    out = rows.groupBy("mesh_id", "batch").applyInPandas(run, "mesh_id string, fid long, region long")
     if dealt.where(~small).limit(1).count():
         out = out.unionByName(_rounds(dealt.where(~small).select("mesh_id", "fid", *_N), stored(linked.where(~small).select("mesh_id", "f0", "f1")), least, together))
     return out
