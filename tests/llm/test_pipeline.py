@@ -111,3 +111,19 @@ def test_leaks_go_and_clean_documents_stay(spark, docs, data):
 def test_run_packs_what_the_stages_keep(spark, data):
     out = corpus_pipeline.run(spark, data)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_a_group_of_near_copies_is_joined_before_all_its_pairs_meet(spark, data, monkeypatch):
+    draw = random.Random(5)
+    rows = []
+    for i in range(240):  # texts of one changed word are alike, and like those of two, which are not like each other
+        w = [f"w{j}" for j in range(146)]
+        for at in draw.sample(range(146), 1 + i % 2):
+            w[at] = f"{i}x{at}"
+        rows.append((i, " ".join(w)))
+    compared = []
+    similar = near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda pairs, *rest: (compared.append(pairs.count()), similar(pairs, *rest))[1])
+    kept = near_copies.one_of_each(frame(spark, rows).select(*COLUMNS))
+    assert [r.doc_id for r in kept.collect()] == [0]
+    assert compared[-1] < 240, compared  # the last step compares what is left

@@ -9,7 +9,9 @@ what any of them proposes is a link only after the exact similarity of both sets
    first text that has it (of these the first of all), are compared. That settles clusters of many near copies without all their pairs.
 3. The rest, exactly: of n shingles in one global order (rarest first), two texts of a similarity of 0.8 share one
    among their first n - ceil(0.8 n) + 1. All pairs that share such a shingle, could have the similarity by their
-   sizes and by a sketch of their shingles, and are not in one component yet are compared. No pair is left out.
+   sizes, by what follows it in both and by a sketch of their shingles, and are not in one component yet are compared.
+   No pair is left out. Before that each text is compared with a few others of each of its shingles, turn by turn
+   until that joins little more, so that what is left is pairs between components.
    Pairs meet by shingle and class of size; what lies in one component already is left out before the join, and a
    shingle of very many texts is dealt to several tasks.
 
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -31,7 +33,9 @@ from .chunks import ask, chunked, dealt, n_buckets, spread, with_answers
 from .common import Words, dropped, lower_blanks_table, stored, text_bytes, values, windows
 
 SKETCH = [f"s{i}" for i in range(8)]
+OF = ["label", "node", "n", "rest", *SKETCH]  # what pairs are judged by before their sets are compared
 PART = 2000  # texts of one shingle and class of size that a task compares others with
+NEXT = 8  # texts before it in a shingle's order that each is compared with in a turn
 MOST = 255  # occurrences are counted up to here; more are as frequent
 
 
@@ -146,16 +150,17 @@ def _candidates(chunks: DataFrame, replies: DataFrame, shingle: int, tenths: int
     return with_answers(chunks, replies, run, schema)
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """(key, node, n) for each shingle of the prefixes."""
+def _prefixes(sets: DataFrame, tenths: int) -> DataFrame:
+    """(key, node, n, rest) for each shingle of the prefixes; rest: how many of the set's shared shingles do not come before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, n, prefix in zip(values(batch, "node").to_pylist(), values(batch, "n").to_pylist(), values(batch, "prefix").to_pylist()):
                 keys = np.frombuffer(prefix, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), name)), pa.array(np.full(len(keys), n))], names=["key", "node", "n"])
+                rest = needed(n, tenths) + np.arange(len(keys))[::-1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), name)), pa.array(np.full(len(keys), n)), pa.array(rest)], names=["key", "node", "n", "rest"])
 
-    return sets.select("node", "n", "prefix").mapInArrow(run, "key long, node long, n long")
+    return sets.select("node", "n", "prefix").mapInArrow(run, "key long, node long, n long, rest long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
@@ -183,7 +188,7 @@ def groups(docs: DataFrame, nodes: DataFrame, shingle: int = 5, tenths: int = 8,
     replies = _counted(_asked(chunks, shingle, buckets))
     sets = stored(_candidates(chunks, replies, shingle, tenths, buckets).dropDuplicates(["node"]), "shingle-sets")
     dropped(chunks)
-    rows = _prefixes(sets)
+    rows = _prefixes(sets, tenths)
     heads = rows.groupBy("key").agg(F.min("node").alias("x"), F.count("*").alias("c")).where("c > 1").select("key", "x")
     rows = stored(rows.join(heads, "key"), "prefixes")
 
@@ -199,15 +204,26 @@ def groups(docs: DataFrame, nodes: DataFrame, shingle: int = 5, tenths: int = 8,
     # what two sets of the similarity do not share is at most a part (1 - t) / (1 + t) of both sizes, and each differing bit of the sketches is of such a shingle
     apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in SKETCH)
     may = f"10 * least(x.n, y.n) >= {tenths} * greatest(x.n, y.n) AND {10 + tenths} * ({apart}) <= {10 - tenths} * (x.n + y.n)"
-    of = ["label", "node", "n", *SKETCH]
+    # of the shingles that both have the first in the order is in both prefixes, and the others come after it in both sets
+    may += f" AND {10 + tenths} * least(x.rest, y.rest) >= {tenths} * (x.n + y.n)"
     label = stored(simhash.components(found), "labels")
-    for by in ("n", "label"):  # each text with the next one that has a shingle of its prefix, by size and then by component
+    # each text with the next ones that have a shingle of its prefix, among all and where components meet, in another order for each shingle and turn, so that
+    # it meets many. What is in one component isn't compared any more, so turns go on until they find little.
+    turn = most = 0
+    while True:
         named = _labelled(rows, sets, label)
-        order = Window.partitionBy("key").orderBy(by, "node")
-        some = named.select(F.struct(*of).alias("x"), F.lag(F.struct(*of)).over(order).alias("y")).where(F.expr(f"x.label <> y.label AND {may}"))
+        mixed, runs = (F.xxhash64(F.lit(turn), "key", c) for c in ("node", "label"))
+        sizes = Window.partitionBy("key", _size_class(tenths))
+        next_to = F.array(*[F.lag(F.struct(*OF), k + 1).over(sizes.orderBy(mixed, "node")) for k in range(NEXT)], F.lag(F.struct(*OF)).over(sizes.orderBy(runs, "label", mixed, "node")))
+        some = named.select(F.struct(*OF).alias("x"), next_to.alias("ys")).select("x", F.explode("ys").alias("y")).where(F.expr(f"x.label <> y.label AND {may}"))
         some = some.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        before, label = label, extended(label, _similar(some, sets, tenths))
-        dropped(named, before)
+        links = stored(_similar(some, sets, tenths), "similar")
+        n = links.count()
+        before, label = label, extended(label, links)
+        dropped(named, before, links)
+        turn, most = turn + 1, max(most, n)
+        if 20 * n <= most:
+            break
     named = _labelled(rows, sets, label)
     rest = _met(named, tenths).where(F.expr(f"x.label <> y.label AND {may}"))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
@@ -217,10 +233,15 @@ def groups(docs: DataFrame, nodes: DataFrame, shingle: int = 5, tenths: int = 8,
 
 
 def _labelled(rows: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
-    """rows(key, node) with each node's label, size and sketch, for keys of more than one label; stored."""
+    """rows(key, node, rest) with each node's label, size and sketch, for keys of more than one label; stored."""
     about = sets.select("node", "n", *SKETCH).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = rows.select("key", "node").join(about.select("node", "label"), "node").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    return stored(rows.select("key", "node").join(several.select("key"), "key", "left_semi").join(about, "node"), "labelled-prefixes")
+    return stored(rows.select("key", "node", "rest").join(several.select("key"), "key", "left_semi").join(about, "node"), "labelled-prefixes")
+
+
+def _size_class(tenths: int) -> Column:
+    """The power of 10 / tenths that n reaches; a little wider than the factor, so that rounding parts no pair."""
+    return F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(10.0 / tenths)) * (1 + 1e-9))).cast("int")
 
 
 def _met(named: DataFrame, tenths: int) -> DataFrame:
@@ -229,13 +250,12 @@ def _met(named: DataFrame, tenths: int) -> DataFrame:
     Sizes of a similar pair lie within a factor 10 / tenths, so their classes by powers of it are equal or next to each other. Groups of a
     key and a class whose texts all have one label are left out; of large groups the x side is dealt to several tasks.
     """
-    size = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(10.0 / tenths)) * (1 + 1e-9))).cast("int")  # a little wider than the factor, so that rounding parts no pair
-    classed = named.withColumn("g", size)
+    classed = named.withColumn("g", _size_class(tenths))
     # y goes to its own class and the one below, where it meets x
-    y = classed.select("key", F.posexplode(F.array("g", F.col("g") - 1)).alias("larger", "g"), F.struct("label", "node", "n", *SKETCH).alias("y"))
+    y = classed.select("key", F.posexplode(F.array("g", F.col("g") - 1)).alias("larger", "g"), F.struct(*OF).alias("y"))
     groups = y.groupBy("key", "g").agg(F.min("y.label").alias("lo"), F.max("y.label").alias("hi"), F.count("*").alias("c")).where("lo < hi")
     groups = groups.select("key", "g", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
-    x = classed.join(groups, ["key", "g"]).select("key", "g", F.expr("pmod(xxhash64(node), parts)").cast("int").alias("part"), F.struct("label", "node", "n", *SKETCH).alias("x"))
+    x = classed.join(groups, ["key", "g"]).select("key", "g", F.expr("pmod(xxhash64(node), parts)").cast("int").alias("part"), F.struct(*OF).alias("x"))
     y = y.join(groups, ["key", "g"]).select("key", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "larger", "y")
     return x.join(y, ["key", "g", "part"]).where("larger = 1 OR x.node < y.node")
 
