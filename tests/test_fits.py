@@ -356,3 +356,15 @@ def test_streamed_coverage_equals_batch(spark, tmp_path):
     q = fields.distances(stream, ball).writeStream.format("memory").queryName("each").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("each").where("covered").count() == sum(1 for i in range(50) if i % 3)
+
+
+def test_seed_gains_count_without_a_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(greedy, "BLOCK", 7)
+    monkeypatch.setattr(greedy, "PART", 50)
+    monkeypatch.setattr(spatial, "radius_join", None)  # spheres as wide as the cloud: cells would join all with all
+    x = np.random.default_rng(3).normal(size=(300, 3)) * 0.2
+    surface = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "nid long, x0 double, x1 double, x2 double")
+    seeds = spark.createDataFrame([(i, *map(float, x[i]), 0.1 + 0.01 * i) for i in range(30)], "id int, x0 double, x1 double, x2 double, r double")
+    got = {r.id: r.gained for r in greedy.seed_gains(seeds, surface, 0.02).collect()}
+    want = {i: sum(abs(np.linalg.norm(q - x[i]) - (0.1 + 0.01 * i)) <= 0.02 for q in x) for i in range(30)}
+    assert got == {i: n for i, n in want.items() if n}
