@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cross, curvedness, dot, norm, sub, vec
 from . import graphs, mesh
 from .quantiles import percentiles
-from .storage import stored
+from .storage import shuffled, stored
 
 
 def curvature_weights(geometry: DataFrame, adjacency: DataFrame, vertices: DataFrame, alpha: float = 5.0) -> DataFrame:
@@ -63,7 +63,7 @@ def vertex_curvature(geometry: DataFrame, vertices: DataFrame) -> DataFrame:
     across = tuple(F.col(f"q.g{i}") - F.col(f"p.g{i}") for i in range(3))
     turn = F.atan2(norm(cross(np_, nq)), dot(np_, nq)) * F.when(dot(np_, across) <= 0, 1.0).otherwise(-1.0)
     bent = e.select("mesh_id", F.explode(F.array("lo", "hi")).alias("vid"), (turn * F.col("p.len") / 4).alias("h")).groupBy("mesh_id", "vid").agg(F.sum("h").alias("mean"))
-    j = vertices.select("mesh_id", "vid").join(defect, ["mesh_id", "vid"], "left").join(bent, ["mesh_id", "vid"], "left").fillna(0.0, ["gauss", "mean"])
+    j = vertices.select("mesh_id", "vid").join(shuffled(defect), ["mesh_id", "vid"], "left").join(shuffled(bent), ["mesh_id", "vid"], "left").fillna(0.0, ["gauss", "mean"])
 
     k1, k2, c = curvedness(F.col("mean"), F.col("gauss"))
     return j.select("*", k1.alias("k1"), k2.alias("k2"), c.alias("curvedness"))
