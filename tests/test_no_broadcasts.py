@@ -23,3 +23,10 @@ def test_corners_edges_and_curvature_by_shuffles(torus):
     assert broadcasts(mesh.face_geometry(v, f)) == 0 and broadcasts(mesh.edges(v, f)) == 0
     assert broadcasts(segment.vertex_curvature(stored(mesh.face_geometry(v, f)), v)) == 0
     assert mesh.face_geometry(v, f).count() == 144 and mesh.edges(v, f).count() == 216
+
+
+def test_bends_by_shuffles(torus):
+    v, f = torus
+    g = stored(mesh.face_geometry(v, f))
+    bend = mesh.dihedral_bend(g, stored(mesh.face_adjacency(f)))
+    assert broadcasts(bend) == 0 and bend.count() == 216

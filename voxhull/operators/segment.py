@@ -19,7 +19,7 @@ def curvature_weights(geometry: DataFrame, adjacency: DataFrame, vertices: DataF
     bend = mesh.dihedral_bend(geometry, adjacency)
     at = bend.select("mesh_id", F.explode(F.array("v0", "v1")).alias("vid"), "bend").groupBy("mesh_id", "vid").agg(F.avg("bend").alias("c"))
     most = at.groupBy("mesh_id").agg(F.max("c").alias("most"))
-    j = vertices.select("mesh_id", "vid").join(at, ["mesh_id", "vid"], "left").join(most, "mesh_id", "left")
+    j = vertices.select("mesh_id", "vid").join(shuffled(at), ["mesh_id", "vid"], "left").join(most, "mesh_id", "left")
     return j.select("mesh_id", "vid", (F.lit(1.0) + F.coalesce(F.when(F.col("most") > 0, F.col("c") / F.col("most")).otherwise(0.0), F.lit(0.0)) * alpha).alias("w"))
 
 
