@@ -30,3 +30,12 @@ def test_bends_by_shuffles(torus):
     g = stored(mesh.face_geometry(v, f))
     bend = mesh.dihedral_bend(g, stored(mesh.face_adjacency(f)))
     assert broadcasts(bend) == 0 and bend.count() == 216
+
+
+def test_summaries_of_regions_broadcast_one_row_alone(torus):
+    v, f = torus
+    g, regions = stored(mesh.face_geometry(v, f)), f.selectExpr("fid", "fid div 24 AS region")
+    s = mesh.region_summary(g, regions)
+    assert broadcasts(s) == 1 and s.count() == 6  # the sum of all area
+    assert broadcasts(mesh.region_edge_length(v, f, regions)) == 0
+    assert broadcasts(mesh.patch_faces(f, v.selectExpr("vid", "vid div 24 AS pid"))) == 0
