@@ -2,7 +2,7 @@
 
 import pytest
 
-from voxhull.operators import mesh, segment
+from voxhull.operators import mesh, sampling, segment
 from voxhull.operators.storage import stored
 from voxhull.sources import meshes
 
@@ -39,3 +39,12 @@ def test_summaries_of_regions_broadcast_one_row_alone(torus):
     assert broadcasts(s) == 1 and s.count() == 6  # the sum of all area
     assert broadcasts(mesh.region_edge_length(v, f, regions)) == 0
     assert broadcasts(mesh.patch_faces(f, v.selectExpr("vid", "vid div 24 AS pid"))) == 0
+
+
+def test_surface_samples_and_normals_by_shuffles(torus):
+    v, f = torus
+    g = mesh.face_geometry(v, f)
+    assert broadcasts(mesh.vertex_normals(g)) == 0
+    s = sampling.sample_surface(g, 50, vertex_normals=mesh.vertex_normals(g))
+    assert s.count() == 50
+    assert s.selectExpr("max(abs(n0 * n0 + n1 * n1 + n2 * n2 - 1)) < 1e-9").first()[0]
