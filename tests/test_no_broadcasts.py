@@ -2,7 +2,7 @@
 
 import pytest
 
-from voxhull.operators import mesh, sampling, segment
+from voxhull.operators import graphs, mesh, outline, rays, repair, sampling, segment, storage
 from voxhull.operators.storage import stored
 from voxhull.sources import meshes
 
@@ -14,8 +14,15 @@ def torus(spark):
 
 
 def broadcasts(df) -> int:
-    """Of the plan as it stands before the run, when Spark knows files' sizes alone."""
-    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+    """Of the plan as it stands before the run, when Spark knows files' sizes alone; not of how its cached tables were made."""
+    n, cached = 0, None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if cached is None or depth <= cached:
+            cached = depth if "InMemoryRelation" in line else None
+            n += "BroadcastExchange" in line
+    return n
+
 
 
 def test_corners_edges_and_curvature_by_shuffles(torus):
@@ -48,3 +55,35 @@ def test_surface_samples_and_normals_by_shuffles(torus):
     s = sampling.sample_surface(g, 50, vertex_normals=mesh.vertex_normals(g))
     assert s.count() == 50
     assert s.selectExpr("max(abs(n0 * n0 + n1 * n1 + n2 * n2 - 1)) < 1e-9").first()[0]
+
+
+@pytest.fixture
+def seen(monkeypatch):
+    """Broadcasts of all that is stored on the way, where no table counts as few."""
+    found = []
+
+    def record(df):
+        found.append(broadcasts(df))
+        return stored(df)
+
+    for module in (graphs, outline, rays, repair, segment):
+        monkeypatch.setattr(module, "stored", record)
+    monkeypatch.setattr(storage, "FEW", -1, raising=False)
+    return found
+
+
+@pytest.fixture(scope="module")
+def crates(spark):
+    rows = spark.range(30).selectExpr("'crates' AS mesh_id", "id AS box", "1.0D + id / 100 AS e0", "0.6D AS e1", "0.4D AS e2", "id * 5.0D AS o0", "0.0D AS o1", "0.0D AS o2")
+    return meshes.boxes(stored(rows))
+
+
+def test_regions_and_rays_by_shuffles(spark, crates, seen):
+    v, f = crates
+    g = stored(mesh.face_geometry(v, f))
+    regions = stored(segment.grow_regions(g, mesh.face_adjacency(f)).selectExpr("fid", "region div 2 AS region"))
+    assert sum(seen) == 1 and regions.select("region").distinct().count() == 180  # sizes of the sets that are not small
+    seen.clear()
+    rows = g.where("fid % 2 = 0").selectExpr("fid AS id", *[f"g{i} - 0.01D * n{i} AS x{i}" for i in range(3)], *[f"-n{i} AS d{i}" for i in range(3)])
+    found = rays.nearest_hits(stored(rows), g)
+    assert sum(seen) == 0 and found.selectExpr("count(*) = 180 AND min(t) BETWEEN 0.389 AND 0.391 AND max(t) BETWEEN 1.279 AND 1.281").first()[0]

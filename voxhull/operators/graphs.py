@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import shuffled, stored
 
 
 def _stars(links: DataFrame, together: int = 1 << 20) -> DataFrame:
@@ -64,10 +64,10 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     both = stored(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = stored(nodes.select("node", F.col("node").alias("component")))
     while True:
-        heard = both.join(label.select(F.col("node").alias("a"), "component"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("heard"))
-        low = label.join(heard, "node", "left").select("node", F.least("component", "heard").alias("component"), F.col("component").alias("old"))
+        heard = both.join(shuffled(label.select(F.col("node").alias("a"), "component")), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("heard"))
+        low = label.join(shuffled(heard), "node", "left").select("node", F.least("component", "heard").alias("component"), F.col("component").alias("old"))
         jump = low.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = stored(low.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "old"))
+        after = stored(low.join(shuffled(jump), "component", "left").select("node", F.least("component", "further").alias("component"), "old"))
         label = after.select("node", "component")
         if after.where("component <> old").limit(1).count() == 0:
             return label

@@ -214,7 +214,7 @@ def _rounds(faces: DataFrame, links: DataFrame, least: float, together: int = TO
 
 
 def _batch(sets: DataFrame) -> Column:
-    """The call in which a set of sets(mesh_id, part, size), a row a face, grows: those of a few faces share one by the thousand, as none touches another."""
+    """The call in which a set of sets(mesh_id, part, size), a row a face, size 1 for any of a few faces, grows: those of a few faces share one by the thousand, as none touches another."""
     n = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() // _BATCH))
     return F.when(F.col("size") <= _BATCH // 8, F.expr(f"pmod(xxhash64(mesh_id, part), {n})")).otherwise(-1 - F.col("part"))
 
@@ -229,13 +229,15 @@ def grow_regions(geometry: DataFrame, adjacency: DataFrame, least: float = 0.998
     n = geometry.select("mesh_id", "fid", *_N)
     p, q = (n.select("mesh_id", F.col("fid").alias(f), *[F.col(x).alias(f"{c}{i}") for i, x in enumerate(_N)]) for f, c in (("f0", "p"), ("f1", "q")))
     widest = np.cos(min(np.pi / 2, 2 * np.arccos(min(1.0, least)) + 1e-9))
-    links = adjacency.select("mesh_id", "f0", "f1").join(p, ["mesh_id", "f0"]).join(q, ["mesh_id", "f1"]).where(F.abs(dot(vec("p0", "p1", "p2"), vec("q0", "q1", "q2"))) >= widest).select("mesh_id", "f0", "f1")
+    links = adjacency.select("mesh_id", "f0", "f1").join(shuffled(p), ["mesh_id", "f0"]).join(shuffled(q), ["mesh_id", "f1"]).where(F.abs(dot(vec("p0", "p1", "p2"), vec("q0", "q1", "q2"))) >= widest).select("mesh_id", "f0", "f1")
     links = stored(links)
     node = lambda f: F.struct("mesh_id", F.col(f).alias("fid"))
     sets = graphs.components(n.select(node("fid").alias("node")), links.select(node("f0").alias("a"), node("f1").alias("b"))).select("node.mesh_id", "node.fid", F.col("component.fid").alias("part"))
-    sizes = sets.groupBy("mesh_id", "part").agg(F.count("*").alias("size"))
-    dealt = stored(n.join(sets.join(sizes, ["mesh_id", "part"]), ["mesh_id", "fid"]))
-    linked = links.join(dealt.select("mesh_id", F.col("fid").alias("f0"), "part", "size"), ["mesh_id", "f0"])
+    # sizes of sets that are not small alone: a row for some thousands of faces at most, where sets of a few faces would have a row each
+    sizes = sets.groupBy("mesh_id", "part").agg(F.count("*").alias("size")).where(F.col("size") > min(_BATCH // 8, together))
+    sets = sets.join(F.broadcast(sizes), ["mesh_id", "part"], "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    dealt = stored(n.join(shuffled(sets), ["mesh_id", "fid"]))
+    linked = links.join(shuffled(dealt.select("mesh_id", F.col("fid").alias("f0"), "part", "size")), ["mesh_id", "f0"])
     small = F.col("size") <= together
     batch = _batch(dealt.where(small)).alias("batch")
     rows = dealt.where(small).select("mesh_id", batch, F.lit(True).alias("face"), "fid", *_N, F.lit(0).cast("long").alias("f1"))
