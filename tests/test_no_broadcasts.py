@@ -2,7 +2,7 @@
 
 import pytest
 
-from voxhull.operators import graphs, mesh, outline, rays, repair, sampling, segment, storage
+from voxhull.operators import graphs, mesh, outline, rays, repair, sampling, segment, slabs, storage
 from voxhull.operators.storage import stored
 from voxhull.sources import meshes
 
@@ -87,3 +87,10 @@ def test_regions_and_rays_by_shuffles(spark, crates, seen):
     rows = g.where("fid % 2 = 0").selectExpr("fid AS id", *[f"g{i} - 0.01D * n{i} AS x{i}" for i in range(3)], *[f"-n{i} AS d{i}" for i in range(3)])
     found = rays.nearest_hits(stored(rows), g)
     assert sum(seen) == 0 and found.selectExpr("count(*) = 180 AND min(t) BETWEEN 0.389 AND 0.391 AND max(t) BETWEEN 1.279 AND 1.281").first()[0]
+
+
+def test_slabs_by_shuffles(crates, seen):
+    v, f = crates
+    s = slabs.slabs(v, f, least_share=0.0)
+    got = s.selectExpr("count(*) AS n", "max(size(hull)) AS most", "max(abs(area - hull_area)) AS off").first()
+    assert sum(seen) == 1 and (got.n, got.most) == (180, 4) and got.off < 1e-9  # sizes of the sets that are not small

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .repair import loops
-from .storage import stored
+from .storage import sent, shuffled, stored
 
 _EPS = 1e-12
 
@@ -34,7 +34,8 @@ def neighbours(points: DataFrame, others: DataFrame | None = None) -> DataFrame:
     p = p.select("region", "id", "u", "v", "radius", F.inline(about))
     q = o.select("region", F.col("id").alias("nid"), F.col("u").alias("nu"), F.col("v").alias("nv"), "i", "j")
     d = F.hypot(F.col("nu") - F.col("u"), F.col("nv") - F.col("v"))
-    j = p.join(q, ["region", "i", "j"]).where(F.col("id") != F.col("nid"))
+    # points are few or many; nine cells a row, which Spark would not count
+    j = sent(p, points.count() * 9).join(q, ["region", "i", "j"]).where(F.col("id") != F.col("nid"))
     return j.select("region", "id", "radius", "nid", F.atan2(F.col("nv") - F.col("v"), F.col("nu") - F.col("u")).alias("angle"), d.alias("d")).where(F.col("d") < F.col("radius") * 2)
 
 
@@ -49,7 +50,8 @@ def sparse(points: DataFrame) -> DataFrame:
     p = points.select("region", "id", "u", "v", "radius", *cell)
     ring = F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in range(-2, 3) for b in range(-2, 3) if a or b])
     filled = p.select("region", "i", "j").distinct().select("region", F.inline(ring)).groupBy("region", "i", "j").agg(F.count("*").alias("n")).where("n = 24")
-    return p.join(filled.select("region", "i", "j"), ["region", "i", "j"], "left_anti").select("region", "id", "u", "v", "radius", "i", "j")
+    filled = stored(filled.select("region", "i", "j"))
+    return p.join(sent(filled, filled.count()), ["region", "i", "j"], "left_anti").select("region", "id", "u", "v", "radius", "i", "j")
 
 
 def candidates(points: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def candidates(points: DataFrame) -> DataFrame:
     near = F.filter("few", lambda n: (n["nid"] != F.col("id")) & (F.hypot(n["nu"] - F.col("u"), n["nv"] - F.col("v")) < F.col("radius") * 2))
     # dealt by number: arcs take their time by rows, of which many fit into a few bytes
     tried = p.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    arcs = sparse(points).join(each, ["region", "i", "j"], "left").repartition(int(tried), "region", "id").select("region", "id", "u", "v", "radius", F.array_sort(F.transform(near, arc)).alias("arcs"))
+    arcs = sparse(points).join(shuffled(each), ["region", "i", "j"], "left").repartition(int(tried), "region", "id").select("region", "id", "u", "v", "radius", F.array_sort(F.transform(near, arc)).alias("arcs"))
     last = F.array_max(F.transform("arcs", lambda a: a["end"])) - turn
     # how far the arcs reach without a gap, from where those reach that go round; a gap is told apart from none with room for rounding, on the safe side
     reached = F.aggregate("arcs", last, lambda r, a: F.when(a["start"] > r - _EPS, F.lit(float("inf"))).otherwise(F.greatest(r, a["end"])))
@@ -105,13 +107,13 @@ def border(points: DataFrame) -> DataFrame:
     gaps = stored(gaps.select("region", "id", F.col("r.nid").alias("came"), "to", "start"))
     # an edge that bounds the shape on neither side is met from both ends; past it the border goes on in the next gap
     back = gaps.select("region", F.col("id").alias("to"), F.col("to").alias("id"), F.lit(True).alias("bare"))
-    marked = gaps.join(back, ["region", "id", "to"], "left").withColumn("out", F.when(F.col("bare").isNull(), F.col("to")))
+    marked = gaps.join(shuffled(back), ["region", "id", "to"], "left").withColumn("out", F.when(F.col("bare").isNull(), F.col("to")))
     following = F.first("out", ignorenulls=True).over(around.orderBy("start").rowsBetween(0, Window.unboundedFollowing))
     first = F.first("out", ignorenulls=True).over(around.orderBy("start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     turns = stored(marked.select("region", "id", "came", "out", F.coalesce(following, first).alias("goes")))
     edges = turns.where(F.col("out").isNotNull()).select("region", F.col("id").alias("s"), F.col("out").alias("t"))
     on = turns.select("region", F.col("came").alias("s"), F.col("id").alias("t"), F.col("goes").alias("next"))
-    return edges.join(on, ["region", "s", "t"])
+    return edges.join(shuffled(on), ["region", "s", "t"])
 
 
 def outlines(points: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def outlines(points: DataFrame) -> DataFrame:
     edges = border(points).select(F.col("region").alias("mesh_id"), F.col("s").alias("fid"), F.col("t").alias("k"), "s", "t", "next")
     walk = loops(edges).select(F.col("mesh_id").alias("region"), "loop", "at", F.col("s").alias("id"), F.col("t").alias("to"))
     at = points.select("region", "id", "u", "v")
-    placed = walk.join(at, ["region", "id"]).join(at.select("region", F.col("id").alias("to"), F.col("u").alias("u2"), F.col("v").alias("v2")), ["region", "to"])
+    placed = walk.join(shuffled(at), ["region", "id"]).join(shuffled(at.select("region", F.col("id").alias("to"), F.col("u").alias("u2"), F.col("v").alias("v2"))), ["region", "to"])
     area = F.sum(F.col("u") * F.col("v2") - F.col("u2") * F.col("v")) / 2
     pieces = stored(placed.groupBy("region", "loop").agg(area.alias("area"), F.array_sort(F.collect_list(F.struct("at", "u", "v"))).alias("w")))
     best = pieces.where("area > 0").groupBy("region").agg(F.max(F.struct("area", "loop", "w")).alias("m"))
@@ -134,7 +136,7 @@ def widened(points: DataFrame, rounds: int = 12) -> DataFrame:
     for _ in range(rounds):
         got = stored(outlines(left))
         found = got if found is None else found.unionByName(got)
-        left = left.join(got.select("region"), "region", "left_anti").withColumn("radius", F.col("radius") * 4)
+        left = left.join(sent(got.select("region"), got.count()), "region", "left_anti").withColumn("radius", F.col("radius") * 4)
         if left.limit(1).count() == 0:
             break
         left = stored(left)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cross, dot, vec
 from .graphs import components
 from .mesh import corners
-from .storage import stored
+from .storage import sent, shuffled, stored
 
 V = ("v0", "v1", "v2")
 
@@ -101,14 +101,14 @@ def loops(edges: DataFrame) -> DataFrame:
     step = 1
     while True:
         ahead = seen.select("mesh_id", F.col("e").alias("to"), F.col("low").alias("low2"), F.col("far").alias("far2"), F.col("to").alias("to2"))
-        both = seen.join(ahead, ["mesh_id", "to"])
+        both = seen.join(shuffled(ahead), ["mesh_id", "to"])
         lesser = F.col("low2") < F.col("low")
         seen = stored(both.select("mesh_id", "fid", "k", "e", F.least("low", "low2").alias("low"), F.when(lesser, F.col("far2") + step).otherwise(F.col("far")).alias("far"), F.col("to2").alias("to"), lesser.alias("new")))
         if seen.where("new").limit(1).count() == 0:
             break
         step *= 2
-    size = seen.groupBy("mesh_id", "low").agg(F.count("*").alias("size"))
-    out = seen.join(size, ["mesh_id", "low"])
+    size = stored(seen.groupBy("mesh_id", "low").agg(F.count("*").alias("size")))  # a row a loop: few or many
+    out = seen.join(sent(size, size.count()), ["mesh_id", "low"])
     return out.select("mesh_id", "fid", "k", "e.s", "e.t", F.col("low").alias("loop"), "size", ((F.col("size") - F.col("far")) % F.col("size")).alias("at"))
 
 

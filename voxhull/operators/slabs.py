@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, named, plane_basis, sub, vec
 from . import mesh, outline, rays, segment
+from .storage import sent, shuffled
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
@@ -111,7 +112,7 @@ def slabs(vertices: DataFrame, faces: DataFrame, least_share: float = 0.01, flat
     geometry = mesh.face_geometry(vertices, faces).persist()
     regions = segment.grow_regions(geometry, mesh.face_adjacency(faces), flat).select("fid", "region").persist()
     kept = mesh.region_summary(geometry, regions).where(F.col("share") >= least_share)
-    corner = geometry.join(regions, "fid").select("region", F.explode(F.array(*[F.struct(F.col(f"v{k}").alias("vid"), *[F.col(f"{p}{i}").alias(f"x{i}") for i in range(3)]) for k, p in enumerate("abc")])).alias("s")).select("region", "s.*").distinct()
+    corner = geometry.join(shuffled(regions), "fid").select("region", F.explode(F.array(*[F.struct(F.col(f"v{k}").alias("vid"), *[F.col(f"{p}{i}").alias(f"x{i}") for i in range(3)]) for k, p in enumerate("abc")])).alias("s")).select("region", "s.*").distinct()
     centre = corner.groupBy("region").agg(*[F.avg(f"x{i}").alias(f"c{i}") for i in range(3)])
     n = vec("n0", "n1", "n2")
     u, v = plane_basis(n)
@@ -123,7 +124,7 @@ def slabs(vertices: DataFrame, faces: DataFrame, least_share: float = 0.01, flat
     hulls = outline.widened(flat_points.withColumn("radius", 1 / F.col("alpha")))
     # rays start a little off the centre, which may lie on the sides of triangles
     start = frame.select("region", *[(F.col(f"c{i}") + F.col(f"u{i}") * 1.3e-3 + F.col(f"v{i}") * 0.7e-3).alias(f"c{i}") for i in range(3)], "n0", "n1", "n2")
-    return frame.join(hulls, "region").join(rays.thickness(start, geometry), "region")
+    return frame.join(sent(hulls, hulls.count()), "region").join(shuffled(rays.thickness(start, geometry)), "region")
 
 
 def primitive(row) -> dict:
